@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,3 +62,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     # the marked side is bounded by max_rows rows of 12 bytes; past 10 MB Spark is left to choose
     small = F.broadcast(marked) if min(n, max_rows) * 12 < 10_000_000 else marked
     return docs.select("doc_id", "text").join(small, "doc_id").select("doc_id", "text", "y")
+
+
+def with_field(df: DataFrame, name: str, kind: str) -> StructType:
+    """df's schema and one more field."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(f"{name} {kind}").fields])

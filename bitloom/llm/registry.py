@@ -9,13 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from bitloom.llm.language_id import op8_language_id
 from bitloom.llm.media import op9_media_columns
 from bitloom.llm.packing import op6_packing
+from bitloom.llm.quality import op7_quality_classifier
 from bitloom.llm.token_counts import op3_token_counts
+from bitloom.llm.toxicity import op4_toxicity
+from bitloom.llm.url_filters import OP5_SQL, op5_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
+    "op4_toxicity": op4_toxicity,
+    "op5_url_filters": op5_url_filters,
     "op6_packing": op6_packing,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_language_id": op8_language_id,
     "op9_media_columns": op9_media_columns,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_url_filters": OP5_SQL}
