@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bitloom.llm.language_id import op8_language_id
 from bitloom.llm.media import op9_media_columns
+from bitloom.llm.near_dedup import op10_near_dedup
 from bitloom.llm.packing import op6_packing
 from bitloom.llm.quality import op7_quality_classifier
 from bitloom.llm.token_counts import op3_token_counts
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_language_id": op8_language_id,
     "op9_media_columns": op9_media_columns,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_url_filters": OP5_SQL}
