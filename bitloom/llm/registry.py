@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bitloom.llm.decontaminate import OP2_SQL, op2_decontamination
 from bitloom.llm.language_id import op8_language_id
 from bitloom.llm.media import op9_media_columns
 from bitloom.llm.near_dedup import op10_near_dedup
@@ -16,6 +17,7 @@ from bitloom.llm.toxicity import op4_toxicity
 from bitloom.llm.url_filters import OP5_SQL, op5_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
     "op3_token_counts": op3_token_counts,
     "op4_toxicity": op4_toxicity,
     "op5_url_filters": op5_url_filters,
@@ -26,4 +28,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": op10_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_url_filters": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op5_url_filters": OP5_SQL}
