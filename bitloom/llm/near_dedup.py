@@ -164,7 +164,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
     classes = stored(named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("cid"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("packed").alias("packed")), "classes")
     sketch = classes.select("cid", "n", "packed")
     keys = classes.select("cid", F.explode("bands").alias("key"))
-    bucket = keys.groupBy("key").agg(F.min("cid").alias("least"), F.max("cid").alias("greatest")).where("least < greatest")
+    # written first, so that the join below shuffles both sides and a hot key can be split
+    bucket = stored(keys.groupBy("key").agg(F.min("cid").alias("least"), F.max("cid").alias("greatest")).where("least < greatest"), "shared-keys")
     shared = stored(keys.join(bucket, "key").select("key", "cid", "least", "greatest"), "buckets")
     some = shared.select(F.col("cid").alias("id")).distinct()
     texts = stored(docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null").join(some, "id").dropDuplicates(["id"]), "texts")

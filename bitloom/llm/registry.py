@@ -12,11 +12,13 @@ from bitloom.llm.media import op9_media_columns
 from bitloom.llm.near_dedup import op10_near_dedup
 from bitloom.llm.packing import op6_packing
 from bitloom.llm.quality import op7_quality_classifier
+from bitloom.llm.substring_dedup import op1_substring_dedup
 from bitloom.llm.token_counts import op3_token_counts
 from bitloom.llm.toxicity import op4_toxicity
 from bitloom.llm.url_filters import OP5_SQL, op5_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_token_counts": op3_token_counts,
     "op4_toxicity": op4_toxicity,
