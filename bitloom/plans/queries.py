@@ -1,10 +1,8 @@
-"""Registry of demo queries and their SQL oracles."""
+"""All demo queries of the library and their SQL oracles."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bitloom.plans import interval_queries  # noqa: F401
+from bitloom.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
