@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bitloom.plans import interval_queries  # noqa: F401
+from bitloom.plans import bit_queries, interval_queries, run_queries  # noqa: F401
 from bitloom.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
