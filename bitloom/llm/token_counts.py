@@ -29,7 +29,7 @@ from bitloom.llm.common import table
 from bitloom.llm.pretoken import UNSURE, code_points, kinds, span_hash, split_words
 from bitloom.llm.textscan import U64, Pool, mix
 
-CHUNK = 1 << 19
+CHUNK = 1 << 20
 _CONTRACTED = {"'s", "'t", "'m", "'d", "'re", "'ve", "'ll"}
 
 
@@ -75,6 +75,7 @@ class Merges:
         pairs = np.array(pairs, np.int64)
         self.pair_made, self.pairs = pairs[:, 2], Pool(bits=18)
         self.pairs.index(_pair_key(pairs[:, 0], pairs[:, 1]))
+        self.answered, self.answers = Pool(bits=21), np.zeros(1_200_000, bool)
         self.longest = max(len(t) for t, _ in self.text)
         # spellings: hash -> its open and its closed symbol
         spelling = sorted({t for t, _ in self.text})
@@ -90,7 +91,25 @@ class Merges:
         return self.symbols[self.spellings.find(keys)]
 
     def stays(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Would BPE keep symbol x followed by symbol y apart?
+        """Would BPE keep symbol x followed by symbol y apart? Answers are kept in a bounded table."""
+        keys = _pair_key(x, y)
+        at = self.answered.find(keys)
+        if (at < 0).any():
+            new, first = np.unique(keys[at < 0], return_index=True)
+            first = np.flatnonzero(at < 0)[first]
+            if self.answered.n + len(new) > len(self.answers):
+                self.answered.clear()
+                new, first = np.unique(keys, return_index=True)
+                if len(new) > len(self.answers):
+                    return self._stays(x, y)
+            n = self.answered.n
+            self.answered.index(new)
+            self.answers[n : n + len(new)] = self._stays(x[first], y[first])
+            at = self.answered.find(keys)
+        return self.answers[at]
+
+    def _stays(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The answer itself.
 
         Undo merges from the latest; at each state a merge across the border that comes before
         the last one undone would have been taken, so the two could not both stand.
