@@ -26,6 +26,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,8 +155,21 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("ref"))
 
 
-_PARSED = "doc_id long, n_words long, sha string, ref long, elected array<struct<key: bigint, first: int, last: int>>"
-_ELECTED = pa.list_(pa.struct([("key", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]))
+_PARSED = "doc_id long, n_words long, sha string, ref long, elected array<struct<key: bigint, first: array<int>, last: array<int>>>"
+_INTS = pa.list_(pa.int32())
+_ELECTED = pa.list_(pa.struct([("key", pa.int64()), ("first", _INTS), ("last", _INTS)]))
+
+
+def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where a new combination of values begins in columns sorted by them."""
+    fresh = np.ones(len(sorted_columns[0]), bool)
+    if len(fresh):
+        fresh[1:] = np.any([c[1:] != c[:-1] for c in sorted_columns], axis=0)
+    return np.flatnonzero(fresh)
+
+
+def _lists(begins: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(begins, len(values)).astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
 def parse(docs: DataFrame, width: int) -> DataFrame:
@@ -171,7 +185,12 @@ def parse(docs: DataFrame, width: int) -> DataFrame:
                 row, key, begin, end = elections(found, width, spans)
                 raw = data[at[0] : at[-1]].tobytes()
                 sha = [hashlib.sha256(b" ".join(raw[x:y].split())).hexdigest() for x, y in zip((at[:-1] - at[0]).tolist(), (at[1:] - at[0]).tolist(), strict=True)]
-                flat = pa.StructArray.from_arrays([pa.array(key.astype(np.int64)), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], fields=list(_ELECTED.value_type))
+                # a text that repeats itself elects a symbol over and over: one entry a symbol
+                order = np.lexsort((begin, key, row))
+                row, key, begin, end = row[order], key[order], begin[order], end[order]
+                group = _starts(row, key)
+                flat = pa.StructArray.from_arrays([pa.array(key[group].astype(np.int64)), _lists(group, begin), _lists(group, end)], fields=list(_ELECTED.value_type))
+                row = row[group]
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(last - first + 1)).astype(np.int32)), flat, type=_ELECTED)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), pa.array(np.diff(found.offs)), pa.array(sha), b.column(2).slice(first, last - first), lists], names=["doc_id", "n_words", "sha", "ref", "elected"])
 
@@ -179,7 +198,7 @@ def parse(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _window_rows(held: DataFrame, width: int) -> DataFrame:
-    """(doc_id, ref, key, hashed, place, asked) of every window under the shared symbols of held rows."""
+    """(doc_id, ref, key, hashed, places, asked) of the windows under the shared symbols of held rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,21 +209,26 @@ def _window_rows(held: DataFrame, width: int) -> DataFrame:
                 found = words(data, offs[first : last + 1], SPACES, fold=False)
                 spans = Spans(found.hash)
                 part = lists.slice(first, last - first)
-                flat, cut = part.flatten(), np.diff(part.offsets.to_numpy())
-                row = np.repeat(np.arange(last - first), cut)
-                key, begin, end, asked = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-                begin, end = begin.astype(np.int64), end.astype(np.int64)
+                flat = part.flatten()
+                key, asked = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 3))
+                begin, end = (flat.field(i).flatten().to_numpy().astype(np.int64) for i in (1, 2))
+                entry = np.repeat(np.arange(len(flat)), pc.list_value_length(flat.field(1)).to_numpy(zero_copy_only=False))
+                entry_row = np.repeat(np.arange(last - first), pc.list_value_length(part).to_numpy(zero_copy_only=False))
                 size = end - begin + 1
-                total = int(size.sum())
-                place = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
-                rows = np.repeat(row, size)
-                at = place + found.offs[rows]
+                place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+                entry = np.repeat(entry, size)
+                at = place + found.offs[entry_row[entry]]
+                hashed = spans(at, at + width).astype(np.int64)
+                order = np.lexsort((place, hashed, entry))
+                entry, hashed, place = entry[order], hashed[order], place[order]
+                group = _starts(entry, hashed)
+                mine = entry[group]
                 yield pa.RecordBatch.from_arrays([
-                    doc.take(pa.array(rows + first)), pa.array(ref[rows + first]), pa.array((np.repeat(key, size) >> 32).astype(np.int32)),
-                    pa.array(spans(at, at + width).astype(np.int64)), pa.array(place.astype(np.int32)), pa.array(np.repeat(asked, size).astype(bool)),
-                ], names=["doc_id", "ref", "key", "hashed", "place", "asked"])
+                    doc.take(pa.array(entry_row[mine] + first)), pa.array(ref[entry_row[mine] + first]), pa.array((key[mine] >> 32).astype(np.int32)),
+                    pa.array(hashed[group]), _lists(group, place), pa.array(asked[mine].astype(bool)),
+                ], names=["doc_id", "ref", "key", "hashed", "places", "asked"])
 
-    return held.select("doc_id", "text", "ref", "elected").mapInArrow(run, "doc_id long, ref long, key int, hashed long, place int, asked boolean")
+    return held.select("doc_id", "text", "ref", "elected").mapInArrow(run, "doc_id long, ref long, key int, hashed long, places array<int>, asked boolean")
 
 
 def _cut(held: DataFrame, width: int) -> DataFrame:
@@ -221,6 +245,7 @@ def _cut(held: DataFrame, width: int) -> DataFrame:
                 for r in range(first, last):
                     a, z = int(found.offs[r - first]), int(found.offs[r - first + 1])
                     place = places[r].values.to_numpy()
+                    place = np.unique(place)
                     depth = np.bincount(place, minlength=z - a + 1) - np.bincount(place + width, minlength=z - a + 1)
                     gone = np.cumsum(depth)[: z - a] > 0
                     edge = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
@@ -258,7 +283,7 @@ def repeated_passages(docs: DataFrame, width: int = 50) -> DataFrame:
     held = stored(texts.join(lists, ["doc_id", "ref"]).dropDuplicates(["doc_id", "ref"]), "held")
     rows = stored(_window_rows(held, width), "windows")
     repeated = stored(rows.groupBy("key", "hashed").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "hashed", "least"), "repeated")
-    gone = rows.where("asked").join(repeated, ["key", "hashed"]).where("doc_id > least").groupBy("doc_id", "ref").agg(F.collect_set("place").alias("places"))
+    gone = rows.where("asked").join(repeated, ["key", "hashed"]).where("doc_id > least").groupBy("doc_id", "ref").agg(F.flatten(F.collect_list("places")).alias("places"))
     cut = stored(_cut(held.drop("elected").join(gone, ["doc_id", "ref"]), width), "cut")
     base = parsed.select("doc_id", "ref", "n_words", "sha").join(owners, "sha", "left").join(cut, ["doc_id", "ref"], "left")
     copy = F.col("owner") < F.col("doc_id")
