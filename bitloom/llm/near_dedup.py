@@ -218,12 +218,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
     part = stored(placed.join(stored(main, "main"), "key").select("key", "cid", "component", "main"), "apart")
     fine = stored(fine_sketches(texts.join(part.select(F.col("cid").alias("id")).distinct(), "id"), width).join(sketch, "cid"), "sketches")
     bits = [f"f{i}" for i in range(FINE_LONGS)]
-    split = part.join(fine, "cid")
-    minor = split.where("component <> main").select("key", F.col("cid").alias("a"), F.col("component").alias("a_component"), F.col("n").alias("a_n"), F.col("packed").alias("a_packed"), *[F.col(c).alias(f"a_{c}") for c in bits])
-    other = split.select("key", F.col("cid").alias("b"), F.col("component").alias("b_component"), F.col("main").alias("b_main"), F.col("n").alias("b_n"), F.col("packed").alias("b_packed"), *[F.col(c).alias(f"b_{c}") for c in bits])
+    # a pair that shares several buckets is taken up in the first of them only
+    own = part.groupBy("cid").agg(F.collect_list("key").alias("keys"))
+    split = part.join(fine, "cid").join(own, "cid")
+    minor = split.where("component <> main").select("key", F.col("cid").alias("a"), F.col("component").alias("a_component"), F.col("n").alias("a_n"), F.col("packed").alias("a_packed"), F.col("keys").alias("a_keys"), *[F.col(c).alias(f"a_{c}") for c in bits])
+    other = split.select("key", F.col("cid").alias("b"), F.col("component").alias("b_component"), F.col("main").alias("b_main"), F.col("n").alias("b_n"), F.col("packed").alias("b_packed"), F.col("keys").alias("b_keys"), *[F.col(c).alias(f"b_{c}") for c in bits])
     # two minor members meet once, from the smaller id
     apart = (F.col("a_component") != F.col("b_component")) & ((F.col("b_component") == F.col("b_main")) | (F.col("a") < F.col("b")))
-    across = minor.join(other, "key").where(apart & _close(percent) & (fine_estimate("a_f", "b_f") >= percent / 100 - FINE_MARGIN)).select(F.col("b_component").alias("cluster"), "a", "b").distinct()
+    once = F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("key")
+    across = minor.join(other, "key").where(apart & _close(percent) & (fine_estimate("a_f", "b_f") >= percent / 100 - FINE_MARGIN) & once).select(F.col("b_component").alias("cluster"), "a", "b").distinct()
     second = stored(confirm(across, texts, percent, width), "links")
 
     joined = components(first.union(second))
