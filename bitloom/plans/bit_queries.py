@@ -34,7 +34,6 @@ def f2(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LAYOUT = B.parse_layout("vhop ppii iiii iiii")
-_WORD = F.col("l_partkey") * 257 % 65536
 
 
 @query(
@@ -43,7 +42,7 @@ _WORD = F.col("l_partkey") * 257 % 65536
 FROM (SELECT l_orderkey, l_linenumber, l_partkey * 257 % 65536 AS w FROM lineitem)""",
 )
 def f3(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", _WORD.alias("w"))
+    w = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") * 257 % 65536).alias("w"))
     fields = w.select("*", *[B.unpack_field(F.col("w"), b).alias(c) for c, b in _LAYOUT.items()])
     return fields.withColumn("packed", B.pack_fields({c: F.col(c) for c in _LAYOUT}, _LAYOUT))
 
