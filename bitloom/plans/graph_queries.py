@@ -103,15 +103,17 @@ def j16(spark: SparkSession, d: str) -> DataFrame:
     return G.forward(table(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", al)
 
 
-@query("g4_connected_regions", None)
+_EDGES = """g AS (SELECT o_orderkey AS pos, o_orderkey % 40 AS x, o_orderkey // 40 AS y, o_custkey % 3 AS v FROM orders),
+e AS (SELECT a.pos AS p, b.pos AS q FROM g a JOIN g b ON a.v = b.v AND a.y = b.y AND b.pos = a.pos + 1 UNION ALL SELECT b.pos, a.pos FROM g a JOIN g b ON a.v = b.v AND a.y = b.y AND b.pos = a.pos + 1
+ UNION ALL SELECT a.pos, b.pos FROM g a JOIN g b ON a.v = b.v AND b.pos = a.pos + 40 UNION ALL SELECT b.pos, a.pos FROM g a JOIN g b ON a.v = b.v AND b.pos = a.pos + 40)"""
+
+
+@query("g4_connected_regions", f"WITH RECURSIVE {_EDGES}, f AS (SELECT pos AS seed, pos FROM g UNION SELECT f.seed, q FROM f JOIN e ON p = f.pos) SELECT pos, min(seed) AS region FROM f GROUP BY pos")
 def g4(spark: SparkSession, d: str) -> DataFrame:
     return G.regions(grid(spark, d).drop("o_orderstatus"))
 
 
-@query("g4_flood_fill", """WITH RECURSIVE g AS (SELECT o_orderkey AS pos, o_orderkey % 40 AS x, o_orderkey // 40 AS y, o_custkey % 3 AS v FROM orders),
-e AS (SELECT a.pos AS p, b.pos AS q FROM g a JOIN g b ON a.v = b.v AND a.y = b.y AND b.pos = a.pos + 1 UNION ALL SELECT b.pos, a.pos FROM g a JOIN g b ON a.v = b.v AND a.y = b.y AND b.pos = a.pos + 1
- UNION ALL SELECT a.pos, b.pos FROM g a JOIN g b ON a.v = b.v AND b.pos = a.pos + 40 UNION ALL SELECT b.pos, a.pos FROM g a JOIN g b ON a.v = b.v AND b.pos = a.pos + 40),
-f AS (SELECT CAST(45 AS BIGINT) AS pos UNION SELECT q FROM f JOIN e ON p = pos) SELECT pos FROM f""")
+@query("g4_flood_fill", f"WITH RECURSIVE {_EDGES}, f AS (SELECT CAST(45 AS BIGINT) AS pos UNION SELECT q FROM f JOIN e ON p = pos) SELECT pos FROM f")
 def g4f(spark: SparkSession, d: str) -> DataFrame:
     """The region of the cell at position 45."""
     found = G.regions(grid(spark, d).drop("o_orderstatus"))
