@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from bitloom.llm.decontaminate import OP2_SQL, op2_decontamination
 from bitloom.llm.language_id import op8_language_id
 from bitloom.llm.media import op9_media_columns
-from bitloom.llm.near_dedup import op10_near_dedup
+from bitloom.llm.near_dedup import OP10_SQL, op10_near_dedup
 from bitloom.llm.packing import op6_packing
 from bitloom.llm.quality import op7_quality_classifier
-from bitloom.llm.substring_dedup import op1_substring_dedup
+from bitloom.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 from bitloom.llm.token_counts import op3_token_counts
 from bitloom.llm.toxicity import op4_toxicity
 from bitloom.llm.url_filters import OP5_SQL, op5_url_filters
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": op10_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op5_url_filters": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_url_filters": OP5_SQL, "op10_near_dedup": OP10_SQL}

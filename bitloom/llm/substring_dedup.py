@@ -309,3 +309,14 @@ def without_passages(docs: DataFrame, width: int = 50) -> DataFrame:
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+m AS (SELECT h, min(doc_id) AS f FROM g GROUP BY h HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM g JOIN m USING (h) WHERE doc_id > f),
+k AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d),
+r AS (SELECT k.doc_id, count(hit.j) AS n_removed, string_agg(word, ' ' ORDER BY k.j) FILTER (hit.j IS NULL) AS kept FROM k LEFT JOIN hit ON hit.doc_id = k.doc_id AND hit.j = k.j GROUP BY k.doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+"""
