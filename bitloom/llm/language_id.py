@@ -162,7 +162,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dims: int = 1024
                 pred += [names[k] if n else UNKNOWN for k, n in zip(best.tolist(), letters.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
