@@ -18,7 +18,6 @@ those named like a result column give way to it.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from bitloom.llm.common import table
-from bitloom.llm.textscan import NOT_WORD, U64, Pool, slices, text_buffer, words
+from bitloom.llm.textscan import NOT_WORD, Pool, slices, text_buffer, words
 
 SAMPLE = 8
 SHARD_WORDS = 1 << 20

@@ -154,7 +154,7 @@ def fit(sample: DataFrame, n_features: int = 256, width: float = 4.0, ridge: flo
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with quality_score, 0 to 1; keeps doc_id and text-free of any shuffle."""
+    """docs with quality_score, 0 to 1, in place: no shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -289,8 +289,6 @@ def test_bundle_is_sum_of_bound_trigrams() -> None:
 
 
 def classified(spark, op, label):
-    from pyspark.sql import SparkSession  # noqa: F401
-
     sf = "/root/testdata/sf0.1"
     p = op(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
     held = p[p.held_out]
