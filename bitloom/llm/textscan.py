@@ -129,14 +129,16 @@ def within(offs: np.ndarray, width: int, n: int) -> np.ndarray:
 class Pool:
     """Open-addressing table in numpy: 64-bit key -> slot of a variable-length int array.
 
-    It only saves work: a full pool is emptied and filled anew, results stay the same.
+    It only saves work: a full pool is emptied and filled anew, results stay the same. `most` is
+    where callers empty it; one text may hold more keys than that, for which the table doubles.
     """
 
     def __init__(self, most: int = 1_200_000, bits: int = 21) -> None:
-        self.most, self.bits = most, bits
+        self.most, self.least_bits = most, bits
         self.clear()
 
     def clear(self) -> None:
+        self.bits = self.least_bits
         self.keys = np.zeros(1 << self.bits, U64)
         self.slots = np.full(1 << self.bits, -1, np.int32)
         self.begin = np.zeros(1 << 16, np.int64)
@@ -173,7 +175,13 @@ class Pool:
         self.index(keys)
 
     def index(self, keys: np.ndarray) -> None:
-        """Next slots for new distinct keys."""
+        """Next slots for new distinct keys; the table doubles before it is three quarters full."""
+        if 4 * (self.n + len(keys)) > 3 << self.bits:
+            taken = np.flatnonzero(self.slots >= 0)
+            keys = np.concatenate([self.keys[taken[np.argsort(self.slots[taken])]], keys])
+            while 4 * len(keys) > 3 << self.bits:
+                self.bits += 1
+            self.keys, self.slots, self.n = np.zeros(1 << self.bits, U64), np.full(1 << self.bits, -1, np.int32), 0
         ids = np.arange(self.n, self.n + len(keys))
         self.n += len(keys)
         mask = (1 << self.bits) - 1

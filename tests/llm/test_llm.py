@@ -185,6 +185,28 @@ def test_packing_round_trip(spark, docs, nothing) -> None:
     assert packing.pack(nothing, packing.byte_bpe_file()).count() == 0
 
 
+def test_one_text_with_more_pieces_than_the_pool_holds() -> None:
+    from bitloom.llm.textscan import Pool, mix
+
+    pool = Pool(most=6, bits=3)
+    keys = mix(np.arange(1, 41, dtype=np.uint64))
+    for part in np.split(keys, 4):
+        pool.add(part, [np.array([k & 1023, 7], np.int32) for k in part.tolist()])
+    assert pool.find(keys).tolist() == list(range(40)) and pool.find(mix(keys)).max() == -1
+    assert pool.gather(np.array([35, 0]))[0].tolist() == [int(keys[35]) & 1023, 7, int(keys[0]) & 1023, 7]
+
+    rnd = random.Random(9)
+    texts = [" ".join(str(rnd.randrange(10**6)) for _ in range(200)), " ".join("".join(rnd.choices("abcdefgh", k=7)) for _ in range(200)), "few words here"]
+    encoder, counter = packing.Encoder(packing.byte_bpe_file()), token_counts.PrefixCounter(token_counts.word_bpe_file())
+    encoder.pool = Pool(most=48, bits=6)
+    counter.pool = Pool(most=48, bits=6)
+    # one call a text, as for texts that fill a chunk; the short text empties the grown table
+    for text in texts:
+        assert next(iter(encoder.encode([text]))).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert next(iter(counter.count([text])))[-1] == len(counter.tokenizer.encode(text, add_special_tokens=False).ids)
+    assert encoder.pool.bits == counter.pool.bits == 6
+
+
 def near_truth(rows):
     sets = {}
     for doc_id, text, *_ in rows:
