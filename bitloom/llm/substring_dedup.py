@@ -8,10 +8,12 @@ stand. For each symbol the rounds carry the stretch of words that its making dep
 certificate); a window of `width` words that holds the certificate is sure to hold the symbol.
 
 Each window elects, of the symbols certified in it, the one whose certificate has the least hash,
-the leftmost of equals. Equal windows elect equal symbols, so only windows under an elected symbol
-that several documents share can repeat, and Spark compares just those, by hashes of all their
-words. A window without a certified symbol elects itself. Documents with equal word sequences are
-settled first: all but the one with the least id lose their windows whole.
+the leftmost of equals. Symbols go to Spark by their name and certificate together. Equal windows elect
+equal symbols, so only windows under an elected symbol that several documents share can repeat, and
+Spark compares just those, by hashes of all their words. A window without a certified symbol elects
+itself. A document's symbols of the last round, in order, make its top symbol. Documents with equal
+word sequences meet in it, with a digest of their words as the check, and are settled first: all
+but the one with the least id lose their windows whole.
 
 Defined results: null texts have no words; documents of fewer than `width` words lose nothing; rows
 with a null doc_id are neither cut nor a source; rows that share a doc_id are judged one by one and
@@ -108,7 +110,15 @@ def recompress(hashed: np.ndarray, offs: np.ndarray, rounds: int = ROUNDS) -> tu
     return name, begin, end
 
 
-def elections(found: Words, width: int, spans: Spans) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def tops(found: Words, symbols: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Top symbol of each row, the hash of its symbols' names in order."""
+    name, begin, _ = symbols
+    # a certificate reaches past the front of its row by one word at most
+    at = np.searchsorted(begin + 1, found.offs)
+    return Spans(name)(at[:-1], at[1:])
+
+
+def elections(found: Words, width: int, spans: Spans, symbols: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, key, first window, last window) of each elected symbol, windows counted within the row."""
     offs = found.offs
     size = np.maximum(np.diff(offs) - width + 1, 0)
@@ -117,9 +127,9 @@ def elections(found: Words, width: int, spans: Spans) -> tuple[np.ndarray, np.nd
         return none, none.astype(U64), none, none
     row = np.repeat(np.arange(len(size)), size)
     window = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(offs[:-1], size)
-    _, begin, end = recompress(found.hash, offs)
+    name, begin, end = symbols
     inside = (begin >= 0) & (end <= len(found.hash))
-    key = spans(np.where(inside, begin, 0), np.where(inside, end, 0))
+    key = join_hash(name, spans(np.where(inside, begin, 0), np.where(inside, end, 0)))
     low = np.searchsorted(begin, window, "left")
     high = np.searchsorted(end, window + width, "right")
     count = high - low
@@ -155,7 +165,7 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("ref"))
 
 
-_PARSED = "doc_id long, n_words long, sha string, ref long, elected array<struct<key: bigint, first: array<int>, last: array<int>>>"
+_PARSED = "doc_id long, n_words long, top long, sha string, ref long, elected array<struct<key: bigint, first: array<int>, last: array<int>>>"
 _INTS = pa.list_(pa.int32())
 _ELECTED = pa.list_(pa.struct([("key", pa.int64()), ("first", _INTS), ("last", _INTS)]))
 
@@ -173,7 +183,7 @@ def _lists(begins: np.ndarray, values: np.ndarray) -> pa.ListArray:
 
 
 def parse(docs: DataFrame, width: int) -> DataFrame:
-    """Each document's word count, digest of its words, hash of its words, and elected symbols."""
+    """Each document's word count, top symbol, digest of its words, hash of its text, and elected symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -181,8 +191,9 @@ def parse(docs: DataFrame, width: int) -> DataFrame:
             for first, last in slices(offs):
                 at = offs[first : last + 1]
                 found = words(data, at, SPACES, fold=False)
-                spans = Spans(found.hash)
-                row, key, begin, end = elections(found, width, spans)
+                spans, symbols = Spans(found.hash), recompress(found.hash, found.offs)
+                top = tops(found, symbols).astype(np.int64)
+                row, key, begin, end = elections(found, width, spans, symbols)
                 raw = data[at[0] : at[-1]].tobytes()
                 sha = [hashlib.sha256(b" ".join(raw[x:y].split())).hexdigest() for x, y in zip((at[:-1] - at[0]).tolist(), (at[1:] - at[0]).tolist(), strict=True)]
                 # a text that repeats itself elects a symbol over and over: one entry a symbol
@@ -192,7 +203,7 @@ def parse(docs: DataFrame, width: int) -> DataFrame:
                 flat = pa.StructArray.from_arrays([pa.array(key[group].astype(np.int64)), _lists(group, begin), _lists(group, end)], fields=list(_ELECTED.value_type))
                 row = row[group]
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(last - first + 1)).astype(np.int32)), flat, type=_ELECTED)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), pa.array(np.diff(found.offs)), pa.array(sha), b.column(2).slice(first, last - first), lists], names=["doc_id", "n_words", "sha", "ref", "elected"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), pa.array(np.diff(found.offs)), pa.array(top), pa.array(sha), b.column(2).slice(first, last - first), lists], names=["doc_id", "n_words", "top", "sha", "ref", "elected"])
 
     return _identified(docs).mapInArrow(run, _PARSED)
 
@@ -274,8 +285,8 @@ def repeated_passages(docs: DataFrame, width: int = 50) -> DataFrame:
     """
     parsed = stored(parse(docs, width), "parsed")
     long = parsed.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= width))
-    owners = stored(long.groupBy("sha").agg(F.min("doc_id").alias("owner")), "owners")
-    own = long.join(owners, "sha").where("doc_id = owner").dropDuplicates(["doc_id", "ref"])
+    owners = stored(long.groupBy("top", "sha").agg(F.min("doc_id").alias("owner")), "owners")
+    own = long.join(owners, ["top", "sha"]).where("doc_id = owner").dropDuplicates(["doc_id", "ref"])
     elected = stored(own.select("doc_id", "ref", F.explode("elected").alias("e")).select("doc_id", "ref", "e.key", "e.first", "e.last"), "elected")
     shared = stored(elected.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least"), "shared")
     lists = elected.join(shared, "key").groupBy("doc_id", "ref").agg(F.collect_list(F.struct("key", "first", "last", (F.col("doc_id") > F.col("least")).alias("asked"))).alias("elected"))
@@ -285,7 +296,7 @@ def repeated_passages(docs: DataFrame, width: int = 50) -> DataFrame:
     repeated = stored(rows.groupBy("key", "hashed").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "hashed", "least"), "repeated")
     gone = rows.where("asked").join(repeated, ["key", "hashed"]).where("doc_id > least").groupBy("doc_id", "ref").agg(F.flatten(F.collect_list("places")).alias("places"))
     cut = stored(_cut(held.drop("elected").join(gone, ["doc_id", "ref"]), width), "cut")
-    base = parsed.select("doc_id", "ref", "n_words", "sha").join(owners, "sha", "left").join(cut, ["doc_id", "ref"], "left")
+    base = parsed.select("doc_id", "ref", "n_words", "top", "sha").join(owners, ["top", "sha"], "left").join(cut, ["doc_id", "ref"], "left")
     copy = F.col("owner") < F.col("doc_id")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
     return base.select(

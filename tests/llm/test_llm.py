@@ -86,6 +86,25 @@ def test_recompression_is_local() -> None:
     assert len(seen[0] & seen[1] & seen[2]) > 20
 
 
+def test_symbol_names_and_top_symbols_reach_spark(spark) -> None:
+    from bitloom.llm.textscan import join_hash, text_buffer, words
+
+    rnd = random.Random(5)
+    long = [" ".join(rnd.choices("abcdefgh", k=k)) for k in (120, 51, 300)]
+    texts = ["", "x", long[0], None, long[1], long[0].replace(" ", "\n "), long[2] + " z", long[2], "x"]
+    parsed = {r.doc_id: r for r in substring_dedup.parse(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), 50).collect()}
+    alike = lambda i, j: parsed[i].top == parsed[j].top
+    assert alike(0, 3) and alike(1, 8) and alike(2, 5) and len({r.top for r in parsed.values()}) == 6
+
+    for i in (2, 4, 7):
+        found = words(*text_buffer(pa.array([texts[i]])), substring_dedup.SPACES, fold=False)
+        name, begin, end = substring_dedup.recompress(found.hash, found.offs)
+        sure = (begin >= 0) & (end <= len(found.hash))
+        spans = substring_dedup.Spans(found.hash)(begin[sure], end[sure])
+        named = set(join_hash(name[sure], spans).astype(np.int64).tolist())
+        assert named & {e.key for e in parsed[i].elected} and not set(spans.astype(np.int64).tolist()) & {e.key for e in parsed[i].elected}
+
+
 def test_awkward_rows_of_substring_dedup(spark, nothing) -> None:
     assert substring_dedup.repeated_passages(nothing).count() == 0
     long = " ".join(f"w{i}" for i in range(80))
