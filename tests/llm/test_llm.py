@@ -73,36 +73,64 @@ def test_substring_dedup(spark, docs) -> None:
             assert " ".join(SPACE.findall(r.kept_text)) == kept
 
 
-def test_recompression_is_local() -> None:
+def test_sieve_symbols_are_local() -> None:
     """Inside a certificate the same symbols arise in any surroundings."""
     rnd = np.random.default_rng(3)
     core = rnd.integers(0, 5, 200).astype(np.uint64)
     seen = []
     for pad in (0, 1, 17):
         whole = np.concatenate([rnd.integers(0, 5, pad).astype(np.uint64), core, rnd.integers(0, 5, 9).astype(np.uint64)])
-        name, begin, end = substring_dedup.recompress(whole, np.array([0, len(whole)]))
-        seen.append({(int(n), int(b) - pad, int(e) - pad) for n, b, e in zip(name, begin, end, strict=True) if b >= pad and e <= pad + 200})
+        s, count = substring_dedup.sieve_symbols(whole, np.array([0, len(whole)]))
+        assert count.sum() == len(whole)
+        seen.append({(int(n), int(b) - pad, int(e) - pad) for n, b, e in zip(s.name, s.begin, s.end, strict=True) if b >= pad and e <= pad + 200})
     assert seen[0] and seen[1] >= {s for s in seen[2] if s[1] > 0 and s[2] < 200} - {s for s in seen[2] if s not in seen[0]}
     assert len(seen[0] & seen[1] & seen[2]) > 20
 
 
-def test_symbol_names_and_top_symbols_reach_spark(spark) -> None:
-    from bitloom.llm.textscan import join_hash, text_buffer, words
-
+def test_rounds_name_equal_stretches_alike_across_partitions(spark) -> None:
+    """A passage of 120 words in five documents of four partitions: the same global names over the same words, and nothing else lives."""
+    rnd = random.Random(8)
+    passage = [f"p{i}" if i % 9 else "same" for i in range(60)] + ["a", "b"] * 15 + ["r"] * 30
+    rows, at = [], {}
+    for i in range(12):
+        own = [f"d{i}w{k}" for k in range(rnd.randint(60, 90))]
+        here = passage if i in (1, 4, 6, 7, 10) else []
+        at[i] = len(own)
+        rows.append((i, i, " ".join(own + here + [f"e{i}x{k}" for k in range(60)])))
+    frame = spark.createDataFrame(rows, "doc_id long, ref long, text string").repartition(4)
+    whole = frame.withColumn("alive", F.array(F.struct(F.lit(0).alias("first"), (F.size(F.split("text", " ")) - 50).alias("last"))))
+    state = {r.doc_id: r for r in substring_dedup.recompress(whole, 50).collect()}
+    assert set(state) == {1, 4, 6, 7, 10}
+    made = [{(n, b - at[i], e - at[i]) for n, b, e in zip(r.names, r.begins, r.ends, strict=True) if n} for i, r in state.items()]
+    assert len(made[0]) > 3 and all(m == made[0] for m in made)
+    assert max(n >> substring_dedup.ROUND_BITS for n, _, _ in made[0]) >= 3
+    (a,) = state[1].alive  # a few windows at the edges live on: no named pair lies across the edge
+    assert -15 <= a.first - at[1] <= 0 and 70 <= a.last - at[1] <= 85
+
+
+def test_names_are_one_to_one(spark) -> None:
+    asked = spark.createDataFrame([(1, 0, -5, -9), (2, 0, -5, -9), (3, 0, -5, -9), (1, 0, -9, -5), (4, 0, -9, -5), (1, 0, 7, 7), (1, 1, 7, 7)], "doc_id long, ref long, left long, right long")
+    got = {(r.left, r.right): r.name for r in substring_dedup.names(asked.repartition(3), 2).collect()}
+    assert set(got) == {(-5, -9), (-9, -5)} and len(set(got.values())) == 2 and all(v >> substring_dedup.ROUND_BITS == 2 for v in got.values())
+
+
+def test_top_symbols_reach_spark(spark) -> None:
     rnd = random.Random(5)
     long = [" ".join(rnd.choices("abcdefgh", k=k)) for k in (120, 51, 300)]
     texts = ["", "x", long[0], None, long[1], long[0].replace(" ", "\n "), long[2] + " z", long[2], "x"]
     parsed = {r.doc_id: r for r in substring_dedup.parse(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), 50).collect()}
     alike = lambda i, j: parsed[i].top == parsed[j].top
     assert alike(0, 3) and alike(1, 8) and alike(2, 5) and len({r.top for r in parsed.values()}) == 6
+    assert all(parsed[i].marks for i in (2, 4, 7)) and not parsed[0].marks
+
 
-    for i in (2, 4, 7):
-        found = words(*text_buffer(pa.array([texts[i]])), substring_dedup.SPACES, fold=False)
-        name, begin, end = substring_dedup.recompress(found.hash, found.offs)
-        sure = (begin >= 0) & (end <= len(found.hash))
-        spans = substring_dedup.Spans(found.hash)(begin[sure], end[sure])
-        named = set(join_hash(name[sure], spans).astype(np.int64).tolist())
-        assert named & {e.key for e in parsed[i].elected} and not set(spans.astype(np.int64).tolist()) & {e.key for e in parsed[i].elected}
+def test_very_long_and_periodic_texts_of_substring_dedup(spark) -> None:
+    rnd = random.Random(6)
+    long = " ".join(rnd.choices(["a", "b", "c", "dd"], k=60_000))
+    piece = " ".join(long.split(" ")[20_000:20_090])
+    rows = [(1, long), (2, "x " * 60 + piece + " y" * 60), (3, "la " * 30_000), (4, "z " + "la " * 70), (5, "ab cd " * 20_000), (6, "q ab " + "cd ab " * 40)]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 90, 3: 0, 4: 70, 5: 0, 6: 81}
 
 
 def test_awkward_rows_of_substring_dedup(spark, nothing) -> None:
