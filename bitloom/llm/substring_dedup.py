@@ -426,14 +426,11 @@ def recompress(held: DataFrame, width: int) -> DataFrame:
     """State of (doc_id, ref, text, alive) rows after all rounds."""
     state = stored(letters(held, width), "letters")
     for number, kind in enumerate(rounds_of(width), 1):
-        asked = stored(wanted(state, kind, number, width), "wanted")
+        asked = wanted(state, kind, number, width)
         named = stored(names(asked, number), "names")
-        if kind == "run" and asked.isEmpty():
-            discard(asked, named)
-            continue
-        after = stored(renamed(state, asked, named, kind, number, width), "symbols")
         done = kind == "pair" and named.isEmpty()
-        discard(state, asked, named)
+        after = stored(renamed(state, asked, named, kind, number, width), "symbols")
+        discard(state, named)
         state = after
         if done:
             break
