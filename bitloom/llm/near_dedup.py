@@ -9,13 +9,14 @@ confirmed on their full shingle sets; confirmed links make components.
 A bucket of candidates never emits all its pairs. First each member is compared with the least and
 the greatest member of its buckets, and what is confirmed becomes a component. Then members outside
 a bucket's main component are compared with the members of other components in that bucket, which
-leaves out nothing but pairs that are already connected. For these a finer sketch of 2,048 one-bit
-minima keeps pairs well below the threshold from being confirmed one by one.
+leaves out nothing but pairs that are already connected. This works on a finer sketch of 2,048
+one-bit minima: a bucket is dealt out in squares of at most `SQUARE` members on either side, a
+square's pairs are compared by bit counts within a task, and only likely ones leave it.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; a text of
 fewer than five words is one shingle; a null doc_id is never linked (component null); rows that
-share a doc_id count as one document where they link; ties go to the least doc_id; extra columns
-are ignored; an empty table gives an empty result.
+share a doc_id are one document, linked with whatever any of its texts is linked with; ties go to
+the least doc_id; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -87,33 +88,33 @@ _FINE_OFFSET = _RNG.integers(1 << 32, size=FINE_LONGS * 64, dtype=np.uint32)[:,
 
 
 def fine_sketches(texts: DataFrame, width: int) -> DataFrame:
-    """(cid, f0 .. f31): one bit of each of 2,048 further minima, for the few documents that need them."""
+    """(cid, fine): one bit of each of 2,048 further minima, for the few documents that need them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = np.zeros((len(b), FINE_LONGS), np.int64)
-            for r, shingles in enumerate(shingle_sets(b.column(1), width)):
+            out = []
+            for shingles in shingle_sets(b.column(1), width):
                 low = np.full(FINE_LONGS * 64, np.iinfo(np.uint32).max, np.uint32)
                 narrow = (shingles >> U64(32)).astype(np.uint32)
                 for i in range(0, len(narrow), 512):
                     np.minimum(low, (_FINE_FACTOR * narrow[i : i + 512] + _FINE_OFFSET).min(axis=1), out=low)
                 bits = (low * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(U64).reshape(FINE_LONGS, 64)
-                out[r] = np.bitwise_or.reduce(bits << np.arange(64, dtype=U64), axis=1).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(out[:, i].copy()) for i in range(FINE_LONGS))], names=["cid", *(f"f{i}" for i in range(FINE_LONGS))])
+                out.append(np.bitwise_or.reduce(bits << np.arange(64, dtype=U64), axis=1).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["cid", "fine"])
 
-    return texts.select("id", "text").mapInArrow(run, "cid long, " + ", ".join(f"f{i} long" for i in range(FINE_LONGS)))
+    return texts.select("cid", "text").mapInArrow(run, "cid long, fine binary")
 
 
-_SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, packed array<long>"
+_SIGNED = "doc_id long, ref long, n_shingles long, set_a long, set_b long, bands array<long>, packed array<long>"
 
 
 def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
-    """Signature row of each document; documents without shingles have null names."""
+    """Signature row of each document, with a hash of its text; documents without shingles have null names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, set_a, set_b, bands, packed = [], [], [], [], []
-            for s in shingle_sets(b.column(1), width):
+            for s in shingle_sets(b.column(2), width):
                 n.append(len(s))
                 a, c, k, p = signature(s) if len(s) else (None, None, None, None)
                 set_a.append(a)
@@ -122,11 +123,11 @@ def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
                 packed.append(p)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(set_a, pa.int64()), pa.array(set_b, pa.int64()), pa.array(bands, longs), pa.array(packed, longs)],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "packed"],
+                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(set_a, pa.int64()), pa.array(set_b, pa.int64()), pa.array(bands, longs), pa.array(packed, longs)],
+                names=["doc_id", "ref", "n_shingles", "set_a", "set_b", "bands", "packed"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SIGNED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("ref"), "text").mapInArrow(run, _SIGNED)
 
 
 def estimate(p: str, q: str) -> Column:
@@ -139,32 +140,34 @@ def estimate(p: str, q: str) -> Column:
     return ((HASHES - apart) / HASHES - 0.25) / 0.75
 
 
-def fine_estimate(a: str, b: str) -> Column:
-    """Similarity from one-bit minima: half of the disagreeing ones agree by chance."""
-    apart = sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(FINE_LONGS)), F.lit(0))
-    return 1 - 2 * apart / (FINE_LONGS * 64)
-
-
 def _close(percent: int) -> Column:
     """Sizes allow the threshold and the estimate is not far below it; sides a and b carry n and packed."""
     sizes = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
     return sizes & (estimate("a_packed", "b_packed") >= percent / 100 - MARGIN)
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int = 75, width: int = 5, block: int = 128) -> DataFrame:
-    """Pairs (a, b) of (cluster, a, b) whose full shingle sets reach the threshold.
+def _shared(p: np.ndarray, q: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(p) > len(q):
+        p, q = q, p
+    return int(np.count_nonzero(q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p)) if len(p) else 0
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int = 75, width: int = 5, block: int = 128, block_shingles: int = 1 << 20) -> DataFrame:
+    """Pairs (a, b) of (cluster, a, b) whose full shingle sets reach the threshold; texts: (cid, n, text).
 
     Pairs are dealt out in blocks: a task's key is a cluster and a block of its left and right
-    documents, so a text travels once for each block it has pairs in, and no key holds more than a
-    block of texts on either side whatever the cluster's size.
+    documents, so a text travels once for each block it has pairs in, and whatever the cluster's
+    size a key holds about `block` texts, or `block_shingles` shingles of them, on either side.
     """
     pairs = stored(pairs, "pairs")
-    sized = stored(pairs.groupBy("cluster").agg(F.approx_count_distinct("a").alias("na"), F.approx_count_distinct("b").alias("nb")), "clusters")
-    side = lambda c, n: F.pmod(F.xxhash64(c), F.ceil(F.col(n) / block))
-    blocks = F.struct("cluster", side("a", "na").alias("ka"), side("b", "nb").alias("kb")).alias("k")
+    size = texts.select("cid", "n")
+    side = lambda c: pairs.select("cluster", F.col(c).alias("cid")).distinct().join(size, "cid").groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / block_shingles)).alias(f"n{c}"))
+    sized = stored(side("a").join(side("b"), "cluster"), "clusters")
+    blocks = F.struct("cluster", F.pmod(F.xxhash64("a"), "na").alias("ka"), F.pmod(F.xxhash64("b"), "nb").alias("kb")).alias("k")
     keyed = stored(pairs.join(sized, "cluster").select(blocks, "a", "b").distinct(), "dealt")
-    need = keyed.select("k", F.col("a").alias("id")).union(keyed.select("k", F.col("b").alias("id"))).distinct()
-    given = need.join(texts, "id").select("k", F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    need = keyed.select("k", F.col("a").alias("cid")).union(keyed.select("k", F.col("b").alias("cid"))).distinct()
+    given = need.join(texts, "cid").select("k", F.lit(0).alias("kind"), F.col("cid").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     rows = given.union(keyed.select("k", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("text")))
     dealt = rows.repartition("k").sortWithinPartitions("k", "kind").select(F.xxhash64("k.cluster", "k.ka", "k.kb").alias("k"), "kind", "a", "b", "text")
 
@@ -178,10 +181,10 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = 75, width: int =
                 if key != now:
                     now, sets = key, {}
                 if not is_pair:
-                    sets[x] = frozenset(shingles.tolist())
+                    sets[x] = shingles
                 elif x in sets and y in sets:
                     p, q = sets[x], sets[y]
-                    both = len(p & q)
+                    both = _shared(p, q)
                     if 100 * both >= percent * (len(p) + len(q) - both):
                         left.append(x)
                         right.append(y)
@@ -190,18 +193,83 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = 75, width: int =
     return dealt.mapInArrow(run, "a long, b long")
 
 
+#: Members on either side of a square, and pairs compared at once within a task.
+SQUARE, AT_ONCE = 2048, 1 << 15
+
+
+def likely_pairs(members: DataFrame, percent: int, square: int = SQUARE) -> DataFrame:
+    """(cluster, a, b) of likely links between components of a bucket.
+
+    members: (key, cid, component, main, n, fine). Pairs have a outside the bucket's main component;
+    of two such members the smaller id is a. A bucket of N members, M of them outside its main
+    component, costs M * N bit counts, spread over squares, and moves N / square copies of a sketch.
+    """
+    size = stored(members.groupBy("key").agg(F.ceil(F.count("*") / square).alias("nb"), F.ceil(F.count_if(F.col("component") != F.col("main")) / square).alias("na")), "squares")
+    row = members.select("key", "cid", "component", (F.col("component") == F.col("main")).alias("in_main"), "n", "fine").join(size, "key")
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    minor = row.where("not in_main").withColumn("ka", F.pmod(F.xxhash64("cid"), "na")).withColumn("kb", F.explode(every("nb"))).withColumn("is_a", F.lit(True))
+    other = row.withColumn("kb", F.pmod(F.xxhash64("cid"), "nb")).withColumn("ka", F.explode(every("na"))).withColumn("is_a", F.lit(False))
+    dealt = minor.unionByName(other).repartition("key", "ka", "kb").select(F.xxhash64("key", "ka", "kb").alias("k"), "is_a", "cid", "component", "in_main", "n", "fine").sortWithinPartitions("k")
+
+    def compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(component of b, a, b) of the likely pairs of whole squares."""
+        k, is_a, cid, component, in_main, n = (t.column(i).to_numpy() for i in range(6))
+        fine = np.frombuffer(b"".join(t.column(6).to_pylist()), U64).reshape(-1, FINE_LONGS)
+        left, right = np.flatnonzero(is_a), np.flatnonzero(~is_a)
+        right = right[np.argsort(k[right], kind="stable")]
+        low, high = np.searchsorted(k[right], k[left], "left"), np.searchsorted(k[right], k[left], "right")
+        count = high - low
+        done = np.concatenate([[0], np.cumsum(count)])
+        out = [(np.zeros(0, np.int64),) * 3]
+        at = 0
+        while at < len(left):
+            stop = max(at + 1, int(np.searchsorted(done, done[at] + AT_ONCE, "right")) - 1)
+            c = count[at:stop]
+            i = np.repeat(left[at:stop], c)
+            j = right[np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(low[at:stop], c)]
+            apart = (component[i] != component[j]) & (in_main[j] | (cid[i] < cid[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            i, j = i[apart], j[apart]
+            # half of the disagreeing minima agree by chance
+            near = 1 - 2 * np.bitwise_count(fine[i] ^ fine[j]).sum(axis=1, dtype=np.int64) / (FINE_LONGS * 64) >= percent / 100 - FINE_MARGIN
+            out.append((component[j[near]], cid[i[near]], cid[j[near]]))
+            at = stop
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def ready(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            if t.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in compare(t)], names=["cluster", "a", "b"])
+
+        for b in batches:
+            k = b.column(0).to_numpy()
+            if len(k) and held and k[-1] != held[0].column(0)[0].as_py() or not held and len(k):
+                cut = int(np.searchsorted(k, k[-1]))  # the last square may go on in the next batch
+                yield from ready(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                held = [b.slice(cut)]
+            elif len(k):
+                held.append(b)
+        if held:
+            yield from ready(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(run, "cluster long, a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs."""
     signed = stored(signatures(docs, width), "signatures")
     named = signed.where("set_a is not null and doc_id is not null")
-    classes = stored(named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("cid"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("packed").alias("packed")), "classes")
+    alike = named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc_id"), F.min_by("ref", "doc_id").alias("ref"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "packed")])
+    # a class has an id of its own: rows of one doc_id may be of several classes
+    classes = stored(alike.withColumnRenamed("n_shingles", "n").withColumn("cid", F.monotonically_increasing_id()), "classes")
     sketch = classes.select("cid", "n", "packed")
     keys = classes.select("cid", F.explode("bands").alias("key"))
     # written first, so that the join below shuffles both sides and a hot key can be split
     bucket = stored(keys.groupBy("key").agg(F.min("cid").alias("least"), F.max("cid").alias("greatest")).where("least < greatest"), "shared-keys")
     shared = stored(keys.join(bucket, "key").select("key", "cid", "least", "greatest"), "buckets")
-    some = shared.select(F.col("cid").alias("id")).distinct()
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null").join(some, "id").dropDuplicates(["id"]), "texts")
+    some = classes.select("cid", "doc_id", "ref", "n").join(shared.select("cid").distinct(), "cid")
+    texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("ref"), "text").join(some, ["doc_id", "ref"]).select("cid", "n", "text").dropDuplicates(["cid"]), "texts")
 
     left = sketch.select(F.col("cid").alias("a"), F.col("n").alias("a_n"), F.col("packed").alias("a_packed"))
     right = sketch.select(F.col("cid").alias("b"), F.col("n").alias("b_n"), F.col("packed").alias("b_packed"))
@@ -216,22 +284,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
     tally = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = tally.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     part = stored(placed.join(stored(main, "main"), "key").select("key", "cid", "component", "main"), "apart")
-    fine = stored(fine_sketches(texts.join(part.select(F.col("cid").alias("id")).distinct(), "id"), width).join(sketch, "cid"), "sketches")
-    bits = [f"f{i}" for i in range(FINE_LONGS)]
-    # a pair that shares several buckets is taken up in the first of them only
-    own = part.groupBy("cid").agg(F.collect_list("key").alias("keys"))
-    split = part.join(fine, "cid").join(own, "cid")
-    minor = split.where("component <> main").select("key", F.col("cid").alias("a"), F.col("component").alias("a_component"), F.col("n").alias("a_n"), F.col("packed").alias("a_packed"), F.col("keys").alias("a_keys"), *[F.col(c).alias(f"a_{c}") for c in bits])
-    other = split.select("key", F.col("cid").alias("b"), F.col("component").alias("b_component"), F.col("main").alias("b_main"), F.col("n").alias("b_n"), F.col("packed").alias("b_packed"), F.col("keys").alias("b_keys"), *[F.col(c).alias(f"b_{c}") for c in bits])
-    # two minor members meet once, from the smaller id
-    apart = (F.col("a_component") != F.col("b_component")) & ((F.col("b_component") == F.col("b_main")) | (F.col("a") < F.col("b")))
-    once = F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("key")
-    across = minor.join(other, "key").where(apart & _close(percent) & (fine_estimate("a_f", "b_f") >= percent / 100 - FINE_MARGIN) & once).select(F.col("b_component").alias("cluster"), "a", "b").distinct()
-    second = stored(confirm(across, texts, percent, width), "links")
-
-    joined = components(first.union(second))
-    label = classes.select("set_a", "set_b", "cid").join(joined.withColumnRenamed("id", "cid"), "cid", "left").select("set_a", "set_b", F.coalesce("component", "cid").alias("component"))
-    own = signed.join(label, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    fine = stored(fine_sketches(texts.join(part.select("cid").distinct(), "cid"), width), "sketches")
+    members = part.join(fine.join(sketch.select("cid", "n"), "cid"), "cid")
+    second = stored(confirm(likely_pairs(members, percent).distinct(), texts, percent, width), "links")
+
+    rows = named.join(classes.select("set_a", "set_b", "cid"), ["set_a", "set_b"]).select("doc_id", "cid").distinct()
+    several = rows.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a < b").select("doc_id", "a")
+    one_doc = rows.join(several, "doc_id").select("a", F.col("cid").alias("b")).where("a < b")
+    joined = components(first.union(second).union(one_doc))
+    whole = classes.select("set_a", "set_b", "doc_id", "cid").join(joined.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    least = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    label = whole.join(least, "component").select("set_a", "set_b", "component_id")
+    own = signed.join(label, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return own.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 

@@ -303,6 +303,57 @@ def test_collision_corrected_estimate() -> None:
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.08
 
 
+def test_rows_of_one_id_with_unlike_texts(spark) -> None:
+    """A doc_id is linked with whatever any of its texts is linked with, in any partitioning."""
+    rnd = random.Random(4)
+    a, b = (rnd.choices(string.ascii_lowercase, k=80) for _ in range(2))
+    text = lambda w, extra="": " ".join([*w, extra]).strip()
+    rows = [(5, text(a)), (5, text(b)), (3, text(a, "more")), (7, text(b, "more")), (9, text(b)), (8, text(rnd.choices(string.digits, k=80)))]
+    for order in (rows, rows[::-1]):
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").repartition(3)).collect()}
+        assert got == {5: 3, 3: 3, 7: 3, 9: 3, 8: 8}
+
+
+def test_template_bucket_of_unlike_texts(spark) -> None:
+    """Texts that share a template but are no duplicates stay apart, and true links among them are found."""
+    rnd = random.Random(14)
+    template = [rnd.choice(string.ascii_lowercase) + str(i) for i in range(150)]
+    rows = [(i, " ".join(template + [f"u{i}x{k}" for k in range(100)])) for i in range(150)]
+    rows += [(1000 + i, rows[i * 3][1] + " tail end") for i in range(40)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == near_truth(rows)
+
+
+def test_squares_compare_every_pair_once(spark) -> None:
+    rnd = np.random.default_rng(2)
+    sketch = [rnd.integers(0, 256, 256, dtype=np.uint8).tobytes() for _ in range(6)]
+    rows = [(key, cid, cid % 4, 0, 100, sketch[cid % 6]) for key in (1, 2) for cid in range(40)]
+    members = spark.createDataFrame(rows, "key long, cid long, component long, main long, n long, fine binary").repartition(3)
+    want = sorted((b % 4, a, b) for a in range(40) for b in range(40) if a % 4 and a % 4 != b % 4 and (b % 4 == 0 or a < b) and a % 6 == b % 6)
+    for square in (2048, 7):
+        got = [tuple(r) for r in near_dedup.likely_pairs(members, 75, square).collect()]
+        assert sorted(got) == sorted(want * 2)
+
+
+def test_recall_of_bands_and_estimates_near_the_threshold() -> None:
+    """Pairs of similarity 0.75 to 0.80: nearly all share a band, and no estimate rules them out."""
+    rnd = np.random.default_rng(12)
+    missed = n = 0
+    for _ in range(400):
+        union = rnd.integers(1 << 63, size=int(rnd.integers(40, 400)) * 4, dtype=np.uint64)
+        both = int(np.ceil(len(union) * rnd.uniform(0.75, 0.80)))
+        half = (len(union) - both) // 2
+        p, q = np.sort(union[: both + half]), np.sort(np.concatenate([union[:both], union[both + half :]]))
+        assert 100 * near_dedup._shared(p, q) >= 75 * len(union)
+        (_, _, ka, pa_), (_, _, kb, pb) = near_dedup.signature(p), near_dedup.signature(q)
+        x = pa_.view(np.uint64) ^ pb.view(np.uint64)
+        apart = int(np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum())
+        close = ((near_dedup.HASHES - apart) / near_dedup.HASHES - 0.25) / 0.75 >= 0.75 - near_dedup.MARGIN
+        missed += not (np.any(ka == kb) and close)
+        n += 1
+    assert n == 400 and missed <= 2
+
+
 def test_components_of_long_paths(spark) -> None:
     edges = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.id: r.component for r in components(edges).collect()}
