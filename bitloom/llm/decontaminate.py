@@ -1,14 +1,18 @@
 """Benchmark decontamination with an FM-index for each training shard.
 
-A shard is a stretch of a task's documents. Its words that occur in no benchmark text cannot be part
-of a match, so the index is built over the runs of words that do, wherever a run is long enough to
-hold a phrase. The suffix order of the runs (each closed by its own end mark) gives their
-Burrows-Wheeler transform, kept as a wavelet matrix; all phrases are searched backwards at once
-through its ranks, their occurrences are located by walking to sampled suffix positions, and the
-words they cover are merged into removal spans.
-
-The benchmark is read in blocks of at most `block_bytes` of text, and only a block is ever sent to
-the tasks; further blocks take further passes over the rows, whose spans and items add up.
+A shard is a stretch of a task's documents. Its index leaves out what cannot match: a phrase consists
+of benchmark words, so an occurrence lies within a run of words that occur in the block of the
+benchmark at hand, and that run is at least as long as the shortest phrase. Such runs, each closed by
+its own end mark, are the indexed text; it holds every occurrence, and no occurrence crosses a mark.
+The suffix order of the runs gives their Burrows-Wheeler transform, kept as a wavelet matrix; all
+phrases are searched backwards at once through its ranks, their occurrences are located by walking
+to sampled suffix positions, and the words they cover are merged into removal spans. As the words
+that count depend on the block, a shard is indexed once for each block.
+
+The benchmark is read in blocks of about `block_bytes` of text (one item is never divided), and only
+a block is ever sent to the tasks, as 4 bytes a word and 8 bytes a distinct word: at most 6 bytes a
+byte of text. Each further block takes a further pass over the rows; the outcome of a pass is written
+to the shared folder, so one block at a time is alive in drivers and workers.
 
 Defined results: null texts have no words; a null or wordless item gives no phrase; an item of
 fewer words than the window is one phrase; equal phrases of several items count for each; a null
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from bitloom.llm.common import table
+from bitloom.llm.common import discard, stored, table
 from bitloom.llm.textscan import NOT_WORD, Pool, slices, text_buffer, words
 
 SAMPLE = 8
@@ -83,15 +87,15 @@ class FMIndex:
         self.sampled = (order % SAMPLE == 0) | (self.bwt == 0)
         self.place = np.where(self.sampled, order, -1)
 
-    def search(self, phrases: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix ranges of phrases, whose words stand at the right end of their rows."""
-        last = phrases[:, -1]
-        low, high = self.first[last].copy(), self.first[last + 1].copy()
-        for step in range(2, phrases.shape[1] + 1):
+    def search(self, coded: np.ndarray, last: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix ranges of phrases, given by the place of their last word in coded and their size."""
+        end = coded[last]
+        low, high = self.first[end].copy(), self.first[end + 1].copy()
+        for step in range(2, int(sizes.max(initial=0)) + 1):
             live = np.flatnonzero((low < high) & (sizes >= step))
             if not len(live):
                 break
-            symbol = phrases[live, -step]
+            symbol = coded[last[live] - step + 1]
             low[live] = self.first[symbol] + self.ranks.rank(symbol, low[live])
             high[live] = self.first[symbol] + self.ranks.rank(symbol, high[live])
         return low, high
@@ -110,38 +114,28 @@ class FMIndex:
 
 @dataclass
 class Phrases:
-    """Distinct phrases of a block of items: words numbered from 1, and the items of each phrase."""
+    """A block of items: distinct words, the words of all items by number from 1, where items begin, item ids."""
 
     vocabulary: np.ndarray
-    phrases: np.ndarray
-    sizes: np.ndarray
-    pair_phrase: np.ndarray
-    pair_item: np.ndarray
+    coded: np.ndarray
+    offs: np.ndarray
     items: list[str]
+    window: int
 
     @staticmethod
     def of(items: list[tuple[object, str | None]], window: int) -> Phrases:
         data, offs = text_buffer(pa.array([t or "" for _, t in items], pa.string()))
         found = words(data, offs, NOT_WORD, fold=True)
         vocabulary, coded = np.unique(found.hash, return_inverse=True)
-        coded = coded.astype(np.int64) + 1
-        rows, sizes, owner = [], [], []
-        for i, (a, b) in enumerate(zip(found.offs[:-1].tolist(), found.offs[1:].tolist(), strict=True)):
-            for k in range(a, max(b - window, a) + 1 if b > a else a):
-                row = np.zeros(window, np.int64)
-                size = min(window, b - a)
-                row[window - size :] = coded[k : k + size]
-                rows.append(row)
-                sizes.append(size)
-                owner.append(i)
-        ids = ["null" if i is None else str(i) for i, _ in items]
-        if not rows:
-            return Phrases(vocabulary, np.zeros((0, window), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), ids)
-        distinct, number = np.unique(np.stack(rows), axis=0, return_inverse=True)
-        size = np.zeros(len(distinct), np.int64)
-        size[number.ravel()] = sizes
-        pairs = np.unique(np.stack([number.ravel(), np.array(owner)], axis=1), axis=0)
-        return Phrases(vocabulary, distinct, size, pairs[:, 0], pairs[:, 1], ids)
+        return Phrases(vocabulary, (coded + 1).astype(np.int32), found.offs, ["null" if i is None else str(i) for i, _ in items], window)
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, size, item) of every phrase: each window of an item, or the whole of a shorter one."""
+        n = np.diff(self.offs)
+        count = np.where(n > 0, np.maximum(n - self.window, 0) + 1, 0)
+        item = np.repeat(np.arange(len(n)), count)
+        first = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count) + self.offs[item]
+        return first, np.minimum(n[item], self.window), item
 
 
 class Finder:
@@ -151,8 +145,21 @@ class Finder:
         self.block = block
         self.pool = Pool(bits=max(10, (len(block.vocabulary) * 3).bit_length()))
         self.pool.index(block.vocabulary)
-        self.least = int(block.sizes.min()) if len(block.sizes) else 0
-        self.pair_begin = np.searchsorted(block.pair_phrase, np.arange(len(block.sizes) + 1))
+        first, size, item = block.windows()
+        self.least = int(size.min()) if len(size) else 0
+        # equal phrases are searched once; they end alike, so phrases are kept by their last word
+        number = np.zeros(len(first), np.int64)
+        for k in range(block.window):
+            symbol = np.where(size > k, block.coded[np.minimum(first + size - 1 - k, len(block.coded) - 1)], 0) if len(first) else number
+            _, number = np.unique(number * (len(block.vocabulary) + 1) + symbol, return_inverse=True)
+        order = np.lexsort((item, number))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (number[order][1:] != number[order][:-1]) | (item[order][1:] != item[order][:-1])
+        pair = order[fresh]
+        self.pair_item = item[pair]
+        _, lead = np.unique(number[pair], return_index=True)
+        self.pair_begin = np.append(lead, len(pair))
+        self.last, self.sizes = (first + size - 1)[pair[lead]], size[pair[lead]]
 
     def hits(self, hashed: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first word, size, phrase) of each occurrence, for rows of words cut by offs."""
@@ -176,11 +183,11 @@ class Finder:
         mark[stop - 1] = True
         text = np.where(mark, 0, symbol[np.minimum(source, len(symbol) - 1)])
         index = FMIndex(text, len(self.block.vocabulary))
-        low, high = index.search(self.block.phrases, self.block.sizes)
+        low, high = index.search(self.block.coded, self.last, self.sizes)
         count = np.maximum(high - low, 0)
         phrase = np.repeat(np.arange(len(count)), count)
         rows = np.arange(len(phrase)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-        return source[index.locate(rows)], self.block.sizes[phrase], phrase
+        return source[index.locate(rows)], self.sizes[phrase], phrase
 
     def rows(self, hashed: np.ndarray, offs: np.ndarray) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
         """For each row: merged word spans, and the items found."""
@@ -199,7 +206,7 @@ class Finder:
             for r, x, y in zip((np.searchsorted(offs, a, "right") - 1).tolist(), a.tolist(), b.tolist(), strict=True):
                 spans[r].append((x - int(offs[r]), y - int(offs[r])))
             for r, p in np.unique(np.stack([row, phrase], axis=1), axis=0).tolist():
-                items[r].update(self.block.items[i] for i in self.block.pair_item[self.pair_begin[p] : self.pair_begin[p + 1]])
+                items[r].update(self.block.items[i] for i in self.pair_item[self.pair_begin[p] : self.pair_begin[p + 1]])
         return spans, items
 
 
@@ -217,11 +224,10 @@ _RESULT = "n_words long, spans array<struct<start: int, end: int>>, items array<
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _pass(df: DataFrame, block: Phrases, cut: bool) -> DataFrame:
-    """df (text, and perhaps spans and items of earlier passes) with this block's spans and items added."""
+def _pass(df: DataFrame, block: Phrases, cut: bool, earlier: bool) -> DataFrame:
+    """df (text, and spans and items if there was an earlier pass) with this block's spans and items added."""
     held = df.sparkSession.sparkContext.broadcast(block)
     kept = [c for c in df.columns if c not in ("n_words", "spans", "items", "clean_text")]
-    earlier = "spans" in df.columns
     given = df.select(*kept, *(["spans", "items"] if earlier else []))
     schema = StructType([*df.select(*kept).schema.fields, *StructType.fromDDL(_RESULT).fields])
 
@@ -279,7 +285,7 @@ def _pass(df: DataFrame, block: Phrases, cut: bool) -> DataFrame:
     return given.mapInArrow(run, schema)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, cut: bool = True, block_bytes: int = 8 << 20) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, cut: bool = True, block_bytes: int = 4 << 20) -> DataFrame:
     """docs with n_words, spans (words, half open), items, and clean_text (the text without the spans).
 
     benchmark: (item_id, text). Its size is measured first and decides the number of blocks.
@@ -290,7 +296,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, cut: boo
     for i in range(n):
         part = asked if n == 1 else asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
         rows = [(r[0], r[1]) for r in part.collect()]
-        docs = _pass(docs, Phrases.of(sorted(rows, key=lambda r: (str(r[0]), r[1])), window), cut)
+        before = docs
+        docs = _pass(docs, Phrases.of(sorted(rows, key=lambda r: (str(r[0]), r[1])), window), cut, earlier=i > 0)
+        if n > 1:
+            docs = stored(docs, "leaks")
+            if i:
+                discard(before)
     return docs
 
 

@@ -103,17 +103,13 @@ def _groups(texts: list[str]) -> Iterator[list[str]]:
         yield held
 
 
-def learn(docs: DataFrame, dims: int = 1024, seed: int = 11, max_docs: int = 20_000) -> dict[str, np.ndarray]:
-    """Prototype of each language from (doc_id, text, lang), at most about max_docs documents of them.
+def learn(docs: DataFrame, dims: int = 1024, seed: int = 11) -> dict[str, np.ndarray]:
+    """Prototype of each language from all (text, lang) rows, however few a language has.
 
-    Sums meet per language and dimension in a shuffle, so what reaches the driver is one vector
-    a language. The bound is kept by a hash of the id.
+    Each task adds up its own documents; the sums meet per language and dimension in a shuffle, so
+    what reaches the driver is one vector a language.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = known.count()
-    if n > max_docs:
-        span = 1 << 30
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(span)) < int(span * max_docs / n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -139,28 +135,36 @@ def learn(docs: DataFrame, dims: int = 1024, seed: int = 11, max_docs: int = 20_
     return {k: (v / (np.linalg.norm(v) or 1)).astype(np.float32) for k, v in sorted(protos.items())}
 
 
+def nearest(texts: list[str | None], matrix: np.ndarray, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """(column of the nearest prototype, its share of the sharpened cosines) of each text; -1 and 0 without letters."""
+    best, share = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for part in _groups([t or "" for t in texts]):
+        made, letters = bundles(part, len(matrix), seed)
+        if not matrix.shape[1]:
+            best.append(np.full(len(part), -1))
+            share.append(np.zeros(len(part)))
+            continue
+        cosine = (made @ matrix) / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-9)
+        sharp = np.exp(20 * (cosine - cosine.max(axis=1, keepdims=True)))
+        best.append(np.where(letters > 0, cosine.argmax(axis=1), -1))
+        share.append(np.where(letters > 0, (1 / sharp.sum(axis=1)).astype(float), 0.0))
+    return np.concatenate(best), np.concatenate(share)
+
+
+def as_matrix(prototypes: dict[str, np.ndarray], dims: int = 1024) -> np.ndarray:
+    """Prototypes as columns."""
+    return np.stack(list(prototypes.values()), axis=1) if prototypes else np.zeros((dims, 0), np.float32)
+
+
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dims: int = 1024, seed: int = 11) -> DataFrame:
     """(doc_id, lang_pred, score): the nearest prototype, and its share of the sharpened cosines."""
-    names = list(prototypes)
-    matrix = np.stack([prototypes[n] for n in names], axis=1) if names else np.zeros((dims, 0), np.float32)
+    names, matrix = list(prototypes), as_matrix(prototypes, dims)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pred: list[str] = []
-            score: list[np.ndarray] = []
-            for texts in _groups([t or "" for t in b.column(1).to_pylist()]):
-                made, letters = bundles(texts, dims, seed)
-                if not names:
-                    pred += [UNKNOWN] * len(texts)
-                    score.append(np.zeros(len(texts)))
-                    continue
-                cosine = (made @ matrix) / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-9)
-                best = cosine.argmax(axis=1)
-                sharp = np.exp(20 * (cosine - cosine.max(axis=1, keepdims=True)))
-                share = (1 / sharp.sum(axis=1)).astype(float)
-                score.append(np.where(letters > 0, share, 0.0))
-                pred += [names[k] if n else UNKNOWN for k, n in zip(best.tolist(), letters.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64())], names=["doc_id", "lang_pred", "score"])
+            best, share = nearest(b.column(1).to_pylist(), matrix, seed)
+            pred = [names[k] if k >= 0 else UNKNOWN for k in best.tolist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(share, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 

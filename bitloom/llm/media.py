@@ -4,7 +4,13 @@ An Aho-Corasick automaton over magic bytes finds every place where a container m
 validator of that format then walks its structure and either confirms it, with its exact length, or
 rejects it. The confirmed container at offset 0 corrects a row's declared type; confirmed
 containers further in are carved out with their offsets and lengths. Payloads are stored as 8-bit
-mono WAVE and read back through the same sniffing.
+mono WAVE without a declared type, typed and carved by the same sniffing, and read back from what it
+carved.
+
+Many headers may lead into the same data. Walks over GIF blocks, JPEG scans and Ogg pages depend on
+the place alone, so what a walk found out about a place is kept, and the walks of one content take
+linear time together. RIFF chunks and PNG checksums depend on the header's own size and are walked
+for each header; a PNG's checksums are looked at only when its chunks lead to an end.
 
 Defined results: null and empty contents are of type 'application/octet-stream' with nothing
 carved; a truncated container is not confirmed; containers inside a confirmed one are reported
@@ -17,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -36,68 +43,109 @@ class Found(NamedTuple):
     length: int
 
 
-def _png(b: bytes, at: int) -> int:
+class Seen:
+    """What walks over one content have found out: for a kind of place, where a walk through it ends (0: nowhere).
+
+    Places are kept from the second walk of a kind on, four bytes each.
+    """
+
+    def __init__(self, size: int) -> None:
+        self.size = size
+        self.walks: dict[str, int] = {}
+        self.ends: dict[str, array] = {}
+
+    def walk(self, kind: str, at: int, step: Callable[[int], tuple[int, int | None]]) -> int:
+        """The end of the walk from `at`; step gives (next place, None) or (anything, end)."""
+        self.walks[kind] = self.walks.get(kind, 0) + 1
+        if self.walks[kind] == 2:
+            self.ends[kind] = array("i", bytes(4 * (self.size + 1)))
+        known = self.ends.get(kind)
+        path, end = [], None
+        while end is None:
+            if at > self.size:
+                end = 0
+            elif known is not None and known[at]:
+                end = known[at] - 1
+            else:
+                if known is not None:
+                    path.append(at)
+                at, end = step(at)
+        for p in path:
+            known[p] = end + 1
+        return end
+
+
+def _png(b: bytes, at: int, seen: Seen) -> int:
     """Length of the PNG at `at`, 0 if it is none: chunks with right CRCs from IHDR to IEND."""
-    i, first = at + 8, True
-    while i + 12 <= len(b):
+    i, places = at + 8, []
+    while True:
+        if i + 12 > len(b):
+            return 0
         size, kind = struct.unpack_from(">I4s", b, i)
-        if i + 12 + size > len(b) or first != (kind == b"IHDR") or zlib.crc32(memoryview(b)[i + 4 : i + 8 + size]) != struct.unpack_from(">I", b, i + 8 + size)[0]:
+        if i + 12 + size > len(b) or (not places) != (kind == b"IHDR") or not kind.isalpha():
             return 0
-        i, first = i + 12 + size, False
+        places.append((i, size))
+        i += 12 + size
         if kind == b"IEND":
-            return i - at
-    return 0
+            break
+    view = memoryview(b)
+    return i - at if all(zlib.crc32(view[p + 4 : p + 8 + n]) == struct.unpack_from(">I", b, p + 8 + n)[0] for p, n in places) else 0
 
 
-def _gif(b: bytes, at: int) -> int:
+def _gif(b: bytes, at: int, seen: Seen) -> int:
     """Header, colour tables, then blocks of sub-blocks up to the trailer."""
 
-    def sub_blocks(i: int) -> int:
-        while i < len(b) and b[i]:
-            i += b[i] + 1
-        return i + 1
+    def sub_block(i: int) -> tuple[int, int | None]:
+        if i >= len(b):
+            return i, 0
+        return (i + b[i] + 1, None) if b[i] else (i, i + 1)
 
-    if at + 13 > len(b):
-        return 0
-    i = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 0x80 else 0)
-    while i < len(b):
+    def block(i: int) -> tuple[int, int | None]:
+        if i >= len(b):
+            return i, 0
         if b[i] == 0x3B:
-            return i + 1 - at
+            return i, i + 1
         if b[i] == 0x21:
-            i = sub_blocks(i + 2)
+            data = i + 2
         elif b[i] == 0x2C and i + 10 < len(b):
-            i = sub_blocks(i + 11 + (3 << (b[i + 9] & 7) + 1 if b[i + 9] & 0x80 else 0))
+            data = i + 11 + (3 << (b[i + 9] & 7) + 1 if b[i + 9] & 0x80 else 0)
         else:
-            return 0
-    return 0
+            return i, 0
+        after = seen.walk("gif sub-block", data, sub_block)
+        return (after, None) if after else (i, 0)
 
+    if at + 13 > len(b):
+        return 0
+    end = seen.walk("gif block", at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 0x80 else 0), block)
+    return end - at if end else 0
 
-def _jpeg(b: bytes, at: int) -> int:
-    """Marker segments, entropy-coded data after each start of scan, up to end of image."""
-    i, scans = at + 2, 0
-    while i + 4 <= len(b):
-        if b[i] != 0xFF:
-            return 0
-        mark = b[i + 1]
-        i += 2 + struct.unpack_from(">H", b, i + 2)[0]
-        if mark == 0xDA:
-            scans += 1
-            while True:
-                i = b.find(b"\xff", i)
-                if i < 0 or i + 1 >= len(b):
-                    return 0
-                if b[i + 1] == 0xD9:
-                    return i + 2 - at
-                if b[i + 1] == 0 or 0xD0 <= b[i + 1] <= 0xD7:
-                    i += 2
-                    continue
-                break
-        elif not 0xC0 <= mark <= 0xFE:
-            return 0
-    return 0
 
+def _jpeg(b: bytes, at: int, seen: Seen) -> int:
+    """Marker segments, entropy-coded data after each start of scan, up to end of image."""
 
-def _bmp(b: bytes, at: int) -> int:
+    def scan(i: int) -> tuple[int, int | None]:
+        """The marker that ends entropy-coded data."""
+        i = b.find(b"\xff", i)
+        if i < 0 or i + 1 >= len(b):
+            return 0, 0
+        return (i + 2, None) if b[i + 1] == 0 or 0xD0 <= b[i + 1] <= 0xD7 else (i, i)
+
+    def segment(i: int) -> tuple[int, int | None]:
+        if i + 4 > len(b) or b[i] != 0xFF or not 0xC0 <= b[i + 1] <= 0xFE:
+            return i, 0
+        after = i + 2 + struct.unpack_from(">H", b, i + 2)[0]
+        if b[i + 1] != 0xDA:
+            return after, None
+        mark = seen.walk("jpeg scan", after, scan)
+        if not mark:
+            return i, 0
+        return (mark, mark + 2) if b[mark + 1] == 0xD9 else (mark, None)
+
+    end = seen.walk("jpeg segment", at + 2, segment)
+    return end - at if end else 0
+
+
+def _bmp(b: bytes, at: int, seen: Seen) -> int:
     if at + 30 > len(b):
         return 0
     size, _, pixels, header, width, height, planes, bits = struct.unpack_from("<IIIIiiHH", b, at + 2)
@@ -106,7 +154,7 @@ def _bmp(b: bytes, at: int) -> int:
     return size if good and at + size <= len(b) and pixels + row * abs(height) <= size else 0
 
 
-def _riff(b: bytes, at: int) -> int:
+def _riff(b: bytes, at: int, seen: Seen) -> int:
     """RIFF of form WAVE or WEBP whose chunks fill the stated size exactly."""
     if at + 12 > len(b):
         return 0
@@ -123,21 +171,24 @@ def _riff(b: bytes, at: int) -> int:
     return size if names else 0
 
 
-def _ogg(b: bytes, at: int) -> int:
+def _ogg(b: bytes, at: int, seen: Seen) -> int:
     """Pages one after another, from one that begins a stream."""
-    i = at
-    while i + 27 <= len(b) and b[i : i + 5] == b"OggS\0":
+
+    def page(i: int) -> tuple[int, int | None]:
+        if i + 27 > len(b) or b[i : i + 5] != b"OggS\0":
+            return i, i
         n = b[i + 26]
-        if i == at and not b[i + 5] & 2 or i + 27 + n > len(b):
-            return 0
-        i += 27 + n + sum(b[i + 27 : i + 27 + n])
-        if i > len(b):
-            return 0
-    return i - at
+        after = i + 27 + n + sum(b[i + 27 : i + 27 + n])
+        return (i, 0) if i + 27 + n > len(b) or after > len(b) else (after, None)
+
+    if at + 27 > len(b) or not b[at + 5] & 2:
+        return 0
+    end = seen.walk("ogg page", at, page)
+    return end - at if end > at else 0
 
 
 #: Magic bytes of public formats: fixed values.
-SIGNATURES: list[tuple[bytes, str, Callable[[bytes, int], int]]] = [
+SIGNATURES: list[tuple[bytes, str, Callable[[bytes, int, Seen], int]]] = [
     (b"\x89PNG\r\n\x1a\n", "image/png", _png),
     (b"GIF87a", "image/gif", _gif),
     (b"GIF89a", "image/gif", _gif),
@@ -160,13 +211,13 @@ def automaton():  # noqa: ANN201
 
 def sniff(content: bytes, search, nested: bool = False) -> list[Found]:  # noqa: ANN001
     """Confirmed containers in order of offset."""
-    out, free = [], 0
+    out, free, seen = [], 0, Seen(len(content))
     hits = sorted((end + 1 - len(SIGNATURES[i][0]), i) for end, i in search.iter(content.decode("latin-1")))
     for at, i in hits:
         if at < free and not nested:
             continue
         _, kind, length_of = SIGNATURES[i]
-        if n := length_of(content, at):
+        if n := length_of(content, at, seen):
             kind = "image/webp" if kind == "audio/wav" and content[at + 8 : at + 12] == b"WEBP" else kind
             out.append(Found(kind, at, n))
             free = max(free, at + n)
@@ -223,47 +274,70 @@ def sniff_media(df: DataFrame, content: str, declared: str | None = None, nested
     return rows.mapInArrow(run, full)
 
 
-STORED = pa.schema([
-    ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
-    ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("true_type", pa.string()), ("n_embedded", pa.int32()),
-])
-_STORED = "doc_id long, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, true_type string, n_embedded int"
+_CHUNK = 8 << 20
 
 
-def text_media(docs: DataFrame, block: int = 64, keep_media: bool = True) -> DataFrame:
-    """Texts stored as WAVE samples, found again by sniffing, read back and described.
+def _chunked(rows: Iterator[tuple[tuple, int]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of about _CHUNK bytes from (row, its bytes)."""
+    held, size = [], 0
+    for row, n in rows:
+        held.append(row)
+        size += n
+        if size >= _CHUNK:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
-    The feature names the confirmed type, the payload's length, the mean and the energy of its
-    samples about the mid level, and the number and types of media embedded in it.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = automaton()
+def as_media(docs: DataFrame, block: int = 64) -> DataFrame:
+    """(doc_id, n_bytes, media, declared): texts padded to whole blocks and stored as WAVE, of no declared type."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("declared", pa.string())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int]]:
         for b in batches:
-            rows, held = [], 0
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = (text or "").encode()
                 media = to_wave(raw + bytes(-len(raw) % block if raw else block))
-                found = sniff(media, search, nested=True)
-                outer = next(f for f in found if f.offset == 0)
-                read = samples(media[outer.offset : outer.offset + outer.length])
+                yield (doc_id, len(raw), media, UNKNOWN), len(media)
+
+    given = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+    return given.mapInArrow(lambda batches: _chunked(rows(batches), schema), "doc_id long, n_bytes long, media binary, declared string")
+
+
+def text_media(docs: DataFrame, block: int = 64, keep_media: bool = True) -> DataFrame:
+    """Texts stored as WAVE, typed and carved by sniffing, read back from what was carved at the front, and described.
+
+    The feature names the confirmed type, the payload's length, the mean and the energy of its
+    samples about the mid level, and the types of media embedded in it. A row whose container is
+    not confirmed has nulls for what would be read back.
+    """
+    sniffed = sniff_media(as_media(docs, block), "media", "declared", nested=True, keep_content=False)
+    schema = pa.schema([
+        ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
+        ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("true_type", pa.string()), ("corrected", pa.bool_()), ("n_embedded", pa.int32()),
+    ])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int]]:
+        for b in batches:
+            for doc_id, n_bytes, media, true, fixed, carved in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                media = bytes(media)
+                sha = hashlib.sha256(media).hexdigest()
+                kept, size = (media, len(media)) if keep_media else (None, 256)
+                inner = [c["type"] for c in carved if c["offset"]]
+                outer = next((c for c in carved if c["offset"] == 0), None)
+                if outer is None:
+                    yield (doc_id, n_bytes, kept, None, None, None, len(media), sha, None, true, fixed, len(inner)), size
+                    continue
+                read = samples(media[: outer["length"]])
                 wave = np.frombuffer(read, np.uint8)
-                total = int(wave.sum(dtype=np.int64))
                 square = int(np.bincount(wave, minlength=256) @ (np.arange(256, dtype=np.int64) - 128) ** 2)
-                inner = [f.kind for f in found if f.offset]
-                feature = f"{outer.kind};n={len(read)};mean={total / len(read):.4f};energy={square / len(read):.4f};embedded={','.join(inner)}"
-                rows.append((
-                    doc_id, len(raw), media if keep_media else None, len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-64:]),
-                    len(media), hashlib.sha256(media).hexdigest(), feature, outer.kind, len(inner),
-                ))
-                held += len(media) if keep_media else 256
-                if held >= 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), STORED, strict=True)], schema=STORED)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), STORED, strict=True)], schema=STORED)
-
-    return docs.select("doc_id", "text").mapInArrow(run, _STORED)
+                feature = f"{true};n={len(read)};mean={int(wave.sum(dtype=np.int64)) / len(read):.4f};energy={square / len(read):.4f};embedded={','.join(inner)}"
+                yield (doc_id, n_bytes, kept, len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-64:]), len(media), sha, feature, true, fixed, len(inner)), size
+
+    kind = "doc_id long, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, true_type string, corrected boolean, n_embedded int"
+    ordered = sniffed.select("doc_id", "n_bytes", "media", "true_type", "corrected", "carved")
+    return ordered.mapInArrow(lambda batches: _chunked(rows(batches), schema), kind)
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

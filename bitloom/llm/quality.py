@@ -4,7 +4,8 @@ Each text gives a short row of statistics (mix of character classes, word and li
 repetition). Cosines of random projections of the standardised row approximate a Gaussian kernel.
 Every partition sums its part of the normal equations; entry by entry they meet in a shuffle, and
 the driver solves one system whose size depends on the number of features alone. Pool-adjacent
-violators over binned scores then make probabilities of the scores.
+violators over binned scores of a fifth of the rows, which the ridge has not seen, then make
+probabilities of the scores.
 
 Defined results: null and empty texts have statistics of zero and are scored like any text; labels
 that are null are not learned from; a training set without both classes gives every text its mean
@@ -104,13 +105,17 @@ def isotonic(x: np.ndarray, total: np.ndarray, weight: np.ndarray) -> tuple[np.n
 
 
 def fit(sample: DataFrame, n_features: int = 256, width: float = 4.0, ridge: float = 1e-2, seed: int = 5) -> Model:
-    """A model from (text, y). The sample is bounded by whoever drew it."""
+    """A model from (doc_id, text, y). The sample is bounded by whoever drew it."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(list(statistics(b.column(0))), pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(statistics(b.column(0))), pa.list_(pa.float64())), b.column(1), b.column(2)], names=["x", "y", "spare"])
 
-    rows = stored(sample.select("text", "y").mapInArrow(describe, "x array<double>, y int"), "quality-sample")
+    spare = (F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(5)) == 0).alias("spare")
+    rows = stored(sample.select("text", "y", spare).mapInArrow(describe, "x array<double>, y int, spare boolean"), "quality-sample")
+    seen = rows.where("spare").agg(F.count_distinct("y")).first()[0]
+    # too small a sample for two parts is used for both
+    solved, calibrated = (rows.where("not spare"), rows.where("spare")) if seen == 2 and rows.where("not spare").select("y").distinct().count() == 2 else (rows, rows)
     sums = [f(F.element_at("x", i + 1)) for i in range(N_STATS) for f in (F.avg, F.stddev_pop)]
     first = rows.agg(F.count("*"), F.avg("y"), *sums).collect()[0]
     flat = np.zeros(1)
@@ -132,7 +137,7 @@ def fit(sample: DataFrame, n_features: int = 256, width: float = 4.0, ridge: flo
         value = np.concatenate([gram[upper], moment])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(value), dtype=np.int32)), pa.array(value)], names=["i", "v"])
 
-    met = rows.mapInArrow(partial, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    met = solved.select("x", "y").mapInArrow(partial, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
     value = np.zeros(len(upper[0]) + size)
     value[met.column("i").to_numpy()] = met.column("v").to_numpy()
     gram = np.zeros((size, size))
@@ -145,7 +150,7 @@ def fit(sample: DataFrame, n_features: int = 256, width: float = 4.0, ridge: flo
             s = model.raw(np.stack(b.column(0).to_numpy(zero_copy_only=False)))
             yield pa.RecordBatch.from_arrays([pa.array(np.round(s * 500).clip(-5000, 5000).astype(np.int32)), b.column(1)], names=["s", "y"])
 
-    bins = rows.mapInArrow(binned, "s int, y int").groupBy("s").agg(F.count("*").alias("n"), F.sum("y").alias("y")).toArrow().to_pandas().sort_values("s")
+    bins = calibrated.select("x", "y").mapInArrow(binned, "s int, y int").groupBy("s").agg(F.count("*").alias("n"), F.sum("y").alias("y")).toArrow().to_pandas().sort_values("s")
     knots, values = isotonic(bins.s.to_numpy() / 500, bins.y.to_numpy(float), bins.n.to_numpy(float))
     # a thin slope beyond the outer blocks keeps the order of scores there
     model.knots = np.concatenate([[knots[0] - 2], knots, [knots[-1] + 2]])

@@ -6,9 +6,11 @@ the next entry of the same list and pattern; a capture is judged against the int
 its fetch time. Patterns are host names, which match the host and all hosts below it, or a host
 followed by the first path segment.
 
-Captures are reduced to their distinct (candidate pattern, month) before the join, and intervals are
-unrolled into the months they touch, so the join is an equi join whose rows per key do not grow with
-the captures of a host. One list with the action 'allow' overrides the others.
+The as-of join sees each (candidate pattern, fetch date) once, however many captures and hosts stand
+behind it, and intervals unrolled into the months they touch: an equi join on (pattern, month) whose
+keys hold at most a month's dates. What holds at a date then goes back to the captures' distinct
+(patterns, date) rows by an equi join in which a pattern's rows are salted over `SALTS` keys, as one
+host may own a large share of them. The list named `allow_list` overrides the others.
 
 Defined results: a null url, or one without a host, matches nothing; a null fetch time matches
 nothing; entries with a null list, pattern, date or unknown action are ignored; of entries of one
@@ -25,6 +27,10 @@ from pyspark.sql import functions as F
 from bitloom.llm.common import table
 
 
+#: Keys that a pattern's captures are spread over on their way back from the as-of join.
+SALTS = 16
+
+
 def host_of(url: Column) -> Column:
     """Lower-case host without user, port and a trailing dot; null if there is none."""
     host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
@@ -64,18 +70,24 @@ def judge(captures: DataFrame, entries: DataFrame, allow_list: str = "allow") ->
     # a capture's matches depend on its host, first segment and date only
     keyed = asked.withColumn("key", F.md5(F.concat_ws("|", F.array_join("patterns", " "), F.col("fetch_date").cast("string"))))
     distinct = keyed.where(F.col("patterns").isNotNull() & F.col("fetch_date").isNotNull()).groupBy("key").agg(F.first("patterns").alias("patterns"), F.first("fetch_date").alias("fetch_date"))
-    points = distinct.select("key", "fetch_date", F.trunc("fetch_date", "month").alias("month"), F.explode("patterns").alias("pattern"))
+    wanted = distinct.select("key", "fetch_date", F.explode("patterns").alias("pattern"))
+    points = wanted.select("pattern", "fetch_date").distinct().withColumn("month", F.trunc("fetch_date", "month"))
     last = captures.agg(F.max("fetch_date").alias("last"), F.min("fetch_date").alias("first"))
     spans = validity(entries).join(F.broadcast(last), (F.col("valid_from") <= F.col("last")) & (F.coalesce("valid_to", F.date_add("last", 1)) > F.col("first")))
     months = F.sequence(F.trunc(F.greatest("valid_from", "first"), "month"), F.trunc(F.least(F.coalesce("valid_to", "last"), "last"), "month"), F.expr("interval 1 month"))
     unrolled = spans.select("list", "pattern", "category", "valid_from", "valid_to", F.explode(months).alias("month"))
-    held = points.join(unrolled, ["pattern", "month"]).where((F.col("fetch_date") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetch_date") < F.col("valid_to"))))
-    found = held.groupBy("key").agg(
-        F.count("*").alias("n_active"),
-        F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"),
-        F.max((F.col("list") == allow_list).cast("int")).alias("allow"),
-        F.max((F.col("list") != allow_list).cast("int")).alias("deny"),
-    )
+    holds = (F.col("fetch_date") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetch_date") < F.col("valid_to")))
+    active = points.join(unrolled, ["pattern", "month"]).where(holds).groupBy("pattern", "fetch_date").agg(
+        F.count("*").alias("n"), F.collect_set("category").alias("c"),
+        F.max((F.col("list") == allow_list).cast("int")).alias("a"), F.max((F.col("list") != allow_list).cast("int")).alias("d"),
+    )
+    spread = active.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    salted = wanted.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+    found = salted.join(spread, ["pattern", "fetch_date", "salt"]).groupBy("key").agg(
+        F.sum("n").alias("n_active"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("c")))), ",").alias("categories"),
+        F.max("a").alias("allow"), F.max("d").alias("deny"),
+    )
     return keyed.join(found, "key", "left").select(
         "capture_id", "fetch_date",
         F.coalesce("n_active", F.lit(0)).alias("n_active"), F.coalesce("categories", F.lit("")).alias("categories"),

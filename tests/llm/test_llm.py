@@ -177,6 +177,29 @@ def test_decontamination(spark, block_bytes) -> None:
         assert r.clean_text is None if r.text is None else ALNUM.findall(r.clean_text.translate(FOLD)) == left
 
 
+def test_a_block_of_phrases_is_small(spark) -> None:
+    import pickle
+
+    rnd = random.Random(7)
+    texts = [" ".join(rnd.choices(string.ascii_letters, k=40_000)), " ".join("".join(rnd.choices(string.ascii_lowercase, k=5)) for _ in range(40_000))]
+    for text in texts:
+        assert len(pickle.dumps(decontaminate.Phrases.of([(1, text), (2, text[:500])], 10))) <= 6 * len(text) + 2000
+
+
+def test_decontamination_of_a_very_long_text(spark) -> None:
+    rnd = random.Random(2)
+    long = [f"w{rnd.randint(0, 400)}" for _ in range(120_000)]
+    items = [(1, " ".join(long[70_000:70_030])), (2, " ".join(long[5:13]))]
+    r = decontaminate.find_leaks(spark.createDataFrame([(1, " ".join(long))], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).first()
+    assert (r.n_words, [tuple(s) for s in r.spans], list(r["items"])) == (120_000, [(5, 13), (70_000, 70_030)], ["1", "2"])
+
+
+def test_benchmark_of_wordless_items(spark) -> None:
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    for items in ([], [(1, None)], [(1, "?!")]):
+        assert [list(r["items"]) for r in decontaminate.find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()] == [[]]
+
+
 def test_fm_index_finds_all_and_places_them() -> None:
     rnd = np.random.default_rng(1)
     text = rnd.integers(1, 4, 500)
@@ -184,7 +207,7 @@ def test_fm_index_finds_all_and_places_them() -> None:
     index = decontaminate.FMIndex(text, 3)
     for size in (1, 2, 5):
         phrases = rnd.integers(1, 4, (40, size))
-        low, high = index.search(phrases, np.full(40, size))
+        low, high = index.search(phrases.ravel(), np.arange(40) * size + size - 1, np.full(40, size))
         for p, a, b in zip(phrases, low, high, strict=True):
             want = [i for i in range(500 - size + 1) if (text[i : i + size] == p).all()]
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
@@ -389,6 +412,51 @@ def test_sniffing_carves_and_corrects(spark) -> None:
     assert got[6].true_type == "audio/wav" and not got[6].corrected
 
 
+def plain_gif(b: bytes, at: int) -> int:
+    """The GIF at a place, walked without any memory."""
+    if at + 13 > len(b):
+        return 0
+    i = at + 13 + (3 * 2 ** ((b[at + 10] & 7) + 1) if b[at + 10] >= 128 else 0)
+    while i < len(b):
+        if b[i] == 0x3B:
+            return i + 1 - at
+        if b[i] == 0x21:
+            i += 2
+        elif b[i] == 0x2C and i + 10 < len(b):
+            i += 11 + (3 * 2 ** ((b[i + 9] & 7) + 1) if b[i + 9] >= 128 else 0)
+        else:
+            return 0
+        while i < len(b) and b[i]:
+            i += b[i] + 1
+        i += 1
+    return 0
+
+
+def test_sniffing_is_linear_and_right_on_many_headers() -> None:
+    import time
+
+    rnd = random.Random(3)
+    for _ in range(300):
+        parts = [b"GIF89a" + bytes(rnd.choices([0, 1, 2, 0x21, 0x2C, 0x3B, 0x80], k=rnd.randint(5, 30))) for _ in range(rnd.randint(1, 8))]
+        blob = b"".join(parts)
+        got = {f.offset: f.length for f in media.sniff(blob, media.automaton(), nested=True) if f.kind == "image/gif"}
+        want = {i: plain_gif(blob, i) for i in range(len(blob)) if blob.startswith(b"GIF89a", i)}
+        assert got == {i: n for i, n in want.items() if n}
+    hostile = [b"GIF89a" + bytes(7) + b"!\x01\x01\x01", b"\xff\xd8\xff\xda\0\2\xff\0", b"OggS\0\2" + bytes(20) + b"\1\x01"]
+    for unit in hostile:
+        begun = time.time()
+        media.sniff(unit * (20_000_000 // len(unit)), media.automaton(), nested=True)
+        assert time.time() - begun < 150, unit
+
+
+def test_very_long_and_hostile_text_as_media(spark) -> None:
+    texts = ["GIF89a!" * 60_000, "x" * 3_000_000, "RIFF WAVE BM OggS " * 1000]
+    got = {r.doc_id: r for r in media.text_media(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), keep_media=False).collect()}
+    for i, t in enumerate(texts):
+        payload = t.encode() + bytes(-len(t) % 64)
+        assert got[i].payload_sha256 == hashlib.sha256(payload).hexdigest() and got[i].true_type == "audio/wav" and got[i].corrected
+
+
 def test_language_of_texts(spark, nothing) -> None:
     rnd = random.Random(8)
     make = {"aa": ["lami", "sola", "nami", "rola"], "bb": ["krst", "vlks", "trnk", "zmrd"], "cc": ["übär", "größ", "schö", "wäss"]}
@@ -454,14 +522,47 @@ def test_url_filters_on_awkward_rows(spark) -> None:
     assert url_filters.judge(captures, entries.where("false")).where("n_active > 0").count() == 0
 
 
+def test_one_host_with_half_of_the_captures_and_clashing_columns(spark) -> None:
+    """Against a plain loop over entries; the hot host has many segments and dates."""
+    import datetime as dt
+
+    rnd = random.Random(9)
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    hosts = ["big.example.com"] * 40 + [f"h{i}.example.com" for i in range(20)] + [f"x{i}.org" for i in range(20)]
+    captures = [(i, f"https://{rnd.choice(hosts)}/{rnd.choice('abcde')}{rnd.randint(0, 30)}/p", day(rnd.randint(0, 120)), "clash") for i in range(600)]
+    names = ["com", "example.com", "big.example.com", "big.example.com/a1", "org", "x3.org", "h1.example.com/b2"]
+    entries = list({(rnd.choice(["l", "m", "allow"]), n, day(rnd.randint(0, 120)), rnd.choice(["add", "add", "remove"]), f"c{rnd.randint(0, 3)}", "z") for n in names for _ in range(9)})
+    logs: dict[tuple, dict] = {}
+    for name, pattern, d, action, category, _ in entries:
+        held = logs.setdefault((name, pattern), {})
+        held[d] = max(held.get(d, ("", "")), (action, category))
+    want = []
+    for i, url, d, _ in captures:
+        host, seg = url.split("/")[2:4]
+        tails = [".".join(host.split(".")[k:]) for k in range(host.count(".") + 1)]
+        active = []
+        for (name, pattern), log in logs.items():
+            if pattern in tails + [f"{t}/{seg}" for t in tails]:
+                past = [e for e in sorted(log) if e <= d]
+                if past and log[past[-1]][0] == "add":
+                    active.append((name, log[past[-1]][1]))
+        allowed = any(n == "allow" for n, _ in active)
+        want.append((i, len(active), ",".join(sorted({c for _, c in active})), allowed, bool(active) and not allowed and any(n != "allow" for n, _ in active)))
+    got = url_filters.judge(spark.createDataFrame(captures, "capture_id long, url string, fetch_date date, key string"), spark.createDataFrame(entries, "list string, pattern string, entry_date date, action string, category string, month string"))
+    assert sorted((r.capture_id, r.n_active, r.categories, r.allowed, r.blocked) for r in got.collect()) == want
+
+
 def test_clashing_and_extra_columns(spark, docs) -> None:
     wide = docs.select("*", *[F.lit("x").alias(c) for c in ("spans", "items", "n_words", "clean_text", "quality_score", "toxic_score", "k", "key", "cid", "id", "component", "ref", "owner")])
     bench = spark.createDataFrame([(1, "same line over same line over same line over same")], "item_id long, text string")
     n = len(corpus(1))
-    assert decontaminate.find_leaks(wide.drop("spans", "items"), bench).count() == n
+    for block_bytes in (4 << 20, 20):
+        both = bench.union(spark.createDataFrame([(2, "a b c d e f g h i j k l")], bench.schema))
+        found = decontaminate.find_leaks(wide, both, block_bytes=block_bytes)
+        assert found.count() == n and found.where("size(spans) > 0").count() > 0 and found.columns[-4:] == ["n_words", "spans", "items", "clean_text"]
     assert near_dedup.near_duplicates(wide).count() == n and substring_dedup.repeated_passages(wide).count() == n
     assert substring_dedup.without_passages(wide).columns == wide.columns
-    assert quality.score(wide, quality.fit(spark.createDataFrame([], "text string, y int"))).count() == n
+    assert quality.score(wide, quality.fit(spark.createDataFrame([], "doc_id long, text string, y int"))).count() == n
     for out in (packing.pack(wide, packing.byte_bpe_file()), token_counts.prefix_token_counts(wide, token_counts.word_bpe_file()), media.text_media(wide)):
         assert out.select("doc_id").distinct().count() == n
 
