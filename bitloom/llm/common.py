@@ -55,12 +55,13 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, max_rows: int) -> DataFrame:
-    """(text, y): labelled training rows outside the held-out fold, at most about max_rows of them.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, max_rows: int, max_bytes: int | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, y, extra): labelled training rows outside the held-out fold, about max_rows of them at most.
 
-    The bound is kept by a hash threshold on the id, so the sample does not depend on the
-    partitioning and no sort or global limit is needed. Labels that are null, and ids that are
-    null, are left out; an id labelled twice takes the larger label.
+    With max_bytes their texts take about so many bytes at most, and a text longer than a 32nd of
+    that is not drawn. Bounds are kept by a hash threshold on the id, so the sample does not depend
+    on the partitioning and no sort or global limit is needed. Labels that are null, and ids that
+    are null, are left out; an id labelled twice takes the larger label.
     """
     marked = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", folds) != held))
@@ -68,12 +69,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         .agg(F.max(label).cast("int").alias("y"))
     )
     n = marked.count()
-    if n > max_rows:
-        span = 1 << 30
-        marked = marked.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(span)) < int(span * max_rows / n))
     # the marked side is bounded by max_rows rows of 12 bytes; past 10 MB Spark is left to choose
-    small = F.broadcast(marked) if min(n, max_rows) * 12 < 10_000_000 else marked
-    return docs.select("doc_id", "text").join(small, "doc_id").select("doc_id", "text", "y")
+    small = lambda m, most: F.broadcast(m) if most * 12 < 10_000_000 else m
+    share = min(1.0, max_rows / max(n, 1))
+    texts = docs.select("doc_id", "text", *extra)
+    if max_bytes is not None:
+        texts = texts.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes // 32)
+        size = texts.select("doc_id", F.octet_length("text").alias("b")).join(small(marked, n), "doc_id").agg(F.sum("b")).first()[0] or 0
+        share = min(share, max_bytes / max(size, 1))
+    if share < 1:
+        span = 1 << 30
+        marked = marked.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(span)) < int(span * share))
+    return texts.join(small(marked, int(n * share) + 1), "doc_id").select("doc_id", "text", "y", *extra)
 
 
 def with_field(df: DataFrame, name: str, kind: str) -> StructType:

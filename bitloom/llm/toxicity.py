@@ -1,15 +1,19 @@
 """Toxicity: a convolutional text classifier trained in numpy.
 
 A word's embedding is the sum of hashed vectors of the whole word and of its first 3 to 8 bytes.
-Filters of several widths slide over the words: widths 1 and 2 with weights for each place, wide
-ones with one weight vector for all places, so that they answer to a local density. Each filter is
-max-pooled over the text; a logistic layer joins the pooled values. Thresholds are calibrated by
-language on training rows that the network has not seen; the language of a text is guessed from its
-own function words, never from a column.
-
-Defined results: null and empty texts pool to the padding's value and are scored; labels that are
-null are not learned from; without both classes in the training set every score is the mean label
-(0.5 if there is none); repeated rows repeat; extra columns are ignored.
+Filters of one to five words, with weights for each place, and box filters of 16, 64 and 256 words,
+whose places share their weights so that they answer to the density of a word class, slide over the
+words. Each filter is max-pooled over the text; a logistic layer joins the pooled values. Thresholds
+are calibrated by language on training rows that the network has not seen. A text's language is its
+nearest prototype of language identification, learned from the training rows; at scoring time the
+text alone decides, never a column.
+
+The network is trained in one task, on a sample that `labelled_sample` bounds in rows and bytes.
+
+Defined results: null and empty texts pool to zero and are scored; labels that are null are not
+learned from; without both classes in the training set every score is the mean label (0.5 if there
+is none); texts without letters, or without any prototype, take the common threshold; repeated rows
+repeat; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,44 +27,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import crc_mod, labelled_sample, table, with_field
+from bitloom.llm.common import crc_mod, discard, labelled_sample, stored, table, with_field
+from bitloom.llm.language_id import as_matrix, learn, nearest
 from bitloom.llm.textscan import _ROUND, _TABLE, FOLD, NOT_WORD, U64, mix, slices, text_buffer, words
 
 BUCKETS = 1 << 16
 PREFIXES = (3, 4, 5, 6, 7, 8)
-PLACED, TIED = (1, 2), (16, 64, 256)
+PLACED, BOXES = (1, 2, 3, 4, 5), (16, 64, 256)
 DIMS, FILTERS = 8, 8
-WIDTHS = PLACED + TIED
+WIDTHS = PLACED + BOXES
 N_POOLED = FILTERS * len(WIDTHS)
 
-#: Function words by language: fixed values.
-FUNCTION_WORDS = {
-    "en": "the of and to in is that it was for with as on be at by this are from or an".split(),
-    "fr": "le la les des un une et est du dans que qui pour par sur au avec pas ce elle".split(),
-    "de": "der die das und ist von mit den dem zu sich nicht ein eine auf im des auch als es".split(),
-    "es": "el la los las de del que y en un una por con para su se lo como es al".split(),
-}
-GROUPS = [*FUNCTION_WORDS, "other"]
 
-
-def _voters() -> tuple[np.ndarray, np.ndarray]:
-    names, votes = zip(*((w, g) for g, ws in enumerate(FUNCTION_WORDS.values()) for w in ws), strict=True)
-    data, offs = text_buffer(pa.array(names))
-    hashed = words(data, offs, NOT_WORD, fold=True).hash
-    order = np.argsort(hashed, kind="stable")
-    return hashed[order], np.array(votes)[order]
-
-
-def coded(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For slices of texts: (word buckets n x 7, word offsets of rows, language group of rows)."""
+def coded(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For slices of texts: (word buckets n x 7, word offsets of rows)."""
     data, offs = text_buffer(column)
-    voters, votes = _voters()
     for a, b in slices(offs):
         at = offs[a : b + 1]
         found = words(data, at, NOT_WORD, fold=True)
-        n, rows = len(found.hash), b - a
+        n = len(found.hash)
         if not n:
-            yield np.zeros((0, len(PREFIXES) + 1), np.int32), found.offs, np.full(rows, len(GROUPS) - 1)
+            yield np.zeros((0, len(PREFIXES) + 1), np.int32), found.offs
             continue
         raw = FOLD[data[at[0] : at[-1]]].astype(np.int32)
         start, size = found.start - at[0], found.end - found.start
@@ -74,17 +61,15 @@ def coded(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
                 # a word shorter than the prefix counts as bucket 0, which stays at zero
                 hashed = (mix(total + U64(k + 1)) & U64(BUCKETS - 1)).astype(np.int32)
                 buckets[:, PREFIXES.index(k + 1) + 1] = np.where(size > k, hashed, 0)
-        spot = np.searchsorted(voters, found.hash)
-        spot[spot == len(voters)] = 0
-        voted = np.flatnonzero(voters[spot] == found.hash)
-        owner = np.repeat(np.arange(rows), np.diff(found.offs))[voted]
-        tally = np.bincount(owner * len(GROUPS) + votes[spot[voted]], minlength=rows * len(GROUPS)).reshape(rows, len(GROUPS))
-        yield buckets, found.offs, np.where(tally.max(axis=1) > 0, tally.argmax(axis=1), len(GROUPS) - 1)
+        yield buckets, found.offs
 
 
 @dataclass
 class Net:
-    """Embeddings, filters (PLACED: one matrix a place; TIED: one), biases, logistic layer, thresholds."""
+    """Embeddings, filters (PLACED: one matrix a place; BOXES: one), biases, logistic layer, thresholds, prototypes.
+
+    `cut` has one logit for each language and, last, the one for texts of no language.
+    """
 
     table: np.ndarray
     filters: list[np.ndarray]
@@ -92,133 +77,145 @@ class Net:
     out: np.ndarray
     shift: float
     cut: np.ndarray
+    languages: np.ndarray
 
     @staticmethod
-    def fresh(seed: int) -> Net:
+    def fresh(seed: int, languages: np.ndarray) -> Net:
         rng = np.random.default_rng(seed)
-        shapes = [(w, DIMS, FILTERS) if w in PLACED else (1, DIMS, FILTERS) for w in WIDTHS]
-        filters = [(rng.normal(size=s) * 0.5).astype(np.float32) for s in shapes]
+        shapes = [(w if w in PLACED else 1, DIMS, FILTERS) for w in WIDTHS]
+        filters = [(rng.normal(size=s) * 0.5 / np.sqrt(s[0])).astype(np.float32) for s in shapes]
         out = (np.abs(rng.normal(size=N_POOLED)) * 0.1 * rng.choice([-1, 1], N_POOLED)).astype(np.float32)
-        return Net(np.zeros((BUCKETS, DIMS), np.float32), filters, np.full(N_POOLED, 0.1, np.float32), out, 0.0, np.zeros(len(GROUPS)))
+        return Net(np.zeros((BUCKETS, DIMS), np.float32), filters, np.full(N_POOLED, 0.1, np.float32), out, 0.0, np.zeros(languages.shape[1] + 1), languages)
 
-    def pooled(self, parts: list[np.ndarray], offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(max of each filter, word where its window begins) for each row.
+    def vectors(self, buckets: np.ndarray) -> np.ndarray:
+        out = self.table[buckets[:, 0]]
+        for j in range(1, buckets.shape[1]):
+            out += self.table[buckets[:, j]]
+        return out
 
-        parts holds, for each width and place, the words' filter responses. Rows are padded with
-        zeros to each width.
+    def convolve(self, vectors: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
+        """For each width: the filters' values at each word where a window may begin, else -inf.
+
+        Narrow windows may reach past the end of a row, where words count as zero; a box is cut down
+        to a row shorter than it.
         """
-        rows = len(offs) - 1
-        best, where = np.zeros((rows, N_POOLED), np.float32), np.zeros((rows, N_POOLED), np.int64)
-        i = 0
-        for k, w in enumerate(WIDTHS):
-            cols = slice(k * FILTERS, (k + 1) * FILTERS)
+        n, place = len(vectors), np.arange(len(vectors))
+        length = np.repeat(np.diff(offs), np.diff(offs))
+        stop = np.repeat(offs[1:], np.diff(offs))
+        for w, f in zip(WIDTHS, self.filters, strict=True):
             if w in PLACED:
-                own = parts[i : i + w]
-                i += w
+                value = vectors @ f[0]
+                for p in range(1, min(w, n)):
+                    value[: n - p] += np.where((place[: n - p] + p < stop[: n - p])[:, None], vectors[p:] @ f[p], 0)
             else:
-                own = parts[i : i + 1]
-                i += 1
-                run = np.concatenate([np.zeros((1, FILTERS)), np.cumsum(own[0], axis=0, dtype=np.float64)])
-            for r in range(rows):
-                a, b = int(offs[r]), int(offs[r + 1])
-                if a == b:
-                    continue
-                if w in TIED:
-                    wide = min(w, b - a)
-                    value = (run[a + wide : b + 1] - run[a : b + 1 - wide]) / np.sqrt(w)
-                else:
-                    value = own[0][a:b]
-                    if w == 2:
-                        value = value.copy()
-                        value[:-1] += own[1][a + 1 : b]
-                top = value.argmax(axis=0)
-                best[r, cols], where[r, cols] = value[top, np.arange(FILTERS)], a + top
-        return best, where
+                run = np.concatenate([np.zeros((1, FILTERS)), np.cumsum(vectors @ f[0], axis=0, dtype=np.float64)])
+                end = place + np.minimum(w, length)
+                value = (run[np.minimum(end, n)] - run[:-1]) / np.sqrt(w)
+                value[end > stop] = -np.inf
+            yield value
+
+    def pooled(self, vectors: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Max of each filter over each row; zero for rows without words."""
+        best = np.zeros((len(offs) - 1, N_POOLED))
+        some = np.flatnonzero(np.diff(offs))
+        if len(some):
+            for k, value in enumerate(self.convolve(vectors, offs)):
+                best[some, k * FILTERS : (k + 1) * FILTERS] = np.maximum.reduceat(value, offs[some], axis=0)
+        return best
 
     def logits(self, best: np.ndarray) -> np.ndarray:
         return np.maximum(best + self.bias, 0) @ self.out + self.shift
 
-    def responses(self, buckets: np.ndarray) -> list[np.ndarray]:
-        vectors = self.table[buckets].sum(axis=1)
-        return [vectors @ f[p] for f in self.filters for p in range(len(f))]
+    def predict(self, column: pa.Array) -> np.ndarray:
+        """Logit of each text."""
+        return np.concatenate([np.zeros(0), *(self.logits(self.pooled(self.vectors(buckets), offs)) for buckets, offs in coded(column))])
 
-    def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(logit, language group) of each text."""
-        out, groups = [np.zeros(0)], [np.zeros(0, np.int64)]
-        for buckets, offs, group in coded(column):
-            best, _ = self.pooled(self.responses(buckets), offs)
-            out.append(self.logits(best))
-            groups.append(group)
-        return np.concatenate(out), np.concatenate(groups)
+    def score(self, column: pa.Array) -> np.ndarray:
+        """Score of each text; 0.5 is the threshold of its language."""
+        language, _ = nearest(column.to_pylist(), self.languages)
+        return _sigmoid(self.predict(column) - self.cut[language])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train(texts: pa.Array, y: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 0.15, seed: int = 9) -> Net:
+def gradients(net: Net, vectors: np.ndarray, offs: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, float]:
+    """Weighted mean logistic loss of rows, and its gradients by vectors, filters, bias, out and shift."""
+    rows, some = len(offs) - 1, np.flatnonzero(np.diff(offs))
+    best, where = np.zeros((rows, N_POOLED)), np.zeros((rows, N_POOLED), np.int64)
+    for k, value in enumerate(net.convolve(vectors, offs)):
+        cols = slice(k * FILTERS, (k + 1) * FILTERS)
+        for r in some:
+            a = int(offs[r])
+            top = value[a : int(offs[r + 1])].argmax(axis=0)
+            best[r, cols], where[r, cols] = value[a + top, np.arange(FILTERS)], a + top
+    active = best + net.bias
+    hidden = np.maximum(active, 0)
+    z = hidden @ net.out + net.shift
+    loss = float((weight * (np.logaddexp(0, z) - y * z)).sum() / rows)
+    error = (_sigmoid(z) - y) * weight / rows
+    g_best = error[:, None] * net.out * (active > 0)
+    g_vectors = np.zeros(vectors.shape)
+    g_filters = [np.zeros(f.shape) for f in net.filters]
+    for k, (w, f) in enumerate(zip(WIDTHS, net.filters, strict=True)):
+        cols = slice(k * FILTERS, (k + 1) * FILTERS)
+        g, at, stop = g_best[some, cols], where[some, cols], offs[some + 1][:, None]
+        if w in PLACED:
+            for p in range(w):
+                inside = at + p < stop
+                spot, part = np.where(inside, at + p, 0), np.where(inside, g, 0)
+                g_filters[k][p] = np.einsum("rf,rfd->df", part, vectors[spot])
+                np.add.at(g_vectors, spot.ravel(), (part[:, :, None] * f[p].T).reshape(-1, DIMS))
+        else:
+            end = np.minimum(at + w, stop)
+            part = g / np.sqrt(w)
+            run = np.concatenate([np.zeros((1, DIMS)), np.cumsum(vectors, axis=0, dtype=np.float64)])
+            g_filters[k][0] = np.einsum("rf,rfd->df", part, run[end] - run[at])
+            step = np.zeros((len(vectors) + 1, DIMS))
+            each = (part[:, :, None] * f[0].T).reshape(-1, DIMS)
+            np.add.at(step, at.ravel(), each)
+            np.add.at(step, end.ravel(), -each)
+            g_vectors += np.cumsum(step, axis=0)[:-1]
+    return loss, g_vectors, g_filters, g_best.sum(axis=0), hidden.T @ error, float(error.sum())
+
+
+def train(texts: pa.Array, y: np.ndarray, languages: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 0.15, seed: int = 9) -> Net:
     """Adagrad on the weighted logistic loss; every fifth row is kept for the thresholds."""
-    net = Net.fresh(seed)
+    net = Net.fresh(seed, languages)
     rng = np.random.default_rng(seed)
-    rows: list[np.ndarray] = []
-    groups: list[int] = []
-    for buckets, offs, group in coded(texts):
-        rows += [buckets[a:b] for a, b in zip(offs[:-1], offs[1:], strict=True)]
-        groups += group.tolist()
-    group = np.array(groups)
+    rows = [buckets[a:b] for buckets, offs in coded(texts) for a, b in zip(offs[:-1], offs[1:], strict=True)]
     held = np.arange(len(y)) % 5 == 4
     use = np.flatnonzero(~held)
     weight = np.where(y == 1, min(8.0, max(1.0, float((y == 0).sum()) / max(1, int((y == 1).sum())) / 2)), 1.0)
-    params = [net.table, *net.filters, net.bias, net.out]
-    squares = [np.full(p.shape, 1e-3, np.float32) for p in params]
-    shift_square = 1e-3
+    params = [*net.filters, net.bias, net.out]
+    squares = [np.full(p.shape, 1e-3) for p in params]
+    table_square, shift_square = np.full(net.table.shape, 1e-3, np.float32), 1e-3
     for epoch in range(epochs):
         step = rate * (0.7**epoch)
         for chosen in np.array_split(rng.permutation(use), max(1, len(use) // batch)):
             parts = [rows[i] for i in chosen]
             offs = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
             buckets = np.concatenate(parts)
-            vectors = net.table[buckets].sum(axis=1)
-            best, where = net.pooled([vectors @ f[p] for f in net.filters for p in range(len(f))], offs)
-            active = best + net.bias
-            hidden = np.maximum(active, 0)
-            error = (_sigmoid(hidden @ net.out + net.shift) - y[chosen]) * weight[chosen] / len(chosen)
-            g_hidden = error[:, None] * net.out * (active > 0)
-            g_vectors = np.zeros_like(vectors)
-            g_filters = [np.zeros_like(f) for f in net.filters]
-            for r in range(len(chosen)):
-                a, b = int(offs[r]), int(offs[r + 1])
-                for c in np.flatnonzero(g_hidden[r]):
-                    k, f = divmod(int(c), FILTERS)
-                    w, g, at = WIDTHS[k], g_hidden[r, c], int(where[r, c])
-                    if a == b:
-                        continue
-                    if w in TIED:
-                        end, g = min(at + min(w, b - a), b), g / np.sqrt(w)
-                        g_filters[k][0, :, f] += g * vectors[at:end].sum(axis=0)
-                        g_vectors[at:end] += g * net.filters[k][0, :, f]
-                    else:
-                        for p in range(min(w, b - at)):
-                            g_filters[k][p, :, f] += g * vectors[at + p]
-                            g_vectors[at + p] += g * net.filters[k][p, :, f]
-            moved = np.flatnonzero(np.abs(g_vectors).max(axis=1) > 0)
-            flat = buckets[moved].ravel()
-            g_table = np.stack([np.bincount(flat, np.repeat(g_vectors[moved, d], buckets.shape[1]), minlength=BUCKETS) for d in range(DIMS)], axis=1).astype(np.float32)
-            g_table[0] = 0
-            touched = np.flatnonzero(g_table.any(axis=1))
-            grads = [None, *g_filters, g_hidden.sum(axis=0), hidden.T @ error]
-            squares[0][touched] += g_table[touched] ** 2
-            net.table[touched] -= step * g_table[touched] / np.sqrt(squares[0][touched] + 1e-4)
-            for p, q, g in zip(params[1:], squares[1:], grads[1:], strict=True):
+            _, g_vectors, g_filters, g_bias, g_out, g_shift = gradients(net, net.vectors(buckets), offs, y[chosen], weight[chosen])
+            moved = np.flatnonzero(np.abs(g_vectors).max(axis=1, initial=0) > 0)
+            touched, number = np.unique(buckets[moved], return_inverse=True)
+            g_table = np.zeros((len(touched), DIMS))
+            np.add.at(g_table, number.ravel(), np.repeat(g_vectors[moved], buckets.shape[1], axis=0))
+            g_table[touched == 0] = 0
+            table_square[touched] += g_table**2
+            net.table[touched] -= step * g_table / np.sqrt(table_square[touched] + 1e-4)
+            for p, q, g in zip(params, squares, [*g_filters, g_bias, g_out], strict=True):
                 q += g**2
                 p -= (0.3 * step) * (g + 1e-5 * p) / np.sqrt(q)
-            shift_square += float(error.sum()) ** 2
-            net.shift -= 0.3 * step * float(error.sum()) / np.sqrt(shift_square)
+            shift_square += g_shift**2
+            net.shift -= 0.3 * step * g_shift / np.sqrt(shift_square)
     check = np.flatnonzero(held)
     if len(check):
-        z = np.concatenate([net.logits(net.pooled(net.responses(rows[i]), np.array([0, len(rows[i])]))[0]) for i in check])
+        seen = texts.take(pa.array(check))
+        z, (language, _) = net.predict(seen), nearest(seen.to_pylist(), languages)
         every = best_cut(z, y[check], 0.0)
-        net.cut = np.array([best_cut(z[group[check] == g], y[check][group[check] == g], every) for g in range(len(GROUPS))])
+        net.cut = np.array([*(best_cut(z[language == g], y[check][language == g], every) for g in range(languages.shape[1])), every])
     return net
 
 
@@ -234,8 +231,12 @@ def best_cut(z: np.ndarray, y: np.ndarray, other: float) -> float:
     return float(z[top] + (z[top + 1] if top + 1 < len(z) else z[top])) / 2
 
 
-def fit(sample: DataFrame, seed: int = 9) -> Net | float:
-    """A net from (doc_id, text, y), trained in one task: the sample is bounded by whoever drew it."""
+def fit(sample: DataFrame, languages: np.ndarray | None = None, seed: int = 9) -> Net | float:
+    """A net from (doc_id, text, y), trained in one task: the sample is bounded by whoever drew it.
+
+    languages: prototypes of languages as columns.
+    """
+    protos = as_matrix({}) if languages is None else languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if len(b)]
@@ -244,7 +245,7 @@ def fit(sample: DataFrame, seed: int = 9) -> Net | float:
             t = pa.Table.from_batches(got).combine_chunks().sort_by("doc_id")
             y = t.column("y").to_numpy().astype(np.float64)
             if 0 < y.sum() < len(y):
-                net = train(t.column("text").combine_chunks(), y, seed=seed)
+                net = train(t.column("text").combine_chunks(), y, protos, seed=seed)
                 np.savez(blob, table=net.table, bias=net.bias, out=net.out, shift=net.shift, cut=net.cut, **{f"f{i}": f for i, f in enumerate(net.filters)})
             else:
                 np.savez(blob, rate=y.mean())
@@ -258,7 +259,7 @@ def fit(sample: DataFrame, seed: int = 9) -> Net | float:
     with np.load(io.BytesIO(bytes(got[0][0]))) as z:
         if "rate" in z:
             return float(z["rate"])
-        return Net(z["table"], [z[f"f{i}"] for i in range(len(WIDTHS))], z["bias"], z["out"], float(z["shift"]), z["cut"])
+        return Net(z["table"], [z[f"f{i}"] for i in range(len(WIDTHS))], z["bias"], z["out"], float(z["shift"]), z["cut"], protos)
 
 
 def score(docs: DataFrame, net: Net | float) -> DataFrame:
@@ -268,11 +269,7 @@ def score(docs: DataFrame, net: Net | float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             model = held.value
-            if isinstance(model, float):
-                out = np.full(len(b), model)
-            else:
-                z, group = model.predict(b.column(b.schema.get_field_index("text")))
-                out = _sigmoid(z - model.cut[group])
+            out = np.full(len(b), model) if isinstance(model, float) else model.score(b.column(b.schema.get_field_index("text")))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, "toxic_score"])
 
     kept = docs.drop("toxic_score")
@@ -281,6 +278,8 @@ def score(docs: DataFrame, net: Net | float) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    net = fit(labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", 5, 0, max_rows=10_000))
+    sample = stored(labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", 5, 0, max_rows=10_000, max_bytes=64 << 20, extra=("lang",)), "toxicity-sample")
+    net = fit(sample, as_matrix(learn(sample)))
+    discard(sample)
     scored = score(docs.select("doc_id", "text"), net)
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))

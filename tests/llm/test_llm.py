@@ -496,6 +496,100 @@ def test_toxicity_on_held_out_documents(spark) -> None:
     assert auc > 0.94 and accuracy > 0.95
 
 
+def small_net(seed: int) -> toxicity.Net:
+    rng = np.random.default_rng(seed)
+    net = toxicity.Net.fresh(seed, language_id.as_matrix({}))
+    net.filters = [f.astype(np.float64) for f in net.filters]
+    net.bias = rng.normal(size=toxicity.N_POOLED) * 0.3
+    net.out = rng.normal(size=toxicity.N_POOLED)
+    net.shift = 0.2
+    return net
+
+
+def test_convolution_against_plain_loops() -> None:
+    net, rng = small_net(3), np.random.default_rng(4)
+    sizes = [0, 1, 3, 0, 40, 300]
+    offs = np.concatenate([[0], np.cumsum(sizes)])
+    vectors = rng.normal(size=(offs[-1], toxicity.DIMS))
+    got = net.pooled(vectors, offs)
+    for r, n in enumerate(sizes):
+        v = vectors[offs[r] : offs[r + 1]]
+        want = []
+        for w, f in zip(toxicity.WIDTHS, net.filters, strict=True):
+            if not n:
+                want.append(np.zeros(toxicity.FILTERS))
+            elif w in toxicity.PLACED:
+                want.append(np.max([sum(v[i + p] @ f[p] for p in range(w) if i + p < n) for i in range(n)], axis=0))
+            else:
+                wide = min(w, n)
+                want.append(np.max([v[i : i + wide].sum(axis=0) @ f[0] / np.sqrt(w) for i in range(n - wide + 1)], axis=0))
+        assert np.allclose(got[r], np.concatenate(want))
+    assert np.allclose(net.logits(got), [sum(max(a + b, 0) * o for a, b, o in zip(row, net.bias, net.out, strict=True)) + net.shift for row in got])
+
+
+def test_gradients_against_differences() -> None:
+    net, rng = small_net(5), np.random.default_rng(6)
+    offs = np.array([0, 7, 7, 40, 320])
+    vectors, y, weight = rng.normal(size=(320, toxicity.DIMS)), np.array([1.0, 0, 1, 0]), np.array([2.0, 1, 2, 1])
+    loss, g_vectors, g_filters, g_bias, g_out, g_shift = toxicity.gradients(net, vectors, offs, y, weight)
+    z = net.logits(net.pooled(vectors, offs))
+    assert np.isclose(loss, np.mean(weight * -(y * np.log(1 / (1 + np.exp(-z))) + (1 - y) * np.log(1 / (1 + np.exp(z))))))
+    for value, gradient in [(vectors, g_vectors), *zip(net.filters, g_filters, strict=True), (net.bias, g_bias), (net.out, g_out)]:
+        for _ in range(6):
+            at = tuple(int(rng.integers(n)) for n in value.shape)
+            kept, ends = value[at], []
+            for d in (1e-6, -1e-6):
+                value[at] = kept + d
+                ends.append(toxicity.gradients(net, vectors, offs, y, weight)[0])
+            value[at] = kept
+            assert np.isclose((ends[0] - ends[1]) / 2e-6, gradient[at], rtol=1e-3, atol=1e-6)
+    net.shift += 1e-6
+    assert np.isclose((toxicity.gradients(net, vectors, offs, y, weight)[0] - loss) / 1e-6, g_shift, rtol=1e-3, atol=1e-5)
+
+
+def test_normal_equations_met_over_partitions(spark) -> None:
+    """The weights from summed equations are those of one ridge regression over all rows."""
+    rnd = random.Random(12)
+    rows = [(i, " ".join(rnd.choices(["alpha", "beta!", "GAMMA", "d3lta", "eps,", "zz"], weights=[1 + 4 * (i % 2), 1, 1, 1 + 3 * (i % 3), 1, 1], k=30)), i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int").repartition(5)
+    model = quality.fit(df, n_features=24)
+    fold = {r.doc_id: r.f for r in df.select("doc_id", F.expr("pmod(xxhash64(doc_id, 13), 5) = 0").alias("f")).collect()}
+    stats = quality.statistics(pa.array([t for _, t, _ in rows]))
+    assert np.allclose(model.centre, stats.mean(axis=0)) and np.allclose(model.scale, np.maximum(stats.std(axis=0), 1e-6))
+    use = np.array([not fold[i] for i, _, _ in rows])
+    x, y = model.features(stats[use]), np.array([v for _, _, v in rows])[use]
+    assert np.allclose(model.weights, np.linalg.solve(x.T @ x + 1e-2 * np.eye(25), x.T @ y), rtol=1e-6, atol=1e-8)
+
+
+def test_rare_language_is_learned(spark) -> None:
+    rnd = random.Random(10)
+    rows = [(i, " ".join("".join(rnd.choices(["lami", "sola"] if i else ["krst", "vlks"], k=2)) for _ in range(20)), "aa" if i else "zz") for i in range(300)]
+    protos = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6))
+    assert set(protos) == {"aa", "zz"}
+    odd = spark.createDataFrame([(1, "krstvlks vlkskrst krstkrst")], "doc_id long, text string")
+    assert language_id.predict(odd, protos).first().lang_pred == "zz"
+
+
+def test_very_long_texts_of_classifiers(spark) -> None:
+    long = "some word here, " * 200_000
+    df = spark.createDataFrame([(1, long), (2, "BAD!! $$$ " * 3)], "doc_id long, text string")
+    sample = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(["some word here,", "BAD!! $$$"] * 20)], "doc_id long, text string, y int")
+    for scored, name in ((quality.score(df, quality.fit(sample)), "quality_score"), (toxicity.score(df, toxicity.fit(sample)), "toxic_score")):
+        got = {r.doc_id: r[name] for r in scored.collect()}
+        assert 0 <= got[1] < got[2] <= 1
+
+
+def test_samples_keep_their_bounds(spark) -> None:
+    from bitloom.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(i, "x" * 100 if i else "y" * 100_000, "en") for i in range(2000)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, toxic int")
+    drawn = lambda **bound: labelled_sample(docs, labels, "toxic", 5, 0, extra=("lang",), **bound)
+    assert 1500 < drawn(max_rows=5000).count() < 1700 and 400 < drawn(max_rows=500).count() < 600
+    small = drawn(max_rows=5000, max_bytes=50_000).agg(F.sum(F.length("text")), F.max(F.length("text"))).first()
+    assert 40_000 < small[0] < 60_000 and small[1] == 100
+
+
 def test_classifiers_on_awkward_rows(spark, nothing, docs) -> None:
     sample = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(["good words here", "BAD!! $$$", "fine text too", "%%% ###"] * 10)], "doc_id long, text string, y int")
     model, net = quality.fit(sample), toxicity.fit(sample)
