@@ -1,53 +1,84 @@
-"""Interval sets: half-open [start, end) spans with a value, kept canonical by windows.
+"""Interval sets: half-open [start, end) spans with a value, kept canonical.
 
-Every function takes key columns that name a set. A set may hold a large share of all rows: where
-it can, work is done first in buckets of the axis, and only what is left of a bucket meets the rest.
+Every function takes key columns that name a set. A set may hold a large share of all rows, so no
+window spans a whole set: rows are windowed within buckets of the axis, one summary row a bucket is
+windowed over the set to carry state from bucket to bucket, and of what a bucket gives only its first
+and last piece can meet a neighbour's. `bucket` is a stretch of the axis; it should hold many rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _islands(df: DataFrame, keys: list[str], fresh: Column, order: list[str]) -> DataFrame:
-    """df with island, the running number of rows for which `fresh` holds."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_fresh", fresh.cast("int")).withColumn("island", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
+BUCKET = 8192
 
 
-def merge_spans(df: DataFrame, keys: list[str], bucket: int | None = None) -> DataFrame:
-    """(keys, start, end, n): overlapping or abutting spans fused, empty ones dropped; n spans went in.
+def _bucketed(df: DataFrame, axis: str, bucket: int) -> DataFrame:
+    return df.withColumn("_b", F.floor(F.col(axis) / bucket))
 
-    With `bucket`, spans are fused within stretches of the axis first; fusing is associative, so
-    the result is the same and the window over a whole set sees few rows.
-    """
 
-    def fuse(d: DataFrame, by: list[str]) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-        reach = F.max("end").over(w)
-        marked = _islands(d.withColumn("_reach", reach), by, F.col("_reach").isNull() | (F.col("start") > F.col("_reach")), ["start", "end"])
-        return marked.groupBy(*by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("island")
+def _carried(df: DataFrame, keys: list[str], summary: dict[str, Column], carry: dict[str, Callable[[Window], Column]]) -> DataFrame:
+    """df (with its bucket _b) and the carry of each bucket, computed over one summary row a bucket."""
+    w = Window.partitionBy(*keys).orderBy("_b")
+    per = df.groupBy(*keys, "_b").agg(*[c.alias(n) for n, c in summary.items()])
+    state = per.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"), *[f(w).alias(n) for n, f in carry.items()])
+    same = [df[k].eqNullSafe(state[f"_k{i}"]) for i, k in enumerate(keys)] + [df["_b"] == state["_kb"]]
+    return df.join(state, same).select(*[df[c] for c in df.columns], *[state[n] for n in carry])
 
-    live = df.where("end > start").select(*keys, "start", "end", F.lit(1).cast("long").alias("n"))
-    if bucket:
-        live = fuse(live.withColumn("_bucket", F.floor(F.col("start") / bucket)), [*keys, "_bucket"]).drop("_bucket")
-    return fuse(live, keys)
 
+def _fused(df: DataFrame, keys: list[str], axis: str, order: list[str], before: tuple[str, Column], fresh: Callable[[Column], Column], out: dict[str, tuple[Callable, Column]], bucket: int) -> DataFrame:
+    """Rows of a set in `order` cut into islands, each aggregated to one row of `out`.
 
-def coalesce_spans(df: DataFrame, keys: list[str], value: str = "row") -> DataFrame:
+    `before` is ('last', column) or ('max', column): what `fresh` sees of the rows before a row, null
+    for a set's first one. A row opens an island where `fresh` holds or is null. axis leads the order.
+    `out` gives each result's aggregate, which may be taken in two steps, and its input.
+    """
+    kind, seen = before
+    d = _bucketed(df, axis, bucket).withColumn("_seen", seen)
+    previous = Window.unboundedPreceding
+    if kind == "max":
+        d = _carried(d, keys, {"_top": F.max("_seen")}, {"_in": lambda w: F.max("_top").over(w.rowsBetween(previous, -1))})
+        local = Window.partitionBy(*keys, "_b").orderBy(*order)
+        d = d.withColumn("_before", F.greatest(F.max("_seen").over(local.rowsBetween(previous, -1)), F.col("_in")))
+    else:
+        d = d.withColumn("_seen", F.struct(F.col("_seen").alias("v")))
+        d = _carried(d, keys, {"_last": F.max_by("_seen", F.struct(*order))}, {"_in": lambda w: F.lag("_last").over(w)})
+        local = Window.partitionBy(*keys, "_b").orderBy(*order)
+        d = d.withColumn("_before", F.coalesce(F.lag("_seen").over(local), F.col("_in"))["v"])
+    d = d.withColumn("_fresh", F.coalesce(fresh(F.col("_before")), F.lit(True)).cast("long"))
+    d = d.withColumn("_island", F.sum("_fresh").over(local.rowsBetween(previous, 0)))
+    pieces = d.groupBy(*keys, "_b", "_island").agg(*[f(c).alias(n) for n, (f, c) in out.items()])
+    pieces = pieces.withColumn("_last", F.max("_island").over(Window.partitionBy(*keys, "_b")))
+    # island 0 goes on from the bucket before, the last one may go on in the next
+    border = pieces.where("_island = 0 or _island = _last")
+    chain = Window.partitionBy(*keys).orderBy("_b", "_island").rowsBetween(previous, 0)
+    met = border.withColumn("_chain", F.sum((F.col("_island") > 0).cast("long")).over(chain)).groupBy(*keys, "_chain").agg(*[f(F.col(n)).alias(n) for n, (f, _) in out.items()])
+    return pieces.where("_island > 0 and _island < _last").select(*keys, *out).unionByName(met.select(*keys, *out))
+
+
+def merge_spans(df: DataFrame, keys: list[str], bucket: int = BUCKET) -> DataFrame:
+    """(keys, start, end, n): overlapping or abutting spans fused, empty ones dropped; n spans went in."""
+    live = df.where("end > start").select(*keys, "start", "end")
+    return _fused(live, keys, "start", ["start", "end"], ("max", F.col("end")), lambda reach: F.col("start") > reach, {"start": (F.min, F.col("start")), "end": (F.max, F.col("end")), "n": (F.sum, F.lit(1).cast("long"))}, bucket)
+
+
+def coalesce_spans(df: DataFrame, keys: list[str], value: str = "row", bucket: int = BUCKET) -> DataFrame:
     """Disjoint spans that abut exactly and have equal values fused."""
-    w = Window.partitionBy(*keys).orderBy("start")
-    fresh = ~((F.lag("end").over(w) == F.col("start")) & F.lag(value).over(w).eqNullSafe(F.col(value)))
-    marked = df.withColumn("_new", F.coalesce(fresh, F.lit(True)))
-    return _islands(marked, keys, F.col("_new"), ["start"]).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first(value).alias(value)).drop("island")
+    seen = F.struct(F.col("end").alias("end"), F.col(value).alias("value"))
+    fresh = lambda before: before.isNull() | ~((before["end"] == F.col("start")) & before["value"].eqNullSafe(F.col(value)))
+    return _fused(df, keys, "start", ["start"], ("last", seen), fresh, {"start": (F.min, F.col("start")), "end": (F.max, F.col("end")), value: (F.first, F.col(value))}, bucket)
 
 
-def normalize_spans(df: DataFrame, keys: list[str], value: str = "row") -> DataFrame:
+def normalize_spans(df: DataFrame, keys: list[str], value: str = "row", bucket: int = BUCKET) -> DataFrame:
     """Earlier start wins: each start moves to the end reached so far, covered spans vanish, equal neighbours fuse."""
-    w = Window.partitionBy(*keys).orderBy("start", "end", value).rowsBetween(Window.unboundedPreceding, -1)
-    moved = df.where("end > start").withColumn("start", F.greatest("start", F.coalesce(F.max("end").over(w), F.col("start"))))
-    return coalesce_spans(moved.where("end > start"), keys, value)
+    d = _carried(_bucketed(df.where("end > start"), "start", bucket), keys, {"_top": F.max("end")}, {"_in": lambda w: F.max("_top").over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    w = Window.partitionBy(*keys, "_b").orderBy("start", "end", value).rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.greatest(F.max("end").over(w), F.col("_in"))
+    moved = d.withColumn("start", F.greatest("start", F.coalesce(reach, F.col("start")))).drop("_b", "_in")
+    return coalesce_spans(moved.where("end > start"), keys, value, bucket)
 
 
 def _segments(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,8 +91,8 @@ def _segments(df: DataFrame, keys: list[str]) -> DataFrame:
 def overwrite_spans(writes: DataFrame, keys: list[str], seq: str = "seq", value: str = "row", bucket: int = 4096) -> DataFrame:
     """A log of writes: at each place the last write wins; equal neighbours fuse.
 
-    Writes are split at bucket borders and segmented within buckets, so a set's size does not bound
-    a task; the fusing at the end joins the halves of a split span again.
+    Writes are split at bucket borders and segmented within buckets; the fusing at the end joins the
+    halves of a split span again.
     """
     live = writes.where(F.col("end") > F.col("start"))
     pieces = live.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("end") - 1) / bucket))))
@@ -70,46 +101,59 @@ def overwrite_spans(writes: DataFrame, keys: list[str], seq: str = "seq", value:
     cuts = _segments(pieces, by)
     held = cuts.alias("s").join(pieces.alias("w"), [F.col(f"s.{k}") == F.col(f"w.{k}") for k in by] + [F.col("w.start") <= F.col("s.start"), F.col("w.end") > F.col("s.start")])
     last = held.groupBy(*[F.col(f"s.{k}").alias(k) for k in by], F.col("s.start").alias("start"), F.col("s.end").alias("end")).agg(F.max_by(f"w.{value}", f"w.{seq}").alias(value))
-    return coalesce_spans(last.drop("_b"), keys, value)
+    return coalesce_spans(last.drop("_b"), keys, value, bucket)
 
 
-def subtract_spans(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+def subtract_spans(a: DataFrame, b: DataFrame, keys: list[str], bucket: int = BUCKET) -> DataFrame:
     """(keys, start, end): what the merged spans of a have outside the spans of b.
 
     Depth counters at breakpoints replace any pairing of spans.
     """
 
     def steps(d: DataFrame, which: str) -> DataFrame:
-        m = merge_spans(d, keys)
         other = "in_b" if which == "in_a" else "in_a"
-        return m.select(*keys, F.col("start").alias("at"), F.lit(1).alias(which), F.lit(0).alias(other)).unionByName(m.select(*keys, F.col("end").alias("at"), F.lit(-1).alias(which), F.lit(0).alias(other)))
+        edge = lambda c, n: d.where("end > start").select(*keys, F.col(c).alias("at"), F.lit(n).alias(which), F.lit(0).alias(other))
+        return edge("start", 1).unionByName(edge("end", -1))
 
     moved = steps(a, "in_a").unionByName(steps(b, "in_b")).groupBy(*keys, "at").agg(F.sum("in_a").alias("in_a"), F.sum("in_b").alias("in_b"))
-    w = Window.partitionBy(*keys).orderBy("at")
+    before = lambda c: lambda w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    d = _carried(
+        _bucketed(moved, "at", bucket), keys, {"_a": F.sum("in_a"), "_z": F.sum("in_b"), "_at": F.min("at")},
+        {"_was_a": before("_a"), "_was_b": before("_z"), "_next": lambda w: F.lead("_at").over(w)},
+    )
+    w = Window.partitionBy(*keys, "_b").orderBy("at")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    state = moved.select(*keys, F.col("at").alias("start"), F.lead("at").over(w).alias("end"), (F.sum("in_a").over(run) > 0).alias("a"), (F.sum("in_b").over(run) > 0).alias("b"))
-    return merge_spans(state.where("a and not b and end is not null"), keys).drop("n")
+    state = d.select(
+        *keys, F.col("at").alias("start"), F.coalesce(F.lead("at").over(w), F.col("_next")).alias("end"),
+        (F.sum("in_a").over(run) + F.col("_was_a") > 0).alias("a"), (F.sum("in_b").over(run) + F.col("_was_b") > 0).alias("b"),
+    )
+    return merge_spans(state.where("a and not b and end is not null"), keys, bucket).drop("n")
 
 
-def overlaps(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Each span whose next neighbour begins before it ends, with that neighbour's start and end."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("next_start", F.lead("start").over(w)).withColumn("next_end", F.lead("end").over(w)).where("next_start < end")
+def overlaps(df: DataFrame, keys: list[str], order: list[str], bucket: int = BUCKET) -> DataFrame:
+    """Each span whose next neighbour begins before it ends, with that neighbour's start and end.
+
+    The order begins with the start.
+    """
+    row = F.struct(*order, F.col("start").alias("_s"), F.col("end").alias("_e"))
+    d = _carried(_bucketed(df, "start", bucket), keys, {"_first": F.min(row)}, {"_next": lambda w: F.lead("_first").over(w)})
+    w = Window.partitionBy(*keys, "_b").orderBy(*order)
+    following = F.coalesce(F.lead(row).over(w), F.col("_next"))
+    return d.withColumn("_f", following).select(*df.columns, F.col("_f._s").alias("next_start"), F.col("_f._e").alias("next_end")).where("next_start < end")
 
 
-def clip_spans(df: DataFrame, keys: list[str], limit: int, max_row: int, value: str = "row") -> DataFrame:
+def clip_spans(df: DataFrame, keys: list[str], limit: int, max_row: int, value: str = "row", bucket: int = BUCKET) -> DataFrame:
     """Disjoint spans within [0, limit) of rows up to max_row; spans across the limit are shortened."""
     kept = df.where((F.col("start") < limit) & (F.col(value) <= max_row)).withColumn("end", F.least("end", F.lit(limit)))
-    return coalesce_spans(kept, keys, value)
+    return coalesce_spans(kept, keys, value, bucket)
 
 
-def gap_runs(df: DataFrame, keys: list[str], index: str, gap: int) -> DataFrame:
+def gap_runs(df: DataFrame, keys: list[str], index: str, gap: int, bucket: int = BUCKET) -> DataFrame:
     """(keys, first, count): runs of distinct indexes; a hole of up to `gap` indexes does not end a run."""
     ids = df.select(*keys, index).where(F.col(index).isNotNull()).distinct()
-    w = Window.partitionBy(*keys).orderBy(index)
-    step = F.col(index) - F.lag(index).over(w)
-    marked = _islands(ids.withColumn("_new", F.coalesce(step > gap + 1, F.lit(True))), keys, F.col("_new"), [index])
-    return marked.groupBy(*keys, "island").agg(F.min(index).alias("first"), (F.max(index) - F.min(index) + 1).alias("count")).drop("island")
+    i = F.col(index)
+    runs = _fused(ids, keys, index, [index], ("max", i), lambda before: i - before > gap + 1, {"first": (F.min, i), "last": (F.max, i)}, bucket)
+    return runs.select(*keys, "first", (F.col("last") - F.col("first") + 1).alias("count"))
 
 
 def value_at(points: DataFrame, regions: DataFrame, keys: list[str], point: str, value: str = "row", default: int | None = None, bucket: int = 4096) -> DataFrame:
@@ -125,13 +169,19 @@ def value_at(points: DataFrame, regions: DataFrame, keys: list[str], point: str,
     return joined.select(*[asked[c] for c in points.columns], F.coalesce(tiles["_v"], F.lit(default)).alias(value))
 
 
-def assembled(pieces: DataFrame, keys: list[str], order: str, length: str) -> DataFrame:
-    """pieces with start, the running sum of the lengths before each, in order within its set."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return pieces.withColumn("start", F.coalesce(F.sum(length).over(w), F.lit(0)))
+def assembled(pieces: DataFrame, keys: list[str], order: str, length: str, bucket: int = BUCKET) -> DataFrame:
+    """pieces with start, the running sum of the lengths before each, in order within its set.
+
+    The order is a number; sums run within buckets of it, over the totals of the buckets before.
+    """
+    previous = Window.unboundedPreceding
+    d = _carried(_bucketed(pieces, order, bucket), keys, {"_sum": F.sum(length)}, {"_in": lambda w: F.sum("_sum").over(w.rowsBetween(previous, -1))})
+    w = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(previous, -1)
+    start = F.coalesce(F.sum(length).over(w), F.lit(0)) + F.coalesce("_in", F.lit(0))
+    return d.withColumn("start", start).drop("_b", "_in")
 
 
-def laid_out(pieces: DataFrame, keys: list[str], order: str, stated: str, source: str, unit: int) -> DataFrame:
+def laid_out(pieces: DataFrame, keys: list[str], order: str, stated: str, source: str, unit: int, bucket: int = BUCKET) -> DataFrame:
     """Pieces with extent, start and problem.
 
     A stated length is kept to the byte, short sources being filled with zeros; without one a piece
@@ -139,4 +189,4 @@ def laid_out(pieces: DataFrame, keys: list[str], order: str, stated: str, source
     """
     extent = F.coalesce(F.col(stated), F.ceil(F.col(source) / unit) * unit, F.lit(0))
     problem = F.when(F.col(source).isNull(), "missing").when(F.col(stated) > F.col(source), "short").otherwise("")
-    return assembled(pieces.withColumn("extent", extent.cast("long")).withColumn("problem", problem), keys, order, "extent")
+    return assembled(pieces.withColumn("extent", extent.cast("long")).withColumn("problem", problem), keys, order, "extent", bucket)
