@@ -10,8 +10,10 @@ A bucket of candidates never emits all its pairs. First each member is compared
 the greatest member of its buckets, and what is confirmed becomes a component. Then members outside
 a bucket's main component are compared with the members of other components in that bucket, which
 leaves out nothing but pairs that are already connected. This works on a finer sketch of 2,048
-one-bit minima: a bucket is dealt out in squares of at most `SQUARE` members on either side, a
-square's pairs are compared by bit counts within a task, and only likely ones leave it.
+one-bit minima: a bucket is dealt out in squares of at most `SQUARE` members on either side and a
+square's pairs are compared by bit counts within a task. In a first pass only each member's likeliest
+link leaves the squares, which connects nearly all that belongs together; in a second one all likely
+pairs of what is still apart then do, each from the first bucket it shares, and all are confirmed.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; a text of
 fewer than five words is one shingle; a null doc_id is never linked (component null); rows that
@@ -197,50 +199,72 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = 75, width: int =
 SQUARE, AT_ONCE = 2048, 1 << 15
 
 
-def likely_pairs(members: DataFrame, percent: int, square: int = SQUARE) -> DataFrame:
-    """(cluster, a, b) of likely links between components of a bucket.
+def likely_pairs(members: DataFrame, percent: int, best: bool = False, square: int = SQUARE) -> DataFrame:
+    """(cluster, a, b) of likely links between components of a bucket; with `best` the likeliest of each a only.
 
-    members: (key, cid, component, main, n, fine). Pairs have a outside the bucket's main component;
-    of two such members the smaller id is a. A bucket of N members, M of them outside its main
-    component, costs M * N bit counts, spread over squares, and moves N / square copies of a sketch.
+    members: (key, cid, component, main, n, fine, keys), keys being all a member has here. Pairs have
+    a outside the bucket's main component; of two such members the smaller id is a. A bucket of N
+    members, M of them outside its main component, costs M * N bit counts, spread over squares, and
+    moves N / square copies of a sketch.
     """
     size = stored(members.groupBy("key").agg(F.ceil(F.count("*") / square).alias("nb"), F.ceil(F.count_if(F.col("component") != F.col("main")) / square).alias("na")), "squares")
-    row = members.select("key", "cid", "component", (F.col("component") == F.col("main")).alias("in_main"), "n", "fine").join(size, "key")
+    row = members.select("key", "cid", "component", (F.col("component") == F.col("main")).alias("in_main"), "n", "fine", "keys").join(size, "key")
     every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     minor = row.where("not in_main").withColumn("ka", F.pmod(F.xxhash64("cid"), "na")).withColumn("kb", F.explode(every("nb"))).withColumn("is_a", F.lit(True))
     other = row.withColumn("kb", F.pmod(F.xxhash64("cid"), "nb")).withColumn("ka", F.explode(every("na"))).withColumn("is_a", F.lit(False))
-    dealt = minor.unionByName(other).repartition("key", "ka", "kb").select(F.xxhash64("key", "ka", "kb").alias("k"), "is_a", "cid", "component", "in_main", "n", "fine").sortWithinPartitions("k")
-
-    def compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(component of b, a, b) of the likely pairs of whole squares."""
-        k, is_a, cid, component, in_main, n = (t.column(i).to_numpy() for i in range(6))
-        fine = np.frombuffer(b"".join(t.column(6).to_pylist()), U64).reshape(-1, FINE_LONGS)
+    dealt = minor.unionByName(other).repartition("key", "ka", "kb").select(F.xxhash64("key", "ka", "kb").alias("k"), "key", "is_a", "cid", "component", "in_main", "n", "fine", "keys").sortWithinPartitions("k")
+
+    def compare(t: pa.Table) -> list[np.ndarray]:
+        """component of b, a, b and estimate of the pairs that leave whole squares."""
+        k, key, is_a, cid, component, in_main, n = (t.column(i).to_numpy() for i in range(7))
+        fine = np.frombuffer(b"".join(t.column(7).to_pylist()), U64).reshape(-1, FINE_LONGS)
+        lists = t.column(8).combine_chunks()
+        count = np.diff(np.asarray(lists.offsets))
+        keys = np.zeros((len(k), int(count.max())), np.int64)
+        filled = np.arange(keys.shape[1]) < count[:, None]
+        keys[filled] = lists.flatten().to_numpy()
         left, right = np.flatnonzero(is_a), np.flatnonzero(~is_a)
         right = right[np.argsort(k[right], kind="stable")]
         low, high = np.searchsorted(k[right], k[left], "left"), np.searchsorted(k[right], k[left], "right")
         count = high - low
         done = np.concatenate([[0], np.cumsum(count)])
-        out = [(np.zeros(0, np.int64),) * 3]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         at = 0
         while at < len(left):
             stop = max(at + 1, int(np.searchsorted(done, done[at] + AT_ONCE, "right")) - 1)
             c = count[at:stop]
             i = np.repeat(left[at:stop], c)
             j = right[np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(low[at:stop], c)]
-            apart = (component[i] != component[j]) & (in_main[j] | (cid[i] < cid[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            apart = (component[i] != component[j]) & (in_main[j] | (cid[i] < cid[j])) & (key[i] == key[j])
+            apart &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
             i, j = i[apart], j[apart]
             # half of the disagreeing minima agree by chance
-            near = 1 - 2 * np.bitwise_count(fine[i] ^ fine[j]).sum(axis=1, dtype=np.int64) / (FINE_LONGS * 64) >= percent / 100 - FINE_MARGIN
-            out.append((component[j[near]], cid[i[near]], cid[j[near]]))
+            near = 1 - 2 * np.bitwise_count(fine[i] ^ fine[j]).sum(axis=1, dtype=np.int64) / (FINE_LONGS * 64)
+            likely = near >= percent / 100 - FINE_MARGIN
+            i, j, near = i[likely], j[likely], near[likely]
+            if best:
+                order = np.lexsort((cid[j], -near, cid[i]))
+                i, j, near = i[order], j[order], near[order]
+                first = np.ones(len(i), bool)
+                first[1:] = cid[i][1:] != cid[i][:-1]
+            else:
+                first = np.ones(len(i), bool)
+                for x in range(0, len(i), 4096):
+                    p, q = keys[i[x : x + 4096]], keys[j[x : x + 4096]]
+                    mine = key[i[x : x + 4096], None]
+                    earlier = filled[i[x : x + 4096]] & (p < mine)
+                    first[x : x + 4096] = ~(earlier & ((p[:, :, None] == q[:, None, :]) & filled[j[x : x + 4096]][:, None, :]).any(axis=2)).any(axis=1)
+            out.append((i[first], j[first], near[first]))
             at = stop
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        i, j, near = (np.concatenate(x) for x in zip(*out, strict=True))
+        return [component[j], cid[i], cid[j], near]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def ready(t: pa.Table) -> Iterator[pa.RecordBatch]:
             if t.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in compare(t)], names=["cluster", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in compare(t)], names=["cluster", "a", "b", "near"])
 
         for b in batches:
             k = b.column(0).to_numpy()
@@ -253,7 +277,18 @@ def likely_pairs(members: DataFrame, percent: int, square: int = SQUARE) -> Data
         if held:
             yield from ready(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(run, "cluster long, a long, b long")
+    found = dealt.mapInArrow(run, "cluster long, a long, b long, near double")
+    if best:
+        return found.groupBy("a").agg(F.max_by(F.struct("cluster", "b"), F.struct("near", "b")).alias("x")).select("x.cluster", "a", "x.b")
+    return found.select("cluster", "a", "b")
+
+
+def still_apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, cid, component, main): members of buckets in more than one component; main is the one most of a bucket is in."""
+    placed = shared.select("key", F.col("cid").alias("id")).join(labels, "id", "left").select("key", F.col("id").alias("cid"), F.coalesce("component", "id").alias("component"))
+    tally = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = tally.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    return stored(placed.join(stored(main, "main"), "key").select("key", "cid", "component", "main"), "apart")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
@@ -277,21 +312,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
     likely = ends.join(left, "a").join(right, "b").where(_close(percent)).select("a", "b", (F.col("a") > F.col("b")).alias("down"), estimate("a_packed", "b_packed").alias("e"))
     best = likely.groupBy("a", "down").agg(F.max_by("b", F.struct("e", "b")).alias("b")).select(F.col("b").alias("cluster"), "a", "b")
     first = stored(confirm(best, texts, percent, width), "links")
-    early = components(first)
+    part = still_apart(shared, components(first))
+    fine = stored(fine_sketches(texts.join(part.select("cid").distinct(), "cid"), width).join(sketch.select("cid", "n"), "cid"), "sketches")
 
-    # what a bucket still has apart: its members by component, against the component most of it is in
-    placed = shared.select("key", F.col("cid").alias("id")).join(early, "id", "left").select("key", F.col("id").alias("cid"), F.coalesce("component", "id").alias("component"))
-    tally = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = tally.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    part = stored(placed.join(stored(main, "main"), "key").select("key", "cid", "component", "main"), "apart")
-    fine = stored(fine_sketches(texts.join(part.select("cid").distinct(), "cid"), width), "sketches")
-    members = part.join(fine.join(sketch.select("cid", "n"), "cid"), "cid")
-    second = stored(confirm(likely_pairs(members, percent).distinct(), texts, percent, width), "links")
+    def members(part: DataFrame) -> DataFrame:
+        own = part.groupBy("cid").agg(F.collect_list("key").alias("keys"))
+        return part.join(fine.join(own, "cid"), "cid")
+
+    links = first.union(stored(confirm(likely_pairs(members(part), percent, best=True), texts, percent, width), "links"))
+    rest = still_apart(part.select("key", "cid"), components(links))
+    second = stored(confirm(likely_pairs(members(rest), percent), texts, percent, width), "links")
 
     rows = named.join(classes.select("set_a", "set_b", "cid"), ["set_a", "set_b"]).select("doc_id", "cid").distinct()
     several = rows.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a < b").select("doc_id", "a")
     one_doc = rows.join(several, "doc_id").select("a", F.col("cid").alias("b")).where("a < b")
-    joined = components(first.union(second).union(one_doc))
+    joined = components(links.union(second).union(one_doc))
     whole = classes.select("set_a", "set_b", "doc_id", "cid").join(joined.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     label = whole.join(least, "component").select("set_a", "set_b", "component_id")

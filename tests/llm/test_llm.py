@@ -350,12 +350,13 @@ def test_template_bucket_of_unlike_texts(spark) -> None:
 def test_squares_compare_every_pair_once(spark) -> None:
     rnd = np.random.default_rng(2)
     sketch = [rnd.integers(0, 256, 256, dtype=np.uint8).tobytes() for _ in range(6)]
-    rows = [(key, cid, cid % 4, 0, 100, sketch[cid % 6]) for key in (1, 2) for cid in range(40)]
-    members = spark.createDataFrame(rows, "key long, cid long, component long, main long, n long, fine binary").repartition(3)
+    rows = [(key, cid, cid % 4, 0, 100, sketch[cid % 6], [2, 1] if cid % 3 else [2]) for key in (1, 2) for cid in range(40) if key == 2 or cid % 3]
+    members = spark.createDataFrame(rows, "key long, cid long, component long, main long, n long, fine binary, keys array<long>").repartition(3)
     want = sorted((b % 4, a, b) for a in range(40) for b in range(40) if a % 4 and a % 4 != b % 4 and (b % 4 == 0 or a < b) and a % 6 == b % 6)
     for square in (2048, 7):
-        got = [tuple(r) for r in near_dedup.likely_pairs(members, 75, square).collect()]
-        assert sorted(got) == sorted(want * 2)
+        assert sorted(tuple(r) for r in near_dedup.likely_pairs(members, 75, square=square).collect()) == want
+        best = [tuple(r) for r in near_dedup.likely_pairs(members, 75, best=True, square=square).collect()]
+        assert {a for _, a, _ in best} == {a for _, a, _ in want} and len(best) == len({a for _, a, _ in want}) and set(best) <= set(want)
 
 
 def test_recall_of_bands_and_estimates_near_the_threshold() -> None:
