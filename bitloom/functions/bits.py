@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 
 def parse_hex(text: Column) -> Column:
-    """0x, $ or bare hex digits as a number; null if the text is not that."""
-    digits = F.regexp_extract(F.lower(F.trim(text)), r"^(?:0x|\$)?([0-9a-f]{1,15})$", 1)
-    return F.when(digits != "", F.conv(digits, 16, 10).cast("long"))
+    """0x, $ or bare hex digits as a number up to 7FFFFFFFFFFFFFFF; null above that, or if the text is not that."""
+    digits = F.regexp_extract(F.lower(F.trim(text)), r"^(?:0x|\$)?0*([0-9a-f]+)$", 1)
+    fits = (F.length(digits) < 16) | ((F.length(digits) == 16) & (F.substring(digits, 1, 1) < "8"))
+    return F.when((digits != "") & fits, F.conv(digits, 16, 10).cast("long"))
 
 
 def format_hex(n: Column, digits: int = 6) -> Column:
@@ -47,11 +48,12 @@ def format_address(offset: Column, banking: Column) -> Column:
 
 def parse_address(text: Column, banking: Column) -> Column:
     """Offset of bank:addr, or of a bare run of digits whose last four are the address; null outside a bank."""
-    form = r"^([0-9A-F]*):?([0-9A-F]{4})$"
     up = F.upper(F.trim(text))
-    bank_text = F.nullif(F.regexp_extract(up, form, 1), F.lit(""))
-    bank = F.coalesce(F.conv(bank_text, 16, 10).cast("long"), banking["first_bank"].cast("long")) - banking["first_bank"]
-    inside = F.conv(F.nullif(F.regexp_extract(up, form, 2), F.lit("")), 16, 10).cast("long") - banking["base"]
+    digits = F.translate(up, ":", "")
+    right_form = up.rlike("^[0-9A-F]*:?[0-9A-F]{4}$")
+    number = F.conv(F.when(right_form & (F.length(digits) < 16), digits), 16, 10).cast("long")
+    bank = F.when(F.length(digits) > 4, F.shiftright(number, 16)).otherwise(banking["first_bank"].cast("long")) - banking["first_bank"]
+    inside = number.bitwiseAND(65535) - banking["base"]
     return F.when((inside >= 0) & (inside < banking["size"]) & (bank >= 0), bank * banking["size"] + inside)
 
 

@@ -1,13 +1,20 @@
 """Text expressions: names, keys, code tables, dictionary coding."""
 
-from __future__ import annotations
-
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def matches(text: Column, query_text: str) -> Column:
+    """Does a text hold every blank-separated word of the query, in any case and order; no words match all."""
+    out = F.lit(True)
+    for word in query_text.lower().split():
+        out = out & F.contains(F.lower(text), F.lit(word))
+    return out
+
+
 def safe_name(name: Column) -> Column:
     """Letters, digits, - _ . kept, the rest _; dots and underscores trimmed off both ends; 'export' if nothing is left."""
     kept = F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9\-_.]", "_"), r"^[._]+|[._]+$", "")
@@ -19,31 +26,60 @@ def child_name(parent: Column, child: Column) -> Column:
     return F.concat(safe_name(F.regexp_replace(parent, r"\.[^.]*$", "")), F.lit("_"), safe_name(child))
 
 
-def path_key(path: Column) -> Column:
-    """Key under which two spellings of a path are one: lower case, single slashes, no '.' steps, no end slash."""
-    out = F.regexp_replace(F.lower(path), r"[\\/]+", "/")
-    out = F.regexp_replace(out, r"(^|/)(\./)+", "$1")
-    return F.regexp_replace(out, r"(?<=.)/$", "")
+def normal_path(path: Column, base: Column | None = None) -> Column:
+    """An absolute path in one spelling: slashes single and forward, no '.' and '..' steps, no end slash.
+
+    A path without a root stands below `base`. A drive letter or a scheme counts as a root; steps
+    above the root vanish.
+    """
+    rooted = path.rlike(r"^([\\/]|[A-Za-z][A-Za-z0-9+.-]*:)")
+    out = path if base is None else F.when(rooted, path).otherwise(F.concat(base, F.lit("/"), path))
+    flat = F.regexp_replace(out, r"[\\/]+", "/")
+    root = F.regexp_extract(flat, r"^([A-Za-z][A-Za-z0-9+.-]*:/?|/)?", 0)
+    names = F.filter(F.split(F.substring(flat, F.length(root) + 1, F.length(flat)), "/"), lambda n: ~n.isin("", "."))
+    kept = F.aggregate(
+        names, F.array().cast("array<string>"),
+        lambda acc, n: F.when(n != "..", F.concat(acc, F.array(n))).otherwise(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))),
+    )
+    return F.concat(root, F.array_join(kept, "/"))
+
+
+def path_key(path: Column, base: Column | None = None) -> Column:
+    """Key under which two spellings of a path are one: absolute below `base`, normalized, in lower case."""
+    return F.lower(normal_path(path, base))
+
+
+def stored_path(path: Column, base: Column) -> Column:
+    """How a path is stored next to `base`: relative where it lies below base, else absolute; with forward slashes."""
+    whole, root = normal_path(path, base), F.concat(F.regexp_replace(normal_path(base), "/$", ""), F.lit("/"))
+    return F.when(F.startswith(F.lower(whole), F.lower(root)), F.substring(whole, F.length(root) + 1, F.length(whole))).otherwise(whole)
 
 
-def natural_key(name: Column, width: int = 20) -> Column:
-    """Sort key: text folded, digit runs as numbers (padded), a number never meeting a text."""
+def natural_key(name: Column) -> Column:
+    """Sort key: text folded, digit runs as numbers of any length, a number never meeting a text."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lit("0"), F.lpad(F.regexp_replace(p, r"^0+(?=\d)", ""), width, "0"))).otherwise(F.concat(F.lit("1"), p))), "\u0001")
+
+    def number(p: Column) -> Column:
+        digits = F.regexp_replace(p, r"^0+(?=\d)", "")
+        return F.concat(F.lit("0"), F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), number(p)).otherwise(F.concat(F.lit("1"), p))), "\u0001")
 
 
 def parse_code_line(line: Column, text_first: bool = False) -> Column:
     """struct(code, text, params) of a code=text line, null if it does not parse.
 
     Code-first lines split at the first =, text-first at the last. Bracketed text is a command, and
-    [name, n] states n operands.
+    [name, n] states n operands; a line with more operands than an int counts does not parse.
     """
     pattern = r"^\s*(.*)=\s*\$?([0-9A-Fa-f]{1,8})\s*$" if text_first else r"^\s*\$?([0-9A-Fa-f]{1,8})\s*=(.*)$"
     code = F.regexp_extract(line, pattern, 2 if text_first else 1)
     text = F.regexp_extract(line, pattern, 1 if text_first else 2)
-    params = F.regexp_extract(text, r"^\[[^\],]*,\s*(\d+)\s*\]$", 1)
+    stated = F.nullif(F.regexp_extract(text, r"^\[[^\],]*,\s*(\d+)\s*\]$", 1), F.lit(""))
     name = F.when(text.rlike(r"^\[[^\]]*\]$"), F.regexp_replace(text, r",\s*\d+\s*\]$", "]")).otherwise(text)
-    return F.when(line.rlike(pattern), F.struct(F.conv(code, 16, 10).cast("int").alias("code"), name.alias("text"), F.coalesce(F.nullif(params, F.lit("")).cast("int"), F.lit(0)).alias("params")))
+    params = F.when(stated.isNull(), 0).otherwise(stated.try_cast("int"))
+    parsed = F.struct(F.conv(code, 16, 10).try_cast("long").alias("code"), name.alias("text"), params.alias("params"))
+    return F.when(line.rlike(pattern) & params.isNotNull(), parsed)
 
 
 def greedy_pattern(spellings: list[str]) -> str:
@@ -51,11 +87,26 @@ def greedy_pattern(spellings: list[str]) -> str:
     return "(?s)(" + "|".join(re.escape(s) for s in sorted(spellings, key=lambda s: (-len(s), s))) + "|.)"
 
 
-def greedy_codes(text: Column, spellings: list[str], blank: Column | None = None) -> Column:
-    """Codes of a text: the spelling's index, or 1000 + code point of a single character (or `blank`)."""
-    table = F.create_map(*[x for i, s in enumerate(spellings) for x in (F.lit(s), F.lit(i))])
-    pieces = F.regexp_extract_all(text, F.lit(greedy_pattern(spellings)), F.lit(1))
-    return F.transform(pieces, lambda t: F.coalesce(table[t], blank if blank is not None else F.ascii(t) + 1000))
+def greedy_codes(text: Column, spellings: list[str], blank: int | None = None) -> Column:
+    """Codes of a text: the spelling's index, or 1000 + code point of a single character (or `blank`).
+
+    Texts travel in Arrow batches; within a batch each distinct piece is looked up once.
+    """
+    pattern, first = re.compile(greedy_pattern(spellings)), {}
+    for i, s in enumerate(spellings):
+        first.setdefault(s, i)
+
+    class Codes(dict):
+        def __missing__(self, piece: str) -> int:
+            self[piece] = blank if blank is not None else 1000 + ord(piece)
+            return self[piece]
+
+    @F.pandas_udf("array<int>")
+    def coded(texts: pd.Series) -> pd.Series:
+        codes = Codes(first)
+        return texts.map(lambda t: None if t is None else [codes[p] for p in pattern.findall(t)])
+
+    return coded(text)
 
 
 def codes_text(codes: Column, spellings: list[str]) -> Column:
@@ -78,27 +129,31 @@ def _unit(n: Column) -> Column:
 def commands_text(codes: Column, names: dict[int, tuple[str, int]]) -> Column:
     """Codes as text where some codes are commands (name, operands) that swallow the codes after them.
 
-    Operands are cut at the end of the stream. One fold over the stream, bounded by its own length.
+    Operands are cut at the end of the stream. Streams travel in Arrow batches.
     """
-    def step(state: Column, code: Column) -> Column:
-        out, left = state["out"], state["left"]
-        named = F.lit(None).cast("string")
-        wants = F.lit(0)
-        for c, (name, n) in names.items():
-            named = F.when(code == c, f"[{name}").otherwise(named)
-            wants = F.when(code == c, n).otherwise(wants)
-        operand = F.concat(out, F.lit(" $"), F.hex(code), F.when(left == 1, "]").otherwise(""))
-        fresh = F.when(named.isNotNull(), F.concat(out, named, F.when(wants == 0, "]").otherwise(""))).otherwise(F.concat(out, F.lit("<"), F.hex(code), F.lit(">")))
-        return F.struct(F.when(left > 0, operand).otherwise(fresh).alias("out"), F.when(left > 0, left - 1).otherwise(wants).cast("int").alias("left"))
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("left"))
-    return F.aggregate(codes, start, step, lambda s: F.when(s["left"] > 0, F.concat(s["out"], F.lit("]"))).otherwise(s["out"]))
+    def shown(stream: list[int]) -> str:
+        out, i = [], 0
+        while i < len(stream):
+            name, n = names.get(stream[i], (None, 0))
+            if name is None:
+                out.append(f"<{stream[i]:X}>")
+            else:
+                out.append("[" + " ".join([name, *(f"${c:X}" for c in stream[i + 1 : i + 1 + n])]) + "]")
+            i += 1 + n
+        return "".join(out)
+
+    @F.pandas_udf("string")
+    def text(streams: pd.Series) -> pd.Series:
+        return streams.map(lambda s: None if s is None else shown(list(s)))
+
+    return text(codes)
 
 
 def expand_words(words: DataFrame, key: str, text: str, glyphs: DataFrame) -> DataFrame:
     """(key, codes): the codes of a word's characters, empty if one has none; glyphs: (char, code)."""
     each = words.select(key, F.posexplode(F.split(text, "")).alias("pos", "char")).where("char <> ''")
-    held = each.join(F.broadcast(glyphs.select("char", "code")), "char", "left")
+    held = each.join(glyphs.select("char", "code"), "char", "left")
     row = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "code"))), lambda s: s["code"].cast("string")), " ")
     return held.groupBy(key).agg(F.when(F.count("code") == F.count("*"), row).otherwise("").alias("codes"))
 

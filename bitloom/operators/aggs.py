@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bitloom.sources.shared import stored
+
 
 def trim_trailing(df: DataFrame, keys: list[str], index: str, filled: Column) -> DataFrame:
     """Rows up to each group's last filled one, holes included; at least the first row stays."""
@@ -19,9 +21,43 @@ def first_of(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.min(F.struct(*order, *rest)).alias("_f")).select(*key, *[F.col(f"_f.{c}").alias(c) for c in [*order, *rest]])
 
 
-def checksums(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, header, total): (-sum(b + 1)) mod 256 and the 16-bit sum of bytes."""
-    return df.groupBy(*keys).agg(F.pmod(-F.sum(F.col(value) + 1), F.lit(256)).alias("header"), F.pmod(F.sum(value), F.lit(65536)).alias("total"))
+def checksums(df: DataFrame, keys: list[str], value: str, index: str | None = None, header: tuple[int, int] | None = None, stored_at: int | None = None) -> DataFrame:
+    """(keys, header, total): (-sum(b + 1)) mod 256 and the 16-bit sum of bytes.
+
+    With an index column, `header` limits the first sum to [from, to), and `stored_at` is where the
+    16-bit sum itself is kept, high byte first: its two bytes stay out of the sum, and the result has
+    stored and matches as well (null where the bytes are not there).
+    """
+    v = F.col(value)
+    inside = F.col(index).between(header[0], header[1] - 1) if header else F.lit(True)
+    own = F.col(index).isin(stored_at, stored_at + 1) if stored_at is not None else F.lit(False)
+    sums = [F.pmod(-F.coalesce(F.sum(F.when(inside, v + 1)), F.lit(0)), F.lit(256)).alias("header"), F.pmod(F.coalesce(F.sum(F.when(~own, v)), F.lit(0)), F.lit(65536)).alias("total")]
+    if stored_at is None:
+        return df.groupBy(*keys).agg(*sums)
+    at = lambda i: F.max(F.when(F.col(index) == i, v))
+    return df.groupBy(*keys).agg(*sums, (at(stored_at) * 256 + at(stored_at + 1)).alias("stored")).withColumn("matches", F.col("stored") == F.col("total"))
+
+
+def ranked(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with place, its rank from 1 in a total order, without one task for all rows.
+
+    Rows are range-partitioned and numbered within their partition; the few partition counts are
+    summed up and joined back.
+    """
+    parted = stored(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
+    local = parted.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    sizes = parted.groupBy("_p").agg(F.count("*").alias("_c"))
+    before = sizes.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    return local.join(before, "_p").withColumn("place", F.col("_b") + F.col("_n")).drop("_p", "_n", "_b")
+
+
+def select_codes(df: DataFrame, column: str, ranks: dict[str, int], threshold: int, select: list[str], ignore: list[str]) -> DataFrame:
+    """Rows up to a rank whose code begins with one of `select` (all, if none) and none of `ignore`."""
+    up = F.upper(column)
+    some = lambda ps: F.greatest(*[up.startswith(p.upper()) for p in ps], F.lit(False))
+    kept = df.where(F.col(column).isin([k for k, v in ranks.items() if v <= threshold]))
+    kept = kept.where(some(select)) if select else kept
+    return kept.where(~some(ignore)) if ignore else kept
 
 
 def dirty(log: DataFrame, key: str, seq: str, action: str, rev: str) -> DataFrame:

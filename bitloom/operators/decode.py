@@ -25,7 +25,7 @@ def _copy(out: bytearray, source: int, count: int) -> None:
         out.append(out[k] if k >= 0 else 0)
 
 
-def read_fill_rle(data: bytes) -> tuple[bytes, int, bool]:
+def _rle(data: bytes, skip_address: bool) -> tuple[bytes, int, bool]:
     """Control byte below 80h: repeat the next byte so often; above: that many (low 7 bits) literals; FFh ends."""
     out, i = bytearray(), 0
     while i < len(data):
@@ -33,13 +33,17 @@ def read_fill_rle(data: bytes) -> tuple[bytes, int, bool]:
         i += 1
         if c == 0xFF:
             return bytes(out), i, True
-        if c < 0x80:
+        if skip_address and c == 0x7F:
+            if i + 2 > len(data):
+                break
+            i += 2
+        elif c < 0x80:
             if i >= len(data):
                 break
             out += data[i : i + 1] * c
             i += 1
         else:
-            n = c & 0x7F or 256
+            n = c & 0x7F or (0 if skip_address else 256)
             out += data[i : i + n]
             if i + n > len(data):
                 break
@@ -47,8 +51,21 @@ def read_fill_rle(data: bytes) -> tuple[bytes, int, bool]:
     return bytes(out), min(i, len(data)), False
 
 
-def _lz(data: bytes, i: int, size: int, high_first: bool, link_bit: int, link: Callable[[int, int, int], tuple[int, int]]) -> tuple[bytes, int, bool]:
-    """Flag bytes with eight choices each until `size` bytes are out; link gives (source, count) of a reference."""
+def read_address_rle(data: bytes) -> tuple[bytes, int, bool]:
+    """The reading in which 7Fh is followed by a two-byte address, left out here, and 80h does nothing."""
+    return _rle(data, True)
+
+
+def read_fill_rle(data: bytes) -> tuple[bytes, int, bool]:
+    """The reading in which 7Fh is a repeat like any other and 80h stands for 256 literals."""
+    return _rle(data, False)
+
+
+def _lz(data: bytes, i: int, size: int, high_first: bool, link_bit: int, before: int, link: Callable[[int, int, int], tuple[int, int]]) -> tuple[bytes, int, bool]:
+    """Flag bytes with eight choices each until `size` bytes are out; link gives (source, count) of a reference.
+
+    A reference may reach `before` bytes back from the start of the output; one further back is no part of a stream.
+    """
     out = bytearray()
     while len(out) < size:
         if i >= len(data):
@@ -68,24 +85,24 @@ def _lz(data: bytes, i: int, size: int, high_first: bool, link_bit: int, link: C
                     return bytes(out), len(data), False
                 source, count = link(data[i], data[i + 1], len(out))
                 i += 2
-                if source < -4096 or source >= len(out) and source >= 0:
+                if source < -before:
                     return bytes(out), i, False
                 _copy(out, source, min(count, size - len(out)))
     return bytes(out), i, True
 
 
-def read_sized_lz(data: bytes, most: int = 1 << 22) -> tuple[bytes, int, bool]:
-    """10h, 24-bit size; set bits (high first) are references: 4 bits of length - 3, 12 bits of distance - 1."""
-    size = int.from_bytes(data[1:4], "little") if len(data) >= 4 and data[0] == 0x10 else 0
-    if not 0 < size <= most:
+def read_sized_lz(data: bytes) -> tuple[bytes, int, bool]:
+    """1xh, 24-bit size; set bits (high first) are references: 4 bits of length - 3, 12 bits of distance - 1."""
+    size = int.from_bytes(data[1:4], "little") if len(data) >= 4 and data[0] >> 4 == 1 else 0
+    if not size:
         return b"", 0, False
-    return _lz(data, 4, size, True, 1, lambda a, b, at: (at - ((a & 15) << 8 | b) - 1, (a >> 4) + 3))
+    return _lz(data, 4, size, True, 1, 0, lambda a, b, at: (at - ((a & 15) << 8 | b) - 1, (a >> 4) + 3))
 
 
-def read_ring_lz(data: bytes, most: int = 1 << 22) -> tuple[bytes, int, bool]:
-    """32-bit size; clear bits (low first) are references to a 4096-byte ring that begins at FEEh."""
+def read_ring_lz(data: bytes) -> tuple[bytes, int, bool]:
+    """32-bit size; clear bits (low first) are references to a 4096-byte ring of zeros that begins at FEEh."""
     size = int.from_bytes(data[:4], "little") if len(data) >= 4 else 0
-    if not 0 < size <= most:
+    if not size:
         return b"", 0, False
 
     def link(a: int, b: int, at: int) -> tuple[int, int]:
@@ -93,33 +110,59 @@ def read_ring_lz(data: bytes, most: int = 1 << 22) -> tuple[bytes, int, bool]:
         back = (0xFEE + at - place) % 4096 or 4096
         return at - back, (b & 15) + 3
 
-    return _lz(data, 4, size, False, 0, link)
+    return _lz(data, 4, size, False, 0, 4096, link)
 
 
-def _heads_sized(data: np.ndarray, most: int) -> np.ndarray:
+def _heads_sized(data: np.ndarray) -> np.ndarray:
     """Offsets where a sized stream could begin."""
     if len(data) < 5:
         return np.zeros(0, np.int64)
-    size = data[1:-3].astype(np.int64) | data[2:-2].astype(np.int64) << 8 | data[3:-1].astype(np.int64) << 16
-    return np.flatnonzero((data[:-4] == 0x10) & (size > 0) & (size <= most))
+    some = (data[1:-3] | data[2:-2] | data[3:-1]) > 0
+    return np.flatnonzero((data[:-4] >> 4 == 1) & some)
 
 
-def _heads_ring(data: np.ndarray, most: int) -> np.ndarray:
+def _heads_ring(data: np.ndarray) -> np.ndarray:
+    """Streams of a size that the data behind can hold: a flag byte and eight references give at most 144 bytes for 17."""
     if len(data) < 5:
         return np.zeros(0, np.int64)
     size = data[:-4].astype(np.int64) | data[1:-3].astype(np.int64) << 8 | data[2:-2].astype(np.int64) << 16 | data[3:-1].astype(np.int64) << 24
-    return np.flatnonzero((size > 0) & (size <= most))
-
+    left = len(data) - 4 - np.arange(len(size))
+    return np.flatnonzero((size > 0) & (size <= left * 9))
+
+
+def _scan_rle(skip_address: bool) -> Callable[[bytes, int], list[tuple[int, int, int]]]:
+    """All complete run streams of a piece, (offset, consumed, size), in one pass from its end: a stream goes on where its first command leads."""
+
+    def scan(data: bytes, probe: int) -> list[tuple[int, int, int]]:
+        n = data.rfind(b"\xff") + 1
+        stop, size = [0] * (n + 1), [0] * (n + 1)
+        found = []
+        for i in range(n - 1, -1, -1):
+            c = data[i]
+            if c == 0xFF:
+                stop[i] = i + 1
+                continue
+            if skip_address and c == 0x7F:
+                after, gain = i + 3, 0
+            elif c < 0x80:
+                after, gain = i + 2, c
+            else:
+                gain = c & 0x7F or (0 if skip_address else 256)
+                after = i + 1 + gain
+            if after < n and stop[after]:
+                stop[i], size[i] = stop[after], gain + size[after]
+                if size[i] and stop[i] - i <= probe:
+                    found.append((i, stop[i] - i, size[i]))
+        return found[::-1]
 
-def _heads_rle(data: np.ndarray, most: int) -> np.ndarray:
-    """Only a stream with an end mark ahead can be complete."""
-    ends = np.flatnonzero(data == 0xFF)
-    return np.arange(int(ends[-1])) if len(ends) else np.zeros(0, np.int64)
+    return scan
 
 
 #: Shipped readers and their cheap rejecting looks at a stream's head.
-READERS: dict[str, Reader] = {"sized-lz": read_sized_lz, "ring-lz": read_ring_lz, "fill-rle": read_fill_rle}
-HEADS = {"sized-lz": _heads_sized, "ring-lz": _heads_ring, "fill-rle": _heads_rle}
+READERS: dict[str, Reader] = {"sized-lz": read_sized_lz, "ring-lz": read_ring_lz, "fill-rle": read_fill_rle, "address-rle": read_address_rle}
+HEADS = {"sized-lz": _heads_sized, "ring-lz": _heads_ring}
+#: Readers whose streams are all found in one pass.
+SCANS = {"fill-rle": _scan_rle(False), "address-rle": _scan_rle(True)}
 
 
 class Registry:
@@ -138,7 +181,10 @@ class Registry:
         return self.builders[stage, id_](column)
 
     def register_table_functions(self, spark: SparkSession) -> None:
-        """Each reader as a table function of SQL, named after its id: (output, consumed, complete)."""
+        """Each reader as a table function of SQL, named after its id: (output, consumed, complete).
+
+        A row function, since SQL's lateral joins refuse Arrow ones; jobs over many rows use decode().
+        """
         from pyspark.sql.functions import udtf
 
         for (_, id_), reader in self.readers.items():
@@ -155,7 +201,7 @@ class Registry:
 def decode(df: DataFrame, blob: str, codec: Column | str, readers: dict[str, Reader] | None = None) -> DataFrame:
     """df with output, consumed, complete, stage and message; a failed row has a null output."""
     readers = readers or READERS
-    given = df.withColumn("_codec", F.lit(codec) if isinstance(codec, str) else codec)
+    given = df.withColumn("_reader", F.lit(codec) if isinstance(codec, str) else codec)
     at = given.columns.index(blob)
     schema = StructType([*df.schema.fields, *StructType.fromDDL("output binary, consumed int, complete boolean, stage string, message string").fields])
 
@@ -176,8 +222,54 @@ def decode(df: DataFrame, blob: str, codec: Column | str, readers: dict[str, Rea
     return given.mapInArrow(run, schema)
 
 
+#: Reshapes of a region: byte orders within units of so many bytes, by name.
+RESHAPES = {"swap": [1, 0], "reverse-4": [3, 2, 1, 0]}
+
+
+def staged(df: DataFrame, blob: str, pathway: str, offset: Column, length: Column, reshape: Column, codec: Column, fields: dict[str, tuple[int, int]], readers: dict[str, Reader] | None = None) -> DataFrame:
+    """df with output, the named fields of it, and for a failed row (failed_stage, failed_action, plugin, message) instead.
+
+    Four stages for each row: cut [offset, offset + length) out of the blob (a null length goes to its
+    end), put its bytes in the order that `reshape` names (null: as they are), decompress by `codec`
+    (null: as it is), and read little-endian fields {name: (first byte, bytes)} of the output. A
+    failure keeps the row with its `pathway` and nothing of its payload.
+    """
+    size = F.octet_length(blob)
+    stop = F.coalesce(offset + length, size)
+    cut_bad = F.when(F.col(blob).isNull(), "no content").when((offset < 0) | (stop < offset) | (stop > size), "region past the end")
+    region = F.when(cut_bad.isNull(), F.expr(f"substring({blob}, _offset + 1, _stop - _offset)"))
+    given = df.withColumns({"_offset": offset.cast("int"), "_stop": stop.cast("int"), "_reshape": reshape, "_codec": codec})
+    cut = given.withColumn("_cut_bad", cut_bad).withColumn("_region", region)
+    turned, bad = F.col("_region"), F.when(F.col("_reshape").isNotNull() & ~F.col("_reshape").isin(list(RESHAPES)), "unknown reshape")
+    for name, order in RESHAPES.items():
+        groups, wanted = "(..)" * len(order), "".join(f"${k + 1}" for k in order)
+        mine = F.col("_reshape") == name
+        turned = F.when(mine, F.unhex(F.regexp_replace(F.hex("_region"), groups, wanted))).otherwise(turned)
+        bad = bad.when(mine & (F.octet_length("_region") % len(order) != 0), f"no whole units of {len(order)} bytes")
+    shaped = cut.withColumn("_shape_bad", F.when(F.col("_cut_bad").isNull(), bad)).withColumn("_shaped", F.when(F.col("_shape_bad").isNull(), turned))
+    # rows without a codec, or failed already, pass through an identity reader
+    ready = F.when(F.col("_shaped").isNull(), F.lit("")).otherwise(F.coalesce("_codec", F.lit("")))
+    known = {**(readers or READERS), "": lambda raw: (raw, len(raw), True)}
+    read = decode(shaped.withColumn("_shaped", F.coalesce("_shaped", F.lit(b"").cast("binary"))).drop("output", "consumed", "complete", "stage", "message"), "_shaped", ready, known)
+    short = F.coalesce(*[F.when(F.octet_length("output") < first + n, f"no room for {name}") for name, (first, n) in fields.items()], F.lit(None).cast("string"))
+    steps = [
+        ("container", "cut", F.lit("slice"), F.col("_cut_bad")), ("container", "reshape", F.col("_reshape"), F.col("_shape_bad")),
+        ("decompress", "decode", F.col("_codec"), F.col("message")), ("interpret", "fields", F.lit("fields"), F.when(F.col("message").isNull(), short)),
+    ]
+    failed = F.coalesce(*[F.when(m.isNotNull(), F.struct(F.lit(st).alias("stage"), F.lit(ac).alias("action"), pl.alias("plugin"), m.alias("message"))) for st, ac, pl, m in steps])
+    out = read.withColumn("_failed", failed)
+    good = F.col("_failed").isNull()
+    byte = lambda first, k: F.conv(F.hex(F.substring("output", first + k + 1, 1)), 16, 10).cast("long")
+    number = lambda first, n: sum((F.shiftleft(byte(first, k), 8 * k) for k in range(n)), F.lit(0).cast("long"))
+    return out.select(
+        *[c for c in df.columns if c not in ("output", *fields)], F.lit(pathway).alias("pathway"), F.when(good, F.col("output")).alias("output"),
+        *[F.when(good, number(*at)).alias(name) for name, at in fields.items()],
+        F.col("_failed.stage").alias("failed_stage"), F.col("_failed.action").alias("failed_action"), F.col("_failed.plugin").alias("plugin"), F.col("_failed.message").alias("message"),
+    )
+
+
 def find_structures(df: DataFrame, key: str, blob: str, codecs: list[str], probe_bytes: int = 4096, window: int = 1 << 16) -> DataFrame:
-    """(key, codec, offset, consumed, size): every place where a reader gives a non-empty, complete result.
+    """(key, codec, offset, consumed, size): every place where a reader gives a non-empty, complete result of the next probe_bytes.
 
     Files are cut into windows that overlap by probe_bytes, dealt out evenly; a hit belongs to the
     window of its first byte, so none is found twice.
@@ -192,7 +284,10 @@ def find_structures(df: DataFrame, key: str, blob: str, codecs: list[str], probe
                 piece = bytes(piece or b"")
                 data = np.frombuffer(piece, np.uint8)
                 for name in codecs:
-                    for at in HEADS[name](data, 1 << 22).tolist():
+                    if name in SCANS:
+                        rows += [(k, name, base + at, used, size) for at, used, size in SCANS[name](piece, probe_bytes) if at < window]
+                        continue
+                    for at in HEADS[name](data).tolist():
                         if at >= window:
                             break
                         out, used, done = READERS[name](piece[at : at + probe_bytes])

@@ -1,57 +1,63 @@
 """Permutations, alias chains, cycles of functional graphs and connected regions.
 
 Iterations are joins whose number grows with the logarithm of the data; each round's table is
-written to the cluster's shared folder (DataFrame.checkpoint), so a lost executor costs a round.
+written to the cluster's shared folder, so a lost executor costs a round, and deleted when the next
+one stands.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _checked(df: DataFrame) -> DataFrame:
-    """df checkpointed in spark.checkpoint.dir, which is set to a local folder only where it is unset."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="bitloom-"))
-    return df.checkpoint()
+from bitloom.sources.shared import discard, stored
 
 
 def cycle_labels(df: DataFrame, node: str, next_: str) -> DataFrame:
     """(node, on_cycle, label): nodes of an out-degree-1 graph; label is the least node of the cycle, null off cycles.
 
     After doubling the pointers past n steps every image lies on a cycle, and every cycle node is an
-    image; the least node seen while doubling from a cycle node is its cycle's label.
+    image; the least node seen while doubling from a cycle node is its cycle's label. A node with
+    several targets has the least of them.
     """
-    links = _checked(df.select(F.col(node).alias("node"), F.col(next_).alias("to")).where("node is not null").dropDuplicates(["node"]))
-    walk = links.join(links.select(F.col("node").alias("to"), F.lit(True).alias("there")), "to", "left").select("node", F.when(F.col("there"), F.col("to")).alias("jump"), F.col("node").alias("least"))
+    links = stored(df.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("node")).agg(F.min(next_).alias("to")))
+    walk = stored(links.join(links.select(F.col("node").alias("to"), F.lit(True).alias("there")), "to", "left").select("node", F.when(F.col("there"), F.col("to")).alias("jump"), F.col("node").alias("least")))
     steps, n = 1, links.count()
     while steps < n:
         ahead = walk.select(F.col("node").alias("jump"), F.col("jump").alias("far"), F.col("least").alias("ahead"))
-        walk = _checked(walk.join(ahead, "jump", "left").select("node", F.col("far").alias("jump"), F.least("least", "ahead").alias("least")))
+        further = stored(walk.join(ahead, "jump", "left").select("node", F.col("far").alias("jump"), F.least("least", "ahead").alias("least")))
+        discard(walk)
+        walk = further
         steps *= 2
     on = walk.where("jump is not null").select(F.col("jump").alias("node")).distinct().withColumn("on_cycle", F.lit(True))
     # the walk of a cycle node has gone all the way round by now
     return walk.join(on, "node", "left").select("node", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"), F.when(F.col("on_cycle"), F.col("least")).alias("label"))
 
 
-def chain_ends(aliases: DataFrame, old: str, new: str, rounds: int = 16) -> DataFrame:
-    """(old, last): the id at the end of each alias chain; a chain that loops ends at its own loop's least id."""
-    links = aliases.select(F.col(old).alias("old"), F.col(new).alias("last")).where("old is not null and last is not null").dropDuplicates(["old"])
+def reference_cycles(df: DataFrame, node: str, next_: str) -> DataFrame:
+    """(label, node, members): the nodes of each cycle, which has `members` of them."""
+    on = cycle_labels(df, node, next_).where("on_cycle").select("label", "node")
+    return on.join(on.groupBy("label").agg(F.count("*").alias("members")), "label")
+
+
+def chain_ends(aliases: DataFrame, old: str, new: str) -> DataFrame:
+    """(old, last): the id at the end of each alias chain; a chain that loops ends at its own loop's least id.
+
+    Pointers double until none moves, so rounds grow with the logarithm of the longest chain; loops
+    are cut by their label first. An id with several aliases has the least of them.
+    """
+    links = aliases.where(F.col(old).isNotNull() & F.col(new).isNotNull()).groupBy(F.col(old).alias("old")).agg(F.min(new).alias("last"))
     loops = cycle_labels(links, "old", "last").where("on_cycle").select(F.col("node").alias("old"), "label")
     ends = links.join(loops, "old", "left").select("old", F.coalesce("label", "last").alias("last"), F.col("label").isNotNull().alias("looped"))
-    ends = _checked(ends)
-    for _ in range(rounds):
+    ends = stored(ends)
+    while True:
         ahead = ends.select(F.col("old").alias("last"), F.col("last").alias("far"))
-        moved = _checked(ends.join(ahead, "last", "left").select("old", F.when(F.col("looped"), F.col("last")).otherwise(F.coalesce("far", "last")).alias("next"), "last", "looped"))
-        done = moved.where("next <> last").isEmpty()
-        ends = moved.select("old", F.col("next").alias("last"), "looped")
-        if done:
-            break
-    return ends.select("old", "last")
+        next_ = F.when(F.col("looped"), F.col("last")).otherwise(F.coalesce("far", "last"))
+        further = stored(ends.join(ahead, "last", "left").select("old", next_.alias("last"), "looped", (next_ != F.col("last")).alias("moved")))
+        discard(ends)
+        ends = further
+        if ends.where("moved").isEmpty():
+            return ends.select("old", "last")
 
 
 def forward(df: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
@@ -94,21 +100,37 @@ def regions(grid: DataFrame, value: str = "v") -> DataFrame:
     w = Window.partitionBy("y").orderBy("x")
     fresh = ~((F.lag("x").over(w) == F.col("x") - 1) & F.lag(value).over(w).eqNullSafe(F.col(value)))
     marked = grid.withColumn("_f", F.coalesce(fresh, F.lit(True)).cast("int")).withColumn("_r", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    cells = _checked(marked.withColumn("run", F.min("pos").over(Window.partitionBy("y", "_r"))).select("pos", "x", "y", value, "run"))
+    cells = stored(marked.withColumn("run", F.min("pos").over(Window.partitionBy("y", "_r"))).select("pos", "x", "y", value, "run"))
     # neighbours below meet on an equi join of positions; distinct leaves one edge a pair of runs
     up = cells.select("x", (F.col("y") + 1).alias("y"), F.col(value).alias("_v"), F.col("run").alias("a"))
-    live = _checked(cells.join(up, ["x", "y"]).where(F.col(value).eqNullSafe(F.col("_v"))).select(F.least("a", "run").alias("a"), F.greatest("a", "run").alias("b")).distinct())
+    live = stored(cells.join(up, ["x", "y"]).where(F.col(value).eqNullSafe(F.col("_v"))).select(F.least("a", "run").alias("a"), F.greatest("a", "run").alias("b")).distinct())
     found = cells.select("run", F.col("run").alias("region")).distinct()
     while not live.isEmpty():
         both = live.select(F.col("a").alias("id"), F.col("b").alias("n")).union(live.select(F.col("b"), F.col("a")))
-        hook = _checked(both.groupBy("id").agg(F.min("n").alias("n")).select("id", F.least("id", "n").alias("root")))
+        hook = stored(both.groupBy("id").agg(F.min("n").alias("n")).select("id", F.least("id", "n").alias("root")))
         while True:
             ahead = hook.select(F.col("id").alias("root"), F.col("root").alias("far"))
-            raised = _checked(hook.join(ahead, "root").select("id", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")))
+            raised = stored(hook.join(ahead, "root").select("id", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")))
             hook = raised.select("id", "root")
             if raised.where("moved").isEmpty():
                 break
-        found = _checked(found.join(hook.withColumnRenamed("id", "region"), "region", "left").select("run", F.coalesce("root", "region").alias("region")))
+        found = stored(found.join(hook.withColumnRenamed("id", "region"), "region", "left").select("run", F.coalesce("root", "region").alias("region")))
         a, b = hook.select(F.col("id").alias("a"), F.col("root").alias("x")), hook.select(F.col("id").alias("b"), F.col("root").alias("y"))
-        live = _checked(live.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct())
+        live = stored(live.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct())
     return cells.select("pos", "run").join(found, "run").select("pos", "region")
+
+
+def fill(grid: DataFrame, seed: int, value: str = "v", bounds: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """(pos): the 4-connected area of equal value around the cell at position `seed`, inside bounds (x, y, width, height).
+
+    A seed that the grid lacks or that lies outside the bounds gives nothing. Only cells of the
+    seed's value inside the bounds are looked at.
+    """
+    inside = grid
+    if bounds:
+        x, y, w, h = bounds
+        inside = grid.where(F.col("x").between(x, x + w - 1) & F.col("y").between(y, y + h - 1))
+    start = inside.where(F.col("pos") == seed).select(F.col(value).alias("_seed"))
+    alike = inside.join(F.broadcast(start.limit(1)), F.col(value).eqNullSafe(F.col("_seed")), "left_semi")
+    found = regions(alike, value)
+    return found.join(F.broadcast(found.where(F.col("pos") == seed).select("region").limit(1)), "region", "left_semi").select("pos")

@@ -66,6 +66,14 @@ def first_hit(found: DataFrame, point: str, draws: Column, order: str) -> DataFr
     return found.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def resolved_id(inside_x: Column, inside_y: Column, across: Column, flip_x: Column, flip_y: Column, width: Column, height: Column, base: Column, count: int) -> Column:
+    """Id of the cell that a point inside a box shows: its place in the box, flips undone, in rows of `across` from `base` on; null outside [0, count)."""
+    x = F.when(flip_x, width - 1 - inside_x).otherwise(inside_x)
+    y = F.when(flip_y, height - 1 - inside_y).otherwise(inside_y)
+    at = base + y * across + x
+    return F.when((at >= 0) & (at < count), at)
+
+
 def common_bounds(boxes: DataFrame, keys: list[str], unit: int) -> DataFrame:
     """(keys, left, top, width, height): bounds rounded outward to whole units, never empty."""
     low = lambda c: F.floor(F.min(c) / unit) * unit

@@ -23,9 +23,19 @@ def rule(df: DataFrame, code: str, severity: str | Column, where: Column, entry:
     )
 
 
-def run(passes: list[DataFrame]) -> DataFrame:
-    """All findings of rules, in one table with the pass that made each."""
-    return reduce(DataFrame.unionByName, [p.withColumn("pass", F.lit(i)) for i, p in enumerate(passes)])
+def run(passes: list[list[DataFrame]], fatal: DataFrame | None = None, file: Column | None = None) -> DataFrame:
+    """All findings of the rules of each pass, with the number of the pass that made them, from 1.
+
+    fatal holds the findings of reading the files; they make pass 0 and end their files: nothing else
+    is told of a file that could not be read. `file` tells a finding's file from its columns.
+    """
+    numbered = [r.select(*COLUMNS).withColumn("pass", F.lit(i)) for i, rules in enumerate(passes, 1) for r in rules]
+    every = reduce(DataFrame.unionByName, numbered)
+    if fatal is None:
+        return every
+    first = fatal.select(*COLUMNS).withColumn("pass", F.lit(0))
+    ended = first.select(file.alias("_ended")).distinct()
+    return first.unionByName(every.withColumn("_file", file).join(ended, F.col("_file") == F.col("_ended"), "left_anti").drop("_file"))
 
 
 def unknown_keys(df: DataFrame, code: str, entry: str, json: str, known: list[str]) -> DataFrame:
@@ -63,7 +73,7 @@ def membership(df: DataFrame, code: str, entry: str, column: str, stage: str, re
     own = registry.where(F.col("stage") == stage).select(F.col("id").alias("_own"))
     other = registry.where(F.col("stage") != stage).groupBy("id").agg(F.min("stage").alias("_stage")).withColumnRenamed("id", "_other")
     al = renamed.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
-    j = df.join(F.broadcast(own), F.col(column) == F.col("_own"), "left_anti").join(F.broadcast(other), F.col(column) == F.col("_other"), "left").join(F.broadcast(al), F.col(column) == F.col("_old"), "left")
+    j = df.join(own, F.col(column) == F.col("_own"), "left_anti").join(other, F.col(column) == F.col("_other"), "left").join(al, F.col(column) == F.col("_old"), "left")
     severity = F.when(F.col("_new").isNotNull(), "info").when(F.col("_stage").isNotNull() | F.lit(complete), "error").otherwise("warning")
     message = F.when(F.col("_new").isNotNull(), F.concat(F.lit("renamed to "), F.col("_new"))).when(F.col("_stage").isNotNull(), F.concat(F.lit("belongs to stage "), F.col("_stage"))).otherwise("unknown id")
     return rule(j, code, severity, F.col(column).isNotNull(), entry, message, column, F.col(column))

@@ -46,7 +46,7 @@ def missing_keys(references: list[DataFrame], inventory: DataFrame, key: str, or
 def repoint(df: DataFrame, column: str, mapping: DataFrame, name: str | None = None) -> DataFrame:
     """Old keys replaced through (old, new); where the row's name was the old key, it follows."""
     m = mapping.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
-    joined = df.join(F.broadcast(m), F.col(column) == F.col("_old"), "left")
+    joined = df.join(m, F.col(column) == F.col("_old"), "left")
     out = {column: F.coalesce("_new", column)}
     if name:
         out[name] = F.when(F.col("_new").isNotNull() & (F.col(name) == F.col(column).cast("string")), F.col("_new").cast("string")).otherwise(F.col(name))
@@ -72,3 +72,21 @@ def best_match(df: DataFrame, key: str, score: str, order: str) -> DataFrame:
     """The row of each key with the greatest score, ties to the least order."""
     w = Window.partitionBy(key).orderBy(F.desc(score), F.col(order))
     return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+
+
+def detect(pages: DataFrame, signatures: list[tuple]) -> DataFrame:
+    """Best signature of each page: narrowing terms reject, magic decides alone with 2, a suffix counts 1, raw if none.
+
+    signatures: (name, place, magic, suffix, least size, order), and if need be the exact size and a
+    (modulus, remainder) of the size. They become one literal array, so each page is scored in place
+    without a join or a shuffle.
+    """
+    scored = []
+    size = F.length("html")
+    for name, place, magic, suffix, least, order, *more in signatures:
+        exact, (modulus, remainder) = (more[0] if more else None), (more[1] if len(more) > 1 and more[1] else (1, 0))
+        hit = F.when(F.substring("html", place, len(magic)) == magic, 2) if magic is not None else F.when(F.endswith(F.lower("url"), F.lit(suffix)), 1) if suffix is not None else F.lit(0)
+        narrow = (size < least) | (size % modulus != remainder) | (size != exact if exact is not None else F.lit(False))
+        scored.append(F.struct(F.when(narrow, 0).otherwise(F.coalesce(hit, F.lit(0))).alias("score"), F.lit(-order).alias("ord"), F.lit(name).alias("name")))
+    best = F.array_max(F.array(*scored))
+    return pages.select("page_id", best.alias("b")).select("page_id", F.when(F.col("b.score") > 0, F.col("b.name")).otherwise("raw").alias("container"), F.col("b.score").alias("score"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.functions.text import natural_key
@@ -44,6 +44,15 @@ def a8(spark: SparkSession, d: str) -> DataFrame:
     return A.checksums(text_bytes(spark, d), ["doc_id"], "v")
 
 
+@query("a8_stored_checksum", """WITH b AS (SELECT doc_id, generate_subscripts(string_split(text, ''), 1) - 1 AS i, ascii(unnest(string_split(text, ''))) % 256 AS v FROM documents WHERE text <> '')
+SELECT doc_id, CAST(((-coalesce(sum(v + 1) FILTER (i BETWEEN 4 AND 24), 0)) % 256 + 256) % 256 AS BIGINT) AS header, CAST(coalesce(sum(v) FILTER (i NOT IN (10, 11)), 0) % 65536 AS BIGINT) AS total,
+ CAST(max(v) FILTER (i = 10) * 256 + max(v) FILTER (i = 11) AS BIGINT) AS stored, max(v) FILTER (i = 10) * 256 + max(v) FILTER (i = 11) = coalesce(sum(v) FILTER (i NOT IN (10, 11)), 0) % 65536 AS matches FROM b GROUP BY doc_id""")
+def a8s(spark: SparkSession, d: str) -> DataFrame:
+    """The first sum over characters 4 to 24, the second over all but 10 and 11, which are read as the stored sum."""
+    sums = A.checksums(text_bytes(spark, d), ["doc_id"], "v", "pos", (4, 25), 10)
+    return sums.select("doc_id", "header", "total", F.col("stored").cast("long").alias("stored"), "matches")
+
+
 @query("a9_dirty_flags", """WITH l AS (SELECT user_id, arg_max(event_id // 4, event_id) FILTER (event_type = 'click') AS current, arg_max(event_id // 4, event_id) FILTER (event_type = 'purchase') AS saved FROM events GROUP BY user_id)
 SELECT user_id, current, saved, current IS NOT NULL AND current IS DISTINCT FROM saved AS dirty FROM l""")
 def a9(spark: SparkSession, d: str) -> DataFrame:
@@ -78,28 +87,12 @@ _NAT = "regexp_extract(lower(s_name), '^(.*?)0*([0-9]+)$', 1) || lpad(regexp_ext
 @query("o1_natural_sort", f"SELECT s_suppkey, s_name, row_number() OVER (ORDER BY {_NAT}, s_suppkey) AS place FROM supplier")
 def o1(spark: SparkSession, d: str) -> DataFrame:
     """Rank by natural name: a range shuffle sorts, and ranks are counts of partitions before plus the place within."""
-    return ranked(table(spark, d, "supplier").select("s_suppkey", "s_name", natural_key(F.col("s_name")).alias("k")), ["k", "s_suppkey"]).select("s_suppkey", "s_name", "place")
-
-
-def ranked(df: DataFrame, order: list[str], width: int = 1 << 16) -> DataFrame:
-    """df with place, its rank from 1 in a total order, without one task for all rows.
-
-    Rows are range-partitioned and numbered within their partition; the few partition counts are
-    summed up and joined back.
-    """
-    parted = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    from bitloom.operators.graph import _checked
-
-    parted = _checked(parted)
-    local = parted.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = parted.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = sizes.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return local.join(F.broadcast(before), "_p").withColumn("place", F.col("_b") + F.col("_n")).drop("_p", "_n", "_b")
+    return A.ranked(table(spark, d, "supplier").select("s_suppkey", "s_name", natural_key(F.col("s_name")).alias("k")), ["k", "s_suppkey"]).select("s_suppkey", "s_name", "place")
 
 
 @query("o2_offset_sort", f"SELECT p_partkey, row_number() OVER (ORDER BY p_size, {_NAT.replace('s_name', 'p_brand')}, p_partkey) AS place FROM part")
 def o2(spark: SparkSession, d: str) -> DataFrame:
-    return ranked(table(spark, d, "part").select("p_partkey", "p_size", natural_key(F.col("p_brand")).alias("k")), ["p_size", "k", "p_partkey"]).select("p_partkey", "place")
+    return A.ranked(table(spark, d, "part").select("p_partkey", "p_size", natural_key(F.col("p_brand")).alias("k")), ["p_size", "k", "p_partkey"]).select("p_partkey", "place")
 
 
 _TYPES = ["signup", "purchase", "click", "view"]
@@ -108,7 +101,7 @@ _TYPES = ["signup", "purchase", "click", "view"]
 @query("o3_type_rank_sort", "SELECT event_id, row_number() OVER (ORDER BY CASE event_type WHEN 'signup' THEN 0 WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 ELSE 4 END, event_id) AS place FROM events")
 def o3(spark: SparkSession, d: str) -> DataFrame:
     rank = F.coalesce(*[F.when(F.col("event_type") == t, i) for i, t in enumerate(_TYPES)], F.lit(len(_TYPES)))
-    return ranked(table(spark, d, "events").select("event_id", rank.alias("r")), ["r", "event_id"]).select("event_id", "place")
+    return A.ranked(table(spark, d, "events").select("event_id", rank.alias("r")), ["r", "event_id"]).select("event_id", "place")
 
 
 @query("o5_best_divisor", """WITH c AS (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand), x AS (SELECT p_brand, n, unnest(range(1, n + 1)) AS a FROM c)
@@ -138,16 +131,7 @@ def t3(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p3_severity_and_prefix", f"WITH {_RANK_SQL} SELECT o_orderkey, o_orderpriority FROM orders JOIN sev ON severity = o_orderpriority WHERE rank <= 3 AND (starts_with(upper(o_orderpriority), '1') OR starts_with(upper(o_orderpriority), '4-N')) AND NOT starts_with(upper(o_orderpriority), '1-X')")
 def p3(spark: SparkSession, d: str) -> DataFrame:
-    return select_codes(table(spark, d, "orders"), "o_orderpriority", _RANKS, 3, ["1", "4-n"], ["1-x"]).select("o_orderkey", "o_orderpriority")
-
-
-def select_codes(df: DataFrame, column: str, ranks: dict[str, int], threshold: int, select: list[str], ignore: list[str]) -> DataFrame:
-    """Rows up to a rank whose code begins with one of `select` (all, if none) and none of `ignore`."""
-    up = F.upper(column)
-    some = lambda ps: F.greatest(*[up.startswith(p.upper()) for p in ps], F.lit(False))
-    kept = df.where(F.col(column).isin([k for k, v in ranks.items() if v <= threshold]))
-    kept = kept.where(some(select)) if select else kept
-    return kept.where(~some(ignore)) if ignore else kept
+    return A.select_codes(table(spark, d, "orders"), "o_orderpriority", _RANKS, 3, ["1", "4-n"], ["1-x"]).select("o_orderkey", "o_orderpriority")
 
 
 _MATRIX = [("purchase", "export"), ("click", "edit"), ("purchase", "edit"), ("signup", "export")]

@@ -27,6 +27,31 @@ def u2(spark: SparkSession, d: str) -> DataFrame:
     return done.select("doc_id", "complete", F.sha2("output", 256).alias("output_sha"), "stage", "message")
 
 
+_STAGED = """WITH b AS (SELECT doc_id, text, doc_id % 13 AS a, doc_id % 4 AS r, doc_id % 17 AS c,
+ strlen(text) + CAST(ceil(strlen(text) / 120.0) AS BIGINT) + CASE WHEN doc_id % 13 = 5 THEN 0 ELSE 1 END AS n FROM documents),
+f AS (SELECT *, CASE WHEN c = 3 THEN 1 WHEN r = 1 AND n % 2 = 1 THEN 2 WHEN r = 3 THEN 3 WHEN a = 5 THEN 4 WHEN strlen(text) < 2 THEN 5 ELSE 0 END AS bad FROM b)
+SELECT doc_id, 'texts' AS pathway, CASE WHEN bad = 0 THEN sha256(text) END AS output_sha,
+ CASE WHEN bad = 0 THEN CAST(get_bit(CAST(encode(text) AS BIT), 0) * 128 + get_bit(CAST(encode(text) AS BIT), 1) * 64 + get_bit(CAST(encode(text) AS BIT), 2) * 32 + get_bit(CAST(encode(text) AS BIT), 3) * 16
+  + get_bit(CAST(encode(text) AS BIT), 4) * 8 + get_bit(CAST(encode(text) AS BIT), 5) * 4 + get_bit(CAST(encode(text) AS BIT), 6) * 2 + get_bit(CAST(encode(text) AS BIT), 7) AS BIGINT) END AS first_byte,
+ CASE bad WHEN 1 THEN 'container' WHEN 2 THEN 'container' WHEN 3 THEN 'container' WHEN 4 THEN 'decompress' WHEN 5 THEN 'interpret' END AS failed_stage,
+ CASE bad WHEN 1 THEN 'cut' WHEN 2 THEN 'reshape' WHEN 3 THEN 'reshape' WHEN 4 THEN 'decode' WHEN 5 THEN 'fields' END AS failed_action,
+ CASE bad WHEN 1 THEN 'slice' WHEN 2 THEN 'swap' WHEN 3 THEN 'mirror' WHEN 4 THEN 'fill-rle' WHEN 5 THEN 'fields' END AS plugin,
+ CASE bad WHEN 1 THEN 'region past the end' WHEN 2 THEN 'no whole units of 2 bytes' WHEN 3 THEN 'unknown reshape' WHEN 4 THEN 'stream ends early' WHEN 5 THEN 'no room for first_two' END AS message FROM f"""
+
+
+@query("u2_stages_and_failures", _STAGED)
+def u2s(spark: SparkSession, d: str) -> DataFrame:
+    """Packed texts behind a header of four bytes, some with swapped bytes; each stage fails for some."""
+    docs = packed_texts(spark, d).select("doc_id", "blob")
+    k, hexed = F.col("doc_id"), F.hex("blob")
+    body = F.when(k % 4 == 1, F.unhex(F.regexp_replace(hexed, "(..)(..)", "$2$1"))).otherwise(F.col("blob"))
+    whole = docs.select("doc_id", F.concat(F.unhex(F.lit("48454144")), body).alias("blob"))
+    n = F.octet_length("blob")
+    reshape = F.when(k % 4 == 1, "swap").when(k % 4 == 3, "mirror")
+    done = D.staged(whole, "blob", "texts", F.lit(4), F.when(k % 17 == 3, n), reshape, F.lit("fill-rle"), {"first_byte": (0, 1), "first_two": (0, 2)})
+    return done.select("doc_id", "pathway", F.sha2("output", 256).alias("output_sha"), "first_byte", "failed_stage", "failed_action", "plugin", "message")
+
+
 def planted(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, blob): whole texts, every fifth followed by a sized stream of 32 literals and ten bytes more."""
     docs = table(spark, d, "documents").select("doc_id", "text")
@@ -45,6 +70,31 @@ def u3(spark: SparkSession, d: str) -> DataFrame:
     return D.find_structures(planted(spark, d), "doc_id", "blob", ["sized-lz", "fill-rle"])
 
 
+def planted_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, blob): whole texts followed by a stream of one of four kinds, or none; few by run streams, which hit nearly everywhere."""
+    docs = table(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("t"))
+    # sized: 6 bytes, a literal and a reference of 5; ring: 4 bytes, a literal and a reference of 3;
+    # runs: a repeat and literals; the same after an address
+    kinds = ["10060000406120 00", "04000000017AEEF0", "034182 4243FF", "7F0020034182 4243FF"]
+    kind = F.when(F.col("doc_id") % 5 < 2, F.col("doc_id") % 5).when((F.col("doc_id") % 50).isin(2, 3), F.col("doc_id") % 50)
+    stream = F.element_at(F.array(*[F.unhex(F.lit(x.replace(" ", ""))) for x in kinds]), (kind + 1).cast("int"))
+    return docs.select("doc_id", F.when(kind.isNotNull(), F.concat("t", stream)).otherwise(F.col("t")).alias("blob"))
+
+
+_KINDS = """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'sized-lz' WHEN 1 THEN 'ring-lz' ELSE 'address-rle' END AS codec, CAST(strlen(text) AS BIGINT) AS "offset",
+ CASE doc_id % 5 WHEN 0 THEN 8 WHEN 1 THEN 8 WHEN 2 THEN 6 ELSE 9 END AS consumed, CASE doc_id % 5 WHEN 0 THEN 6 WHEN 1 THEN 4 ELSE 5 END AS size FROM documents WHERE doc_id % 5 < 2 OR doc_id % 50 IN (2, 3)"""
+
+
+@query("u3_every_reader", _KINDS)
+def u3r(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of each reader at the planted place; the run readers hit at many places before it as well."""
+    k = F.col("doc_id") % 5
+    found = D.find_structures(planted_kinds(spark, d), "doc_id", "blob", ["sized-lz", "ring-lz", "address-rle"])
+    ends = table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("offset"))
+    wanted = F.when(k == 0, "sized-lz").when(k == 1, "ring-lz").when(k < 4, "address-rle")
+    return found.join(ends, ["doc_id", "offset"]).where(F.col("codec") == wanted).select("doc_id", "codec", "offset", "consumed", "size")
+
+
 @query("u4_extent_backfill", """SELECT doc_id, CAST(strlen(text) AS BIGINT) AS "offset", CASE WHEN doc_id % 3 = 0 THEN 7 WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN 40 END AS length, CASE WHEN doc_id % 7 = 0 THEN 'swap' END AS reshape FROM documents""")
 def u4(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")

@@ -77,11 +77,10 @@ def g1(spark: SparkSession, d: str) -> DataFrame:
     return G.cycle_labels(_next(spark, d), "n", "t")
 
 
-@query("q17_reference_cycles", f"WITH RECURSIVE {_CYCLES} SELECT label, count(*) AS members, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) AS nodes FROM lab GROUP BY label")
+@query("q17_reference_cycles", f"WITH RECURSIVE {_CYCLES} SELECT label, n AS node, count(*) OVER (PARTITION BY label) AS members FROM lab")
 def q17(spark: SparkSession, d: str) -> DataFrame:
-    on = g1(spark, d).where("on_cycle")
-    nodes = F.array_join(F.transform(F.sort_array(F.collect_list("node")), lambda n: n.cast("string")), ",")
-    return on.groupBy("label").agg(F.count("*").alias("members"), nodes.alias("nodes"))
+    """One row a node, so that a cycle of any length is no single row."""
+    return G.reference_cycles(_next(spark, d), "n", "t")
 
 
 @query("g2_cycle_closed_bound", f"WITH {_MAP_SQL} SELECT virtual, actual FROM map WHERE virtual - virtual % 10 + CASE WHEN virtual % 10 < 3 THEN 2 ELSE 7 END < 1235")
@@ -116,6 +115,11 @@ def g4(spark: SparkSession, d: str) -> DataFrame:
 @query("g4_flood_fill", f"WITH RECURSIVE {_EDGES}, f AS (SELECT CAST(45 AS BIGINT) AS pos UNION SELECT q FROM f JOIN e ON p = pos) SELECT pos FROM f")
 def g4f(spark: SparkSession, d: str) -> DataFrame:
     """The region of the cell at position 45."""
-    found = G.regions(grid(spark, d).drop("o_orderstatus"))
-    seed = found.where("pos = 45").select("region")
-    return found.join(F.broadcast(seed), "region", "left_semi").select("pos")
+    return G.fill(grid(spark, d).drop("o_orderstatus"), 45)
+
+
+@query("g4_bounded_fill", f"WITH RECURSIVE {_EDGES}, f AS (SELECT pos FROM g WHERE pos = 130 UNION SELECT q FROM f JOIN e ON p = f.pos JOIN g ON g.pos = q WHERE g.x BETWEEN 4 AND 23 AND g.y BETWEEN 2 AND 13) SELECT pos FROM f")
+def g4b(spark: SparkSession, d: str) -> DataFrame:
+    """The part of the region of the cell at position 130 that lies inside a rectangle; a seed outside it adds nothing."""
+    cells = grid(spark, d).drop("o_orderstatus")
+    return G.fill(cells, 130, bounds=(4, 2, 20, 12)).union(G.fill(cells, 30, bounds=(4, 2, 20, 12)))

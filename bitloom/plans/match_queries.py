@@ -37,13 +37,16 @@ hit AS (SELECT event_id, px, py, box, x, y, w, h FROM pts JOIN boxes ON px >= x
 
 
 @query("j19_rectangle_hit", f"""{_HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY (px - x + py - y) % 2 = 0 DESC, box) AS rn, count(*) OVER (PARTITION BY event_id) AS n FROM hit)
-SELECT event_id, px, py, box, CASE WHEN box % 2 = 1 THEN w - 1 - (px - x) ELSE px - x END AS dx, py - y AS dy FROM r WHERE rn = 1""")
+SELECT event_id, px, py, box, CASE WHEN box % 2 = 1 THEN w - 1 - (px - x) ELSE px - x END AS dx, py - y AS dy,
+ CASE WHEN c BETWEEN 0 AND 4999 THEN c END AS cell FROM (SELECT *, box * 3 - 60 + (CASE WHEN box % 3 = 0 THEN h - 1 - (py - y) ELSE py - y END) * w + (CASE WHEN box % 2 = 1 THEN w - 1 - (px - x) ELSE px - x END) AS c FROM r WHERE rn = 1)""")
 def j19(spark: SparkSession, d: str) -> DataFrame:
     points = table(spark, d, "events").select("event_id", (F.col("event_id") * 7 % 200 - 20).alias("px"), (F.col("event_id") * 11 % 150).alias("py"))
     found = M.hits(points, boxes(spark, d), "px", "py")
     first = M.first_hit(found, "event_id", (F.col("px") - F.col("x") + F.col("py") - F.col("y")) % 2 == 0, "box")
     inside = F.col("px") - F.col("x")
-    return first.select("event_id", "px", "py", "box", F.when(F.col("box") % 2 == 1, F.col("w") - 1 - inside).otherwise(inside).alias("dx"), (F.col("py") - F.col("y")).alias("dy"))
+    down, box = F.col("py") - F.col("y"), F.col("box")
+    cell = M.resolved_id(inside, down, F.col("w"), box % 2 == 1, box % 3 == 0, F.col("w"), F.col("h"), box * 3 - 60, 5000)
+    return first.select("event_id", "px", "py", "box", F.when(box % 2 == 1, F.col("w") - 1 - inside).otherwise(inside).alias("dx"), down.alias("dy"), cell.alias("cell"))
 
 
 @query("a3_common_bounds", f"""WITH {BOXES_SQL} SELECT brand, CAST(floor(min(x) / 8.0) * 8 AS BIGINT) AS "left", CAST(floor(min(y) / 8.0) * 8 AS BIGINT) AS top,

@@ -160,12 +160,3 @@ _Q16 = _sql("B115", "CASE WHEN event_type = 'purchase' THEN 'error' ELSE 'warnin
 @query("q16_mode_and_block", _Q16)
 def q16(spark: SparkSession, d: str) -> DataFrame:
     return Q.agreement(table(spark, d, "events"), "B115", "event_id", F.col("event_type") == "purchase", F.col("value") > 5, "value")
-
-
-_ALL = " UNION ALL ".join(f"SELECT {i} AS pass, * FROM ({s})" for i, s in enumerate([_Q3, _Q5, _Q7, _Q10, _Q12, _Q13]))
-
-
-@query("q1_rule_runner", f"SELECT pass, code, severity, count(*) AS n, min(entry) AS first, max(entry) AS last FROM ({_ALL}) GROUP BY pass, code, severity")
-def q1(spark: SparkSession, d: str) -> DataFrame:
-    every = Q.run([f(spark, d) for f in (q3, q5, q7, q10, q12, q13)])
-    return every.groupBy("pass", "code", "severity").agg(F.count("*").alias("n"), F.min("entry").alias("first"), F.max("entry").alias("last"))

@@ -33,28 +33,23 @@ _SIGNATURES = [("spam", 1, "<!DOCTYPE html>", None, 0, 1), ("article", 1, "<html
 _SIG_SQL = "sig(name, pos, magic, suffix, min_size, ord) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in s) + ")" for s in _SIGNATURES) + ")"
 
 
+_SIZES = [("odd", 1, None, ".html", 0, 1, None, (2, 1)), ("exact", 1, "<!DOCTYPE", None, 0, 2, 2048), ("four", 1, "<", None, 0, 3, None, (4, 0))]
+
+
+@query("j7_sizes", """SELECT page_id, CASE WHEN four THEN 'four' WHEN odd THEN 'odd' ELSE 'raw' END AS container, CASE WHEN four THEN 2 WHEN odd THEN 1 ELSE 0 END AS score
+FROM (SELECT page_id, length(html) % 2 = 1 AND ends_with(lower(url), '.html') AS odd, substr(html, 1, 1) = '<' AND length(html) % 4 = 0 AND NOT (length(html) = 2048 AND starts_with(html, '<!DOCTYPE')) AS four FROM pages)""")
+def j7s(spark: SparkSession, d: str) -> DataFrame:
+    """Signatures narrowed by exact size and by size modulo."""
+    return R.detect(table(spark, d, "pages"), _SIZES)
+
+
 @query(
     "j7_signature_detection",
     f"""WITH {_SIG_SQL}, s AS (SELECT page_id, name, ord, CASE WHEN length(html) < min_size THEN 0 WHEN magic IS NOT NULL THEN CASE WHEN substr(html, pos, length(magic)) = magic THEN 2 ELSE 0 END WHEN suffix IS NOT NULL THEN CASE WHEN ends_with(lower(url), suffix) THEN 1 ELSE 0 END ELSE 0 END AS score FROM pages, sig)
 SELECT page_id, CASE WHEN score > 0 THEN name ELSE 'raw' END AS container, score FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, ord) AS rn FROM s) WHERE rn = 1""",
 )
 def j7(spark: SparkSession, d: str) -> DataFrame:
-    sig = spark.createDataFrame(_SIGNATURES, "name string, pos int, magic string, suffix string, min_size int, ord int")
-    return detect(table(spark, d, "pages"), sig)
-
-
-def detect(pages: DataFrame, sig: DataFrame) -> DataFrame:
-    """Best signature of each page: narrowing terms reject, magic decides alone with 2, a suffix counts 1, raw if none.
-
-    The signatures become one literal array, so each page is scored in place without a join or a shuffle.
-    """
-    rows = [r.asDict() for r in sig.orderBy("ord").collect()]
-    scored = []
-    for r in rows:
-        hit = F.when(F.substring("html", r["pos"], len(r["magic"])) == r["magic"], 2) if r["magic"] is not None else F.when(F.endswith(F.lower("url"), F.lit(r["suffix"])), 1) if r["suffix"] is not None else F.lit(0)
-        scored.append(F.struct(F.when(F.length("html") < r["min_size"], 0).otherwise(F.coalesce(hit, F.lit(0))).alias("score"), F.lit(-r["ord"]).alias("ord"), F.lit(r["name"]).alias("name")))
-    best = F.array_max(F.array(*scored))
-    return pages.select("page_id", best.alias("b")).select("page_id", F.when(F.col("b.score") > 0, F.col("b.name")).otherwise("raw").alias("container"), F.col("b.score").alias("score"))
+    return R.detect(table(spark, d, "pages"), _SIGNATURES)
 
 
 _HOST_SQL = "regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)), '^(m|www|blog)\\.', '')"

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.operators import quality as Q
-from bitloom.operators.graph import _checked
 from bitloom.plans.quality_queries import q5
 from bitloom.plans.registry import query
 from bitloom.sources import corpus as C
+from bitloom.sources.shared import shared_dir
 from bitloom.sources.tables import table
 
 
@@ -70,10 +70,31 @@ def s9(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.length("p_name").alias("n"), C.write_plan(F.length("p_name"), F.col("p_size"), k % 2 == 0, k % 4 == 0).alias("plan"))
 
 
+_PLAN = "CASE WHEN n > p_size THEN 'reject' WHEN k % 4 = 0 AND n <> p_size THEN 'reject' WHEN k % 2 = 0 AND n < p_size THEN 'pad' WHEN n < p_size THEN 'keep tail' ELSE 'fit' END"
+
+
+@query("s9_bounded_write_bytes", f"""SELECT p_partkey, CASE plan WHEN 'fit' THEN h WHEN 'pad' THEN h || repeat('FF', p_size - n) WHEN 'keep tail' THEN h || repeat('2E', p_size - n) END AS bytes
+FROM (SELECT *, {_PLAN} AS plan FROM (SELECT p_partkey, p_partkey AS k, p_size, length(p_name) AS n, hex(p_name) AS h FROM part))""")
+def s9b(spark: SparkSession, d: str) -> DataFrame:
+    """The slots' bytes after the writes; they held dots before."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    body = F.encode("p_name", "UTF-8")
+    plan = C.write_plan(F.octet_length("p_name"), size, k % 2 == 0, k % 4 == 0)
+    return table(spark, d, "part").select("p_partkey", F.hex(C.slot_bytes(body, F.encode(F.repeat(F.lit("."), size), "UTF-8"), plan, size)).alias("bytes"))
+
+
 @query("s11_findings_sink", "SELECT severity, code, count(*) AS n FROM (SELECT 'warning' AS severity, 'B104' AS code FROM events WHERE event_type NOT IN ('view', 'click', 'signup')) GROUP BY severity, code")
 def s11(spark: SparkSession, d: str) -> DataFrame:
     """Findings written to the shared folder as JSON and counted as they read back."""
-    _checked(spark.range(1))
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/findings-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/findings-{uuid.uuid4().hex}"
     C.write_findings(q5(spark, d), path)
     return spark.read.schema("code string, entry long, severity string").json(path).groupBy("severity", "code").agg(F.count("*").alias("n"))
+
+
+@query("s11_text_summary", """WITH f AS (SELECT event_id, event_type FROM events WHERE event_type NOT IN ('view', 'click', 'signup'))
+SELECT 'entries[' || event_id || ']' AS line, count(*) AS n FROM f GROUP BY event_id UNION ALL SELECT '  warning B104 /' || event_id || '/event_type: unknown, reads as view (' || event_type || ')', count(*) FROM f GROUP BY event_id, event_type""")
+def s11t(spark: SparkSession, d: str) -> DataFrame:
+    """The text report written to the shared folder, its lines as they read back."""
+    path = f"{shared_dir(spark)}/summary-{uuid.uuid4().hex}"
+    C.write_summary(q5(spark, d), path)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitloom.operators import refs as R
 from bitloom.plans import ref_queries
 from bitloom.plans.agg_queries import revisions
 from bitloom.plans.registry import ORACLE_SQL, query
@@ -13,8 +14,7 @@ from bitloom.streaming import runs as S
 
 @query("r1_incremental_intake", ORACLE_SQL["j7_signature_detection"])
 def r1(spark: SparkSession, d: str) -> DataFrame:
-    sig = spark.createDataFrame(ref_queries._SIGNATURES, "name string, pos int, magic string, suffix string, min_size int, ord int")
-    return S.intake(S.file_stream(spark, f"{d}/pages.parquet"), lambda pages: ref_queries.detect(pages, sig))
+    return S.intake(S.file_stream(spark, f"{d}/pages.parquet"), lambda pages: R.detect(pages, ref_queries._SIGNATURES))
 
 
 @query("r2_dirty_state_stream", ORACLE_SQL["a9_dirty_flags"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.functions import text as T
@@ -21,7 +21,22 @@ def f19(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.safe_name(F.col("url")).alias("name"))
 
 
-@query("f20_path_key", r"""SELECT page_id, regexp_replace(regexp_replace(lower(url), '[\\/]+', '/', 'g'), '(.)/$', '\1') AS key FROM pages""")
+@query("f19_child_export_name", r"""SELECT page_id, CASE WHEN a = '' THEN 'export' ELSE a END || '_' || CASE WHEN b = '' THEN 'export' ELSE b END AS name FROM (
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '\.[^.]*$', ''), '[^A-Za-z0-9\-_.]', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS a, 'page_' || page_id AS b FROM pages)""")
+def f19c(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", T.child_name(F.col("url"), F.concat(F.lit("page:"), F.col("page_id").cast("string"))).alias("name"))
+
+
+@query("f20_stored_path", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN '/corpus/site/b.html' WHEN 1 THEN '/corpus/b.html' WHEN 2 THEN 'c:/x/b.html' ELSE '/corpus/site/a/b' || page_id END AS key,
+CASE page_id % 4 WHEN 0 THEN 'b.html' WHEN 1 THEN '/Corpus/b.html' WHEN 2 THEN 'C:/x/b.html' ELSE 'a/B' || page_id END AS kept FROM pages""")
+def f20s(spark: SparkSession, d: str) -> DataFrame:
+    """Paths below and beside a base folder, rooted and not, with steps up."""
+    k, base = F.col("page_id"), F.lit("/Corpus/Site/")
+    path = F.when(k % 4 == 0, "a//../b.html").when(k % 4 == 1, "..\\b.html").when(k % 4 == 2, "C:\\x\\.\\y\\..\\b.html").otherwise(F.concat(F.lit("/corpus/SITE/./a/B"), k.cast("string"), F.lit("/")))
+    return table(spark, d, "pages").select("page_id", T.path_key(path, base).alias("key"), T.stored_path(path, base).alias("kept"))
+
+
+@query("f20_path_key", r"""SELECT page_id, regexp_replace(regexp_replace(lower(url), '[\\/]+', '/', 'g'), '([^:])/$', '\1') AS key FROM pages""")
 def f20(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.path_key(F.col("url")).alias("key"))
 
@@ -38,7 +53,12 @@ def f22(spark: SparkSession, d: str) -> DataFrame:
     return c.select("doc_id", F.md5("back").alias("text_md5"), (F.col("back") == F.col("text")).alias("same"))
 
 
-@query("f22_commands_with_operands")
+@query("f22_commands_with_operands", """WITH RECURSIVE e AS (SELECT user_id, list(event_id % 8 ORDER BY event_id) AS c FROM events GROUP BY user_id),
+r AS (SELECT user_id, c, CAST(1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS n, '' AS piece FROM e
+ UNION ALL SELECT user_id, c, i + 1 + CASE c[i] WHEN 6 THEN 1 WHEN 7 THEN 2 ELSE 0 END, i,
+  CASE c[i] WHEN 6 THEN '[wait' || coalesce(' $' || to_hex(c[i + 1]), '') || ']' WHEN 7 THEN '[jump' || coalesce(' $' || to_hex(c[i + 1]), '') || coalesce(' $' || to_hex(c[i + 2]), '') || ']' ELSE '<' || to_hex(c[i]) || '>' END
+ FROM r WHERE i <= len(c))
+SELECT user_id, string_agg(piece, '' ORDER BY n) AS body FROM r GROUP BY user_id""")
 def f22c(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list("event_id")), lambda x: (x % 8).cast("int")).alias("codes"))
     return e.select("user_id", T.commands_text(F.col("codes"), {6: ("wait", 1), 7: ("jump", 2)}).alias("body"))
@@ -83,21 +103,13 @@ def s5(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p1_every_word_search", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'widget') AND contains(lower(p_name), 'cold')")
 def p1(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").where(matches(F.col("p_name"), "Widget cold")).select("p_partkey", "p_name")
-
-
-def matches(text: Column, query_text: str) -> Column:
-    """Does a text hold every blank-separated word of the query, in any case and order; no words match all."""
-    out = F.lit(True)
-    for word in query_text.lower().split():
-        out = out & F.contains(F.lower(text), F.lit(word))
-    return out
+    return table(spark, d, "part").where(T.matches(F.col("p_name"), "Widget cold")).select("p_partkey", "p_name")
 
 
 @query("p2_search_keeps_ancestors", "SELECT 'supplier' AS kind, CAST(s_suppkey AS BIGINT) AS id FROM supplier WHERE contains(lower(s_name), '7') UNION ALL SELECT 'nation', n_nationkey FROM nation WHERE contains(lower(n_name), '7') OR EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND contains(lower(s_name), '7'))")
 def p2(spark: SparkSession, d: str) -> DataFrame:
-    n, found = table(spark, d, "nation"), table(spark, d, "supplier").where(matches(F.col("s_name"), "7"))
-    own = n.where(matches(F.col("n_name"), "7"))
+    n, found = table(spark, d, "nation"), table(spark, d, "supplier").where(T.matches(F.col("s_name"), "7"))
+    own = n.where(T.matches(F.col("n_name"), "7"))
     above = n.join(found, n["n_nationkey"] == found["s_nationkey"], "left_semi")
     parents = own.unionByName(above).distinct().select(F.lit("nation").alias("kind"), F.col("n_nationkey").cast("long").alias("id"))
     return found.select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id")).unionByName(parents)

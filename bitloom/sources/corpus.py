@@ -64,6 +64,38 @@ def write_plan(length: Column, slot: Column, compressed: Column, reshaped: Colum
     return F.when(length > slot, "reject").when(reshaped & (length != slot), "reject").when(compressed & (length < slot), "pad").when(length < slot, "keep tail").otherwise("fit")
 
 
+def slot_bytes(payload: Column, old: Column, plan: Column, slot: Column, pad: str = "FF") -> Column:
+    """What a slot holds after a planned write: the payload, padded with one byte, or before the tail that was there; null where it is rejected."""
+    missing = F.greatest(slot - F.octet_length(payload), F.lit(0)).cast("int")
+    filler = F.unhex(F.repeat(F.lit(pad), missing))
+    tail = F.substring(old, F.octet_length(payload) + 1, missing)
+    return F.when(plan == "fit", payload).when(plan == "pad", F.concat(payload, filler)).when(plan == "keep tail", F.concat(payload, tail))
+
+
+#: Severities from the worst down.
+SEVERITIES = ["error", "warning", "info"]
+
+
+def _rank(severity: Column) -> Column:
+    return F.coalesce(*[F.when(severity == s, i) for i, s in enumerate(SEVERITIES)], F.lit(len(SEVERITIES)))
+
+
 def write_findings(findings: DataFrame, path: str) -> None:
-    """Findings as JSON files by severity, sorted within each file."""
-    findings.repartition("severity").sortWithinPartitions("severity", "code", "entry").write.mode("overwrite").partitionBy("severity").json(path)
+    """Findings as JSON files in one order over all files: the worst first, then by entry, code and place."""
+    order = [_rank(F.col("severity")), "entry", "code", "pointer", "message", "detail"]
+    findings.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").json(path)
+
+
+def summary_lines(findings: DataFrame) -> DataFrame:
+    """(entry, kind, rank, code, pointer, line): a text report, a heading for each entry (kind 0) and a line for each finding."""
+    names = findings.groupBy("entry").agg(F.max("entry_name").alias("name"))
+    heading = F.concat(F.lit("entries["), F.col("entry").cast("string"), F.lit("]"), F.when(F.col("name") != "", F.concat(F.lit("  "), "name")).otherwise(""))
+    top = names.select("entry", F.lit(0).alias("kind"), F.lit(0).alias("rank"), F.lit("").alias("code"), F.lit("").alias("pointer"), heading.alias("line"))
+    said = F.concat(F.lit("  "), "severity", F.lit(" "), "code", F.lit(" "), "pointer", F.lit(": "), "message", F.when(F.col("detail") != "", F.concat(F.lit(" ("), "detail", F.lit(")"))).otherwise(""))
+    return top.unionByName(findings.select("entry", F.lit(1).alias("kind"), _rank(F.col("severity")).alias("rank"), "code", "pointer", said.alias("line")))
+
+
+def write_summary(findings: DataFrame, path: str) -> None:
+    """The text report in order over all files."""
+    order = ["entry", "kind", "rank", "code", "pointer", "line"]
+    summary_lines(findings).repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)

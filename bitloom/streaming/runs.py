@@ -1,4 +1,8 @@
-"""Structured Streaming forms of intake, dirty state and gap runs."""
+"""Structured Streaming forms of intake, dirty state and gap runs.
+
+Each takes `place`, a folder that keeps the stream's state and its output: a later run with the same
+place takes up only what has come since. Without one, a run has a fresh place in the shared folder.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.operators import aggs
-from bitloom.operators.graph import _checked
+from bitloom.sources.shared import shared_dir
 
 
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -23,14 +27,14 @@ def file_stream(spark: SparkSession, path: str) -> DataFrame:
     return source.parquet(path)
 
 
-def finished(stream: DataFrame, mode: str) -> DataFrame:
-    """All output of a stream over what is there now, kept in the shared folder.
+def finished(stream: DataFrame, mode: str, place: str | None = None) -> DataFrame:
+    """All output of a stream over what is there now.
 
-    Append mode writes each batch's rows; complete mode replaces the whole result with each batch.
+    Append mode adds each batch's rows to what earlier runs wrote; complete mode replaces the whole
+    result with each batch. A batch that is run again after a failure overwrites its own rows.
     """
     spark = stream.sparkSession
-    _checked(spark.range(1))  # makes sure of a checkpoint folder
-    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    base = place or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{base}/out"
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -41,18 +45,22 @@ def finished(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/batch=*")
 
 
-def intake(stream: DataFrame, detect: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def intake(stream: DataFrame, detect: Callable[[DataFrame], DataFrame], place: str | None = None) -> DataFrame:
     """A detection that needs no state, over files as they come."""
-    return finished(detect(stream), "append")
+    return finished(detect(stream), "append", place)
 
 
-def dirty_state(log: DataFrame, key: str, seq: str, action: str, rev: str) -> DataFrame:
+def dirty_state(log: DataFrame, key: str, seq: str, action: str, rev: str, place: str | None = None) -> DataFrame:
     """Dirty flags of a revision log that is still growing: the batch aggregate, kept up to date."""
-    return finished(aggs.dirty(log, key, seq, action, rev), "complete")
+    return finished(aggs.dirty(log, key, seq, action, rev), "complete", place)
+
 
+def sessions(stream: DataFrame, key: str, time: str, gap: str, late: str, mode: str = "complete", place: str | None = None) -> DataFrame:
+    """(key, start, end, n): runs of events whose gaps are below `gap`.
 
-def sessions(stream: DataFrame, key: str, time: str, gap: str, late: str) -> DataFrame:
-    """(key, start, end, n): runs of events whose gaps are below `gap`; rows later than `late` drop in append mode."""
+    In complete mode all runs so far, whose state is kept for good. In append mode a run is given once
+    no event could join it any more, its state is dropped then, and rows later than `late` are left out.
+    """
     timed = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     runs = timed.groupBy(key, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n"))
-    return finished(runs.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n"), "complete")
+    return finished(runs.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n"), mode, place)

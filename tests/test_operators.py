@@ -19,6 +19,7 @@ def as_regions(df):
     return [(r["start"], r["end"] - r["start"], r["row"]) for r in df.orderBy("start").collect()]
 
 
+# The vectors of overwriting, subtracting, normalizing and nearest colours below must give just these results.
 @pytest.mark.parametrize(
     ("write", "want"),
     [
@@ -45,6 +46,51 @@ def test_normalize(spark) -> None:
     assert one([(0, 0, 1)]) == []
 
 
+@pytest.mark.parametrize("bucket", [1, 7, 64, 100_000])
+def test_intervals_against_painting(spark, bucket) -> None:
+    """Random sets of several keys, painted place by place."""
+    rnd = random.Random(bucket)
+    rows = list({(rnd.randrange(3), s, s + rnd.randrange(0, 12), rnd.randrange(3), q) for q, s in enumerate(rnd.choices(range(-30, 160), k=90))})
+    df = spark.createDataFrame(rows, "set_id long, start long, end long, row long, seq long").repartition(3)
+    key = lambda rs: sorted((r.set_id, r.start, r.end, *( [r["row"]] if "row" in r else [])) for r in rs)
+
+    def painted(cells: dict) -> list:
+        out: list = []
+        for (k, p), v in sorted(cells.items()):
+            if out and out[-1][0] == k and out[-1][2] == p and out[-1][3] == v:
+                out[-1][2] = p + 1
+            else:
+                out.append([k, p, p + 1, v])
+        return [tuple(x) for x in out]
+
+    last, first, any_, odd = {}, {}, {}, {}
+    for k, a, z, v, _ in sorted(rows, key=lambda r: r[4]):
+        last.update({(k, p): v for p in range(a, z)})
+        any_.update({(k, p): 0 for p in range(a, z)})
+        if v == 1:
+            odd.update({(k, p): 0 for p in range(a, z)})
+    reach: dict = {}
+    for k, a, z, v, _ in sorted((r for r in rows if r[2] > r[1]), key=lambda r: r[:4]):
+        start = max(a, reach.get(k, a))
+        first.update({(k, p): v for p in range(start, z)})
+        reach[k] = max(reach.get(k, z), z)
+    assert key(intervals.overwrite_spans(df, ["set_id"], bucket=bucket).collect()) == painted(last)
+    assert key(intervals.normalize_spans(df, ["set_id"], bucket=bucket).collect()) == painted(first)
+    assert key(intervals.merge_spans(df, ["set_id"], bucket=bucket).drop("n").collect()) == [x[:3] for x in painted(any_)]
+    rest = {c: 0 for c in any_ if c not in odd}
+    assert key(intervals.subtract_spans(df, df.where("row = 1"), ["set_id"], bucket=bucket).collect()) == [x[:3] for x in painted(rest)]
+    order = ["start", "end", "row", "seq"]
+    pairs = [(x, y) for x, y in zip(sorted(r[:5] for r in rows), sorted(r[:5] for r in rows)[1:]) if x[0] == y[0] and y[1] < x[2]]
+    got = intervals.overlaps(df, ["set_id"], order, bucket=bucket).collect()
+    assert sorted((r.set_id, r.start, r.end, r["row"], r.seq, r.next_start, r.next_end) for r in got) == sorted((*x, y[1], y[2]) for x, y in pairs)
+    laid = sorted((r.seq, r.at) for r in intervals.assembled(df.where("set_id = 0").withColumn("n", F.col("end") - F.col("start")).withColumnRenamed("start", "s0"), ["set_id"], "seq", "n", bucket=bucket).withColumnRenamed("start", "at").collect())
+    total, want = 0, []
+    for r in sorted((r for r in rows if r[0] == 0), key=lambda r: r[4]):
+        want.append((r[4], total))
+        total += r[2] - r[1]
+    assert laid == want
+
+
 def test_merge_in_buckets_is_merge(spark) -> None:
     rnd = random.Random(1)
     rows = [(rnd.randrange(1000), rnd.randrange(0, 30), 0) for _ in range(300)]
@@ -138,6 +184,8 @@ def test_names_keys_and_codes(spark) -> None:
     assert one(text.safe_name(F.lit("..a b?.png."))) == "a_b_.png"
     assert one(text.safe_name(F.lit("..."))) == "export"
     assert one(text.path_key(F.lit("C:\\A//b/./c/"))) == "c:/a/b/c"
+    assert one(text.path_key(F.lit("x/../../y/.."), F.lit("/Base/Dir"))) == "/base"
+    assert one(text.stored_path(F.lit("/base/Dir/a/../b"), F.lit("/Base/dir"))) == "b" and one(text.stored_path(F.lit("../b"), F.lit("/Base/dir"))) == "/Base/b"
     words = ["th", "the", "e"]
     codes = text.greedy_codes(F.lit("thex𝒳"), words)
     assert one(codes) == [1, 1120, 1000 + ord("𝒳")]
@@ -147,6 +195,127 @@ def test_names_keys_and_codes(spark) -> None:
     assert [r.n for r in names.orderBy(text.natural_key(F.col("n"))).collect()] == ["A2", "a9", "a10", "b"]
 
 
+def test_digit_runs_of_any_length_sort_as_numbers(spark) -> None:
+    names = ["a" + "1" * 21, "a" + "1" * 25, "a" + "0" * 30 + "9", "a" + "2" * 24, "a10b2", "a10b11"]
+    got = [r.n for r in spark.createDataFrame([(n,) for n in names], "n string").orderBy(text.natural_key(F.col("n"))).collect()]
+    assert got == ["a" + "0" * 30 + "9", "a10b2", "a10b11", "a" + "1" * 21, "a" + "2" * 24, "a" + "1" * 25]
+
+
+def test_code_lines_past_an_int(spark) -> None:
+    one = lambda line: spark.range(1).select(text.parse_code_line(F.lit(line)).alias("c")).first().c
+    assert tuple(one("FFFFFFFF=x")) == (0xFFFFFFFF, "x", 0) and tuple(one("80000000=[a, 3]")) == (1 << 31, "[a]", 3)
+    assert one("1=[a, 99999999999]") is None and one("123456789=x") is None
+
+
+def test_hex_of_sixteen_digits(spark) -> None:
+    one = lambda t: spark.range(1).select(bits.parse_hex(F.lit(t)).alias("c")).first().c
+    assert one("7FFFFFFFFFFFFFFF") == (1 << 63) - 1 and one("0x0000000000000000000001f") == 31 and one("$0") == 0
+    assert one("8000000000000000") is None and one("12345678123456789") is None and one("xyz") is None
+
+
+def test_long_alias_chains_and_ties(spark) -> None:
+    chain = spark.range(70_000).select(F.col("id").alias("old"), (F.col("id") + 1).alias("new"))
+    assert [r.last for r in graph.chain_ends(chain, "old", "new").where("old in (0, 35000)").collect()] == [70_000, 70_000]
+    ties = spark.createDataFrame([(1, 5), (1, 3), (1, 4), (3, 9)], "old long, new long")
+    for n in (1, 4):
+        assert {r.old: r.last for r in graph.chain_ends(ties.repartition(n), "old", "new").collect()} == {1: 9, 3: 9}
+
+
+def test_fill_keeps_to_its_bounds(spark) -> None:
+    rnd = random.Random(3)
+    cells = [(y * 12 + x, x, y, rnd.randrange(2)) for y in range(12) for x in range(12)]
+    value = {(x, y): v for _, x, y, v in cells}
+    grid = spark.createDataFrame(cells, "pos long, x long, y long, v long")
+    for seed, bounds in ((50, None), (50, (1, 2, 7, 6)), (3, (1, 2, 7, 6)), (999, None)):
+        x0, y0, w, h = bounds or (0, 0, 12, 12)
+        inside = lambda c: c in value and x0 <= c[0] < x0 + w and y0 <= c[1] < y0 + h
+        start = (seed % 12, seed // 12)
+        todo, seen = [start] if inside(start) else [], set()
+        while todo:
+            c = todo.pop()
+            if c in seen:
+                continue
+            seen.add(c)
+            todo += [n for n in ((c[0] + 1, c[1]), (c[0] - 1, c[1]), (c[0], c[1] + 1), (c[0], c[1] - 1)) if inside(n) and value[n] == value[start]]
+        assert sorted(r.pos for r in graph.fill(grid, seed, bounds=bounds).collect()) == sorted(y * 12 + x for x, y in seen)
+
+
+def test_readers_refuse_what_no_stream_holds() -> None:
+    assert decode.read_sized_lz(bytes([0x10, 3, 0, 0, 0x80, 0, 5]))[2] is False  # a reference before the start
+    assert decode.read_sized_lz(bytes([0x1F, 1, 0, 0, 0]) + b"a") == (b"a", 6, True)  # the low nibble is free
+    assert decode.read_sized_lz(bytes([0x20, 1, 0, 0, 0]) + b"a")[2] is False
+    assert decode.read_ring_lz(bytes([3, 0, 0, 0, 0, 0, 0]))[:1] == (b"\0\0\0",)  # the ring holds zeros
+    size = 5_000_000
+    groups = b"\0" + b"abcdefgh"
+    whole = bytes([0x10]) + size.to_bytes(3, "little") + groups * (size // 8)
+    out, used, done = decode.read_sized_lz(whole)
+    assert (len(out), used, done) == (size, len(whole), True)
+    assert decode.read_address_rle(b"\x7f\x00\x20\x03a\x80\x82bc\xff") == (b"aaabc", 10, True)
+    assert decode.read_fill_rle(b"\x7fa\xff") == (b"a" * 127, 3, True)
+
+
+def test_run_scan_finds_what_the_readers_read() -> None:
+    rnd = random.Random(6)
+    for name in ("fill-rle", "address-rle"):
+        for _ in range(60):
+            blob = bytes(rnd.choices([0xFF, 0x7F, 0x80, 0x81, 0x83, 1, 2, 0, 65], k=rnd.randint(0, 60)))
+            want = []
+            for at in range(len(blob)):
+                out, used, done = decode.READERS[name](blob[at : at + 20])
+                if done and out:
+                    want.append((at, used, len(out)))
+            assert decode.SCANS[name](blob, 20) == want
+
+
+def test_streams_take_up_only_what_is_new(spark, tmp_path) -> None:
+    from bitloom.streaming import runs as S
+
+    folder = f"file://{tmp_path}/in"
+    add = lambda rows: spark.sql("SELECT * FROM VALUES " + ", ".join(f"({u}L, {q}L, '{a}', {r}L, timestamp'{t}')" for u, q, a, r, t in rows) + " AS t(user, seq, action, rev, ts)").coalesce(1).write.mode("append").parquet(folder)
+    add([(1, 1, "edit", 5, "2024-01-01 00:00:00"), (2, 2, "edit", 7, "2024-01-01 01:00:00")])
+    stream = lambda: S.file_stream(spark, folder)
+    detect = lambda rows: rows.select("user", "seq")
+    place = lambda n: f"file://{tmp_path}/{n}"
+    dirty = lambda: {r.user: r.dirty for r in S.dirty_state(stream(), "user", "seq", "action", "rev", place("dirty")).collect()}
+    closed = lambda: sorted((r.user, str(r.start), r.n) for r in S.sessions(stream(), "user", "ts", "2 hours", "1 hour", "append", place("runs")).collect())
+    assert S.intake(stream(), detect, place("in-out")).count() == 2 and dirty() == {1: True, 2: True} and closed() == []
+    add([(1, 3, "save", 5, "2024-01-01 00:30:00"), (3, 4, "save", 1, "2024-01-01 12:00:00")])
+    before = set((tmp_path / "in-out" / "out").iterdir())
+    assert S.intake(stream(), detect, place("in-out")).count() == 4 and len(set((tmp_path / "in-out" / "out").iterdir()) - before) == 1
+    assert dirty() == {1: False, 2: True, 3: True}
+    closed()
+    add([(2, 5, "edit", 9, "2024-01-01 01:30:00"), (3, 6, "edit", 1, "2024-01-02 12:00:00")])
+    # user 2's row is later than the watermark by now: left out, its run stays as it was given
+    assert closed() == [(1, "2024-01-01 00:00:00", 2), (2, "2024-01-01 01:00:00", 1), (3, "2024-01-01 12:00:00", 1)]
+
+
+def test_binary_scan_gives_what_the_files_hold(spark, tmp_path) -> None:
+    from bitloom.sources import corpus
+
+    for name, body in (("a.bin", b"abcdef"), ("b.bin", b""), ("c.txt", b"no")):
+        (tmp_path / name).write_bytes(body)
+    files = corpus.scan(spark, f"file://{tmp_path}", "*.bin")
+    got = {r.path.rsplit("/", 1)[1]: (r.length, bytes(r.head)) for r in files.collect()}
+    assert got == {"a.bin": (6, b"abcdef"), "b.bin": (0, b"")}
+    lost = corpus.with_missing(spark.createDataFrame([("nowhere",)], "path string"), files).first()
+    assert (lost.length, bytes(lost.head)) == (-1, b"")
+
+
+def test_findings_are_in_order_over_all_files(spark, tmp_path) -> None:
+    from bitloom.sources import corpus
+
+    rows = [(f"B{i % 7}", ["warning", "error", "info"][i % 3], f"/{i % 40}/x", i % 40, "", "m", "") for i in range(300)]
+    found = spark.createDataFrame(rows, ", ".join(f"{c} {'long' if c == 'entry' else 'string'}" for c in quality.COLUMNS)).repartition(5)
+    corpus.write_findings(found, f"file://{tmp_path}/json")
+    corpus.write_summary(found, f"file://{tmp_path}/text")
+    import json
+
+    lines = [json.loads(x) for f in sorted((tmp_path / "json").glob("part-*")) for x in f.read_text().splitlines()]
+    assert [(corpus.SEVERITIES.index(x["severity"]), x["entry"], x["code"]) for x in lines] == sorted((corpus.SEVERITIES.index(s), e, c) for c, s, _, e, *_ in rows)
+    text_lines = [x for f in sorted((tmp_path / "text").glob("part-*")) for x in f.read_text().splitlines()]
+    assert [x for x in text_lines if x[0] != " "] == [f"entries[{i}]" for i in range(40)] and len(text_lines) == 340
+
+
 def test_rules_on_empty_tables(spark) -> None:
     none = spark.createDataFrame([], "id long, v string")
     assert quality.enumeration(none, "X", "id", "v", ["a"], "a").count() == 0
