@@ -2,54 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from bitloom.sources.shared import discard, shared_dir, stored
+
+__all__ = ["crc_mod", "discard", "labelled_sample", "shared_dir", "stored", "table", "with_field"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark alone so that any store Spark knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. Where none is named, a local master (tests) gets a local one; a cluster is refused."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    local = "file://" + tempfile.mkdtemp(prefix="bitloom-")
-    spark.sparkContext.setCheckpointDir(local)
-    return local
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back: cuts lineage, survives lost executors.
-
-    zstd keeps the table small, since the folder counts as disk while the query runs.
-    """
-    path = f"{shared_dir(df.sparkSession)}/bitloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that stored() made and nothing reads any more."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the text ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

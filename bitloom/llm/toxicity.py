@@ -37,6 +37,7 @@ PLACED, BOXES = (1, 2, 3, 4, 5), (16, 64, 256)
 DIMS, FILTERS = 8, 8
 WIDTHS = PLACED + BOXES
 N_POOLED = FILTERS * len(WIDTHS)
+PAD = max(PLACED) - 1
 
 
 def coded(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -93,34 +94,44 @@ class Net:
             out += self.table[buckets[:, j]]
         return out
 
-    def convolve(self, vectors: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
-        """For each width: the filters' values at each word where a window may begin, else -inf.
+    def convolve(self, vectors: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each width: (values of the filters at all places, first place and end of each row's windows).
 
-        Narrow windows may reach past the end of a row, where words count as zero; a box is cut down
-        to a row shorter than it.
+        Rows with words are laid out one after another with PAD zeros behind each, so narrow windows
+        may reach past the end of a row; a box is cut down to a row shorter than it. The place of
+        word i of row r (of those with words) is i + PAD * r.
         """
-        n, place = len(vectors), np.arange(len(vectors))
-        length = np.repeat(np.diff(offs), np.diff(offs))
-        stop = np.repeat(offs[1:], np.diff(offs))
+        size = np.diff(offs)
+        size = size[size > 0]
+        end = np.cumsum(size) + PAD * np.arange(len(size))
+        start = end - size
+        n = int(end[-1]) + PAD
+        laid = np.zeros((n, DIMS), vectors.dtype)
+        laid[np.arange(len(vectors)) + PAD * np.repeat(np.arange(len(size)), size)] = vectors
         for w, f in zip(WIDTHS, self.filters, strict=True):
             if w in PLACED:
-                value = vectors @ f[0]
-                for p in range(1, min(w, n)):
-                    value[: n - p] += np.where((place[: n - p] + p < stop[: n - p])[:, None], vectors[p:] @ f[p], 0)
+                value = laid @ f[0]
+                for p in range(1, w):
+                    value[: n - p] += laid[p:] @ f[p]
+                yield np.ascontiguousarray(value.T), start, end
             else:
-                run = np.concatenate([np.zeros((1, FILTERS)), np.cumsum(vectors @ f[0], axis=0, dtype=np.float64)])
-                end = place + np.minimum(w, length)
-                value = (run[np.minimum(end, n)] - run[:-1]) / np.sqrt(w)
-                value[end > stop] = -np.inf
-            yield value
+                run = np.zeros((FILTERS, n + 1))
+                np.cumsum(np.ascontiguousarray((laid @ f[0]).T), axis=1, dtype=np.float64, out=run[:, 1:])
+                value = np.zeros((FILTERS, n))
+                if n >= w:
+                    value[:, : n + 1 - w] = run[:, w:] - run[:, : n + 1 - w]
+                short = size < w
+                value[:, start[short]] = run[:, end[short]] - run[:, start[short]]
+                value /= np.sqrt(w)
+                yield value, start, np.maximum(end - w, start) + 1
 
     def pooled(self, vectors: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Max of each filter over each row; zero for rows without words."""
         best = np.zeros((len(offs) - 1, N_POOLED))
         some = np.flatnonzero(np.diff(offs))
         if len(some):
-            for k, value in enumerate(self.convolve(vectors, offs)):
-                best[some, k * FILTERS : (k + 1) * FILTERS] = np.maximum.reduceat(value, offs[some], axis=0)
+            for k, (value, start, stop) in enumerate(self.convolve(vectors, offs)):
+                best[some, k * FILTERS : (k + 1) * FILTERS] = np.maximum.reduceat(value, np.stack([start, stop], axis=1).ravel(), axis=1)[:, ::2].T
         return best
 
     def logits(self, best: np.ndarray) -> np.ndarray:
@@ -144,12 +155,12 @@ def gradients(net: Net, vectors: np.ndarray, offs: np.ndarray, y: np.ndarray, we
     """Weighted mean logistic loss of rows, and its gradients by vectors, filters, bias, out and shift."""
     rows, some = len(offs) - 1, np.flatnonzero(np.diff(offs))
     best, where = np.zeros((rows, N_POOLED)), np.zeros((rows, N_POOLED), np.int64)
-    for k, value in enumerate(net.convolve(vectors, offs)):
+    for k, (value, start, stop) in enumerate(net.convolve(vectors, offs) if len(some) else ()):
         cols = slice(k * FILTERS, (k + 1) * FILTERS)
-        for r in some:
-            a = int(offs[r])
-            top = value[a : int(offs[r + 1])].argmax(axis=0)
-            best[r, cols], where[r, cols] = value[a + top, np.arange(FILTERS)], a + top
+        for i, r in enumerate(some):
+            part = value[:, int(start[i]) : int(stop[i])]
+            top = part.argmax(axis=1)
+            best[r, cols], where[r, cols] = part[np.arange(FILTERS), top], top + int(offs[r])
     active = best + net.bias
     hidden = np.maximum(active, 0)
     z = hidden @ net.out + net.shift

@@ -51,3 +51,25 @@ def test_stages(spark) -> None:
     assert {r.doc_id for r in packed.collect()} == {i for i, _ in rows(clean)}
     assert all(f.columns == COLUMNS for f in kept[:-1])
     assert all(r.n_chars == len(r.text) for r in clean.collect())
+
+
+def test_stages_on_awkward_tables(spark, tmp_path) -> None:
+    """Empty tables, null and repeated rows, null ids and clashing columns pass every stage."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, ref string, spans string, component string, y string, quality_score double, k int"
+    long = " ".join(f"w{i % 37}" for i in range(400))
+    rows = [(1, None), (2, ""), (3, " \n"), (4, long), (4, long), (5, long + " end"), (None, long), (None, None), (6, "x"), (7, "plain words of a short text that is kept")]
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").coalesce(1).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    for given in (spark.createDataFrame([], kind), spark.createDataFrame([(i, t, None, "s", None if t is None else len(t), "r", "s", "c", "y", 0.5, 1) for i, t in rows], kind)):
+        n = given.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stored(stage(spark, given, f"file://{tmp_path}"), name.replace(" ", "-"))
+            if name == "packing":
+                assert {r.doc_id for r in out.select("doc_id").collect()} == {r.doc_id for r in given.collect()}
+                break
+            assert out.columns == given.columns and out.count() <= n
+            if name != "quality classifier":
+                given = out
+        if n:
+            ids = [r.doc_id for r in given.collect()]
+            assert {None, 1, 2, 3, 6, 7} <= set(ids) and 5 not in ids
