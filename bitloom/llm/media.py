@@ -249,8 +249,15 @@ _CARVED_PA = [
 ]
 
 
+def examine(blob: bytes, declared: str | None, search, nested: bool) -> tuple[str, bool, list[Found]]:  # noqa: ANN001
+    """(true type, the declared one was another, containers) of a content."""
+    found = sniff(blob, search, nested)
+    true = next((f.kind for f in found if f.offset == 0), UNKNOWN)
+    return true, declared != true, found
+
+
 def sniff_media(df: DataFrame, content: str, declared: str | None = None, nested: bool = False, keep_content: bool = True) -> DataFrame:
-    """df with true_type, corrected (declared type, if any, was another) and carved containers."""
+    """df with true_type, corrected (the column of declared types, if given, says another) and carved containers."""
     kept = [c for c in df.columns if c not in ("true_type", "corrected", "carved")]
     rows = df.select(*kept)
     full = StructType([*rows.schema.fields, *StructType.fromDDL(_CARVED).fields])
@@ -263,11 +270,11 @@ def sniff_media(df: DataFrame, content: str, declared: str | None = None, nested
             kind, fixed, carved = [], [], []
             for blob, word in zip(b.column(b.schema.get_field_index(content)).to_pylist(), said, strict=True):
                 blob = bytes(blob or b"")
-                found = sniff(blob, search, nested)
-                true = next((f.kind for f in found if f.offset == 0), UNKNOWN)
+                true, other, found = examine(blob, word, search, nested)
                 kind.append(true)
-                fixed.append(declared is not None and word != true)
-                carved.append([{"type": f.kind, "offset": f.offset, "length": f.length, "sha256": hashlib.sha256(blob[f.offset : f.offset + f.length]).hexdigest(), "content": blob[f.offset : f.offset + f.length] if keep_content else None} for f in found])
+                fixed.append(declared is not None and other)
+                cut = [blob[f.offset : f.offset + f.length] for f in found]
+                carved.append([{"type": f.kind, "offset": f.offset, "length": f.length, "sha256": hashlib.sha256(c).hexdigest(), "content": c if keep_content else None} for f, c in zip(found, cut, strict=True)])
             made = [pa.array(x, t) for x, (_, t) in zip((kind, fixed, carved), _CARVED_PA, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, *(n for n, _ in _CARVED_PA)])
 
@@ -290,54 +297,42 @@ def _chunked(rows: Iterator[tuple[tuple, int]], schema: pa.Schema) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
-def as_media(docs: DataFrame, block: int = 64) -> DataFrame:
-    """(doc_id, n_bytes, media, declared): texts padded to whole blocks and stored as WAVE, of no declared type."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("declared", pa.string())])
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int]]:
-        for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw = (text or "").encode()
-                media = to_wave(raw + bytes(-len(raw) % block if raw else block))
-                yield (doc_id, len(raw), media, UNKNOWN), len(media)
-
-    given = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    return given.mapInArrow(lambda batches: _chunked(rows(batches), schema), "doc_id long, n_bytes long, media binary, declared string")
-
-
 def text_media(docs: DataFrame, block: int = 64, keep_media: bool = True) -> DataFrame:
-    """Texts stored as WAVE, typed and carved by sniffing, read back from what was carved at the front, and described.
+    """Texts padded to whole blocks and stored as WAVE, typed and carved by sniffing, read back from what was carved, and described.
 
-    The feature names the confirmed type, the payload's length, the mean and the energy of its
-    samples about the mid level, and the types of media embedded in it. A row whose container is
-    not confirmed has nulls for what would be read back.
+    The media are stored without a declared type; `corrected` tells that sniffing gave them one. The
+    feature names the confirmed type, the payload's length, the mean and the energy of its samples
+    about the mid level, and the types of media carved inside it. A row whose container is not
+    confirmed has nulls for what would be read back. All in one pass, so a task has one Python worker.
     """
-    sniffed = sniff_media(as_media(docs, block), "media", "declared", nested=True, keep_content=False)
     schema = pa.schema([
         ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
         ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("true_type", pa.string()), ("corrected", pa.bool_()), ("n_embedded", pa.int32()),
     ])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int]]:
+        search = automaton()
         for b in batches:
-            for doc_id, n_bytes, media, true, fixed, carved in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                media = bytes(media)
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                raw = (text.as_py() or "").encode()
+                media = to_wave(raw + bytes(-len(raw) % block if raw else block))
+                true, fixed, found = examine(media, UNKNOWN, search, nested=True)
                 sha = hashlib.sha256(media).hexdigest()
                 kept, size = (media, len(media)) if keep_media else (None, 256)
-                inner = [c["type"] for c in carved if c["offset"]]
-                outer = next((c for c in carved if c["offset"] == 0), None)
+                inner = [f.kind for f in found if f.offset]
+                outer = next((f for f in found if f.offset == 0), None)
                 if outer is None:
-                    yield (doc_id, n_bytes, kept, None, None, None, len(media), sha, None, true, fixed, len(inner)), size
+                    yield (doc_id, len(raw), kept, None, None, None, len(media), sha, None, true, fixed, len(inner)), size
                     continue
-                read = samples(media[: outer["length"]])
+                read = samples(media[: outer.length])
                 wave = np.frombuffer(read, np.uint8)
                 square = int(np.bincount(wave, minlength=256) @ (np.arange(256, dtype=np.int64) - 128) ** 2)
                 feature = f"{true};n={len(read)};mean={int(wave.sum(dtype=np.int64)) / len(read):.4f};energy={square / len(read):.4f};embedded={','.join(inner)}"
-                yield (doc_id, n_bytes, kept, len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-64:]), len(media), sha, feature, true, fixed, len(inner)), size
+                yield (doc_id, len(raw), kept, len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-64:]), len(media), sha, feature, true, fixed, len(inner)), size
 
     kind = "doc_id long, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, true_type string, corrected boolean, n_embedded int"
-    ordered = sniffed.select("doc_id", "n_bytes", "media", "true_type", "corrected", "carved")
-    return ordered.mapInArrow(lambda batches: _chunked(rows(batches), schema), kind)
+    given = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+    return given.mapInArrow(lambda batches: _chunked(rows(batches), schema), kind)
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
