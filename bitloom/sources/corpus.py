@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fnmatch import fnmatch
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +11,24 @@ from pyspark.sql import functions as F
 HEAD = 0x10100
 
 
-def scan(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, length, head): one row a file. content is read only if head is selected."""
+def scan(spark: SparkSession, path: str, glob: str = "*", with_empty: bool = False) -> DataFrame:
+    """(path, length, head): one row a file. content is read only if head is selected.
+
+    Spark's file index leaves out files without a byte. `with_empty` adds them from a listing by the
+    driver, which takes a call for each file below the path.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", F.substring("content", 1, HEAD).alias("head"))
+    found = files.select("path", "length", F.substring("content", 1, HEAD).alias("head"))
+    if not with_empty:
+        return found
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed, empty = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True), []
+    while listed.hasNext():
+        file = listed.next()
+        name = file.getPath().getName()
+        if file.getLen() == 0 and fnmatch(name, glob) and name[0] not in "._":
+            empty.append((file.getPath().toString(),))
+    return found.union(spark.createDataFrame(empty, "path string").select("path", F.lit(0).cast("long"), F.lit(b"").cast("binary")))
 
 
 def with_missing(wanted: DataFrame, files: DataFrame) -> DataFrame:
