@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from bitloom.llm.decontaminate import OP2_SQL, op2_decontamination
 from bitloom.llm.language_id import op8_language_id
 from bitloom.llm.media import op9_media_columns
+from bitloom.llm.merge_replay import op11_merge_replay
 from bitloom.llm.near_dedup import OP10_SQL, op10_near_dedup
 from bitloom.llm.packing import op6_packing
 from bitloom.llm.quality import op7_quality_classifier
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_media_columns": op9_media_columns,
     "op10_near_dedup": op10_near_dedup,
+    "op11_merge_replay": op11_merge_replay,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_url_filters": OP5_SQL, "op10_near_dedup": OP10_SQL}
