@@ -37,7 +37,9 @@ from bitloom.llm.pretoken import LETTER, NUMBER, OTHER, SPACE, code_points, span
 from bitloom.llm.textscan import Pool
 
 #: Code points handled at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+#: Rows taken from an Arrow batch at once.
+ROWS = 512
 #: Rank of a pair that no merge joins.
 NONE = np.int32(2**31 - 1)
 
@@ -76,10 +78,6 @@ class Vocabulary:
         self.known = self.size > 0
         self.flat = np.frombuffer(b"".join(t for t, _ in sorted(ranks.items(), key=lambda x: x[1])), np.uint8)
         self.longest = max(map(len, ranks))
-        pairs = [(ranks[t[:k]] << 32 | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        pairs.sort()
-        self.pair = np.array([p for p, _ in pairs] + [2**63 - 1], np.int64)
-        self.merge = np.array([r for _, r in pairs] + [NONE], np.int32)
 
     @classmethod
     def read(cls, ranks_file: str) -> Vocabulary:
@@ -88,13 +86,21 @@ class Vocabulary:
 
     @cached_property
     def joined(self) -> dict[int, int]:
-        return dict(zip(self.pair[:-1].tolist(), self.merge[:-1].tolist(), strict=True))
+        """Rank of the merge of each pair of tokens, keyed by both ids."""
+        ranks = self.ranks
+        return {ranks[t[:k]] << 32 | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+
+    @cached_property
+    def sorted_joins(self) -> tuple[np.ndarray, np.ndarray]:
+        pairs = sorted(self.joined.items())
+        return np.array([p for p, _ in pairs] + [2**63 - 1], np.int64), np.array([r for _, r in pairs] + [NONE], np.int32)
 
     def joins(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair of symbols, NONE where there is none; -1 is no symbol."""
         key = left.astype(np.int64) << 32 | right
-        at = np.searchsorted(self.pair, key)
-        return np.where(self.pair[at] == key, self.merge[at], NONE)
+        pair, merge = self.sorted_joins
+        at = np.searchsorted(pair, key)
+        return np.where(pair[at] == key, merge[at], NONE)
 
     def bytes_of(self, ids: np.ndarray) -> bytes:
         return self.flat[spread(self.begin[ids], self.size[ids])].tobytes()
@@ -203,10 +209,15 @@ def replayed_alone(vocabulary: Vocabulary, data: np.ndarray) -> np.ndarray:
     return np.array([s for s in symbol[:n] if s >= 0], np.int32)
 
 
+@cache
+def held_vocabulary(ranks_file: str) -> Vocabulary:
+    return Vocabulary.read(ranks_file)
+
+
 @cache
 def held_encoder(ranks_file: str) -> Encoder:
     """One for each Python worker, so that its pool serves task after task."""
-    return Encoder(Vocabulary.read(ranks_file))
+    return Encoder(held_vocabulary(ranks_file))
 
 
 class Encoder:
@@ -285,7 +296,8 @@ def encode(docs: DataFrame, ranks_file: str, id: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = held_encoder(ranks_file)
-        for b in batches:
+        few = (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS))
+        for b in few:
             texts = [t or "" for t in b.column(1).to_pylist()]
             done, size, rows = 0, 0, []
             for i, ids in enumerate(encoder.encode(texts)):
@@ -304,8 +316,8 @@ def decode(tokens: DataFrame, ranks_file: str, id: str = "doc_id") -> DataFrame:
     """(id, tokens, decoded): the bytes of each row of tokens; null where an id is not in the vocabulary or a row is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = held_encoder(ranks_file).vocabulary
-        for b in batches:
+        vocabulary = held_vocabulary(ranks_file)
+        for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             decoded = []
             for row in b.column(1).to_pylist():
                 ids = np.frombuffer(row or b"", "<u4")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bitloom.llm.conversation_repair import op12_conversation_repair
 from bitloom.llm.decontaminate import OP2_SQL, op2_decontamination
 from bitloom.llm.language_id import op8_language_id
 from bitloom.llm.media import op9_media_columns
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_media_columns": op9_media_columns,
     "op10_near_dedup": op10_near_dedup,
     "op11_merge_replay": op11_merge_replay,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_url_filters": OP5_SQL, "op10_near_dedup": OP10_SQL}
