@@ -11,6 +11,7 @@ from bitloom.llm.decontaminate import OP2_SQL, op2_decontamination
 from bitloom.llm.language_id import op8_language_id
 from bitloom.llm.media import op9_media_columns
 from bitloom.llm.merge_replay import op11_merge_replay
+from bitloom.llm.merkle_manifest import OP13_SQL, op13_merkle_manifest
 from bitloom.llm.near_dedup import OP10_SQL, op10_near_dedup
 from bitloom.llm.packing import op6_packing
 from bitloom.llm.quality import op7_quality_classifier
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": op10_near_dedup,
     "op11_merge_replay": op11_merge_replay,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_url_filters": OP5_SQL, "op10_near_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_url_filters": OP5_SQL, "op10_near_dedup": OP10_SQL, "op13_merkle_manifest": OP13_SQL}
