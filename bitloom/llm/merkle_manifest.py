@@ -9,9 +9,10 @@ A Spark recursive query starts from every leaf, each with the hash to be folded.
 leaf with the row its link names, appends that row's siblings and folds the hash with them, until
 the root's row gives no further link.
 
-A node high up is an ancestor of many leaves, so its row is stored once for each lane of 4,096
-neighbouring leaves below it: no join key has more leaves than that, and the copies are a 4,096th of
-the leaves for each round above the third. A task holds 16 nodes of a group.
+A node high up is an ancestor of many leaves, so its row is stored once for each lane of 16
+neighbouring leaves below it: every join key has 16 leaves at most, and the copies are a 16th of the
+leaves for each round above the second. Copies are made in two steps, lest one task make those of a
+whole tree. A task holds 16 nodes of a group.
 
 Defined results: a null value counts as `-`; a null lang is a tree of its own, before all others;
 null ids come first within a tree and are not tampered with; rows of one id are ordered by their leaf,
@@ -31,8 +32,10 @@ from bitloom.llm.common import discard, stored, table
 #: Levels that a round builds, and the nodes that meet for it.
 STRIDE = 4
 FAN = 1 << STRIDE
-#: Leaves of a lane: those below one node after three rounds.
-LANE = FAN**3
+#: Leaves of a lane: those below one node after one round.
+LANE = FAN
+#: Lanes that one row is copied to at once.
+COPIES = 4096
 #: The tree over the subroots; the names of other trees are not empty.
 TOP = ""
 
@@ -72,21 +75,21 @@ def built(nodes: DataFrame, payload: list[str], most: int) -> list[DataFrame]:
     """Rounds of (tree, n, up, members, top, depth, lo, hi): groups of up to 16 nodes with their levels.
 
     nodes: tree, place, n, hash, lo, hi (the lanes below) and the payload, kept in the first round.
-    members are (place, hash, payload, siblings) in order. A tree whose round has 16 nodes at most ends
+    members are (place, hash, lo, hi, payload, siblings) in order. A tree whose round has 16 nodes at most ends
     there: depth says after how many levels one node is left, and top is that node. most is the
     greatest n.
     """
     rounds = []
     while True:
-        held = F.array_sort(F.collect_list(F.struct("place", "hash", *payload)))
+        held = F.array_sort(F.collect_list(F.struct("place", "hash", "lo", "hi", *payload)))
         d = nodes.withColumn("up", F.floor(F.col("place") / FAN).cast("long")).groupBy("tree", "n", "up").agg(held.alias("g"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         d = d.withColumn("l0", F.transform("g", lambda x: x["hash"]))
         for j in range(STRIDE):
             d = d.withColumn(f"l{j + 1}", _above(F.col(f"l{j}")))
         depth = F.when(F.col("n") > FAN, STRIDE).otherwise(F.ceil(F.log2("n")))
         d = d.withColumn("depth", depth.cast("int")).withColumn("top", F.get(F.element_at(F.array(*[f"l{j}" for j in range(STRIDE + 1)]), F.col("depth") + 1), F.lit(0)))
-        beside = lambda i: F.array(*[F.when(F.lit(j) < F.col("depth"), F.get(F.col(f"l{j}"), F.shiftright(i, j).bitwiseXOR(F.lit(1)))) for j in range(STRIDE)])
-        members = F.transform("g", lambda x, i: F.struct(x["place"].alias("place"), x["hash"].alias("hash"), *[x[c].alias(c) for c in payload], beside(i).alias("siblings")))
+        beside = lambda i: F.array(*[F.when(F.lit(j) < F.col("depth"), F.unhex(F.get(F.col(f"l{j}"), F.shiftright(i, j).bitwiseXOR(F.lit(1))))) for j in range(STRIDE)])
+        members = F.transform("g", lambda x, i: F.struct(*[x[c].alias(c) for c in ("place", "hash", "lo", "hi")], *[x[c].alias(c) for c in payload], beside(i).alias("siblings")))
         done = stored(d.select("tree", "n", "up", members.alias("members"), "top", "depth", "lo", "hi"), "levels")
         rounds.append(done)
         if most <= FAN:
@@ -97,16 +100,16 @@ def built(nodes: DataFrame, payload: list[str], most: int) -> list[DataFrame]:
 
 
 def climbable(step: DataFrame, payload: list[str]) -> DataFrame:
-    """One row a member: tree, n, place, siblings, side (its number among the 16), depth, up and the payload."""
-    x = step.select("tree", "n", "up", "depth", "lo", "hi", F.posexplode("members").alias("side", "m"))
-    return x.select("tree", "n", "up", "depth", "lo", "hi", "side", F.col("m.place").alias("place"), F.col("m.siblings").alias("siblings"), *[F.col(f"m.{c}").alias(c) for c in payload])
+    """One row a member: tree, n, place, lo, hi, siblings, side (its number among the 16), depth, up and the payload."""
+    x = step.select("tree", "n", "up", "depth", F.posexplode("members").alias("side", "m"))
+    return x.select("tree", "n", "up", "depth", F.col("m.lo").alias("lo"), F.col("m.hi").alias("hi"), "side", F.col("m.place").alias("place"), F.col("m.siblings").alias("siblings"), *[F.col(f"m.{c}").alias(c) for c in payload])
 
 
 #: Folds a hash with the siblings of a row; bit j of side says that the sibling of level j stands to the left.
 _FOLD = """unhex(aggregate(sequence(0, 3), lower(hex({hash})), (a, j) -> CASE WHEN j >= {row}.depth THEN a ELSE sha2(concat(
-    CASE WHEN shiftright({row}.side, j) % 2 = 1 THEN coalesce({row}.siblings[j], '') ELSE '' END, a,
-    CASE WHEN shiftright({row}.side, j) % 2 = 0 THEN coalesce({row}.siblings[j], '') ELSE '' END), 256) END))"""
-_APPENDED = "unhex(concat_ws('', {row}.siblings))"
+    CASE WHEN shiftright({row}.side, j) % 2 = 1 THEN coalesce(lower(hex({row}.siblings[j])), '') ELSE '' END, a,
+    CASE WHEN shiftright({row}.side, j) % 2 = 0 THEN coalesce(lower(hex({row}.siblings[j])), '') ELSE '' END), 256) END))"""
+_APPENDED = "unhex(concat_ws('', transform({row}.siblings, x -> hex(x))))"
 
 CLIMB = f"""
 WITH RECURSIVE climb AS (
@@ -143,17 +146,18 @@ def manifest(leaves: DataFrame) -> DataFrame:
     top = built(over, [], trees)
     root = top[-1].first()["top"]
 
-    columns = ["owner", "lane", "step", "place", "siblings", "side", "depth", "up_step", "up_place"]
+    columns = ["owner", "step", "place", "siblings", "side", "depth", "up_step", "up_place"]
     whole = lambda c: F.col(c).cast("long")
     links = [
-        climbable(d, []).withColumn("lane", F.explode(F.sequence("lo", "hi"))).withColumn("step", F.lit(i)).withColumn("up_step", F.lit(i + 1)).withColumnRenamed("tree", "owner").withColumn("up_place", whole("up")).select(*columns)
+        climbable(d, []).withColumn("step", F.lit(i)).withColumn("up_step", F.lit(i + 1)).withColumnRenamed("tree", "owner").withColumn("up_place", whole("up")).select("lo", "hi", *columns)
         for i, d in enumerate(own) if i
     ]
     for i, d in enumerate(top):
         path = subroots.select("owner", "rounds", "lanes", F.floor(F.col("place") / FAN**i).cast("long").alias("place")).join(climbable(d, []).select("place", "siblings", "side", "depth"), "place")
         up = F.lit(None).cast("int") if i + 1 == len(top) else F.col("rounds") + i + 1
-        links.append(path.select("owner", F.explode(F.sequence(F.lit(0).cast("long"), "lanes")).alias("lane"), (F.col("rounds") + i).alias("step"), F.lit(0).cast("long").alias("place"), "siblings", "side", "depth", up.alias("up_step"), F.lit(0).cast("long").alias("up_place")))
-    rows = stored(reduce(DataFrame.unionByName, links), "links")
+        links.append(path.select(F.lit(0).cast("long").alias("lo"), F.col("lanes").alias("hi"), "owner", (F.col("rounds") + i).alias("step"), F.lit(0).cast("long").alias("place"), "siblings", "side", "depth", up.alias("up_step"), F.lit(0).cast("long").alias("up_place")))
+    some = reduce(DataFrame.unionByName, links).withColumn("lo", F.explode(F.sequence("lo", "hi", F.lit(COPIES).cast("long")))).repartition("owner", "step", "place", "lo")
+    rows = stored(some.select(F.explode(F.sequence("lo", F.least("hi", F.col("lo") + COPIES - 1))).alias("lane"), *columns), "links")
     starts = climbable(own[0], payload).select(F.col("tree").alias("owner"), F.floor(F.col("place") / LANE).cast("long").alias("lane"), "id", "leaf", "changed", "siblings", "side", "depth", F.lit(1).alias("up_step"), F.col("up").alias("up_place"))
 
     limit = "spark.sql.cteRecursionRowLimit"

@@ -76,9 +76,11 @@ def test_against_brute_force(spark, tmp_path, sizes) -> None:
     assert {g[6] for g in got} == {True, False} or len(got) < 20
 
 
-def test_lanes(spark, tmp_path, monkeypatch) -> None:
-    """Lanes of 16 leaves: rows high up are stored many times, results stay."""
-    monkeypatch.setattr(M, "LANE", 16)
+@pytest.mark.parametrize("lane", [16, 256])
+def test_lanes(spark, tmp_path, monkeypatch, lane) -> None:
+    """Rows high up are stored for many lanes, a few lanes at a time; results stay."""
+    monkeypatch.setattr(M, "LANE", lane)
+    monkeypatch.setattr(M, "COPIES", 3)
     rows = corpus({"a": 700, "b": 30, None: 5}, 3)
     assert sorted(run(spark, tmp_path, rows), key=repr) == sorted(brute(rows), key=repr)
 
