@@ -1,7 +1,7 @@
 """Merkle manifest of a dataset: levels stored as parent-linked rows, proofs by a recursive query.
 
 Each row is a leaf. Leaves of one tree are numbered by a range shuffle, and rounds of one grouping each
-build four levels at once: 16 neighbouring nodes meet, and each of them becomes a stored row with
+build six levels at once: 64 neighbouring nodes meet, and each of them becomes a stored row with
 its siblings on the way up those levels and a link to the row of its ancestor there. The subroots of
 all trees are the leaves of a last tree.
 
@@ -9,10 +9,10 @@ A Spark recursive query starts from every leaf, each with the hash to be folded.
 leaf with the row its link names, appends that row's siblings and folds the hash with them, until
 the root's row gives no further link.
 
-A node high up is an ancestor of many leaves, so its row is stored once for each lane of 16
-neighbouring leaves below it: every join key has 16 leaves at most, and the copies are a 16th of the
+A node high up is an ancestor of many leaves, so its row is stored once for each lane of 64
+neighbouring leaves below it: every join key has 64 leaves at most, and the copies are a 64th of the
 leaves for each round above the second. Copies are made in two steps, lest one task make those of a
-whole tree. A task holds 16 nodes of a group.
+whole tree. A task holds 64 nodes of a group.
 
 Defined results: a null value counts as `-`; a null lang is a tree of its own, before all others;
 null ids come first within a tree and are not tampered with; rows of one id are ordered by their leaf,
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from bitloom.llm.common import discard, stored, table
 
 #: Levels that a round builds, and the nodes that meet for it.
-STRIDE = 4
+STRIDE = 6
 FAN = 1 << STRIDE
 #: Leaves of a lane: those below one node after one round.
 LANE = FAN
@@ -72,10 +72,10 @@ def _above(level: Column) -> Column:
 
 
 def built(nodes: DataFrame, payload: list[str], most: int) -> list[DataFrame]:
-    """Rounds of (tree, n, up, members, top, depth, lo, hi): groups of up to 16 nodes with their levels.
+    """Rounds of (tree, n, up, members, top, depth, lo, hi): groups of up to FAN nodes with their levels.
 
     nodes: tree, place, n, hash, lo, hi (the lanes below) and the payload, kept in the first round.
-    members are (place, hash, lo, hi, payload, siblings) in order. A tree whose round has 16 nodes at most ends
+    members are (place, hash, lo, hi, payload, siblings) in order. A tree whose round has FAN nodes at most ends
     there: depth says after how many levels one node is left, and top is that node. most is the
     greatest n.
     """
@@ -86,7 +86,7 @@ def built(nodes: DataFrame, payload: list[str], most: int) -> list[DataFrame]:
         d = d.withColumn("l0", F.transform("g", lambda x: x["hash"]))
         for j in range(STRIDE):
             d = d.withColumn(f"l{j + 1}", _above(F.col(f"l{j}")))
-        depth = F.when(F.col("n") > FAN, STRIDE).otherwise(F.ceil(F.log2("n")))
+        depth = F.when(F.col("n") > FAN, STRIDE).when(F.col("n") == 1, 0).otherwise(F.length(F.bin(F.col("n") - 1)))
         d = d.withColumn("depth", depth.cast("int")).withColumn("top", F.get(F.element_at(F.array(*[f"l{j}" for j in range(STRIDE + 1)]), F.col("depth") + 1), F.lit(0)))
         beside = lambda i: F.array(*[F.when(F.lit(j) < F.col("depth"), F.unhex(F.get(F.col(f"l{j}"), F.shiftright(i, j).bitwiseXOR(F.lit(1))))) for j in range(STRIDE)])
         members = F.transform("g", lambda x, i: F.struct(*[x[c].alias(c) for c in ("place", "hash", "lo", "hi")], *[x[c].alias(c) for c in payload], beside(i).alias("siblings")))
@@ -100,22 +100,22 @@ def built(nodes: DataFrame, payload: list[str], most: int) -> list[DataFrame]:
 
 
 def climbable(step: DataFrame, payload: list[str]) -> DataFrame:
-    """One row a member: tree, n, place, lo, hi, siblings, side (its number among the 16), depth, up and the payload."""
+    """One row a member: tree, n, place, lo, hi, siblings, side (its number in the group), depth, up and the payload."""
     x = step.select("tree", "n", "up", "depth", F.posexplode("members").alias("side", "m"))
     return x.select("tree", "n", "up", "depth", F.col("m.lo").alias("lo"), F.col("m.hi").alias("hi"), "side", F.col("m.place").alias("place"), F.col("m.siblings").alias("siblings"), *[F.col(f"m.{c}").alias(c) for c in payload])
 
 
 #: Folds a hash with the siblings of a row; bit j of side says that the sibling of level j stands to the left.
-_FOLD = """unhex(aggregate(sequence(0, 3), lower(hex({hash})), (a, j) -> CASE WHEN j >= {row}.depth THEN a ELSE sha2(concat(
+_FOLD = """unhex(aggregate(sequence(0, {last}), lower(hex({hash})), (a, j) -> CASE WHEN j >= {row}.depth THEN a ELSE sha2(concat(
     CASE WHEN shiftright({row}.side, j) % 2 = 1 THEN coalesce(lower(hex({row}.siblings[j])), '') ELSE '' END, a,
     CASE WHEN shiftright({row}.side, j) % 2 = 0 THEN coalesce(lower(hex({row}.siblings[j])), '') ELSE '' END), 256) END))"""
 _APPENDED = "unhex(concat_ws('', transform({row}.siblings, x -> hex(x))))"
 
 CLIMB = f"""
 WITH RECURSIVE climb AS (
-  SELECT l.owner, l.lane, l.id, l.leaf, l.up_step, l.up_place, {_FOLD.format(hash="l.changed", row="l")} AS folded, {_APPENDED.format(row="l")} AS proof FROM {{leaves}} l
+  SELECT l.owner, l.lane, l.id, l.leaf, l.up_step, l.up_place, {_FOLD.format(hash="l.changed", row="l", last=STRIDE - 1)} AS folded, {_APPENDED.format(row="l")} AS proof FROM {{leaves}} l
   UNION ALL
-  SELECT c.owner, c.lane, c.id, c.leaf, r.up_step, r.up_place, {_FOLD.format(hash="c.folded", row="r")}, concat(c.proof, {_APPENDED.format(row="r")})
+  SELECT c.owner, c.lane, c.id, c.leaf, r.up_step, r.up_place, {_FOLD.format(hash="c.folded", row="r", last=STRIDE - 1)}, concat(c.proof, {_APPENDED.format(row="r")})
   FROM climb c JOIN {{rows}} r ON c.owner = r.owner AND c.lane = r.lane AND c.up_step = r.step AND c.up_place = r.place
 )
 SELECT owner, id, leaf, folded, proof FROM climb WHERE up_step IS NULL"""

@@ -68,7 +68,7 @@ def run(spark, tmp_path, rows: list[tuple]) -> list[tuple]:
     return [tuple(r[c] for c in cols) for r in M.op13_merkle_manifest(spark, str(tmp_path)).collect()]
 
 
-@pytest.mark.parametrize("sizes", [{"a": 1}, {None: 1, "a": 2}, {"a": 16, "b": 17, "é": 33, "": 5, "z": 300, None: 40}, {f"l{i}": 1 + i % 3 for i in range(35)}])
+@pytest.mark.parametrize("sizes", [{"a": 1}, {None: 1, "a": 2}, {"a": 16, "b": 17, "é": 33, "": 5, "z": 300, "y": 64, None: 40}, {f"l{i}": 1 + i % 3 for i in range(70)}])
 def test_against_brute_force(spark, tmp_path, sizes) -> None:
     rows = [*corpus(sizes), (None, "t", next(iter(sizes)), None, 5), (None, None, next(iter(sizes)), None, None)]
     got, want = run(spark, tmp_path, rows), brute(rows)
@@ -76,12 +76,12 @@ def test_against_brute_force(spark, tmp_path, sizes) -> None:
     assert {g[6] for g in got} == {True, False} or len(got) < 20
 
 
-@pytest.mark.parametrize("lane", [16, 256])
+@pytest.mark.parametrize("lane", [64, 4096])
 def test_lanes(spark, tmp_path, monkeypatch, lane) -> None:
     """Rows high up are stored for many lanes, a few lanes at a time; results stay."""
     monkeypatch.setattr(M, "LANE", lane)
     monkeypatch.setattr(M, "COPIES", 3)
-    rows = corpus({"a": 700, "b": 30, None: 5}, 3)
+    rows = corpus({"a": 9000, "b": 65, None: 5}, 3)
     assert sorted(run(spark, tmp_path, rows), key=repr) == sorted(brute(rows), key=repr)
 
 
