@@ -9,10 +9,14 @@ from bitloom.sources.shared import stored
 
 
 def trim_trailing(df: DataFrame, keys: list[str], index: str, filled: Column) -> DataFrame:
-    """Rows up to each group's last filled one, holes included; at least the first row stays."""
-    w = Window.partitionBy(*keys)
-    last = F.coalesce(F.max(F.when(filled, F.col(index))).over(w), F.min(index).over(w))
-    return df.withColumn("_last", last).where(F.col(index) <= F.col("_last")).drop("_last")
+    """Rows up to each group's last filled one, holes included; at least the first row stays.
+
+    The last places are an aggregate of one row a group, so a group of any size is summed up before the
+    shuffle and its rows are joined back from many tasks.
+    """
+    last = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.coalesce(F.max(F.when(filled, F.col(index))), F.min(index)).alias("_last"))
+    joined = df.join(last, [df[k].eqNullSafe(last[f"_k{i}"]) for i, k in enumerate(keys)])
+    return joined.where(F.col(index) <= F.col("_last")).select(*[df[c] for c in df.columns])
 
 
 def first_of(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitloom.functions.bits import channel
+from bitloom.operators.intervals import level_of
+from bitloom.sources.shared import stored
 
 
 def redmean(a: Column, b: Column) -> Column:
@@ -51,13 +53,21 @@ def fidelity(matched: DataFrame, value: str) -> DataFrame:
     return out.withColumn("approximated", F.col("n_values") - F.col("exact_values")).withColumn("lossless", F.col("n_rows") == F.col("exact_rows"))
 
 
-def hits(points: DataFrame, boxes: DataFrame, px: str, py: str, cell: int = 16) -> DataFrame:
-    """All boxes (box, x, y, w, h) that cover each point, by way of the grid cells both touch."""
-    spread = lambda a, n: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor((F.col(a) + F.col(n) - 1) / cell)))
-    tiles = boxes.withColumn("_cx", spread("x", "w")).withColumn("_cy", spread("y", "h"))
-    asked = points.withColumn("_cx", F.floor(F.col(px) / cell)).withColumn("_cy", F.floor(F.col(py) / cell))
+def hits(points: DataFrame, boxes: DataFrame, px: str, py: str) -> DataFrame:
+    """All boxes (box, x, y, w, h) that cover each point, over a grid of many levels.
+
+    A box lies in the tiles of its own width and height that it touches, three by three at most, however
+    large it is. A point asks one tile for each pair of levels that occurs, of at most 21 by 21.
+    """
+    placed = stored(boxes.where("w > 0 and h > 0").withColumn("_lx", level_of(F.col("w"))).withColumn("_ly", level_of(F.col("h"))), "boxes")
+    levels = placed.select("_lx", "_ly").distinct().orderBy("_lx", "_ly").collect()
+    over = lambda a, n, level: F.explode(F.expr(f"sequence(shiftright(cast({a} as long), 3 * {level}), shiftright(cast({a} + {n} - 1 as long), 3 * {level}))"))
+    tiles = placed.withColumn("_cx", over("x", "w", "_lx")).withColumn("_cy", over("y", "h", "_ly"))
+    asked = points.withColumn("_l", F.explode(F.array(*[F.struct(F.lit(r["_lx"]).alias("x"), F.lit(r["_ly"]).alias("y")) for r in levels or [{"_lx": 0, "_ly": 0}]])))
+    at = lambda p, axis: F.expr(f"shiftright(cast(floor(`{p}`) as long), 3 * _l.{axis})")
+    asked = asked.select(*points.columns, F.col("_l.x").alias("_lx"), F.col("_l.y").alias("_ly"), at(px, "x").alias("_cx"), at(py, "y").alias("_cy"))
     inside = (F.col(px) >= F.col("x")) & (F.col(px) < F.col("x") + F.col("w")) & (F.col(py) >= F.col("y")) & (F.col(py) < F.col("y") + F.col("h"))
-    return asked.join(tiles, ["_cx", "_cy"]).where(inside).drop("_cx", "_cy")
+    return asked.join(tiles, ["_lx", "_ly", "_cx", "_cy"]).where(inside).drop("_lx", "_ly", "_cx", "_cy")
 
 
 def first_hit(found: DataFrame, point: str, draws: Column, order: str) -> DataFrame:

@@ -27,7 +27,7 @@ normal AS (
 
 @query("w1_merge_intervals", f'WITH {SPANS_SQL}, {MERGED} SELECT set_id, "start", "end", n, "end" - "start" AS covered FROM merged')
 def w1(spark: SparkSession, d: str) -> DataFrame:
-    return I.merge_spans(spans(spark, d), ["set_id"], bucket=8192).withColumn("covered", F.col("end") - F.col("start"))
+    return I.merge_spans(spans(spark, d), ["set_id"]).withColumn("covered", F.col("end") - F.col("start"))
 
 
 @query("w2_normalize_intervals", f'WITH {SPANS_SQL}, {NORMAL} SELECT set_id, "start", "end", "row" FROM normal')

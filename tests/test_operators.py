@@ -29,7 +29,7 @@ def as_regions(df):
 )
 def test_overwrite(spark, write, want) -> None:
     log = spark.createDataFrame([(0, 100, 200, 1, 0), (0, *(write[0], sum(write)), 9, 1)], "set_id long, start long, end long, row long, seq long")
-    assert as_regions(intervals.overwrite_spans(log, ["set_id"], bucket=64)) == want
+    assert as_regions(intervals.overwrite_spans(log, ["set_id"], parts=2)) == want
 
 
 @pytest.mark.parametrize(("cut", "want"), [((120, 20), [(100, 120), (140, 200)]), ((50, 200), []), ((0, 50), [(100, 200)])])
@@ -46,13 +46,15 @@ def test_normalize(spark) -> None:
     assert one([(0, 0, 1)]) == []
 
 
-@pytest.mark.parametrize("bucket", [1, 7, 64, 100_000])
-def test_intervals_against_painting(spark, bucket) -> None:
+@pytest.mark.parametrize("parts", [1, 2, 7, 40])
+def test_intervals_against_painting(spark, parts) -> None:
     """Random sets of several keys, painted place by place."""
-    rnd = random.Random(bucket)
-    rows = list({(rnd.randrange(3), s, s + rnd.randrange(0, 12), rnd.randrange(3), q) for q, s in enumerate(rnd.choices(range(-30, 160), k=90))})
+    rnd = random.Random(parts)
+    rows = list({(rnd.choice([-1, 1, 2]), s, s + rnd.choice([rnd.randrange(0, 12), rnd.randrange(0, 12), 90]), rnd.randrange(3), q) for q, s in enumerate(rnd.choices(range(-30, 160), k=90))})
     df = spark.createDataFrame(rows, "set_id long, start long, end long, row long, seq long").repartition(3)
-    key = lambda rs: sorted((r.set_id, r.start, r.end, *( [r["row"]] if "row" in r else [])) for r in rs)
+    df = df.withColumn("set_id", F.nullif("set_id", F.lit(-1)))
+    null = lambda v: -1 if v is None else v
+    key = lambda rs: sorted((null(r.set_id), r.start, r.end, *( [r["row"]] if "row" in r else [])) for r in rs)
 
     def painted(cells: dict) -> list:
         out: list = []
@@ -74,28 +76,28 @@ def test_intervals_against_painting(spark, bucket) -> None:
         start = max(a, reach.get(k, a))
         first.update({(k, p): v for p in range(start, z)})
         reach[k] = max(reach.get(k, z), z)
-    assert key(intervals.overwrite_spans(df, ["set_id"], bucket=bucket).collect()) == painted(last)
-    assert key(intervals.normalize_spans(df, ["set_id"], bucket=bucket).collect()) == painted(first)
-    assert key(intervals.merge_spans(df, ["set_id"], bucket=bucket).drop("n").collect()) == [x[:3] for x in painted(any_)]
+    assert key(intervals.overwrite_spans(df, ["set_id"], parts=parts).collect()) == painted(last)
+    assert key(intervals.normalize_spans(df, ["set_id"], parts=parts).collect()) == painted(first)
+    assert key(intervals.merge_spans(df, ["set_id"], parts=parts).drop("n").collect()) == [x[:3] for x in painted(any_)]
     rest = {c: 0 for c in any_ if c not in odd}
-    assert key(intervals.subtract_spans(df, df.where("row = 1"), ["set_id"], bucket=bucket).collect()) == [x[:3] for x in painted(rest)]
+    assert key(intervals.subtract_spans(df, df.where("row = 1"), ["set_id"], parts=parts).collect()) == [x[:3] for x in painted(rest)]
     order = ["start", "end", "row", "seq"]
     pairs = [(x, y) for x, y in zip(sorted(r[:5] for r in rows), sorted(r[:5] for r in rows)[1:]) if x[0] == y[0] and y[1] < x[2]]
-    got = intervals.overlaps(df, ["set_id"], order, bucket=bucket).collect()
-    assert sorted((r.set_id, r.start, r.end, r["row"], r.seq, r.next_start, r.next_end) for r in got) == sorted((*x, y[1], y[2]) for x, y in pairs)
-    laid = sorted((r.seq, r.at) for r in intervals.assembled(df.where("set_id = 0").withColumn("n", F.col("end") - F.col("start")).withColumnRenamed("start", "s0"), ["set_id"], "seq", "n", bucket=bucket).withColumnRenamed("start", "at").collect())
+    got = intervals.overlaps(df, ["set_id"], order, parts=parts).collect()
+    assert sorted((null(r.set_id), r.start, r.end, r["row"], r.seq, r.next_start, r.next_end) for r in got) == sorted((*x, y[1], y[2]) for x, y in pairs)
+    laid = sorted((r.seq, r.at) for r in intervals.assembled(df.where("set_id = 1").withColumn("n", F.col("end") - F.col("start")).withColumnRenamed("start", "s0"), ["set_id"], "seq", "n", parts=parts).withColumnRenamed("start", "at").collect())
     total, want = 0, []
-    for r in sorted((r for r in rows if r[0] == 0), key=lambda r: r[4]):
+    for r in sorted((r for r in rows if r[0] == 1), key=lambda r: r[4]):
         want.append((r[4], total))
         total += r[2] - r[1]
     assert laid == want
 
 
-def test_merge_in_buckets_is_merge(spark) -> None:
+def test_merge_in_ranges_is_merge(spark) -> None:
     rnd = random.Random(1)
     rows = [(rnd.randrange(1000), rnd.randrange(0, 30), 0) for _ in range(300)]
     plain = intervals.merge_spans(spans(spark, rows), ["set_id"]).collect()
-    assert sorted(plain) == sorted(intervals.merge_spans(spans(spark, rows), ["set_id"], bucket=16).collect())
+    assert sorted(plain) == sorted(intervals.merge_spans(spans(spark, rows), ["set_id"], parts=16).collect())
     again = intervals.merge_spans(intervals.merge_spans(spans(spark, rows), ["set_id"]).drop("n"), ["set_id"])
     assert {(r.start, r.end) for r in again.collect()} == {(r.start, r.end) for r in plain}
 
@@ -319,4 +321,4 @@ def test_findings_are_in_order_over_all_files(spark, tmp_path) -> None:
 def test_rules_on_empty_tables(spark) -> None:
     none = spark.createDataFrame([], "id long, v string")
     assert quality.enumeration(none, "X", "id", "v", ["a"], "a").count() == 0
-    assert intervals.merge_spans(spans(spark, []), ["set_id"], bucket=8).count() == 0
+    assert intervals.merge_spans(spans(spark, []), ["set_id"], parts=8).count() == 0
