@@ -12,7 +12,8 @@ the root's row gives no further link.
 A node high up is an ancestor of many leaves, so its row is stored once for each lane of 64
 neighbouring leaves below it: every join key has 64 leaves at most, and the copies are a 64th of the
 leaves for each round above the second. Copies are made in two steps, lest one task make those of a
-whole tree. A task holds 64 nodes of a group.
+whole tree. Rows grow with the leaves, so they are joined by a shuffle at every size, never broadcast. A
+task holds 64 nodes of a group.
 
 Defined results: a null value counts as `-`; a null lang is a tree of its own, before all others;
 null ids come first within a tree and are not tampered with; rows of one id are ordered by their leaf,
@@ -115,7 +116,7 @@ CLIMB = f"""
 WITH RECURSIVE climb AS (
   SELECT l.owner, l.lane, l.id, l.leaf, l.up_step, l.up_place, {_FOLD.format(hash="l.changed", row="l", last=STRIDE - 1)} AS folded, {_APPENDED.format(row="l")} AS proof FROM {{leaves}} l
   UNION ALL
-  SELECT c.owner, c.lane, c.id, c.leaf, r.up_step, r.up_place, {_FOLD.format(hash="c.folded", row="r", last=STRIDE - 1)}, concat(c.proof, {_APPENDED.format(row="r")})
+  SELECT /*+ MERGE(r) */ c.owner, c.lane, c.id, c.leaf, r.up_step, r.up_place, {_FOLD.format(hash="c.folded", row="r", last=STRIDE - 1)}, concat(c.proof, {_APPENDED.format(row="r")})
   FROM climb c JOIN {{rows}} r ON c.owner = r.owner AND c.lane = r.lane AND c.up_step = r.step AND c.up_place = r.place
 )
 SELECT owner, id, leaf, folded, proof FROM climb WHERE up_step IS NULL"""
