@@ -1,7 +1,5 @@
 """Text expressions: names, keys, code tables, dictionary coding."""
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,50 +80,6 @@ def parse_code_line(line: Column, text_first: bool = False) -> Column:
     return F.when(line.rlike(pattern) & params.isNotNull(), parsed)
 
 
-def greedy_pattern(spellings: list[str]) -> str:
-    """A pattern that takes the longest spelling at each place, else one character."""
-    return "(?s)(" + "|".join(re.escape(s) for s in sorted(spellings, key=lambda s: (-len(s), s))) + "|.)"
-
-
-def greedy_codes(text: Column, spellings: list[str], blank: int | None = None) -> Column:
-    """Codes of a text: the spelling's index, or 1000 + code point of a single character (or `blank`).
-
-    Texts travel in Arrow batches; within a batch each distinct piece is looked up once.
-    """
-    pattern, first = re.compile(greedy_pattern(spellings)), {}
-    for i, s in enumerate(spellings):
-        first.setdefault(s, i)
-
-    class Codes(dict):
-        def __missing__(self, piece: str) -> int:
-            self[piece] = blank if blank is not None else 1000 + ord(piece)
-            return self[piece]
-
-    @F.pandas_udf("array<int>")
-    def coded(texts: pd.Series) -> pd.Series:
-        codes = Codes(first)
-        return texts.map(lambda t: None if t is None else [codes[p] for p in pattern.findall(t)])
-
-    return coded(text)
-
-
-def codes_text(codes: Column, spellings: list[str]) -> Column:
-    """The text of codes made by greedy_codes; an unknown code shows as [$HEX]."""
-    table = F.array(*[F.lit(s) for s in spellings])
-    return F.array_join(F.transform(codes, lambda c: F.when(c < len(spellings), F.get(table, c)).when(c >= 1000, _character(c - 1000)).otherwise(F.concat(F.lit("[$"), F.hex(c), F.lit("]")))), "")
-
-
-def _character(point: Column) -> Column:
-    """The character of a code point, by its UTF-16 units."""
-    low = point - 65536
-    pair = F.concat(_unit(F.floor(low / 1024) + 0xD800), _unit(F.pmod(low, F.lit(1024)) + 0xDC00))
-    return F.decode(F.when(point < 65536, _unit(point)).otherwise(pair), "UTF-16BE")
-
-
-def _unit(n: Column) -> Column:
-    return F.unhex(F.lpad(F.hex(n.cast("int")), 4, "0"))
-
-
 def commands_text(codes: Column, names: dict[int, tuple[str, int]]) -> Column:
     """Codes as text where some codes are commands (name, operands) that swallow the codes after them.
 

@@ -7,12 +7,14 @@ and nothing of its payload.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: What a reader gives: (output, bytes consumed, complete).
@@ -171,6 +173,11 @@ class Registry:
     def __init__(self) -> None:
         self.readers: dict[tuple[str, str], Reader] = {}
         self.builders: dict[tuple[str, str], Callable[[Column], Column]] = {}
+        self.optional: dict[tuple[str, str], dict[str, Callable[[dict], object]]] = {}
+
+    def add_optional(self, stage: str, id_: str, **methods: Callable[[dict], object]) -> None:
+        """Methods that a codec may have or lack, each from its parameters to an answer; see probed()."""
+        self.optional.setdefault((stage, id_), {}).update(methods)
 
     def add(self, stage: str, id_: str, codec: Reader | Callable[[Column], Column], native: bool = False) -> None:
         if (stage, id_) in self.readers or (stage, id_) in self.builders:
@@ -222,6 +229,62 @@ def decode(df: DataFrame, blob: str, codec: Column | str, readers: dict[str, Rea
     return given.mapInArrow(run, schema)
 
 
+def with_presets(df: DataFrame, preset: str, presets: DataFrame) -> DataFrame:
+    """df with codec and params of the preset (preset, codec, params) that each row names; null where there is none."""
+    held = presets.select(F.col("preset").alias("_preset"), "codec", "params")
+    return df.join(held, F.col(preset) == F.col("_preset"), "left").drop("_preset")
+
+
+def probed(df: DataFrame, registry: Registry, stage: str, asked: dict[str, tuple[Callable, object, str]]) -> tuple[DataFrame, DataFrame]:
+    """(df with a column for each method asked, notices) for rows with codec and params, a JSON object.
+
+    asked: {method: (read, default, type)}. Each distinct pair of codec and parameters is asked once. A
+    codec without the method has the default, without a word. One whose method fails, or gives what
+    `read` cannot turn into a value of the type, has the default too, and a notice row (codec, params,
+    method, message); so has a codec that the registry does not know, or parameters that are no object.
+    """
+    optional = {id_: methods for (st, id_), methods in registry.optional.items() if st == stage}
+    known = {id_ for st, id_ in [*registry.readers, *registry.builders, *registry.optional] if st == stage}
+    names = list(asked)
+    answers = StructType.fromDDL(", ".join(f"{n} {kind}" for n, (_, _, kind) in asked.items()))
+    answer_type, notice_type = to_arrow_schema(answers), pa.list_(pa.struct([("method", pa.string()), ("message", pa.string())]))
+    pairs = df.select("codec", "params").distinct()
+    schema = StructType([*pairs.schema.fields, *answers.fields, *StructType.fromDDL("_notices array<struct<method:string,message:string>>").fields])
+
+    def one(codec: str | None, params: str | None) -> tuple[dict, list[dict]]:
+        values, notices = {n: default for n, (_, default, _) in asked.items()}, []
+        try:
+            if codec not in known:
+                raise LookupError(f"unknown codec {codec}")
+            given = json.loads(params or "{}")
+            if not isinstance(given, dict):
+                raise TypeError("parameters are no object")
+        except (LookupError, TypeError, ValueError) as bad:
+            return values, [{"method": n, "message": str(bad)} for n in names]
+        for n, (read, _, _) in asked.items():
+            method = optional.get(codec, {}).get(n)
+            if method is None:
+                continue
+            try:
+                value = read(method(given))
+                pa.array([value], answer_type.field(n).type)
+                values[n] = value
+            except Exception as bad:  # noqa: BLE001  an optional method must not fail the job
+                notices.append({"method": n, "message": f"{type(bad).__name__}: {bad}"})
+        return values, notices
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [one(c, p) for c, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            made = [pa.array([v[n] for v, _ in got], answer_type.field(n).type) for n in names]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made, pa.array([m for _, m in got], notice_type)], schema.names)
+
+    found = pairs.mapInArrow(run, schema).withColumnsRenamed({"codec": "_codec", "params": "_params"})
+    joined = df.join(found, df["codec"].eqNullSafe(found["_codec"]) & df["params"].eqNullSafe(found["_params"]), "left")
+    notices = found.select(F.col("_codec").alias("codec"), F.col("_params").alias("params"), F.inline("_notices"))
+    return joined.select(*[df[c] for c in df.columns], *names), notices
+
+
 #: Reshapes of a region: byte orders within units of so many bytes, by name.
 RESHAPES = {"swap": [1, 0], "reverse-4": [3, 2, 1, 0]}
 
@@ -234,11 +297,14 @@ def staged(df: DataFrame, blob: str, pathway: str, offset: Column, length: Colum
     (null: as it is), and read little-endian fields {name: (first byte, bytes)} of the output. A
     failure keeps the row with its `pathway` and nothing of its payload.
     """
-    size = F.octet_length(blob)
-    stop = F.coalesce(offset + length, size)
-    cut_bad = F.when(F.col(blob).isNull(), "no content").when((offset < 0) | (stop < offset) | (stop > size), "region past the end")
+    size = F.octet_length(blob).cast("long")
+    offset, length = offset.cast("long"), length.cast("long")
+    # compared without a sum that could overflow; the numbers of a sound region are no larger than the blob
+    past = (offset < 0) | (offset > size) | (length < 0) | (length > size - offset)
+    cut_bad = F.when(F.col(blob).isNull(), "no content").when(F.coalesce(past, F.lit(False)) | offset.isNull(), "region past the end")
     region = F.when(cut_bad.isNull(), F.expr(f"substring({blob}, _offset + 1, _stop - _offset)"))
-    given = df.withColumns({"_offset": offset.cast("int"), "_stop": stop.cast("int"), "_reshape": reshape, "_codec": codec})
+    sound = lambda c: F.when(cut_bad.isNull(), c).cast("int")
+    given = df.withColumns({"_offset": sound(offset), "_stop": sound(F.coalesce(offset + F.when(cut_bad.isNull(), length), size)), "_reshape": reshape, "_codec": codec})
     cut = given.withColumn("_cut_bad", cut_bad).withColumn("_region", region)
     turned, bad = F.col("_region"), F.when(F.col("_reshape").isNotNull() & ~F.col("_reshape").isin(list(RESHAPES)), "unknown reshape")
     for name, order in RESHAPES.items():

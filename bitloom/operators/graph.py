@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bitloom.functions import orient
 from bitloom.sources.shared import discard, stored
 
 
@@ -89,6 +90,41 @@ def bounded(mapping: DataFrame, count: int) -> DataFrame:
     return mapping.join(inside, "virtual", "left_semi")
 
 
+def oriented(orientations: DataFrame, turns: DataFrame) -> DataFrame:
+    """(id, flags): orientations with turns (id, flags) applied on top, each keyed by what is turned; upright ones drop.
+
+    Moves leave orientations alone: they belong to an id, wherever it is shown. Several turns of one id
+    have to come one after the other.
+    """
+    a, b = orientations.select("id", F.col("flags").alias("_held")), turns.select("id", F.col("flags").alias("_turn"))
+    both = a.join(b, "id", "full_outer")
+    flags = orient.compose(F.coalesce("_turn", F.lit(0)), F.coalesce("_held", F.lit(0)))
+    return both.select("id", flags.alias("flags")).where("flags <> 0")
+
+
+def shown(mapping: DataFrame, orientations: DataFrame, slots: DataFrame, slot: str) -> DataFrame:
+    """slots with actual, the id that each shows, and flags, how that id is turned; identity and 0 where nothing is stored."""
+    placed = gather(slots, slot, mapping)
+    held = orientations.select(F.col("id").alias("_id"), F.col("flags").alias("_flags"))
+    return placed.join(held, F.col("actual") == F.col("_id"), "left").select(*placed.columns, F.coalesce("_flags", F.lit(0)).alias("flags"))
+
+
+def turned_block(mapping: DataFrame, orientations: DataFrame, moves: DataFrame, flags: int) -> tuple[DataFrame, DataFrame]:
+    """(mapping, orientations) after a block of slots is turned as a whole.
+
+    moves (to, source) say which slot of the block each slot takes its id from, fixed ones included; every
+    id that is moved is also turned itself by flags.
+    """
+    held = gather(moves.select("source"), "source", mapping)
+    turns = held.select(F.col("actual").alias("id"), F.lit(flags).alias("flags"))
+    return compose(mapping, moves), oriented(orientations, turns)
+
+
+def bounded_orientations(orientations: DataFrame, count: int) -> DataFrame:
+    """Orientations of ids below count: each is dropped by itself, unlike the pairs of a cycle."""
+    return orientations.where(F.col("id") < count)
+
+
 def regions(grid: DataFrame, value: str = "v") -> DataFrame:
     """(pos, region): 4-connected areas of equal value, named by their least position.
 
@@ -111,12 +147,20 @@ def regions(grid: DataFrame, value: str = "v") -> DataFrame:
         while True:
             ahead = hook.select(F.col("id").alias("root"), F.col("root").alias("far"))
             raised = stored(hook.join(ahead, "root").select("id", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")))
-            hook = raised.select("id", "root")
+            discard(hook)
+            hook = raised
             if raised.where("moved").isEmpty():
                 break
-        found = stored(found.join(hook.withColumnRenamed("id", "region"), "region", "left").select("run", F.coalesce("root", "region").alias("region")))
+        hooked, hook = hook, hook.select("id", "root")
+        placed = stored(found.join(hook.withColumnRenamed("id", "region"), "region", "left").select("run", F.coalesce("root", "region").alias("region")))
+        if hasattr(found, "_stored_at"):
+            discard(found)
+        found = placed
         a, b = hook.select(F.col("id").alias("a"), F.col("root").alias("x")), hook.select(F.col("id").alias("b"), F.col("root").alias("y"))
-        live = stored(live.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct())
+        rest = stored(live.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct())
+        discard(live, hooked)
+        live = rest
+    discard(live)
     return cells.select("pos", "run").join(found, "run").select("pos", "region")
 
 

@@ -53,6 +53,55 @@ def repoint(df: DataFrame, column: str, mapping: DataFrame, name: str | None = N
     return joined.select(*[out.get(c, F.col(c)).alias(c) for c in df.columns])
 
 
+def basename(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/\\\\]*)$", 1)
+
+
+def repoint_all(df: DataFrame, id_: str, mapping: DataFrame, columns: list[str], arrays: list[str] = (), named: tuple[str, str, Column] | None = None) -> DataFrame:
+    """df with touched: old keys replaced through (old, new) in every reference column and every array of references.
+
+    Each reference moves for itself. named = (name, column, applies): where `applies` holds and the name
+    was the file name of that column's old key, it becomes that of the new one; a name given by hand
+    stays. Keys of `mapping` are unique. An array's elements are joined one by one and put back in order.
+    """
+    m = mapping.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
+    out, moved = df, []
+    for i, c in enumerate(columns):
+        out = out.join(m.withColumnsRenamed({"_old": f"_old{i}", "_new": f"_new{i}"}), F.col(c) == F.col(f"_old{i}"), "left")
+        moved.append(F.col(f"_new{i}").isNotNull())
+    for i, c in enumerate(arrays):
+        each = df.where(F.size(c) > 0).select(F.col(id_).alias(f"_id{i}"), F.posexplode(c).alias("_p", "_v")).join(m, F.col("_v") == F.col("_old"), "left")
+        put = F.transform(F.array_sort(F.collect_list(F.struct("_p", F.coalesce("_new", "_v").alias("v")))), lambda x: x["v"])
+        back = each.groupBy(f"_id{i}").agg(put.alias(f"_put{i}"), F.bool_or(F.col("_new").isNotNull()).alias(f"_hit{i}")).where(f"_hit{i}")
+        out = out.join(back, F.col(id_) == F.col(f"_id{i}"), "left")
+        moved.append(F.col(f"_put{i}").isNotNull())
+    new = {c: F.coalesce(f"_new{i}", c) for i, c in enumerate(columns)} | {c: F.coalesce(f"_put{i}", c) for i, c in enumerate(arrays)}
+    if named:
+        name, column, applies = named
+        follows = applies & F.col(f"_new{columns.index(column)}").isNotNull() & (F.col(name) == basename(F.col(column)))
+        new[name] = F.when(follows, basename(F.col(f"_new{columns.index(column)}"))).otherwise(F.col(name))
+    touched = reduce(lambda a, b: a | b, moved, F.lit(False))
+    return out.select(*[new.get(c, F.col(c)).alias(c) for c in df.columns], touched.alias("touched"))
+
+
+def retarget(df: DataFrame, moves: DataFrame, id_: str, path: str, extra: str, name: str, is_file: Column) -> DataFrame:
+    """df with touched: files put on new lists of paths (id, paths), and their children with them.
+
+    A child is a row that is no file and has the path of one. It takes the whole list, since it lies in
+    the joined content. A file's name follows its first path while it is the file name of the old one.
+    Moves without a path are left out; one path belongs to one file.
+    """
+    given = moves.where(F.size("paths") > 0).select(F.col("id").alias("_mid"), "paths")
+    files = df.where(is_file).join(given, F.col(id_) == F.col("_mid")).select(F.col(id_).alias("_file"), F.col(path).alias("_old"), "paths")
+    out = df.withColumn("_own", is_file).join(files, (F.col(path) == F.col("_old")) & (~F.col("_own") | (F.col(id_) == F.col("_file"))), "left")
+    first = F.get("paths", F.lit(0))
+    new = {
+        path: F.coalesce(first, path), extra: F.when(F.col("_file").isNotNull(), F.slice("paths", 2, F.greatest(F.size("paths") - 1, F.lit(0)))).otherwise(F.col(extra)),
+        name: F.when(F.col("_own") & F.col("_file").isNotNull() & (F.col(name) == basename(F.col(path))), basename(first)).otherwise(F.col(name)),
+    }
+    return out.select(*[new.get(c, F.col(c)).alias(c) for c in df.columns], F.col("_file").isNotNull().alias("touched"))
+
+
 def repair(df: DataFrame, column: str, allowed: DataFrame, default: Column) -> tuple[DataFrame, DataFrame]:
     """(repaired, report): ids that `allowed` lacks become the default; the report has each old id and its rows."""
     known = allowed.select(F.col(column).alias("_known")).distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.functions import bits as B
+from bitloom.operators import substitute as S
 from bitloom.plans.registry import query
 from bitloom.sources.tables import COLORS_SQL, colors, table
 
@@ -93,24 +94,33 @@ def text_bytes(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.filter(codes, lambda v: v.isNotNull())).alias("pos", "v")).where(F.col("v") >= 0)
 
 
-def substitute(df: DataFrame, pos: str, value: str, tables: DataFrame, selector_bits: list[int]) -> DataFrame:
-    """Values replaced by the table that selector bits of the position choose: tables (sel, v, to) hold 256 rows each."""
-    sel = F.lit(0)
-    for i, b in enumerate(selector_bits):
-        sel = sel.bitwiseOR(F.shiftleft(F.shiftright(F.col(pos), b).bitwiseAND(1), i))
-    return df.withColumn("sel", sel).join(F.broadcast(tables.withColumnRenamed("v", value)), ["sel", value], "left")
-
-
 @query("f8_value_substitution", f"""WITH {_BYTES}, t AS (SELECT doc_id, (pos >> 1) & 1 AS sel, pos, CASE WHEN (pos >> 1) & 1 = 0 THEN (v * 5 + 3) % 256 ELSE (v * 77 + 41) % 256 END AS w FROM bytes)
 SELECT doc_id, sel, count(*) AS n, CAST(sum(w) AS BIGINT) AS total, CAST(sum(w * (pos % 997)) AS BIGINT) AS placed FROM t GROUP BY doc_id, sel""")
 def f8(spark: SparkSession, d: str) -> DataFrame:
-    # two bijections of 0..255, by rule
-    tables = spark.range(512).select((F.col("id") / 256).cast("int").alias("sel"), (F.col("id") % 256).cast("int").alias("v"))
-    tables = tables.withColumn("to", F.when(F.col("sel") == 0, (F.col("v") * 5 + 3) % 256).otherwise((F.col("v") * 77 + 41) % 256))
-    done = substitute(text_bytes(spark, d), "pos", "v", tables, [1])
+    done = S.substitute(text_bytes(spark, d), ["doc_id"], "pos", "v", _tables(spark, 256), [1])
     return done.groupBy("doc_id", "sel").agg(F.count("*").alias("n"), F.sum("to").alias("total"), F.sum(F.col("to") * (F.col("pos") % 997)).alias("placed"))
 
 
+def _tables(spark: SparkSession, size: int) -> DataFrame:
+    """Two bijections of 0 .. size - 1, by rule."""
+    tables = spark.range(2 * size).select((F.col("id") / size).cast("int").alias("sel"), (F.col("id") % size).cast("int").alias("v"))
+    return tables.withColumn("to", F.when(F.col("sel") == 0, (F.col("v") * 5 + 3) % size).otherwise((F.col("v") * 77 + 41) % size))
+
+
+@query("f8_substitution_undone", f"""WITH {_BYTES}, n AS (SELECT doc_id, count(*) AS n FROM bytes GROUP BY doc_id),
+u AS (SELECT doc_id, pos - pos % 2 AS first, sum(CASE WHEN pos % 2 = 0 THEN v * 256 ELSE v END) AS w, count(*) AS k FROM bytes GROUP BY doc_id, pos - pos % 2),
+m AS (SELECT doc_id, first, k, CASE WHEN k < 2 THEN w WHEN (first >> 3) & 1 = 0 THEN (w * 5 + 3) % 65536 ELSE (w * 77 + 41) % 65536 END AS w FROM u),
+b AS (SELECT doc_id, CASE WHEN k = 2 THEN w // 256 + w % 256 ELSE w // 256 END AS s FROM m)
+SELECT doc_id, CAST(sum(s) AS BIGINT) AS total, any_value(n) % 2 = 1 AS tail, true AS undone FROM b JOIN n USING (doc_id) GROUP BY doc_id""")
+def f8u(spark: SparkSession, d: str) -> DataFrame:
+    """Units of two bytes under a selector of bit 3, a single last byte left as it is, and the way back."""
+    tables = _tables(spark, 65536)
+    there = S.substitute(text_bytes(spark, d), ["doc_id"], "pos", "v", tables, [3], unit=2)
+    back = S.substitute(there.select("doc_id", "pos", F.col("to").alias("v")), ["doc_id"], "pos", "v", S.inverse(tables), [3], unit=2)
+    same = back.select("doc_id", "pos", F.col("to").alias("back"), F.col("v").alias("to")).join(text_bytes(spark, d), ["doc_id", "pos"])
+    return same.groupBy("doc_id").agg(F.sum("to").alias("total"), (F.count("*") % 2 == 1).alias("tail"), F.bool_and(F.col("back") == F.col("v")).alias("undone"))
+
+
 _POS = "pos AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part)"
 
 

@@ -122,3 +122,35 @@ def u1t(spark: SparkSession, d: str) -> DataFrame:
     reg.register_table_functions(spark)
     packed_texts(spark, d).select("doc_id", "blob").createOrReplaceTempView("bitloom_packed")
     return spark.sql("SELECT doc_id, complete, CAST(octet_length(output) AS BIGINT) AS n FROM bitloom_packed, LATERAL decode_fill_rle(blob)")
+
+
+#: Presets of the demo codecs: (preset, codec, params).
+_PRESETS = [(0, "plain", "{}"), (1, "bounded", '{"limit": 64}'), (2, "bounded", '{"limit": 256}'), (3, "failing", "{}"), (4, "odd", "{}"), (5, "bounded", "{}")]
+
+
+def _probed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Each document has one of seven presets, of which the last does not exist."""
+    reg = D.Registry()
+    reg.add_optional("interpret", "plain")
+    reg.add_optional("interpret", "bounded", index_limit=lambda p: p["limit"], cell_tiles=lambda p: (1, 2))
+    reg.add_optional("interpret", "failing", index_limit=lambda p: 1 // 0)
+    reg.add_optional("interpret", "odd", index_limit=lambda p: "many", cell_tiles=lambda p: 2)
+    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 7).cast("int").alias("preset"))
+    rows = D.with_presets(docs, "preset", spark.createDataFrame(_PRESETS, "preset int, codec string, params string"))
+    asked = {"index_limit": (int, -1, "int"), "cell_tiles": (lambda v: v[0] * v[1], 1, "int")}
+    return D.probed(rows, reg, "interpret", asked)
+
+
+@query("u1_guarded_probes", """SELECT doc_id, doc_id % 7 AS preset, CASE doc_id % 7 WHEN 1 THEN 64 WHEN 2 THEN 256 ELSE -1 END AS index_limit,
+CASE WHEN doc_id % 7 IN (1, 2, 5) THEN 2 ELSE 1 END AS cell_tiles FROM documents""")
+def u1p(spark: SparkSession, d: str) -> DataFrame:
+    return _probed(spark, d)[0].select("doc_id", "preset", "index_limit", "cell_tiles")
+
+
+@query("u1_probe_notices", """WITH n(k, codec, method) AS (VALUES (3, 'failing', 'index_limit'), (4, 'odd', 'index_limit'), (4, 'odd', 'cell_tiles'), (5, 'bounded', 'index_limit'), (6, NULL, 'index_limit'), (6, NULL, 'cell_tiles'))
+SELECT codec, method, count(*) AS n FROM n JOIN documents ON doc_id % 7 = k GROUP BY codec, method""")
+def u1n(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents each notice stands for."""
+    rows, notices = _probed(spark, d)
+    hit = rows.alias("r").join(notices.alias("n"), F.col("r.codec").eqNullSafe(F.col("n.codec")) & F.col("r.params").eqNullSafe(F.col("n.params")))
+    return hit.groupBy(F.col("n.codec").alias("codec"), "method").agg(F.count("*").alias("n"))

@@ -40,6 +40,37 @@ def j21(spark: SparkSession, d: str) -> DataFrame:
     return G.compose(_map(spark, d), moves)
 
 
+#: Orientations 1 to 7 of ids by rule; the block of keys 0 and 1 of each ten is mirrored as a whole.
+_HELD_SQL = "held AS (SELECT p_partkey AS id, p_partkey % 8 AS f FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 8 <> 0)"
+
+
+def _held(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return table(spark, d, "part").where((k % 3 == 0) & (k % 8 != 0)).select(k.alias("id"), (k % 8).cast("int").alias("flags"))
+
+
+@query(
+    "j21_turned_blocks",
+    f"""WITH {_MAP_SQL}, {_MOVES_SQL}, {_HELD_SQL}, n AS (SELECT "to" AS virtual, coalesce(actual, source) AS actual FROM moves LEFT JOIN map ON map.virtual = source
+UNION ALL SELECT virtual, actual FROM map WHERE virtual NOT IN (SELECT "to" FROM moves)),
+t AS (SELECT coalesce(actual, source) AS id FROM moves LEFT JOIN map ON map.virtual = source),
+o AS (SELECT p_partkey AS id, CASE WHEN t.id IS NULL THEN coalesce(f, 0) WHEN coalesce(f, 0) & 4 = 4 THEN xor(f, 2) ELSE xor(coalesce(f, 0), 1) END AS flags
+  FROM part LEFT JOIN held ON held.id = p_partkey LEFT JOIN t ON t.id = p_partkey)
+SELECT p_partkey, coalesce(n.actual, p_partkey) AS actual, CAST(coalesce(o.flags, 0) AS INT) AS flags FROM part LEFT JOIN n ON n.virtual = p_partkey LEFT JOIN o ON o.id = coalesce(n.actual, p_partkey)""",
+)
+def j21t(spark: SparkSession, d: str) -> DataFrame:
+    """Two neighbouring slots swapped and mirrored in x: what they show is turned on top of what it was."""
+    k = F.col("p_partkey") % 10
+    moves = table(spark, d, "part").where(k.isin(0, 1)).select(F.col("p_partkey").alias("to"), (F.col("p_partkey") + F.when(k == 0, 1).otherwise(-1)).alias("source"))
+    mapping, turned = G.turned_block(_map(spark, d), _held(spark, d), moves, 1)
+    return G.shown(mapping, turned, table(spark, d, "part").select("p_partkey"), "p_partkey")
+
+
+@query("g2_bounded_orientations", f"WITH {_HELD_SQL} SELECT id, CAST(f AS INT) AS flags FROM held WHERE id < 1235")
+def g2o(spark: SparkSession, d: str) -> DataFrame:
+    return G.bounded_orientations(_held(spark, d), 1235)
+
+
 @query(
     "f16_orientation_group",
     """WITH g AS (SELECT o_orderkey AS pos, o_orderkey % 8 AS f1, o_custkey % 8 AS f2, o_orderkey % 40 % 8 AS x, o_orderkey // 40 % 8 AS y FROM orders),

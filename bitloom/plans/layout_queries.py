@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bitloom.functions import layout as L
 from bitloom.operators import refs
+from bitloom.operators.stamps import expand_stamps
 from bitloom.plans.registry import query
 from bitloom.sources.tables import grid, table
 
@@ -59,17 +60,35 @@ def j3(spark: SparkSession, d: str) -> DataFrame:
     return refs.resolve(units, "id", p.select("p_partkey", F.col("p_brand").alias("brand")), "p_partkey", {"brand": F.lit("")}).select("first", "ord", "id", "brand")
 
 
+_STAMPS = "e AS (SELECT o_orderkey AS entry, o_custkey % 500 AS index FROM orders), n AS (SELECT max(entry) + 1 AS n FROM e)"
+
+
 @query(
     "j4_stamp_expansion",
-    """WITH e AS (SELECT o_orderkey AS entry, o_custkey % 500 AS index, o_orderstatus FROM orders),
-p AS (SELECT entry * 4 + k AS pos, entry, index, k FROM e, (SELECT unnest(range(0, 4)) AS k)),
-s AS (SELECT pos, entry, index + k % 2 + k // 2 * 16 AS source FROM p)
-SELECT pos, entry, source, coalesce(p_brand, '') AS brand FROM s LEFT JOIN part ON p_partkey = source""",
+    f"""WITH {_STAMPS}, rows AS (SELECT CAST(ceil(n / 7.0) AS BIGINT) AS r FROM n),
+p AS (SELECT unnest(range(0, r * 2 * 21)) AS pos FROM rows),
+o AS (SELECT pos, pos // 21 // 2 * 7 + pos % 21 // 3 AS origin, pos % 21 % 3 + pos // 21 % 2 * 16 AS off FROM p)
+SELECT pos, entry, index + off AS source, coalesce(p_brand, '') AS brand FROM o LEFT JOIN e ON entry = origin LEFT JOIN part ON p_partkey = index + off""",
 )
 def j4(spark: SparkSession, d: str) -> DataFrame:
-    """Dense stamps of 2 x 2: four drawn positions an entry, sources in rows of 16."""
+    """Dense stamps of 3 x 2 in rows of 7, which do not divide the entries: the last row is filled up with blanks."""
     entries = table(spark, d, "orders").select(F.col("o_orderkey").alias("entry"), (F.col("o_custkey") % 500).alias("index"))
-    drawn = entries.select("entry", F.posexplode(L.unit_ids(F.col("index"), 2, 2, 16, 1, F.lit(False), F.lit(False))).alias("k", "source")).select((F.col("entry") * 4 + F.col("k")).alias("pos"), "entry", "source")
+    drawn = expand_stamps(entries, "entry", "index", 7, 3, 2, 16, dense=True)
+    return _branded(drawn, spark, d)
+
+
+@query(
+    "j4_sparse_stamps",
+    f"""WITH {_STAMPS}, o AS (SELECT entry AS pos, (entry // 40 - entry // 40 % 2) * 40 + (entry % 40 - entry % 40 % 3) AS origin, entry % 40 % 3 + entry // 40 % 2 * 16 AS off FROM e)
+SELECT pos, e.entry, index + off AS source, coalesce(p_brand, '') AS brand FROM o LEFT JOIN e ON e.entry = origin LEFT JOIN part ON p_partkey = index + off""",
+)
+def j4s(spark: SparkSession, d: str) -> DataFrame:
+    """Sparse stamps of 3 x 2 in rows of 40: a position snaps to its stamp's corner; the last stamp of a row is cut."""
+    entries = table(spark, d, "orders").select(F.col("o_orderkey").alias("entry"), (F.col("o_custkey") % 500).alias("index"))
+    return _branded(expand_stamps(entries, "entry", "index", 40, 3, 2, 16), spark, d)
+
+
+def _branded(drawn: DataFrame, spark: SparkSession, d: str) -> DataFrame:
     return refs.resolve(drawn, "source", table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("brand")), "p_partkey", {"brand": F.lit("")}).select("pos", "entry", "source", "brand")
 
 

@@ -26,6 +26,22 @@ def j8(spark: SparkSession, d: str) -> DataFrame:
     return _nearest(spark, d).select("l_orderkey", "l_linenumber", "argb", "idx", "exact")
 
 
+@query(
+    "j8_many_candidates",
+    f"""WITH {COLORS_SQL}, cand AS (SELECT p_partkey AS idx, CASE WHEN p_partkey % 37 = 0 THEN 0 ELSE 4278190080 END + (p_partkey * 104729 + p_size * 65793) % 16777216 AS c FROM part),
+q AS (SELECT DISTINCT argb FROM colors), s AS (SELECT idx, (c >> 16) & 255 AS r, (c >> 8) & 255 AS g, c & 255 AS b FROM cand WHERE c >> 24 > 0),
+v AS (SELECT argb, (argb >> 16) & 255 AS r, (argb >> 8) & 255 AS g, argb & 255 AS b FROM q WHERE argb >> 24 > 0),
+d AS (SELECT argb, idx, ((((v.r + s.r) >> 1) + 512) * (v.r - s.r) * (v.r - s.r) >> 8) + 4 * (v.g - s.g) * (v.g - s.g) + ((767 - ((v.r + s.r) >> 1)) * (v.b - s.b) * (v.b - s.b) >> 8) AS d FROM v, s),
+m AS (SELECT argb, arg_min(idx, d * 1000000 + idx) AS idx, min(d) = 0 AS exact FROM d GROUP BY argb)
+SELECT l_orderkey, l_linenumber, colors.argb, CAST(coalesce(m.idx, 0) AS INT) AS idx, coalesce(m.exact, true) AS exact FROM colors LEFT JOIN m ON m.argb = colors.argb""",
+)
+def j8m(spark: SparkSession, d: str) -> DataFrame:
+    """As many candidates as there are parts, in a table."""
+    k = F.col("p_partkey")
+    found = table(spark, d, "part").select(k.alias("idx"), (F.when(k % 37 == 0, F.lit(0)).otherwise(F.lit(4278190080)) + (k * 104729 + F.col("p_size") * 65793) % 16777216).alias("color"))
+    return M.nearest_of(colors(spark, d), "argb", found).select("l_orderkey", "l_linenumber", "argb", "idx", "exact")
+
+
 @query("a1_fidelity_report", f"""{_NEAREST} SELECT count(*) AS n_rows, count(*) FILTER (exact) AS exact_rows, count(DISTINCT argb) AS n_values, count(DISTINCT argb) FILTER (exact) AS exact_values,
  count(DISTINCT argb) - count(DISTINCT argb) FILTER (exact) AS approximated, count(*) = count(*) FILTER (exact) AS lossless FROM colors JOIN m USING (argb)""")
 def a1(spark: SparkSession, d: str) -> DataFrame:

@@ -89,6 +89,51 @@ def j14(spark: SparkSession, d: str) -> DataFrame:
     return R.repoint(c, "c_nationkey", spark.createDataFrame([(3, 103), (7, 107)], "old int, new int"), "label")
 
 
+#: Entries of part: every fifth is a file, the others are children of the file before; a palette and further paths beside.
+_ENTRIES = """e AS (SELECT p_partkey AS id, p_partkey % 5 = 0 AS is_file, CASE WHEN p_partkey % 10 = 0 THEN 'f' || (p_partkey - p_partkey % 5) || '.bin' ELSE p_name END AS name,
+  '/r/f' || (p_partkey - p_partkey % 5) || '.bin' AS path, CASE WHEN p_partkey % 3 = 0 THEN '/r/f' || (p_size * 5) || '.bin' END AS palette,
+  CASE WHEN p_partkey % 4 = 0 THEN ['/r/f' || (p_size * 10) || '.bin', '/r/x.bin', '/r/f' || (p_size * 5) || '.bin'] WHEN p_partkey % 4 = 1 THEN CAST([] AS VARCHAR[]) END AS extra FROM part)"""
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    at = lambda n: F.concat(F.lit("/r/f"), n.cast("string"), F.lit(".bin"))
+    name = F.when(k % 10 == 0, F.concat(F.lit("f"), (k - k % 5).cast("string"), F.lit(".bin"))).otherwise(F.col("p_name"))
+    extra = F.when(k % 4 == 0, F.array(at(F.col("p_size") * 10), F.lit("/r/x.bin"), at(F.col("p_size") * 5))).when(k % 4 == 1, F.array().cast("array<string>"))
+    return table(spark, d, "part").select(k.alias("id"), (k % 5 == 0).alias("is_file"), name.alias("name"), at(k - k % 5).alias("path"), F.when(k % 3 == 0, at(F.col("p_size") * 5)).alias("palette"), extra.alias("extra"))
+
+
+@query(
+    "j14_cascading_repoint",
+    f"""WITH {_ENTRIES}, m AS (SELECT DISTINCT '/r/f' || p_partkey || '.bin' AS old, '/s/g' || p_partkey || '.dat' AS new FROM part WHERE p_partkey % 15 = 0),
+x AS (SELECT id, list(coalesce(new, v) ORDER BY i) AS put, bool_or(new IS NOT NULL) AS hit FROM (SELECT id, unnest(extra) AS v, generate_subscripts(extra, 1) AS i FROM e) LEFT JOIN m ON old = v GROUP BY id)
+SELECT e.id, CASE WHEN is_file AND a.new IS NOT NULL AND name = 'f' || e.id || '.bin' THEN 'g' || e.id || '.dat' ELSE name END AS name, coalesce(a.new, path) AS path, coalesce(b.new, palette) AS palette,
+  array_to_string(coalesce(put, extra), ' ') AS extra, a.new IS NOT NULL OR b.new IS NOT NULL OR coalesce(hit, false) AS touched
+FROM e LEFT JOIN m a ON a.old = path LEFT JOIN m b ON b.old = palette LEFT JOIN x ON x.id = e.id""",
+)
+def j14c(spark: SparkSession, d: str) -> DataFrame:
+    """Two reference columns and an array of references; a file's name follows its path while it is the default."""
+    keys = table(spark, d, "part").where("p_partkey % 15 = 0").select(F.col("p_partkey").cast("string").alias("k")).distinct()
+    mapping = keys.select(F.concat(F.lit("/r/f"), "k", F.lit(".bin")).alias("old"), F.concat(F.lit("/s/g"), "k", F.lit(".dat")).alias("new"))
+    out = R.repoint_all(_entries(spark, d), "id", mapping, ["path", "palette"], ["extra"], ("name", "path", F.col("is_file")))
+    return out.select("id", "name", "path", "palette", F.array_join("extra", " ").alias("extra"), "touched")
+
+
+@query(
+    "j14_retargeted_files",
+    f"""WITH {_ENTRIES}, m AS (SELECT id AS file, path AS old, '/t/h' || id || '.a' AS first, CASE WHEN id % 20 = 0 THEN ['/t/h' || id || '.b', '/t/h' || id || '.c'] ELSE CAST([] AS VARCHAR[]) END AS rest FROM e WHERE id % 10 = 0)
+SELECT e.id, CASE WHEN id = file AND name = 'f' || id || '.bin' THEN 'h' || id || '.a' ELSE name END AS name, coalesce(first, path) AS path, array_to_string(CASE WHEN file IS NULL THEN extra ELSE rest END, ' ') AS extra, file IS NOT NULL AS touched
+FROM e LEFT JOIN m ON old = path""",
+)
+def j14r(spark: SparkSession, d: str) -> DataFrame:
+    """Files that get a new list of paths take their children along."""
+    e = _entries(spark, d)
+    at = lambda end: F.concat(F.lit("/t/h"), F.col("id").cast("string"), F.lit(end))
+    moves = e.where("id % 10 = 0").select("id", F.when(F.col("id") % 20 == 0, F.array(at(".a"), at(".b"), at(".c"))).otherwise(F.array(at(".a"))).alias("paths"))
+    out = R.retarget(e, moves, "id", "path", "extra", "name", F.col("is_file"))
+    return out.select("id", "name", "path", F.array_join("extra", " ").alias("extra"), "touched")
+
+
 @query("j15_missing_format_repair", "SELECT p_partkey, CASE WHEN p_brand IN (SELECT p_brand FROM part WHERE p_partkey % 5 = 0 AND p_size = 1) THEN p_brand ELSE 'default' END AS p_brand, p_brand NOT IN (SELECT p_brand FROM part WHERE p_partkey % 5 = 0 AND p_size = 1) AS repaired FROM part")
 def j15(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")

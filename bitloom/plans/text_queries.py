@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.functions import text as T
+from bitloom.functions import trie as W
 from bitloom.plans.registry import query
 from bitloom.sources.tables import table
 
 #: Twenty two-letter spellings of the demo dictionary.
 DIGRAMS = "th he in er an re nd on en at ou ed ha to or it is hi es ng".split()
 _LIST = "[" + ", ".join(f"'{s}'" for s in DIGRAMS) + "]"
-_PATTERN = T.greedy_pattern(DIGRAMS)
-_CODES = f"codes AS (SELECT doc_id, text, [CASE WHEN list_position({_LIST}, t) > 0 THEN list_position({_LIST}, t) - 1 ELSE 1000 + ascii(t) END FOR t IN regexp_extract_all(text, '{_PATTERN}')] AS c FROM documents)"
+_PATTERN = "(?s)(" + "|".join(DIGRAMS) + "|.)"
+_CODES = f"codes AS (SELECT doc_id, text, [CASE WHEN list_position({_LIST}, t) > 0 THEN list_position({_LIST}, t) - 1 ELSE -1 - ascii(t) END FOR t IN regexp_extract_all(text, '{_PATTERN}')] AS c FROM documents)"
 
 
 @query("f19_safe_export_name", r"""SELECT page_id, CASE WHEN k = '' THEN 'export' ELSE k END AS name FROM (SELECT page_id, regexp_replace(regexp_replace(url, '[^A-Za-z0-9\-_.]', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS k FROM pages)""")
@@ -41,15 +42,15 @@ def f20(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.path_key(F.col("url")).alias("key"))
 
 
-@query("f21_greedy_tokens", f"WITH {_CODES} SELECT doc_id, len(c) AS n_codes, len([x FOR x IN c IF x < 20]) AS n_digrams, md5(array_to_string(c, ' ')) AS codes_md5 FROM codes")
+@query("f21_greedy_tokens", f"WITH {_CODES} SELECT doc_id, len(c) AS n_codes, len([x FOR x IN c IF x >= 0]) AS n_digrams, md5(array_to_string(c, ' ')) AS codes_md5 FROM codes")
 def f21(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "documents").select("doc_id", T.greedy_codes(F.col("text"), DIGRAMS).alias("c"))
-    return c.select("doc_id", F.size("c").cast("long").alias("n_codes"), F.size(F.filter("c", lambda x: x < 20)).cast("long").alias("n_digrams"), F.md5(F.array_join(F.transform("c", lambda x: x.cast("string")), " ")).alias("codes_md5"))
+    c = table(spark, d, "documents").select("doc_id", W.greedy_codes(F.col("text"), DIGRAMS).alias("c"))
+    return c.select("doc_id", F.size("c").cast("long").alias("n_codes"), F.size(F.filter("c", lambda x: x >= 0)).cast("long").alias("n_digrams"), F.md5(F.array_join(F.transform("c", lambda x: x.cast("string")), " ")).alias("codes_md5"))
 
 
 @query("f22_codes_to_text", "SELECT doc_id, md5(text) AS text_md5, true AS same FROM documents")
 def f22(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "documents").select("doc_id", "text", T.codes_text(T.greedy_codes(F.col("text"), DIGRAMS), DIGRAMS).alias("back"))
+    c = table(spark, d, "documents").select("doc_id", "text", W.codes_text(W.greedy_codes(F.col("text"), DIGRAMS), DIGRAMS).alias("back"))
     return c.select("doc_id", F.md5("back").alias("text_md5"), (F.col("back") == F.col("text")).alias("same"))
 
 

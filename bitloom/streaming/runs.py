@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from bitloom.operators import aggs
 from bitloom.sources.shared import shared_dir
@@ -27,21 +28,27 @@ def file_stream(spark: SparkSession, path: str) -> DataFrame:
     return source.parquet(path)
 
 
-def finished(stream: DataFrame, mode: str, place: str | None = None) -> DataFrame:
+def finished(stream: DataFrame, mode: str, place: str | None = None, keys: list[str] | None = None) -> DataFrame:
     """All output of a stream over what is there now.
 
     Append mode adds each batch's rows to what earlier runs wrote; complete mode replaces the whole
-    result with each batch. A batch that is run again after a failure overwrites its own rows.
+    result with each batch. Update mode writes the rows of the keys that a batch changed, and the result
+    is the latest row of each key. A batch that is run again after a failure overwrites its own rows;
+    in append and update mode those of earlier batches are never touched.
     """
     spark = stream.sparkSession
     base = place or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{base}/out"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}" if mode == "append" else f"{out}/batch=0")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}" if mode != "complete" else f"{out}/batch=0")
 
     running = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start()
     running.awaitTermination()
+    if mode == "update":
+        rest = [c for c in stream.columns if c not in keys]
+        every = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).option("basePath", out).parquet(f"{out}/batch=*")
+        return every.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row")).select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in stream.columns])
     return spark.read.schema(stream.schema).parquet(f"{out}/batch=*")
 
 
@@ -51,8 +58,8 @@ def intake(stream: DataFrame, detect: Callable[[DataFrame], DataFrame], place: s
 
 
 def dirty_state(log: DataFrame, key: str, seq: str, action: str, rev: str, place: str | None = None) -> DataFrame:
-    """Dirty flags of a revision log that is still growing: the batch aggregate, kept up to date."""
-    return finished(aggs.dirty(log, key, seq, action, rev), "complete", place)
+    """Dirty flags of a revision log that is still growing: the batch aggregate, whose changed keys are written with each batch."""
+    return finished(aggs.dirty(log, key, seq, action, rev), "update", place, [key])
 
 
 def sessions(stream: DataFrame, key: str, time: str, gap: str, late: str, mode: str = "complete", place: str | None = None) -> DataFrame:
