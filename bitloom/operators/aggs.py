@@ -71,6 +71,42 @@ def dirty(log: DataFrame, key: str, seq: str, action: str, rev: str) -> DataFram
     return log.groupBy(key).agg(current.alias("current"), saved.alias("saved")).withColumn("dirty", ~F.col("current").eqNullSafe(F.col("saved")) & F.col("current").isNotNull())
 
 
+def sequence_totals(steps: DataFrame, keys: list[str], amount: str, unknown: Column) -> DataFrame:
+    """(keys, ticks, unknown, steps): the sum of the steps' amounts, how many name something unknown, and all."""
+    return steps.groupBy(*keys).agg(F.sum(amount).alias("ticks"), F.count_if(unknown).alias("unknown"), F.count("*").alias("steps"))
+
+
+def geometry(units: DataFrame, keys: list[str], size: str, pixels: int, per_row: int, unit: int, limit: int) -> DataFrame:
+    """(keys, bpp, capacity, read_size, row_count) of the units of a key.
+
+    Bits a pixel of as many bytes as there are units, whole rows of them, their sizes rounded up to a
+    unit, and the rows they take, one at least and those of `limit` at most.
+    """
+    n = F.count("*")
+    rows = F.greatest(F.lit(1), F.least(F.ceil(n / per_row), F.lit(limit // per_row)))
+    return units.groupBy(*keys).agg(
+        F.ceil(n * 8 / pixels).cast("double").alias("bpp"), (F.floor(n / per_row) * per_row).alias("capacity"),
+        (F.ceil(F.sum(size) / unit) * unit).cast("double").alias("read_size"), rows.cast("double").alias("row_count"),
+    )
+
+
+def first_from(df: DataFrame, keys: list[str], index: str, start: int, found: Column) -> DataFrame:
+    """(keys, first): the least index from `start` on where `found` holds."""
+    return df.where((F.col(index) >= start) & found).groupBy(*keys).agg(F.min(index).alias("first"))
+
+
+def compare_sets(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """One row (left_only, right_only, left_repeats): keys of one side alone, and keys that the left has several times."""
+    a = left.groupBy(key).agg(F.count("*").alias("_n"))
+    both = a.join(right.select(key).distinct().withColumn("_there", F.lit(True)), key, "full_outer")
+    return both.agg(F.count_if(F.col("_there").isNull()).alias("left_only"), F.count_if(F.col("_n").isNull()).alias("right_only"), F.count_if(F.col("_n") > 1).alias("left_repeats"))
+
+
+def kinds_of_both(left: DataFrame, right: DataFrame, kind: str) -> DataFrame:
+    """(kind): the kinds that both sides allow."""
+    return left.select(kind).intersect(right.select(kind))
+
+
 def page_width(columns: int, rows: int, pages: Column) -> Column:
     """Pages side by side, of the divisors of their number, that come closest to a square; ties to the wider."""
     divisors = F.filter(F.sequence(F.lit(1).cast("long"), pages), lambda a: pages % a == 0)

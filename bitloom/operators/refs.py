@@ -53,6 +53,24 @@ def repoint(df: DataFrame, column: str, mapping: DataFrame, name: str | None = N
     return joined.select(*[out.get(c, F.col(c)).alias(c) for c in df.columns])
 
 
+def bulk_export(parents: DataFrame, parent: str, children: DataFrame, child: str, of: str, names: tuple[str, str]) -> DataFrame:
+    """(kind, id): all children, and the parents that have none; names are the two kinds, parents' first."""
+    bare = parents.join(children, parents[parent] == children[of], "left_anti")
+    return bare.select(F.lit(names[0]).alias("kind"), F.col(parent).alias("id")).unionByName(children.select(F.lit(names[1]).alias("kind"), F.col(child).alias("id")))
+
+
+def parents_by_key(df: DataFrame, id_: str, key: str) -> DataFrame:
+    """(id, key, parent) of the rows that are not the first of their key, which is their parent."""
+    parents = df.groupBy(key).agg(F.min(id_).alias("parent"))
+    return df.select(id_, key).join(parents, key).where(F.col(id_) != F.col("parent")).select(id_, key, "parent")
+
+
+def consumers(bank: DataFrame, key: str, cells: DataFrame, reference: str, exempt: Column) -> DataFrame:
+    """(key, consumers, others) of bank rows that are referred to: how many cells do, and how many of them are not exempt."""
+    used = cells.groupBy(reference).agg(F.count("*").alias("consumers"), F.count_if(~exempt).alias("others"))
+    return bank.join(used, bank[key] == used[reference]).select(key, "consumers", "others")
+
+
 def basename(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/\\\\]*)$", 1)
 

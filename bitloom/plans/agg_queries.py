@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bitloom.functions.text import natural_key
 from bitloom.operators import aggs as A
+from bitloom.operators import refs as R
 from bitloom.plans.bit_queries import text_bytes
 from bitloom.plans.registry import query
 from bitloom.sources.tables import table
@@ -23,7 +24,7 @@ def a2(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a4_sequence_totals", "SELECT l_orderkey, sum(l_quantity) AS ticks, count(*) FILTER (l_partkey >= 1500) AS unknown, count(*) AS steps FROM lineitem GROUP BY l_orderkey")
 def a4(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("ticks"), F.count_if(F.col("l_partkey") >= 1500).alias("unknown"), F.count("*").alias("steps"))
+    return A.sequence_totals(table(spark, d, "lineitem"), ["l_orderkey"], "l_quantity", F.col("l_partkey") >= 1500)
 
 
 @query("a6_trim_trailing_empties", """WITH g AS (SELECT user_id, event_id // 1000 AS slot, count(*) FILTER (event_type = 'purchase') AS n FROM events GROUP BY ALL)
@@ -67,11 +68,7 @@ def revisions(events: DataFrame) -> DataFrame:
 
 @query("a11_geometry_metrics", "SELECT p_brand, ceil(count(*) * 8 / 64.0) AS bpp, count(*) // 16 * 16 AS capacity, ceil(sum(p_size) / 32.0) * 32 AS read_size, greatest(1, least(ceil(count(*) / 16.0), 256 // 16)) AS row_count FROM part GROUP BY p_brand")
 def a11(spark: SparkSession, d: str) -> DataFrame:
-    n = F.count("*")
-    return table(spark, d, "part").groupBy("p_brand").agg(
-        F.ceil(n * 8 / 64).cast("double").alias("bpp"), (F.floor(n / 16) * 16).alias("capacity"), (F.ceil(F.sum("p_size") / 32) * 32).cast("double").alias("read_size"),
-        F.greatest(F.lit(1), F.least(F.ceil(n / 16), F.lit(16))).cast("double").alias("row_count"),
-    )
+    return A.geometry(table(spark, d, "part"), ["p_brand"], "p_size", 64, 16, 32, 256)
 
 
 @query("a12_notices_accumulate", """SELECT o_orderkey, len(x) AS n, array_to_string(x, '; ') AS notices FROM (SELECT o_orderkey, list_filter([CASE WHEN o_totalprice > 300000 THEN 'warning:large:price' END, CASE WHEN o_orderstatus = 'P' THEN 'info:pending:status' END, CASE WHEN o_orderpriority = '1-URGENT' THEN 'error:urgent:priority' END], lambda s: s IS NOT NULL) AS x FROM orders)""")
@@ -113,20 +110,19 @@ def o5(spark: SparkSession, d: str) -> DataFrame:
 
 @query("o7_first_match_from", "SELECT lang, min(doc_id) AS first FROM documents WHERE doc_id >= 100 AND contains(text, 'ing') GROUP BY lang")
 def o7(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where((F.col("doc_id") >= 100) & F.contains("text", F.lit("ing"))).groupBy("lang").agg(F.min("doc_id").alias("first"))
+    return A.first_from(table(spark, d, "documents"), ["lang"], "doc_id", 100, F.contains("text", F.lit("ing")))
 
 
 @query("t2_sets_equal", "SELECT (SELECT count(*) FROM (SELECT DISTINCT l_partkey FROM lineitem EXCEPT SELECT p_partkey FROM part WHERE p_partkey % 10 <> 0)) AS left_only, (SELECT count(*) FROM (SELECT p_partkey FROM part WHERE p_partkey % 10 <> 0 EXCEPT SELECT l_partkey FROM lineitem)) AS right_only, (SELECT count(*) FROM (SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING count(*) > 1)) AS left_repeats")
 def t2(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("k")).agg(F.count("*").alias("n"))
-    b = table(spark, d, "part").where("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("k"), F.lit(True).alias("there"))
-    both = a.join(b, "k", "full_outer")
-    return both.agg(F.count_if(F.col("there").isNull()).alias("left_only"), F.count_if(F.col("n").isNull()).alias("right_only"), F.count_if(F.col("n") > 1).alias("left_repeats"))
+    a = table(spark, d, "lineitem").select(F.col("l_partkey").alias("k"))
+    return A.compare_sets(a, table(spark, d, "part").where("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("k")), "k")
 
 
 @query("t3_kinds_of_both", "SELECT c_nationkey AS kind FROM customer WHERE c_mktsegment = 'BUILDING' INTERSECT SELECT s_nationkey FROM supplier")
 def t3(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_nationkey").alias("kind")).intersect(table(spark, d, "supplier").select("s_nationkey"))
+    building = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_nationkey").alias("kind"))
+    return A.kinds_of_both(building, table(spark, d, "supplier").select(F.col("s_nationkey").alias("kind")), "kind")
 
 
 @query("p3_severity_and_prefix", f"WITH {_RANK_SQL} SELECT o_orderkey, o_orderpriority FROM orders JOIN sev ON severity = o_orderpriority WHERE rank <= 3 AND (starts_with(upper(o_orderpriority), '1') OR starts_with(upper(o_orderpriority), '4-N')) AND NOT starts_with(upper(o_orderpriority), '1-X')")
@@ -146,5 +142,4 @@ def p4(spark: SparkSession, d: str) -> DataFrame:
 @query("p5_bulk_export", "SELECT 'customer' AS kind, c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') UNION ALL SELECT 'order', o_orderkey FROM orders WHERE o_orderstatus = 'P'")
 def p5(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").where("o_orderstatus = 'P'")
-    bare = table(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
-    return bare.select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id")).unionByName(o.select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("id")))
+    return R.bulk_export(table(spark, d, "customer"), "c_custkey", o, "o_orderkey", "o_custkey", ("customer", "order"))

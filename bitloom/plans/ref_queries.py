@@ -62,14 +62,13 @@ SELECT page_id, h.key AS key, parent FROM h JOIN p ON h.key = p.key WHERE page_i
 )
 def j11(spark: SparkSession, d: str) -> DataFrame:
     h = table(spark, d, "pages").select("page_id", F.regexp_replace(F.lower(F.regexp_extract("url", "^[a-zA-Z]+://([^/?#]+)", 1)), r"^(m|www|blog)\.", "").alias("key"))
-    parents = h.groupBy("key").agg(F.min("page_id").alias("parent"))
-    return h.join(parents, "key").where("page_id <> parent").select("page_id", "key", "parent")
+    return R.parents_by_key(h, "page_id", "key")
 
 
 @query("j12_reverse_references", "SELECT l_partkey AS p_partkey, count(*) AS consumers, count(*) FILTER (l_returnflag <> 'R') = 0 AS only_returned FROM lineitem GROUP BY l_partkey")
 def j12(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("consumers"), F.count_if(F.col("l_returnflag") != "R").alias("others"))
-    return table(spark, d, "part").join(li, F.col("p_partkey") == F.col("l_partkey")).select("p_partkey", "consumers", (F.col("others") == 0).alias("only_returned"))
+    used = R.consumers(table(spark, d, "part"), "p_partkey", table(spark, d, "lineitem"), "l_partkey", F.col("l_returnflag") == "R")
+    return used.select("p_partkey", "consumers", (F.col("others") == 0).alias("only_returned"))
 
 
 @query(

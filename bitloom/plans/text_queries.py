@@ -93,10 +93,10 @@ def s4(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s5_code_records", """SELECT p_partkey % 50 AS spec, p_partkey AS code, CASE WHEN p_partkey % 3 = 0 THEN substr(p_brand, 1, 1) ELSE p_brand END AS text, CASE WHEN p_partkey % 3 = 0 OR length(p_brand) = 1 THEN 'text' ELSE 'dict' END AS role, p_size AS params FROM part WHERE p_partkey % 4 <> 1""")
 def s5(spark: SparkSession, d: str) -> DataFrame:
-    """Records read back from JSON arrays; those whose code is no number are skipped one by one."""
+    """Records read back from JSON arrays of a hundred at most; those whose code is no number are skipped one by one."""
     k = F.col("p_partkey")
     rec = F.struct(F.when(k % 4 == 1, F.lit("none")).otherwise(k.cast("string")).alias("code"), F.when(k % 3 == 0, F.substring("p_brand", 1, 1)).otherwise(F.col("p_brand")).alias("text"), F.lit("text").alias("role"), F.col("p_size").cast("string").alias("params"))
-    specs = table(spark, d, "part").groupBy((k % 50).alias("spec")).agg(F.to_json(F.collect_list(rec)).alias("j"))
+    specs = table(spark, d, "part").groupBy((k % 50).alias("spec"), F.floor(k / 5000).alias("_file")).agg(F.to_json(F.collect_list(rec)).alias("j"))
     rows = specs.select("spec", F.explode(F.from_json("j", "array<struct<code: string, text: string, role: string, params: string>>")).alias("r")).select("spec", "r.*")
     typed = rows.withColumn("code", F.expr("try_cast(code as long)")).withColumn("params", F.expr("try_cast(params as int)")).where("code is not null and text is not null")
     return typed.withColumn("role", F.when(F.length("text") > 1, "dict").otherwise("text"))
