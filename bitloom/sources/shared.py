@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of the tables that this process has made and not yet deleted.
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir. Where that is unset, a local master (tests) gets a local folder; a cluster is refused."""
     sc = spark.sparkContext
@@ -34,12 +38,29 @@ def stored(df: DataFrame, name: str = "round") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    _made.append(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _made:
+        _made.remove(path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that stored() made and nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df._stored_at)
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the tables this process has made that still stand, and says how many.
+
+    A result may read its last tables for as long as it is used: call this when results are written.
+    """
+    left = list(_made)
+    for path in left:
+        _delete(spark, path)
+    return len(left)

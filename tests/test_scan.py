@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bitloom.operators import aggs, intervals, match, runs, scan
+from bitloom.sources import shared
 
 
 def test_one_key_lies_in_every_range(spark) -> None:
@@ -94,3 +95,12 @@ def test_large_boxes_are_a_handful_of_rows(spark) -> None:
     got = match.hits(spark.createDataFrame(points, "id long, px long, py long"), spark.createDataFrame(boxes, "box long, x long, y long, w long, h long"), "px", "py")
     want = [(i, b) for i, px, py in points for b, x, y, w, h in boxes if x <= px < x + w and y <= py < y + h]
     assert sorted((r.id, r.box) for r in got.collect()) == sorted(want)
+
+
+def test_clear_deletes_what_this_process_left(spark) -> None:
+    held = shared.stored(spark.range(3))
+    other = shared.stored(spark.range(4))
+    shared.discard(other)
+    assert held.count() == 3 and shared.clear(spark) >= 1 and shared.clear(spark) == 0
+    place = spark._jvm.org.apache.hadoop.fs.Path(held._stored_at)
+    assert not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
