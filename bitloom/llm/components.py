@@ -40,5 +40,6 @@ def components(edges: DataFrame) -> DataFrame:
         discard(live, hook)
         live = rest
     if found is None:
-        return live.select(F.col("a").alias("id"), F.col("a").alias("component"))
+        found = stored(live.select(F.col("a").alias("id"), F.col("a").alias("component")), "components")
+    discard(live)
     return found

@@ -6,14 +6,15 @@ candidates: of m agreeing bit pairs, a quarter of the disagreeing minima agree b
 J = (m / HASHES - 1/4) / (3/4). Candidates whose estimate is not far below the threshold are
 confirmed on their full shingle sets; confirmed links make components.
 
-A bucket of candidates never emits all its pairs. First each member is compared with the least and
+A bucket of candidates never emits its pairs. First each member is compared with the least and
 the greatest member of its buckets, and what is confirmed becomes a component. Then members outside
 a bucket's main component are compared with the members of other components in that bucket, which
 leaves out nothing but pairs that are already connected. This works on a finer sketch of 2,048
-one-bit minima: a bucket is dealt out in squares of at most `SQUARE` members on either side and a
-square's pairs are compared by bit counts within a task. In a first pass only each member's likeliest
-link leaves the squares, which connects nearly all that belongs together; in a second one all likely
-pairs of what is still apart then do, each from the first bucket it shares, and all are confirmed.
+one-bit minima: a bucket is dealt out in squares of at most `SQUARE` members, or `SQUARE_SHINGLES`
+shingles, on either side. A first pass compares a square's pairs by bit counts and names the members
+that have a likely partner in it; a second one brings the full sets of these together, counts
+likely pairs exactly within the task, and lets a link leave only if it joins two components there.
+So no pass sends more rows than it was dealt, however many pairs lie just below the threshold.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; a text of
 fewer than five words is one shingle; a null doc_id is never linked (component null); rows that
@@ -27,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import stored, table
+from bitloom.llm.common import discard, stored, table
 from bitloom.llm.components import components
 from bitloom.llm.textscan import SPACES, U64, join_hash, mix, slices, text_buffer, windows, words
 
@@ -90,21 +92,24 @@ _FINE_OFFSET = _RNG.integers(1 << 32, size=FINE_LONGS * 64, dtype=np.uint32)[:,
 
 
 def fine_sketches(texts: DataFrame, width: int) -> DataFrame:
-    """(cid, fine): one bit of each of 2,048 further minima, for the few documents that need them."""
+    """(cid, fine, shingles): one bit of each of 2,048 further minima and the full set, for the documents that need them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for shingles in shingle_sets(b.column(1), width):
+            fine, whole, at = [], [], 0
+            for i, shingles in enumerate(shingle_sets(b.column(1), width)):
                 low = np.full(FINE_LONGS * 64, np.iinfo(np.uint32).max, np.uint32)
                 narrow = (shingles >> U64(32)).astype(np.uint32)
-                for i in range(0, len(narrow), 512):
-                    np.minimum(low, (_FINE_FACTOR * narrow[i : i + 512] + _FINE_OFFSET).min(axis=1), out=low)
+                for x in range(0, len(narrow), 512):
+                    np.minimum(low, (_FINE_FACTOR * narrow[x : x + 512] + _FINE_OFFSET).min(axis=1), out=low)
                 bits = (low * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(U64).reshape(FINE_LONGS, 64)
-                out.append(np.bitwise_or.reduce(bits << np.arange(64, dtype=U64), axis=1).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["cid", "fine"])
+                fine.append(np.bitwise_or.reduce(bits << np.arange(64, dtype=U64), axis=1).tobytes())
+                whole.append(shingles.tobytes())
+                if sum(map(len, whole)) > 1 << 24 or i + 1 == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(fine)), pa.array(fine, pa.binary()), pa.array(whole, pa.binary())], names=["cid", "fine", "shingles"])
+                    fine, whole, at = [], [], i + 1
 
-    return texts.select("cid", "text").mapInArrow(run, "cid long, fine binary")
+    return texts.select("cid", "text").mapInArrow(run, "cid long, fine binary, shingles binary")
 
 
 _SIGNED = "doc_id long, ref long, n_shingles long, set_a long, set_b long, bands array<long>, packed array<long>"
@@ -192,95 +197,149 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = 75, width: int =
                         right.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    links = stored(dealt.mapInArrow(run, "a long, b long"), "links")
+    discard(pairs, sized, keyed)
+    return links
 
 
-#: Members on either side of a square, and pairs compared at once within a task.
-SQUARE, AT_ONCE = 2048, 1 << 15
+#: Members and shingles on either side of a square, and pairs compared at once within a task.
+SQUARE, SQUARE_SHINGLES, AT_ONCE = 2048, 1 << 21, 1 << 15
+#: A member is at the left of its squares, at the right, or at both sides of a bucket's only square.
+_LEFT, _RIGHT = 1, 2
+_PLACE = "key long, ka long, kb long, cid long"
 
 
-def likely_pairs(members: DataFrame, percent: int, best: bool = False, square: int = SQUARE) -> DataFrame:
-    """(cluster, a, b) of likely links between components of a bucket; with `best` the likeliest of each a only.
+def dealt_squares(members: DataFrame, square: int = SQUARE, shingles: int = SQUARE_SHINGLES) -> DataFrame:
+    """(key, ka, kb, side, cid, component, in_main, n): the squares that each member takes part in.
 
-    members: (key, cid, component, main, n, fine, keys), keys being all a member has here. Pairs have
-    a outside the bucket's main component; of two such members the smaller id is a. A bucket of N
-    members, M of them outside its main component, costs M * N bit counts, spread over squares, and
-    moves N / square copies of a sketch.
+    members: (key, cid, component, main, n). Left are the members outside the main component of
+    their bucket, right are all. A bucket of N members, M of them outside its main component, moves
+    M * N / square rows.
     """
-    size = stored(members.groupBy("key").agg(F.ceil(F.count("*") / square).alias("nb"), F.ceil(F.count_if(F.col("component") != F.col("main")) / square).alias("na")), "squares")
-    row = members.select("key", "cid", "component", (F.col("component") == F.col("main")).alias("in_main"), "n", "fine", "keys").join(size, "key")
+    blocks = lambda where: F.ceil(F.greatest(F.count_if(where) / square, F.sum(F.when(where, F.col("n"))) / shingles))
+    size = stored(members.groupBy("key").agg(blocks(F.lit(True)).alias("nb"), blocks(F.col("component") != F.col("main")).alias("na")), "squares")
+    row = members.select("key", "cid", "component", (F.col("component") == F.col("main")).alias("in_main"), "n").join(size, "key")
     every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    minor = row.where("not in_main").withColumn("ka", F.pmod(F.xxhash64("cid"), "na")).withColumn("kb", F.explode(every("nb"))).withColumn("is_a", F.lit(True))
-    other = row.withColumn("kb", F.pmod(F.xxhash64("cid"), "nb")).withColumn("ka", F.explode(every("na"))).withColumn("is_a", F.lit(False))
-    dealt = minor.unionByName(other).repartition("key", "ka", "kb").select(F.xxhash64("key", "ka", "kb").alias("k"), "key", "is_a", "cid", "component", "in_main", "n", "fine", "keys").sortWithinPartitions("k")
-
-    def compare(t: pa.Table) -> list[np.ndarray]:
-        """component of b, a, b and estimate of the pairs that leave whole squares."""
-        k, key, is_a, cid, component, in_main, n = (t.column(i).to_numpy() for i in range(7))
-        fine = np.frombuffer(b"".join(t.column(7).to_pylist()), U64).reshape(-1, FINE_LONGS)
-        lists = t.column(8).combine_chunks()
-        count = np.diff(np.asarray(lists.offsets))
-        keys = np.zeros((len(k), int(count.max())), np.int64)
-        filled = np.arange(keys.shape[1]) < count[:, None]
-        keys[filled] = lists.flatten().to_numpy()
-        left, right = np.flatnonzero(is_a), np.flatnonzero(~is_a)
-        right = right[np.argsort(k[right], kind="stable")]
+    alone = (F.col("na") == 1) & (F.col("nb") == 1)
+    left = row.where(~alone & ~F.col("in_main")).select("*", F.pmod(F.xxhash64("cid"), "na").alias("ka"), F.explode(every("nb")).alias("kb"), F.lit(_LEFT).alias("side"))
+    role = F.when(alone & ~F.col("in_main"), _LEFT | _RIGHT).otherwise(_RIGHT).alias("side")
+    right = row.select("*", F.explode(every("na")).alias("ka"), F.pmod(F.xxhash64("cid"), "nb").alias("kb"), role)
+    return left.unionByName(right).select("key", "ka", "kb", "side", "cid", "component", "in_main", "n")
+
+
+def _exact(i: np.ndarray, j: np.ndarray, flat: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets i and j; flat holds the elements of all sets by number, i ascends."""
+    out = np.zeros(len(i), np.int64)
+    mark = np.zeros(int(flat.max(initial=-1)) + 1, np.int8)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(i)) + 1, [len(i)]])
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        own = flat[offs[i[lo]] : offs[i[lo] + 1]]
+        mark[own] = 1
+        at, size = offs[j[lo:hi]], offs[j[lo:hi] + 1] - offs[j[lo:hi]]
+        ends = np.cumsum(size)
+        begins = ends - size
+        both = mark[flat[np.arange(ends[-1]) + np.repeat(at - begins, size)]]
+        out[lo:hi] = np.add.reduceat(both, begins, dtype=np.int64)
+        mark[own] = 0
+    return out
+
+
+def in_squares(dealt: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """Pairs of different components within squares, each pair in the first bucket that it shares.
+
+    dealt: a row of dealt_squares() with fine and bands, and with the full set as shingles if exact.
+    Without `exact`: (key, ka, kb, cid) of members with a likely partner there. With it: (a, b) of
+    confirmed links, of which a task lets only those leave that join components it has not joined yet.
+    """
+    columns = ["k", "key", "ka", "kb", "side", "cid", "component", "in_main", "n", "fine", "bands", *(["shingles"] if exact else [])]
+    rows = dealt.repartition("key", "ka", "kb").withColumn("k", F.xxhash64("key", "ka", "kb")).select(*columns).sortWithinPartitions("k")
+
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        k, key, ka, kb, side, cid, component, in_main, n = (t.column(c).to_numpy() for c in range(9))
+        fine = np.frombuffer(b"".join(t.column(9).to_pylist()), U64).reshape(-1, FINE_LONGS)
+        bands = t.column(10).combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        band = np.argmax(bands == key[:, None], axis=1)
+        part = np.unique(component, return_inverse=True)[1]
+        left, right = np.flatnonzero(side & _LEFT), np.flatnonzero(side & _RIGHT)
+        left, right = left[np.argsort(k[left], kind="stable")], right[np.argsort(k[right], kind="stable")]
         low, high = np.searchsorted(k[right], k[left], "left"), np.searchsorted(k[right], k[left], "right")
         count = high - low
         done = np.concatenate([[0], np.cumsum(count)])
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        flat = offs = None
+        likely = np.zeros(len(k), bool)
+        links: list[tuple[int, int]] = []
         at = 0
         while at < len(left):
             stop = max(at + 1, int(np.searchsorted(done, done[at] + AT_ONCE, "right")) - 1)
             c = count[at:stop]
             i = np.repeat(left[at:stop], c)
             j = right[np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(low[at:stop], c)]
-            apart = (component[i] != component[j]) & (in_main[j] | (cid[i] < cid[j])) & (key[i] == key[j])
+            at = stop
+            apart = (part[i] != part[j]) & (in_main[j] | (cid[i] < cid[j])) & (key[i] == key[j])
             apart &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
             i, j = i[apart], j[apart]
-            # half of the disagreeing minima agree by chance
-            near = 1 - 2 * np.bitwise_count(fine[i] ^ fine[j]).sum(axis=1, dtype=np.int64) / (FINE_LONGS * 64)
-            likely = near >= percent / 100 - FINE_MARGIN
-            i, j, near = i[likely], j[likely], near[likely]
-            if best:
-                order = np.lexsort((cid[j], -near, cid[i]))
-                i, j, near = i[order], j[order], near[order]
-                first = np.ones(len(i), bool)
-                first[1:] = cid[i][1:] != cid[i][:-1]
-            else:
-                first = np.ones(len(i), bool)
-                for x in range(0, len(i), 4096):
-                    p, q = keys[i[x : x + 4096]], keys[j[x : x + 4096]]
-                    mine = key[i[x : x + 4096], None]
-                    earlier = filled[i[x : x + 4096]] & (p < mine)
-                    first[x : x + 4096] = ~(earlier & ((p[:, :, None] == q[:, None, :]) & filled[j[x : x + 4096]][:, None, :]).any(axis=2)).any(axis=1)
-            out.append((i[first], j[first], near[first]))
-            at = stop
-        i, j, near = (np.concatenate(x) for x in zip(*out, strict=True))
-        return [component[j], cid[i], cid[j], near]
+            for here in (x + np.arange(min(4096, len(i) - x)) for x in range(0, len(i), 4096)):
+                p, q = i[here], j[here]
+                # half of the disagreeing minima agree by chance
+                near = 1 - 2 * np.bitwise_count(fine[p] ^ fine[q]).sum(axis=1, dtype=np.int64) / (FINE_LONGS * 64) >= percent / 100 - FINE_MARGIN
+                p, q = p[near], q[near]
+                first = np.argmax(bands[p] == bands[q], axis=1) == band[p]
+                p, q = p[first], q[first]
+                if not exact:
+                    likely[p] = likely[q] = True
+                    continue
+                open_ = part[p] != part[q]  # an earlier block may have joined them
+                p, q = p[open_], q[open_]
+                if not len(p):
+                    continue
+                if flat is None:
+                    sets = t.column(11)
+                    offs = np.concatenate([[0], np.cumsum(pc.binary_length(sets).to_numpy() // 8)])
+                    flat = np.unique(np.frombuffer(b"".join(sets.to_pylist()), U64), return_inverse=True)[1]
+                order = np.argsort(p, kind="stable")
+                p, q = p[order], q[order]
+                both = _exact(p, q, flat, offs)
+                linked = 100 * both >= percent * (n[p] + n[q] - both)
+                for x, y in zip(p[linked].tolist(), q[linked].tolist(), strict=True):
+                    if part[x] != part[y]:
+                        part[part == part[y]] = part[x]
+                        links.append((int(cid[x]), int(cid[y])))
+        if exact:
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(x[likely]) for x in (key, ka, kb, cid)], names=["key", "ka", "kb", "cid"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def ready(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            if t.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in compare(t)], names=["cluster", "a", "b", "near"])
-
         for b in batches:
             k = b.column(0).to_numpy()
-            if len(k) and held and k[-1] != held[0].column(0)[0].as_py() or not held and len(k):
-                cut = int(np.searchsorted(k, k[-1]))  # the last square may go on in the next batch
-                yield from ready(pa.Table.from_batches([*held, b.slice(0, cut)]))
-                held = [b.slice(cut)]
-            elif len(k):
+            if not len(k):
+                continue
+            if held and k[-1] == held[0].column(0)[0].as_py():
                 held.append(b)
+                continue
+            cut = int(np.searchsorted(k, k[-1]))  # the last square may go on in the next batch
+            whole = pa.Table.from_batches([*held, b.slice(0, cut)])
+            if whole.num_rows:
+                yield compare(whole)
+            held = [b.slice(cut)]
         if held:
-            yield from ready(pa.Table.from_batches(held))
+            yield compare(pa.Table.from_batches(held))
 
-    found = dealt.mapInArrow(run, "cluster long, a long, b long, near double")
-    if best:
-        return found.groupBy("a").agg(F.max_by(F.struct("cluster", "b"), F.struct("near", "b")).alias("x")).select("x.cluster", "a", "x.b")
-    return found.select("cluster", "a", "b")
+    return rows.mapInArrow(run, "a long, b long" if exact else _PLACE)
+
+
+def links_in_buckets(part: DataFrame, sketch: DataFrame, percent: int, square: int = SQUARE, shingles: int = SQUARE_SHINGLES) -> DataFrame:
+    """(a, b): links that join the components still apart in a bucket, at most one for each two components a square sees.
+
+    part: (key, cid, component, main), see still_apart; sketch: (cid, n, fine, shingles, bands).
+    """
+    dealt = stored(dealt_squares(part.join(sketch.select("cid", "n"), "cid"), square, shingles), "dealt")
+    light = sketch.select("cid", "fine", "bands")
+    likely = stored(in_squares(dealt.join(light, "cid"), percent, exact=False).distinct(), "likely")
+    full = dealt.join(likely, ["key", "ka", "kb", "cid"]).join(sketch.drop("n"), "cid")
+    links = stored(in_squares(full, percent, exact=True).distinct(), "links")
+    discard(dealt, likely)
+    return links
 
 
 def still_apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
@@ -288,7 +347,10 @@ def still_apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
     placed = shared.select("key", F.col("cid").alias("id")).join(labels, "id", "left").select("key", F.col("id").alias("cid"), F.coalesce("component", "id").alias("component"))
     tally = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = tally.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    return stored(placed.join(stored(main, "main"), "key").select("key", "cid", "component", "main"), "apart")
+    main = stored(main, "main")
+    out = stored(placed.join(main, "key").select("key", "cid", "component", "main"), "apart")
+    discard(main)
+    return out
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
@@ -311,27 +373,23 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
     ends = shared.select(F.col("cid").alias("a"), F.col("least").alias("b")).union(shared.select(F.col("cid").alias("a"), F.col("greatest").alias("b"))).where("a <> b").distinct()
     likely = ends.join(left, "a").join(right, "b").where(_close(percent)).select("a", "b", (F.col("a") > F.col("b")).alias("down"), estimate("a_packed", "b_packed").alias("e"))
     best = likely.groupBy("a", "down").agg(F.max_by("b", F.struct("e", "b")).alias("b")).select(F.col("b").alias("cluster"), "a", "b")
-    first = stored(confirm(best, texts, percent, width), "links")
-    part = still_apart(shared, components(first))
-    fine = stored(fine_sketches(texts.join(part.select("cid").distinct(), "cid"), width).join(sketch.select("cid", "n"), "cid"), "sketches")
-
-    def members(part: DataFrame) -> DataFrame:
-        own = part.groupBy("cid").agg(F.collect_list("key").alias("keys"))
-        return part.join(fine.join(own, "cid"), "cid")
-
-    links = first.union(stored(confirm(likely_pairs(members(part), percent, best=True), texts, percent, width), "links"))
-    rest = still_apart(part.select("key", "cid"), components(links))
-    second = stored(confirm(likely_pairs(members(rest), percent), texts, percent, width), "links")
+    first = confirm(best, texts, percent, width)
+    joined = components(first)
+    part = still_apart(shared, joined)
+    fine = stored(fine_sketches(texts.join(part.select("cid").distinct(), "cid"), width).join(classes.select("cid", "n", "bands"), "cid"), "sketches")
+    second = links_in_buckets(part, fine, percent)
 
     rows = named.join(classes.select("set_a", "set_b", "cid"), ["set_a", "set_b"]).select("doc_id", "cid").distinct()
     several = rows.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a < b").select("doc_id", "a")
     one_doc = rows.join(several, "doc_id").select("a", F.col("cid").alias("b")).where("a < b")
-    joined = components(links.union(second).union(one_doc))
-    whole = classes.select("set_a", "set_b", "doc_id", "cid").join(joined.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    placed = components(first.union(second).union(one_doc))
+    whole = classes.select("set_a", "set_b", "doc_id", "cid").join(placed.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     label = whole.join(least, "component").select("set_a", "set_b", "component_id")
     own = signed.join(label, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    return own.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = stored(own.withColumn("kept", F.col("doc_id") == F.col("component_id")), "near-duplicates")
+    discard(signed, classes, bucket, shared, texts, first, joined, part, fine, second, placed)
+    return out
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -347,16 +347,66 @@ def test_template_bucket_of_unlike_texts(spark) -> None:
     assert got == near_truth(rows)
 
 
-def test_squares_compare_every_pair_once(spark) -> None:
+def test_unlike_pages_of_a_template_send_no_pairs(spark, monkeypatch) -> None:
+    """Pages of similarity 0.728, below the threshold, and a few above it: what leaves the squares grows with the pages, not their pairs."""
+    template = [f"t{i}" for i in range(170)]
+    pages = 400
+    rows = [(i, " ".join(template + [f"u{i}x{k}" for k in range(31)])) for i in range(pages)]
+    rows += [(1000 + i, " ".join(template + [f"u{i * 9}x{k}" for k in range(26)] + [f"v{i}x{k}" for k in range(5)])) for i in range(20)]
+    sent = []
+    whole = near_dedup.in_squares
+
+    def counted(dealt, percent, exact):
+        out = near_dedup.stored(whole(dealt, percent, exact))
+        sent.append((exact, dealt.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "in_squares", counted)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == near_truth(rows)
+    (_, dealt, likely), (_, full, links) = sent
+    assert likely <= dealt <= near_dedup.BANDS * len(rows) and full <= dealt and links <= 20 * near_dedup.BANDS
+
+
+def test_squares_find_every_link_that_joins(spark) -> None:
+    """Squares of any size give links that join what all likely pairs would join, and no more links than that in one square."""
     rnd = np.random.default_rng(2)
-    sketch = [rnd.integers(0, 256, 256, dtype=np.uint8).tobytes() for _ in range(6)]
-    rows = [(key, cid, cid % 4, 0, 100, sketch[cid % 6], [2, 1] if cid % 3 else [2]) for key in (1, 2) for cid in range(40) if key == 2 or cid % 3]
-    members = spark.createDataFrame(rows, "key long, cid long, component long, main long, n long, fine binary, keys array<long>").repartition(3)
-    want = sorted((b % 4, a, b) for a in range(40) for b in range(40) if a % 4 and a % 4 != b % 4 and (b % 4 == 0 or a < b) and a % 6 == b % 6)
-    for square in (2048, 7):
-        assert sorted(tuple(r) for r in near_dedup.likely_pairs(members, 75, square=square).collect()) == want
-        best = [tuple(r) for r in near_dedup.likely_pairs(members, 75, best=True, square=square).collect()]
-        assert {a for _, a, _ in best} == {a for _, a, _ in want} and len(best) == len({a for _, a, _ in want}) and set(best) <= set(want)
+    sets = []
+    for i in range(60):
+        base = np.random.default_rng(100 + i % 6).integers(1 << 62, size=120, dtype=np.uint64)
+        base[: int(rnd.integers(0, 14))] = rnd.integers(1 << 62, size=1, dtype=np.uint64)
+        sets.append(np.unique(base))
+    fine = []
+    for s in sets:
+        low = (near_dedup._FINE_FACTOR * (s >> np.uint64(32)).astype(np.uint32) + near_dedup._FINE_OFFSET).min(axis=1)
+        bits = (low * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(np.uint64).reshape(near_dedup.FINE_LONGS, 64)
+        fine.append(np.bitwise_or.reduce(bits << np.arange(64, dtype=np.uint64), axis=1).tobytes())
+    # band 0 is shared by all, band 1 by all ids that 3 does not divide, the others by none
+    bands = [[7, 8 if i % 3 else 1000 + i, *(10000 + 100 * i + k for k in range(near_dedup.BANDS - 2))] for i in range(60)]
+    sketch = spark.createDataFrame([(i, len(s), fine[i], s.tobytes(), bands[i]) for i, s in enumerate(sets)], "cid long, n long, fine binary, shingles binary, bands array<long>")
+    component = lambda i: 0 if i % 10 == 0 else i
+    part = spark.createDataFrame([(key, i, component(i), 0) for key in (7, 8) for i in range(60) if key == 7 or i % 3], "key long, cid long, component long, main long")
+    given = [(0, i) for i in range(0, 60, 10)]
+    true = [(i, j) for i in range(60) for j in range(i) if 100 * near_dedup._shared(sets[i], sets[j]) >= 75 * len(np.union1d(sets[i], sets[j]))]
+
+    def groups(edges):
+        root = list(range(60))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for x, y in edges:
+            x, y = sorted((find(x), find(y)))
+            root[y] = x
+        return [find(i) for i in range(60)]
+
+    for square, shingles in ((2048, 1 << 21), (7, 1 << 21), (2048, 900)):
+        links = [tuple(r) for r in near_dedup.links_in_buckets(part, sketch, 75, square, shingles).collect()]
+        assert groups(given + links) == groups(given + true) and set(links) <= {p for x, y in true for p in ((x, y), (y, x))}
+        if square == 2048 and shingles > 900:
+            assert len(links) <= 60
 
 
 def test_recall_of_bands_and_estimates_near_the_threshold() -> None:
