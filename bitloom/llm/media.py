@@ -9,8 +9,9 @@ carved.
 
 Many headers may lead into the same data. Walks over GIF blocks, JPEG scans and Ogg pages depend on
 the place alone, so what a walk found out about a place is kept, and the walks of one content take
-linear time together. RIFF chunks and PNG checksums depend on the header's own size and are walked
-for each header; a PNG's checksums are looked at only when its chunks lead to an end.
+linear time together; so do PNG chunks, of which a checksum over long data that other chunks
+share is derived from checksums of the content's beginnings. Whether RIFF chunks fill a header's own
+size is asked of a forest in which a chunk's parent is the next one, by jump pointers.
 
 Defined results: null and empty contents are of type 'application/octet-stream' with nothing
 carved; a truncated container is not confirmed; containers inside a confirmed one are reported
@@ -53,6 +54,8 @@ class Seen:
         self.size = size
         self.walks: dict[str, int] = {}
         self.ends: dict[str, array] = {}
+        self.riffs, self.forest = False, None
+        self.summed, self.sums = 0, None
 
     def walk(self, kind: str, at: int, step: Callable[[int], tuple[int, int | None]]) -> int:
         """The end of the walk from `at`; step gives (next place, None) or (anything, end)."""
@@ -74,22 +77,114 @@ class Seen:
             known[p] = end + 1
         return end
 
+    def chunks(self, b: bytes, start: int, end: int) -> dict[bytes, bool] | None:
+        """Whether fmt and data are among the RIFF chunks from `start`, if these end at `end` exactly; else None.
+
+        The first walk is a plain one. After that places form a forest: the parent of a chunk is the
+        next one, and jump pointers answer in logarithmic time whether `end` lies on the way up.
+        """
+        if not self.riffs:
+            self.riffs = True
+            i, names = start, set()
+            while i + 8 <= end:
+                name, n = struct.unpack_from("<4sI", b, i)
+                names.add(name)
+                i += 8 + n + (n & 1)
+            return {c: c in names for c in (b"fmt ", b"data")} if i == end and names else None
+        if self.forest is None:
+            # next place, jump, depth (0: not met yet), and the first fmt and data chunk from here on
+            self.forest = tuple(array("i", bytes(4 * (self.size + 1))) for _ in range(5))
+        up, jump, depth, fmt, data = self.forest
+        path, i = [], start
+        while i <= self.size and not depth[i]:
+            path.append(i)
+            i = i + 8 + (n := struct.unpack_from("<I", b, i + 4)[0]) + (n & 1) if i + 8 <= self.size else self.size + 1
+        for p in reversed(path):
+            if i > self.size:
+                up[p], jump[p], depth[p], fmt[p], data[p] = p, p, 1, self.size, self.size
+            else:
+                far = jump[i]
+                up[p], depth[p], fmt[p], data[p] = i, depth[i] + 1, fmt[i], data[i]
+                jump[p] = jump[far] if depth[i] - depth[far] == depth[far] - depth[jump[far]] else i
+            name = b[p : p + 4]
+            if name == b"fmt ":
+                fmt[p] = p
+            elif name == b"data":
+                data[p] = p
+            i = p
+        at = start
+        while at < end and up[at] != at:
+            at = jump[at] if jump[at] <= end else up[at]
+        return {b"fmt ": fmt[start] < end, b"data": data[start] < end} if at == end > start else None
+
+    def crc(self, b: bytes, start: int, stop: int) -> int:
+        """crc32 of b[start:stop]. Once more has been summed than four times the content, long ranges come from sums of beginnings."""
+        self.summed += stop - start
+        if self.summed <= 4 * self.size or stop - start <= 1 << 16:
+            return zlib.crc32(memoryview(b)[start:stop])
+        if self.sums is None:
+            self.sums = array("L", [0])
+            for i in range(0, self.size, 4096):
+                self.sums.append(zlib.crc32(b[i : i + 4096], self.sums[-1]))
+        head, whole = (zlib.crc32(b[i & -4096 : i], self.sums[i >> 12]) for i in (start, stop))
+        return whole ^ _times(_power(stop - start), head)
+
+
+def _times(a: int, b: int) -> int:
+    """Product of two polynomials modulo that of crc32, bits reflected."""
+    out = 0
+    while a:
+        if a & 0x80000000:
+            out ^= b
+        a = a << 1 & 0xFFFFFFFF
+        b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+    return out
+
+
+def _powers() -> list[list[int]]:
+    """x ** (8 * d * 16 ** k) for each hexadecimal digit d at each place k."""
+    out, unit = [], 0x00800000
+    for _ in range(10):
+        row = [0x80000000]
+        for _ in range(16):
+            row.append(_times(row[-1], unit))
+        unit = row.pop()
+        out.append(row)
+    return out
+
+
+_POWERS = _powers()
+
+
+def _power(n: int) -> int:
+    """x ** (8 * n): what n further bytes do to a checksum."""
+    out, k = 0x80000000, 0
+    while n >> 4 * k:
+        if d := n >> 4 * k & 15:
+            out = _times(_POWERS[k][d], out)
+        k += 1
+    return out
+
 
 def _png(b: bytes, at: int, seen: Seen) -> int:
-    """Length of the PNG at `at`, 0 if it is none: chunks with right CRCs from IHDR to IEND."""
-    i, places = at + 8, []
-    while True:
+    """Length of the PNG at `at`, 0 if it is none: chunks with right CRCs from an IHDR of 13 bytes to IEND."""
+
+    def right(i: int, size: int) -> bool:
+        return seen.crc(b, i + 4, i + 8 + size) == struct.unpack_from(">I", b, i + 8 + size)[0]
+
+    def chunk(i: int) -> tuple[int, int | None]:
         if i + 12 > len(b):
-            return 0
+            return i, 0
         size, kind = struct.unpack_from(">I4s", b, i)
-        if i + 12 + size > len(b) or (not places) != (kind == b"IHDR") or not kind.isalpha():
-            return 0
-        places.append((i, size))
-        i += 12 + size
-        if kind == b"IEND":
-            break
-    view = memoryview(b)
-    return i - at if all(zlib.crc32(view[p + 4 : p + 8 + n]) == struct.unpack_from(">I", b, p + 8 + n)[0] for p, n in places) else 0
+        after = i + 12 + size
+        if after > len(b) or kind == b"IHDR" or not kind.isalpha() or not right(i, size):
+            return i, 0
+        return after, after if kind == b"IEND" else None
+
+    if at + 33 > len(b) or struct.unpack_from(">I4s", b, at + 8) != (13, b"IHDR") or not right(at + 8, 13):
+        return 0
+    end = seen.walk("png chunk", at + 33, chunk)
+    return end - at if end else 0
 
 
 def _gif(b: bytes, at: int, seen: Seen) -> int:
@@ -161,14 +256,10 @@ def _riff(b: bytes, at: int, seen: Seen) -> int:
     size = struct.unpack_from("<I", b, at + 4)[0] + 8
     if b[at + 8 : at + 12] not in (b"WAVE", b"WEBP") or at + size > len(b):
         return 0
-    i, names = at + 12, []
-    while i + 8 <= at + size:
-        name, n = struct.unpack_from("<4sI", b, i)
-        names.append(name)
-        i += 8 + n + (n & 1)
-    if i != at + size or b[at + 8 : at + 12] == b"WAVE" and not (b"fmt " in names and b"data" in names):
+    names = seen.chunks(b, at + 12, at + size)
+    if names is None or b[at + 8 : at + 12] == b"WAVE" and not all(names.values()):
         return 0
-    return size if names else 0
+    return size
 
 
 def _ogg(b: bytes, at: int, seen: Seen) -> int:

@@ -500,6 +500,84 @@ def test_sniffing_is_linear_and_right_on_many_headers() -> None:
         assert time.time() - begun < 150, unit
 
 
+def plain_riff(b: bytes, at: int) -> int:
+    size = int.from_bytes(b[at + 4 : at + 8], "little") + 8
+    i, names = at + 12, set()
+    if at + size > len(b) or b[at + 8 : at + 12] not in (b"WAVE", b"WEBP"):
+        return 0
+    while i + 8 <= at + size:
+        n = int.from_bytes(b[i + 4 : i + 8], "little")
+        names.add(b[i : i + 4])
+        i += 8 + n + n % 2
+    good = i == at + size and names and (b[at + 8 : at + 12] == b"WEBP" or {b"fmt ", b"data"} <= names)
+    return size if good else 0
+
+
+def test_riff_headers_that_share_chunks() -> None:
+    """The forest of chunks agrees with a walk for each header."""
+    rnd = random.Random(8)
+    for _ in range(400):
+        heads, parts = rnd.randint(1, 6), []
+        for _ in range(rnd.randint(0, 12)):
+            n = rnd.randint(0, 5)
+            parts.append(rnd.choice([b"fmt ", b"data", b"junk"]) + n.to_bytes(4, "little") + bytes(n + n % 2))
+        tail = b"".join(parts)
+        cuts = [sum(map(len, parts[:i])) for i in range(len(parts) + 1)]
+        blob = b""
+        for h in range(heads):
+            rest = 20 * (heads - h - 1)
+            size = 12 + rest + rnd.choice(cuts) + rnd.choice([0, 0, 0, 2])
+            blob += b"RIFF" + size.to_bytes(4, "little") + rnd.choice([b"WAVE", b"WEBP"]) + b"junk" + (rest + rnd.choice(cuts[:2])).to_bytes(4, "little")
+        blob += tail
+        got = {f.offset: f.length for f in media.sniff(blob, media.automaton(), nested=True) if f.kind in ("audio/wav", "image/webp")}
+        want = {i: plain_riff(blob, i) for i in range(len(blob)) if blob.startswith(b"RIFF", i)}
+        assert got == {i: n for i, n in want.items() if n}
+
+
+def test_sums_of_ranges_from_sums_of_beginnings() -> None:
+    blob = random.Random(9).randbytes(700_000)
+    seen = media.Seen(len(blob))
+    seen.summed = 5 * len(blob)
+    for a, b in ((0, len(blob)), (1, 70_000), (4096, 8192 + (1 << 16)), (12_345, 654_321)):
+        assert seen.crc(blob, a, b) == zlib.crc32(blob[a:b])
+    assert seen.sums is not None
+
+
+def test_png_headers_that_share_an_end() -> None:
+    chunk = lambda name, body: len(body).to_bytes(4, "big") + name + body + zlib.crc32(name + body).to_bytes(4, "big")
+    magic, end = b"\x89PNG\r\n\x1a\n", chunk(b"IEND", b"")
+    one = magic + chunk(b"IHDR", bytes(13)) + chunk(b"IDAT", b"inner") + end
+    outer = magic + chunk(b"IHDR", bytes(13)) + chunk(b"tEXt", one[:-12]) + end
+    broken = magic + chunk(b"IHDR", bytes(13)) + chunk(b"IDAT", b"x")[:-1] + b"?" + end
+    blob = outer + broken + one
+    got = [(f.offset, f.length) for f in media.sniff(blob, media.automaton(), nested=True)]
+    inner = outer.index(magic, 1)
+    assert got == [(0, len(outer)), (len(outer) + len(broken), len(one))] and inner > 0
+    # an end that two headers lead to, the second one from within a chunk of the first
+    shared = magic + chunk(b"IHDR", bytes(13)) + chunk(b"tEXt", b"ab" + one[:33]) + chunk(b"IDAT", b"y") + end
+    assert [(f.offset, f.length) for f in media.sniff(shared, media.automaton(), nested=True)] == [(0, len(shared))]
+
+
+@pytest.mark.parametrize("kind", ["riff", "png"])
+def test_riff_and_png_are_linear_in_headers(kind) -> None:
+    """Twenty megabytes of headers that all lead into the same chunks."""
+    import time
+
+    if kind == "riff":
+        n = 20_000_000 // 28
+        heads = b"".join(b"RIFF" + (28 * n - 20 * i - 8).to_bytes(4, "little") + b"WAVEjunk" + (20 * (n - i - 1)).to_bytes(4, "little") for i in range(n))
+        blob, found = heads + b"abcd\0\0\0\0" * n, 0
+    else:
+        head = b"IHDR" + bytes(13)
+        unit = b"\x89PNG\r\n\x1a\n" + (13).to_bytes(4, "big") + head + zlib.crc32(head).to_bytes(4, "big")
+        n = 20_000_000 // 45
+        blob, found = b"".join(unit + (45 * (n - i - 1)).to_bytes(4, "big") + b"IDAT" + b"\0\0\0\0" for i in range(n)), 0
+    begun = time.time()
+    assert len(media.sniff(blob, media.automaton(), nested=True)) == found
+    assert time.time() - begun < 150
+
+
+
 def test_very_long_and_hostile_text_as_media(spark) -> None:
     texts = ["GIF89a!" * 60_000, "x" * 3_000_000, "RIFF WAVE BM OggS " * 1000]
     got = {r.doc_id: r for r in media.text_media(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), keep_media=False).collect()}
