@@ -177,6 +177,44 @@ def test_decontamination(spark, block_bytes) -> None:
         assert r.clean_text is None if r.text is None else ALNUM.findall(r.clean_text.translate(FOLD)) == left
 
 
+def test_a_benchmark_of_many_blocks_indexes_each_shard_once(spark, monkeypatch, nothing) -> None:
+    calls = {"index_texts": 0, "search_index": 0}
+    for name in calls:
+        real = getattr(decontaminate, name)
+
+        def counted(*args, name=name, real=real):
+            calls[name] += 1
+            return real(*args)
+
+        monkeypatch.setattr(decontaminate, name, counted)
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 200)
+    rnd = random.Random(8)
+    # one text makes up a third of the rows, and repeats of items fill no block of their own
+    rows = [r[:2] for r in corpus(4, 60)] + [(1000 + i, " ".join(f"w{k}" for k in range(40))) for i in range(30)] + [(None, None), (2000, "")]
+    items = [(i, " ".join((rnd.choice(rows[12:60])[1] or "x").split()[:25])) for i in range(8)] + [(90, " ".join(f"W{k}" for k in range(5, 18)))] * 5 + [(91, "w38 w39")]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.find_leaks(df, bench, block_bytes=200).collect()
+    assert calls["index_texts"] == 1 and calls["search_index"] > 2
+    assert sorted(((r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), list(r["items"])) for r in found), key=str) == leaks(rows, items)
+    assert all(r.clean_text.split() == [f"w{k}" for k in [*range(5), *range(18, 38)]] for r in found if r.doc_id and 1000 <= r.doc_id < 2000)
+    assert decontaminate.find_leaks(nothing, bench, block_bytes=100).count() == 0
+    wordless = spark.createDataFrame([(1, "?!" * 100), (2, "..." * 90)], bench.schema)
+    assert decontaminate.find_leaks(df, wordless, block_bytes=50).where("size(spans) > 0 or size(items) > 0").count() == 0
+
+
+def test_stored_index_is_the_index() -> None:
+    rng = np.random.default_rng(3)
+    text = rng.integers(1, 9, 3000)
+    text[rng.choice(3000, 40, replace=False)] = 0
+    text[-1] = 0
+    made = decontaminate.FMIndex(text, 8)
+    again = decontaminate.FMIndex.of_parts(made.parts(), 8)
+    coded, last, sizes = rng.integers(1, 9, 200), np.arange(4, 200), np.full(196, 3)
+    low, high = made.search(coded, last, sizes)
+    assert all(np.array_equal(a, b) for a, b in zip((low, high), again.search(coded, last, sizes), strict=True)) and (high > low).any()
+    assert np.array_equal(made.locate(np.arange(3000)), again.locate(np.arange(3000)))
+
+
 def test_a_block_of_phrases_is_small(spark) -> None:
     import pickle
 
