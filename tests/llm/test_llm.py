@@ -755,6 +755,18 @@ def test_samples_keep_their_bounds(spark) -> None:
     assert 1500 < drawn(max_rows=5000).count() < 1700 and 400 < drawn(max_rows=500).count() < 600
     small = drawn(max_rows=5000, max_bytes=50_000).agg(F.sum(F.length("text")), F.max(F.length("text"))).first()
     assert 40_000 < small[0] < 60_000 and small[1] == 100
+    # one label of ten thousand, and one id with most of the rows
+    rare = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2500 == 7).cast("int").alias("toxic"))
+    many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("z" * 50).alias("text"), F.lit("en").alias("lang"))
+    many = many.union(spark.range(30_000).select(F.lit(7), F.concat(F.lit("y" * 50), F.col("id").cast("string")), F.lit("en")))
+    for bound in ({"max_rows": 800}, {"max_rows": 800, "max_bytes": 40_000}):
+        got = labelled_sample(many, rare, "toxic", 5, 0, extra=("lang",), **bound).groupBy("y").agg(F.count_distinct("doc_id").alias("ids"), F.count("*").alias("rows")).collect()
+        got = {r["y"]: (r["ids"], r["rows"]) for r in got}
+        ids = [i for i in range(7, 20_000, 2500) if zlib.crc32(str(i).encode()) % 5]
+        assert got[1][0] == len(ids) and 600 < got[0][0] < 1000
+        assert "max_bytes" not in bound or got[1][1] == len(ids)
+    none = labelled_sample(many.where("doc_id < 0"), rare, "toxic", 5, 0, max_rows=800, max_bytes=40_000)
+    assert none.count() == 0 and labelled_sample(many, rare.where("toxic > 1"), "toxic", 5, 0, max_rows=800).count() == 0
 
 
 def test_classifiers_on_awkward_rows(spark, nothing, docs) -> None:
