@@ -39,11 +39,31 @@ def substitute(df: DataFrame, key: list[str], pos: str, value: str, tables: Data
         out = d.join(t, (F.col("sel") == F.col("_sel")) & (F.col(value) == F.col("_v")), "left")
         return out.select(*key, pos, "sel", value, F.coalesce("_to", value).cast("int").alias("to"))
     shift = lambda p: F.pow(F.lit(256), unit - 1 - F.pmod(p, F.lit(unit))).cast("long")
-    first = (F.col(pos) - F.pmod(F.col(pos), F.lit(unit))).alias("_first")
-    units = df.groupBy(*key, first).agg(F.sum(F.col(value) * shift(F.col(pos))).alias("_word"), F.count(value).alias("_n"))
-    units = units.withColumn("sel", selector(F.col("_first"), selector_bits))
-    done = units.join(t, (F.col("sel") == F.col("_sel")) & (F.col("_word") == F.col("_v")) & (F.col("_n") == unit), "left")
-    word = F.coalesce("_to", "_word")
+    first = (F.col(pos) - F.pmod(F.col(pos), F.lit(unit))).alias("first")
+    units = df.groupBy(*key, first).agg(F.sum(F.col(value) * shift(F.col(pos))).alias("word"), F.count(value).alias("n"))
+    done = substitute_words(units, tables, selector_bits, unit)
     byte = lambda w, i: (F.floor(w / F.pow(F.lit(256), unit - 1 - i)).cast("long") % 256).cast("int")
-    every = done.select(*key, "_first", "sel", "_word", word.alias("_new"), F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1)).alias("_i"))
-    return every.select(*key, (F.col("_first") + F.col("_i")).alias(pos), "sel", byte(F.col("_word"), F.col("_i")).alias(value), byte(F.col("_new"), F.col("_i")).alias("to"))
+    every = done.select(*key, "first", "sel", "word", "new", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("_i"))
+    return every.select(*key, (F.col("first") + F.col("_i")).alias(pos), "sel", byte(F.col("word"), F.col("_i")).alias(value), byte(F.col("new"), F.col("_i")).alias("to"))
+
+
+def words_of(df: DataFrame, key: list[str], values: str, unit: int) -> DataFrame:
+    """(key, first, n, word): the units of an array of bytes, cut where it lies, so that no byte is a shuffled row."""
+    starts = F.sequence(F.lit(0), F.size(values) - 1, F.lit(unit))
+    cut = F.transform(starts, lambda i: F.struct(i.cast("long").alias("first"), F.slice(values, i + 1, unit).alias("b")))
+    each = df.where(F.size(values) > 0).select(*key, F.explode(cut).alias("_u")).select(*key, "_u.*")
+    byte = lambda i: F.coalesce(F.get("b", F.lit(i)).cast("long"), F.lit(0)) * 256 ** (unit - 1 - i)
+    return each.select(*key, "first", F.size("b").cast("long").alias("n"), sum((byte(i) for i in range(1, unit)), byte(0)).alias("word"))
+
+
+def substitute_words(units: DataFrame, tables: DataFrame, selector_bits: list[int], unit: int) -> DataFrame:
+    """units (first, n, word) with sel and new, the word that the table gives; a unit that is not whole keeps its own.
+
+    Tables of at most a million rows in all are sent to the units; they are bounded by unit and selector, not by the data.
+    """
+    t = tables.select(F.col("sel").alias("_sel"), F.col("v").alias("_v"), F.col("to").alias("_to"))
+    if 256**unit << len(selector_bits) <= 1 << 20:
+        t = F.broadcast(t)
+    d = units.withColumn("sel", selector(F.col("first"), selector_bits))
+    done = d.join(t, (F.col("sel") == F.col("_sel")) & (F.col("word") == F.col("_v")) & (F.col("n") == unit), "left")
+    return done.withColumn("new", F.coalesce("_to", "word").cast("long")).drop("_sel", "_v", "_to")

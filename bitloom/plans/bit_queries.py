@@ -87,11 +87,15 @@ def f7(spark: SparkSession, d: str) -> DataFrame:
 _BYTES = "bytes AS (SELECT doc_id, pos, ascii(substr(text, pos + 1, 1)) % 256 AS v FROM (SELECT doc_id, text, unnest(range(0, length(text))) AS pos FROM documents))"
 
 
+def byte_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, vs): codes of the characters of the whole text modulo 256, for texts that have any."""
+    codes = F.transform(F.split("text", ""), lambda c: F.ascii(c) % 256)
+    return table(spark, d, "documents").where(F.length("text") > 0).select("doc_id", F.filter(codes, lambda v: v.isNotNull()).alias("vs"))
+
+
 def text_bytes(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, pos, v): code of each character of the whole text modulo 256."""
-    docs = table(spark, d, "documents").where(F.length("text") > 0)
-    codes = F.transform(F.split("text", ""), lambda c: F.ascii(c) % 256)
-    return docs.select("doc_id", F.posexplode(F.filter(codes, lambda v: v.isNotNull())).alias("pos", "v")).where(F.col("v") >= 0)
+    return byte_arrays(spark, d).select("doc_id", F.posexplode("vs").alias("pos", "v")).where(F.col("v") >= 0)
 
 
 @query("f8_value_substitution", f"""WITH {_BYTES}, t AS (SELECT doc_id, (pos >> 1) & 1 AS sel, pos, CASE WHEN (pos >> 1) & 1 = 0 THEN (v * 5 + 3) % 256 ELSE (v * 77 + 41) % 256 END AS w FROM bytes)
@@ -115,10 +119,11 @@ SELECT doc_id, CAST(sum(s) AS BIGINT) AS total, any_value(n) % 2 = 1 AS tail, tr
 def f8u(spark: SparkSession, d: str) -> DataFrame:
     """Units of two bytes under a selector of bit 3, a single last byte left as it is, and the way back."""
     tables = _tables(spark, 65536)
-    there = S.substitute(text_bytes(spark, d), ["doc_id"], "pos", "v", tables, [3], unit=2)
-    back = S.substitute(there.select("doc_id", "pos", F.col("to").alias("v")), ["doc_id"], "pos", "v", S.inverse(tables), [3], unit=2)
-    same = back.select("doc_id", "pos", F.col("to").alias("back"), F.col("v").alias("to")).join(text_bytes(spark, d), ["doc_id", "pos"])
-    return same.groupBy("doc_id").agg(F.sum("to").alias("total"), (F.count("*") % 2 == 1).alias("tail"), F.bool_and(F.col("back") == F.col("v")).alias("undone"))
+    there = S.substitute_words(S.words_of(byte_arrays(spark, d), ["doc_id"], "vs", 2), tables, [3], 2)
+    back = S.substitute_words(there.select("doc_id", "first", "n", F.col("word").alias("was"), F.col("new").alias("word")), S.inverse(tables), [3], 2)
+    made = F.shiftright("word", 8) + F.col("word") % 256
+    tail = (F.sum("n") % 2 == 1).alias("tail")
+    return back.groupBy("doc_id").agg(F.sum(made).alias("total"), tail, F.bool_and(F.col("new") == F.col("was")).alias("undone"))
 
 
 _POS = "pos AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part)"
