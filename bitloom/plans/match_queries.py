@@ -57,8 +57,7 @@ SELECT event_id, px, py, box, CASE WHEN box % 2 = 1 THEN w - 1 - (px - x) ELSE p
  CASE WHEN c BETWEEN 0 AND 4999 THEN c END AS cell FROM (SELECT *, box * 3 - 60 + (CASE WHEN box % 3 = 0 THEN h - 1 - (py - y) ELSE py - y END) * w + (CASE WHEN box % 2 = 1 THEN w - 1 - (px - x) ELSE px - x END) AS c FROM r WHERE rn = 1)""")
 def j19(spark: SparkSession, d: str) -> DataFrame:
     points = table(spark, d, "events").select("event_id", (F.col("event_id") * 7 % 200 - 20).alias("px"), (F.col("event_id") * 11 % 150).alias("py"))
-    found = M.hits(points, boxes(spark, d), "px", "py")
-    first = M.first_hit(found, "event_id", (F.col("px") - F.col("x") + F.col("py") - F.col("y")) % 2 == 0, "box")
+    first = M.first_hits(points, boxes(spark, d), "px", "py", (F.col("px") - F.col("x") + F.col("py") - F.col("y")) % 2 == 0, "box")
     inside = F.col("px") - F.col("x")
     down, box = F.col("py") - F.col("y"), F.col("box")
     cell = M.resolved_id(inside, down, F.col("w"), box % 2 == 1, box % 3 == 0, F.col("w"), F.col("h"), box * 3 - 60, 5000)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from oracle import spark_rows, sql_rows
 from pyspark.sql import functions as F
 
-from bitloom.operators import substitute
+from bitloom.operators import match, substitute
 from bitloom.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +33,14 @@ def test_substitution_undone_shuffles_documents_only(spark) -> None:
 
 def test_many_candidates_are_not_broadcast(spark) -> None:
     assert "Broadcast" not in plan_of(QUERIES["j8_many_candidates"](spark, SF))
+
+
+def test_first_hits_are_those_of_all_hits(spark) -> None:
+    boxes = spark.createDataFrame([(5, 0, 0, 9, 9), (3, 0, 0, 9, 9), (1, 1, 0, 9, 9), (2, 40, 40, 1, 1)], "box long, x long, y long, w long, h long")
+    points = spark.createDataFrame([(1, 4, 4), (2, 4, 4), (3, 0, 1), (4, 40, 40), (5, 99, 99), (6, None, 1)], "p long, px long, py long")
+    draws = (F.col("px") - F.col("x")) % 2 == 0
+    first = match.first_hits(points, boxes, "px", "py", draws, "box")
+    every = match.first_hit(match.hits(points, boxes, "px", "py"), "p", draws, "box")
+    got = sorted((r.p, r.box) for r in first.collect())
+    assert got == sorted((r.p, r.box) for r in every.collect()) == [(1, 3), (2, 3), (3, 3), (4, 2)]
+    assert "Window" not in plan_of(QUERIES["j19_rectangle_hit"](spark, SF))
