@@ -79,6 +79,14 @@ def line_stretches(lines: DataFrame, keys: list[str], order: str, body: str, wid
     return d.withColumn("stretch", F.floor(F.col("_n") / width)).groupBy(*by, "stretch").agg(held.alias("body"))
 
 
+def whole_lines(lines: DataFrame, keys: list[str], order: str, body: str, width: int = 4096, parts: int | None = None) -> DataFrame:
+    """(keys, line, body): the whole body of each split line, put together from its stretches; a line is one row, as its text is one value."""
+    by = [*keys, "line"]
+    stretches = line_stretches(lines, keys, order, body, width, parts)
+    held = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("stretch", "body"))), lambda s: s["body"]), " ")
+    return stretches.groupBy(*by).agg(held.alias("body"))
+
+
 def claims(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """df with owner: is this row the first to claim its key."""
     return df.withColumn("owner", F.row_number().over(Window.partitionBy(*key).orderBy(*order)) == 1)

@@ -65,13 +65,12 @@ def w10(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "w11_line_split",
-    """WITH l AS (SELECT user_id, event_id, event_type, coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM events),
-n AS (SELECT *, row_number() OVER (PARTITION BY user_id, line ORDER BY event_id) - 1 AS n FROM l)
-SELECT user_id, CAST(line AS BIGINT) AS line, CAST(n // 4 AS BIGINT) AS stretch, string_agg(event_type, ' ' ORDER BY event_id) AS body FROM n GROUP BY user_id, line, n // 4""",
+    """WITH l AS (SELECT user_id, event_id, event_type, coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM events)
+SELECT user_id, CAST(line AS BIGINT) AS line, string_agg(event_type, ' ' ORDER BY event_id) AS body FROM l GROUP BY user_id, line""",
 )
 def w11(spark: SparkSession, d: str) -> DataFrame:
     lines = R.split_lines(table(spark, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id", F.col("event_type") == "purchase")
-    return R.line_stretches(lines, ["user_id"], "event_id", "event_type", width=4)
+    return R.whole_lines(lines, ["user_id"], "event_id", "event_type")
 
 
 @query("w12_first_claim", "SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) = 1 AS owner FROM supplier")
