@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from bitloom.sources.shared import stored
 
+#: Rows of a range: what a task sorts and holds is bounded by this, whatever the number of rows.
+RANGE_ROWS = 1 << 17
 #: Columns that laid() adds: the number of a row's range, and whether its key lies in several.
 PART, MANY = "_part", "_many"
 BEFORE = (Window.unboundedPreceding, -1)
@@ -27,19 +29,31 @@ def _same(d: DataFrame, keys: list[str], other: DataFrame) -> list[Column]:
     return [d[k].eqNullSafe(other[f"_k{i}"]) for i, k in enumerate(keys)]
 
 
+def ranges_for(rows: int, partitions: int) -> int:
+    """How many ranges so many rows are dealt to: those of Spark's shuffles, fewer for few rows, more for many."""
+    return max(min(partitions, 1 + rows // 8192), 1 + rows // RANGE_ROWS)
+
+
+def ranges_of(df: DataFrame) -> int:
+    return ranges_for(df.count(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def laid(df: DataFrame, keys: list[str], order: list[str], parts: int | None = None) -> DataFrame:
     """df with PART and MANY, dealt by ranges of keys and order; rows that are equal in both share a range.
 
-    parts is the number of ranges, else Spark's number of shuffle partitions.
+    parts is the number of ranges, else one for each RANGE_ROWS rows, or Spark's number of shuffle partitions if
+    that is more. The table stays dealt by its ranges in as many tasks, so windows and groups within a range
+    need no further shuffle, and a task's share does not grow with the table.
     """
     by = [*keys, *order]
-    ranges = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
-    d = stored(ranges.withColumn(PART, F.spark_partition_id()), "laid")
+    parts = parts or ranges_of(df)
+    d = stored(df.repartitionByRange(parts, *by).withColumn(PART, F.spark_partition_id()), "laid")
     if not keys:
-        return d.withColumn(MANY, F.lit(True))
+        return d.repartition(parts, PART).withColumn(MANY, F.lit(True))
     spread = d.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min(PART).alias("_low"), F.max(PART).alias("_high")).where("_low < _high")
-    marked = d.join(F.broadcast(spread), _same(d, keys, spread), "left")
-    return marked.select(*[d[c] for c in d.columns], spread["_low"].isNotNull().alias(MANY))
+    dealt = d.repartition(parts, PART)
+    marked = dealt.join(F.broadcast(spread), _same(dealt, keys, spread), "left")
+    return marked.select(*[dealt[c] for c in d.columns], spread["_low"].isNotNull().alias(MANY))
 
 
 def within(keys: list[str], order: list[str]) -> WindowSpec:
