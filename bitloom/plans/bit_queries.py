@@ -162,8 +162,9 @@ p AS (SELECT doc_id, tile, i, ((ascii(substr(s, CAST(i // 8 + 1 AS INTEGER), 1))
 SELECT doc_id, tile, string_agg(CAST(lo + 2 * hi AS VARCHAR), '' ORDER BY i) AS pixels FROM p GROUP BY doc_id, tile""")
 def f15(spark: SparkSession, d: str) -> DataFrame:
     """Two planes of 8 bytes a tile of 16 bytes: bit k of a pixel comes from plane k; partial tiles drop."""
-    docs = table(spark, d, "documents").where(F.length("text") >= 16)
-    tiles = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 16).cast("int") - 1)).alias("tile")).select("doc_id", F.col("tile").cast("long").alias("tile"), F.expr("substring(text, tile * 16 + 1, 16)").alias("s"))
+    # cut in one pass: a substring of a text is sought from its beginning
+    pieces = F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{16}"), F.lit(0))).alias("tile", "s")
+    tiles = table(spark, d, "documents").select("doc_id", pieces).withColumn("tile", F.col("tile").cast("long"))
     return tiles.select("doc_id", "tile", B.plane_pixels(F.col("s"), [0, 8], 8, 8).alias("pixels"))
 
 
