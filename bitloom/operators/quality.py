@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bitloom.operators.scan import ranges_of
+
 COLUMNS = ["code", "severity", "pointer", "entry", "entry_name", "message", "detail"]
 
 
@@ -128,10 +130,12 @@ def duplicates(df: DataFrame, code: str, entry: str, key: Column) -> DataFrame:
 
 def permutation(df: DataFrame, code: str, entry: str, group: str, source: str, target: str, flags: str | None = None) -> DataFrame:
     """Faults of pair lists: a null or negative member rejects its whole list; slots mapped twice, targets hit twice, flags outside 0..7."""
-    bad = df.groupBy(group).agg(F.bool_or(F.col(source).isNull() | F.col(target).isNull() | (F.col(source) < 0) | (F.col(target) < 0)).alias("_fatal"))
-    j = df.join(bad, group)
+    bad = df.groupBy(group).agg(F.bool_or(F.col(source).isNull() | F.col(target).isNull() | (F.col(source) < 0) | (F.col(target) < 0)).alias("_fatal")).where("_fatal")
+    j = df.where(F.col(group).isNotNull()).join(bad, group, "left")
+    # the windows' tasks are as many as the rows need, whatever size Spark would fuse them to
+    parts = ranges_of(df)
     by = lambda c: F.row_number().over(Window.partitionBy(group, c).orderBy(entry)) > 1
-    j = j.withColumn("_s", by(source)).withColumn("_t", by(target))
+    j = j.repartition(parts, group, source).withColumn("_s", by(source)).repartition(parts, group, target).withColumn("_t", by(target))
     message = F.when(F.col("_fatal"), "list rejected").when(F.col("_s"), "slot mapped twice").when(F.col("_t"), "two slots to one target")
     if flags:
         message = message.when(~F.col(flags).between(0, 7), "flags out of range")
