@@ -14,31 +14,43 @@ from bitloom.functions import orient
 from bitloom.sources.shared import discard, stored
 
 
+def _round(table: DataFrame) -> DataFrame:
+    """A table of a round, to be joined by a merge: its files are far smaller than its rows, so Spark would send it through the driver each round."""
+    return table.hint("merge")
+
+
 def cycle_labels(df: DataFrame, node: str, next_: str) -> DataFrame:
     """(node, on_cycle, label): nodes of an out-degree-1 graph; label is the least node of the cycle, null off cycles.
 
     After doubling the pointers past n steps every image lies on a cycle, and every cycle node is an
-    image; the least node seen while doubling from a cycle node is its cycle's label. A node with
-    several targets has the least of them.
+    image; the least node seen while doubling from a cycle node is its cycle's label. Doubling ends as soon as
+    a round leaves the number of images and every least node as they were: the walk then permutes its
+    images, so all of them lie on cycles, and each has seen its whole cycle. A node with several
+    targets has the least of them. Rounds are merge joins, see _round.
     """
     links = stored(df.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("node")).agg(F.min(next_).alias("to")))
-    walk = stored(links.join(links.select(F.col("node").alias("to"), F.lit(True).alias("there")), "to", "left").select("node", F.when(F.col("there"), F.col("to")).alias("jump"), F.col("node").alias("least")))
-    steps, n = 1, links.count()
+    walk = stored(links.join(_round(links.select(F.col("node").alias("to"), F.lit(True).alias("there"))), "to", "left").select("node", F.when(F.col("there"), F.col("to")).alias("jump"), F.col("node").alias("least")))
+    steps, n, images = 1, links.count(), None
     while steps < n:
         ahead = walk.select(F.col("node").alias("jump"), F.col("jump").alias("far"), F.col("least").alias("ahead"))
-        further = stored(walk.join(ahead, "jump", "left").select("node", F.col("far").alias("jump"), F.least("least", "ahead").alias("least")))
+        least = F.least("least", "ahead")
+        further = stored(walk.join(_round(ahead), "jump", "left").select("node", F.col("far").alias("jump"), least.alias("least"), (least < F.col("least")).alias("moved")))
         discard(walk)
         walk = further
         steps *= 2
+        seen = walk.agg(F.count_distinct("jump").alias("images"), F.bool_or("moved").alias("moved")).first()
+        if not seen["moved"] and seen["images"] == images:
+            break
+        images = seen["images"]
     on = walk.where("jump is not null").select(F.col("jump").alias("node")).distinct().withColumn("on_cycle", F.lit(True))
     # the walk of a cycle node has gone all the way round by now
-    return walk.join(on, "node", "left").select("node", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"), F.when(F.col("on_cycle"), F.col("least")).alias("label"))
+    return walk.join(_round(on), "node", "left").select("node", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"), F.when(F.col("on_cycle"), F.col("least")).alias("label"))
 
 
 def reference_cycles(df: DataFrame, node: str, next_: str) -> DataFrame:
     """(label, node, members): the nodes of each cycle, which has `members` of them."""
     on = cycle_labels(df, node, next_).where("on_cycle").select("label", "node")
-    return on.join(on.groupBy("label").agg(F.count("*").alias("members")), "label")
+    return on.join(_round(on.groupBy("label").agg(F.count("*").alias("members"))), "label")
 
 
 def chain_ends(aliases: DataFrame, old: str, new: str) -> DataFrame:
@@ -49,12 +61,12 @@ def chain_ends(aliases: DataFrame, old: str, new: str) -> DataFrame:
     """
     links = aliases.where(F.col(old).isNotNull() & F.col(new).isNotNull()).groupBy(F.col(old).alias("old")).agg(F.min(new).alias("last"))
     loops = cycle_labels(links, "old", "last").where("on_cycle").select(F.col("node").alias("old"), "label")
-    ends = links.join(loops, "old", "left").select("old", F.coalesce("label", "last").alias("last"), F.col("label").isNotNull().alias("looped"))
+    ends = links.join(_round(loops), "old", "left").select("old", F.coalesce("label", "last").alias("last"), F.col("label").isNotNull().alias("looped"))
     ends = stored(ends)
     while True:
         ahead = ends.select(F.col("old").alias("last"), F.col("last").alias("far"))
         next_ = F.when(F.col("looped"), F.col("last")).otherwise(F.coalesce("far", "last"))
-        further = stored(ends.join(ahead, "last", "left").select("old", next_.alias("last"), "looped", (next_ != F.col("last")).alias("moved")))
+        further = stored(ends.join(_round(ahead), "last", "left").select("old", next_.alias("last"), "looped", (next_ != F.col("last")).alias("moved")))
         discard(ends)
         ends = further
         if ends.where("moved").isEmpty():
@@ -86,8 +98,8 @@ def bounded(mapping: DataFrame, count: int) -> DataFrame:
     """Pairs of the permutation cycles all of whose members lie below count."""
     labels = cycle_labels(mapping, "virtual", "actual")
     kept = labels.where("on_cycle").groupBy("label").agg(F.max("node").alias("top")).where(F.col("top") < count)
-    inside = labels.join(kept, "label", "left_semi").select(F.col("node").alias("virtual"))
-    return mapping.join(inside, "virtual", "left_semi")
+    inside = labels.join(_round(kept), "label", "left_semi").select(F.col("node").alias("virtual"))
+    return mapping.join(_round(inside), "virtual", "left_semi")
 
 
 def oriented(orientations: DataFrame, turns: DataFrame) -> DataFrame:
@@ -139,29 +151,29 @@ def regions(grid: DataFrame, value: str = "v") -> DataFrame:
     cells = stored(marked.withColumn("run", F.min("pos").over(Window.partitionBy("y", "_r"))).select("pos", "x", "y", value, "run"))
     # neighbours below meet on an equi join of positions; distinct leaves one edge a pair of runs
     up = cells.select("x", (F.col("y") + 1).alias("y"), F.col(value).alias("_v"), F.col("run").alias("a"))
-    live = stored(cells.join(up, ["x", "y"]).where(F.col(value).eqNullSafe(F.col("_v"))).select(F.least("a", "run").alias("a"), F.greatest("a", "run").alias("b")).distinct())
+    live = stored(cells.join(_round(up), ["x", "y"]).where(F.col(value).eqNullSafe(F.col("_v"))).select(F.least("a", "run").alias("a"), F.greatest("a", "run").alias("b")).distinct())
     found = cells.select("run", F.col("run").alias("region")).distinct()
     while not live.isEmpty():
         both = live.select(F.col("a").alias("id"), F.col("b").alias("n")).union(live.select(F.col("b"), F.col("a")))
         hook = stored(both.groupBy("id").agg(F.min("n").alias("n")).select("id", F.least("id", "n").alias("root")))
         while True:
             ahead = hook.select(F.col("id").alias("root"), F.col("root").alias("far"))
-            raised = stored(hook.join(ahead, "root").select("id", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")))
+            raised = stored(hook.join(_round(ahead), "root").select("id", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")))
             discard(hook)
             hook = raised
             if raised.where("moved").isEmpty():
                 break
         hooked, hook = hook, hook.select("id", "root")
-        placed = stored(found.join(hook.withColumnRenamed("id", "region"), "region", "left").select("run", F.coalesce("root", "region").alias("region")))
+        placed = stored(found.join(_round(hook.withColumnRenamed("id", "region")), "region", "left").select("run", F.coalesce("root", "region").alias("region")))
         if hasattr(found, "_stored_at"):
             discard(found)
         found = placed
         a, b = hook.select(F.col("id").alias("a"), F.col("root").alias("x")), hook.select(F.col("id").alias("b"), F.col("root").alias("y"))
-        rest = stored(live.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct())
+        rest = stored(live.join(_round(a), "a").join(_round(b), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct())
         discard(live, hooked)
         live = rest
     discard(live)
-    return cells.select("pos", "run").join(found, "run").select("pos", "region")
+    return cells.select("pos", "run").join(_round(found), "run").select("pos", "region")
 
 
 def fill(grid: DataFrame, seed: int, value: str = "v", bounds: tuple[int, int, int, int] | None = None) -> DataFrame:

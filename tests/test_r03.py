@@ -5,8 +5,10 @@ from __future__ import annotations
 from oracle import spark_rows, sql_rows
 from pyspark.sql import functions as F
 
-from bitloom.operators import match, runs, scan, substitute
+from bitloom.functions import bits
+from bitloom.operators import graph, match, quality, runs, scan, substitute
 from bitloom.plans.queries import ORACLE_SQL, QUERIES
+from bitloom.sources.shared import stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,3 +62,29 @@ def test_ranges_grow_with_the_rows(spark, monkeypatch) -> None:
     sizes = [r["count"] for r in d.groupBy(scan.PART).count().collect()]
     assert len(sizes) > 30 and max(sizes) < 40  # four shuffle partitions of a hundred rows before
     assert d.rdd.getNumPartitions() == 41
+
+
+def test_cycle_rounds_are_merged_and_end_early(spark, monkeypatch) -> None:
+    made = []
+    monkeypatch.setattr(graph, "stored", lambda df, *a: (made.append(plan_of(df)), stored(df, *a))[1])
+    # a tail of 40 into a loop of three, a loop of one, an end
+    links = [(i, i + 1) for i in range(40)] + [(40, 41), (41, 42), (42, 40), (50, 50), (60, 61)]
+    got = {r.node: r.label for r in graph.cycle_labels(spark.createDataFrame(links, "n long, t long"), "n", "t").collect()}
+    assert {n: v for n, v in got.items() if v is not None} == {40: 40, 41: 40, 42: 40, 50: 50} and len(got) == 45
+    made.clear()
+    pairs = spark.range(1000).select("id", F.col("id").bitwiseXOR(1).alias("t"))
+    assert graph.cycle_labels(pairs, "id", "t").where("on_cycle and label = node - node % 2").count() == 1000
+    assert len(made) <= 5 and "Broadcast" not in "".join(made)  # ten rounds before
+
+
+def test_planes_by_lookup(spark) -> None:
+    s = "".join(chr(65 + 7 * i % 60) for i in range(16))
+    got = spark.createDataFrame([(s,)], "s string").select(bits.plane_pixels(F.col("s"), [0, 8], 8, 8).alias("p"))
+    assert got.first().p == "".join(str((ord(s[i // 8]) >> 7 - i % 8 & 1) + 2 * (ord(s[i // 8 + 8]) >> 7 - i % 8 & 1)) for i in range(64))
+    assert "transform" not in plan_of(QUERIES["f15_bit_plane_unpack"](spark, SF))
+
+
+def test_permutation_windows_have_tasks_by_rows(spark, monkeypatch) -> None:
+    monkeypatch.setattr(scan, "RANGE_ROWS", 10)
+    d = spark.range(400).select("id", (F.col("id") % 3).alias("g"), (F.col("id") % 50).alias("s"), (F.col("id") % 70).alias("t"))
+    assert ", 41)" in plan_of(quality.permutation(d, "B", "id", "g", "s", "t"))
