@@ -205,6 +205,16 @@ class Registry:
             spark.udtf.register(f"decode_{id_.replace('-', '_')}", udtf(Decode, returnType="output binary, consumed int, complete boolean"))
 
 
+#: Rows that are read at once, and hits that are given at once: what a worker holds beside Spark's batch.
+SLICE, HITS = 128, 1 << 14
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
 def decode(df: DataFrame, blob: str, codec: Column | str, readers: dict[str, Reader] | None = None) -> DataFrame:
     """df with output, consumed, complete, stage and message; a failed row has a null output."""
     readers = readers or READERS
@@ -213,7 +223,7 @@ def decode(df: DataFrame, blob: str, codec: Column | str, readers: dict[str, Rea
     schema = StructType([*df.schema.fields, *StructType.fromDDL("output binary, consumed int, complete boolean, stage string, message string").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             rows: list[tuple] = []
             for raw, name in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
                 if raw is None:
@@ -316,7 +326,7 @@ def staged(df: DataFrame, blob: str, pathway: str, offset: Column, length: Colum
     # rows without a codec, or failed already, pass through an identity reader
     ready = F.when(F.col("_shaped").isNull(), F.lit("")).otherwise(F.coalesce("_codec", F.lit("")))
     known = {**(readers or READERS), "": lambda raw: (raw, len(raw), True)}
-    read = decode(shaped.withColumn("_shaped", F.coalesce("_shaped", F.lit(b"").cast("binary"))).drop("output", "consumed", "complete", "stage", "message"), "_shaped", ready, known)
+    read = decode(shaped.drop("_region").withColumn("_shaped", F.coalesce("_shaped", F.lit(b"").cast("binary"))).drop("output", "consumed", "complete", "stage", "message"), "_shaped", ready, known)
     short = F.coalesce(*[F.when(F.octet_length("output") < first + n, f"no room for {name}") for name, (first, n) in fields.items()], F.lit(None).cast("string"))
     steps = [
         ("container", "cut", F.lit("slice"), F.col("_cut_bad")), ("container", "reshape", F.col("_reshape"), F.col("_shape_bad")),
@@ -344,7 +354,11 @@ def find_structures(df: DataFrame, key: str, blob: str, codecs: list[str], probe
     cut = df.select(F.col(key).cast("long").alias("key"), blob, F.explode(span).alias("base")).select("key", "base", F.expr(f"substring({blob}, base + 1, {window + probe_bytes})").alias("piece"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        def given(rows: list[tuple]) -> pa.RecordBatch:
+            cols = zip(*rows, strict=True) if rows else [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["key", "codec", "offset", "consumed", "size"])
+
+        for b in _slices(batches):
             rows: list[tuple] = []
             for k, base, piece in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 piece = bytes(piece or b"")
@@ -359,8 +373,10 @@ def find_structures(df: DataFrame, key: str, blob: str, codecs: list[str], probe
                         out, used, done = READERS[name](piece[at : at + probe_bytes])
                         if done and out:
                             rows.append((k, name, base + at, used, len(out)))
-            cols = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["key", "codec", "offset", "consumed", "size"])
+                if len(rows) >= HITS:
+                    yield given(rows)
+                    rows = []
+            yield given(rows)
 
     found = cut.mapInArrow(run, "key long, codec string, offset long, consumed long, size long")
     return found.withColumnRenamed("key", key)

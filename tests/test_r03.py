@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from oracle import spark_rows, sql_rows
 from pyspark.sql import functions as F
 
 from bitloom.functions import bits
-from bitloom.operators import graph, match, quality, runs, scan, substitute
+from bitloom.operators import decode, graph, match, quality, runs, scan, substitute
 from bitloom.plans.queries import ORACLE_SQL, QUERIES
 from bitloom.sources.shared import stored
 
@@ -88,3 +89,9 @@ def test_permutation_windows_have_tasks_by_rows(spark, monkeypatch) -> None:
     monkeypatch.setattr(scan, "RANGE_ROWS", 10)
     d = spark.range(400).select("id", (F.col("id") % 3).alias("g"), (F.col("id") % 50).alias("s"), (F.col("id") % 70).alias("t"))
     assert ", 41)" in plan_of(quality.permutation(d, "B", "id", "g", "s", "t"))
+
+
+def test_workers_read_slices_of_batches() -> None:
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["a"])
+    cut = list(decode._slices(iter([batch])))
+    assert max(b.num_rows for b in cut) <= decode.SLICE and pa.Table.from_batches(cut).column(0).to_pylist() == list(range(1000))
