@@ -18,7 +18,7 @@ from bitloom.sources.tables import table
 @query("s1_binary_scan")
 def s1(spark: SparkSession, d: str) -> DataFrame:
     """The tables' own files: name, length and magic; a path that is not there reads as length -1."""
-    files = C.scan(spark, d, "*.parquet")
+    files = C.scan(spark, d, "*.parquet", head=4)
     wanted = files.select("path").union(spark.range(1).select(F.lit("nowhere.parquet")))
     found = C.with_missing(wanted, files)
     return found.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "length", F.decode(F.substring("head", 1, 4), "UTF-8").alias("magic"))
@@ -26,7 +26,7 @@ def s1(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q11_file_existence", "SELECT 'B110' AS code, 'error' AS severity, '/' || n_nationkey || '/path' AS pointer, n_nationkey AS entry, '' AS entry_name, 'missing' AS message, 'ghost.parquet' AS detail FROM nation WHERE n_nationkey % 4 = 2")
 def q11(spark: SparkSession, d: str) -> DataFrame:
-    files = C.scan(spark, d, "*.parquet").select(F.regexp_extract("path", r"([^/]+\.parquet)(/[^/]*)?$", 1).alias("path"), "length").dropDuplicates(["path"])
+    files = C.scan(spark, d, "*.parquet", head=0).select(F.regexp_extract("path", r"([^/]+\.parquet)(/[^/]*)?$", 1).alias("path"), "length").dropDuplicates(["path"])
     named = table(spark, d, "nation").select("n_nationkey", F.element_at(F.array(*[F.lit(f"{t}.parquet") for t in ("region", "nation", "ghost", "orders")]), (F.col("n_nationkey") % 4 + 1).cast("int")).alias("path"))
     return Q.files(named, "B110", "n_nationkey", "path", files)
 

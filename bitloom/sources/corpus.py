@@ -9,16 +9,39 @@ from pyspark.sql import functions as F
 
 #: Leading bytes that detection looks at.
 HEAD = 0x10100
+#: Files up to this size are read by tasks, which have their bytes whole; of larger ones only the head is asked for.
+WHOLE = 1 << 22
 
 
-def scan(spark: SparkSession, path: str, glob: str = "*", with_empty: bool = False) -> DataFrame:
-    """(path, length, head): one row a file. content is read only if head is selected.
+def _heads(spark: SparkSession, files: DataFrame, head: int) -> DataFrame:
+    """(path, length, head) of files too large to be a task's bytes: the driver asks each for its first bytes only."""
+    conf, rows = spark._jsc.hadoopConfiguration(), []
+    for path, length in files.select("path", "length").collect():
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        stream = place.getFileSystem(conf).open(place)
+        try:
+            rows.append((path, length, bytearray(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(spark._jvm.org.apache.commons.io.input.BoundedInputStream(stream, head)))))
+        finally:
+            stream.close()
+    return spark.createDataFrame(rows, "path string, length long, head binary")
+
+
+def scan(spark: SparkSession, path: str, glob: str = "*", with_empty: bool = False, head: int = HEAD) -> DataFrame:
+    """(path, length, head): one row a file, with its first `head` bytes; without any (0) no file is opened.
+
+    Tasks read the files of up to WHOLE bytes, and content is read only if head is selected. A larger file
+    would be one task's whole, and over 2 GB fails, so its head is read by itself: what the driver gets
+    is at most HEAD bytes for each WHOLE bytes of input.
 
     Spark's file index leaves out files without a byte. `with_empty` adds them from a listing by the
     driver, which takes a call for each file below the path.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    found = files.select("path", "length", F.substring("content", 1, HEAD).alias("head"))
+    if head:
+        small, large = F.col("length") <= WHOLE, F.col("length") > WHOLE
+        found = files.where(small).select("path", "length", F.substring("content", 1, head).alias("head")).union(_heads(spark, files.where(large), head))
+    else:
+        found = files.select("path", "length", F.lit(b"").cast("binary").alias("head"))
     if not with_empty:
         return found
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
