@@ -6,8 +6,11 @@ A spelling's code is its place in the dictionary, from 0; a character that no sp
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,8 +63,19 @@ def _lists(codes: np.ndarray, counts: list[int], nulls: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(codes, pa.int32()))
 
 
-#: Code points of texts that are walked at once; a longer text makes a batch of its own.
-CHUNK = 1 << 20
+#: Code points, or codes, of texts that are worked on at once; a longer text makes a batch of its own.
+CHUNK = 1 << 18
+
+
+def _chunks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Rows [first, last) of at most CHUNK together, or of one."""
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(sizes):
+        done = ends[first - 1] if first else 0
+        last = max(int(np.searchsorted(ends, done + CHUNK, "right")), first + 1)
+        yield first, last
+        first = last
 
 
 def greedy_codes(text: Column, spellings: list[str], blank: int | None = None) -> Column:
@@ -73,15 +87,11 @@ def greedy_codes(text: Column, spellings: list[str], blank: int | None = None) -
 
     @F.arrow_udf("array<int>")
     def coded(texts: pa.Array) -> pa.Array:
-        rows = [t or "" for t in texts.to_pylist()]
-        out, counts, first = [], [], 0
-        while first < len(rows):
-            last, size = first, 0
-            while last < len(rows) and (last == first or size + len(rows[last]) <= CHUNK):
-                size += len(rows[last])
-                last += 1
-            points = np.frombuffer("".join(rows[first:last]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-            sizes = np.array([len(t) for t in rows[first:last]])
+        out, counts = [], []
+        for first, last in _chunks(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)):
+            rows = [t or "" for t in texts.slice(first, last - first).to_pylist()]
+            points = np.frombuffer("".join(rows).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            sizes = np.array([len(t) for t in rows])
             ends = np.cumsum(sizes)
             code, length = trie.longest(points, np.repeat(ends, sizes))
             taken, jump, place = [], length.tolist(), 0
@@ -94,7 +104,6 @@ def greedy_codes(text: Column, spellings: list[str], blank: int | None = None) -
             taken = np.array(taken, np.int64)
             single = -1 - points[taken] if blank is None else np.full(len(taken), blank)
             out.append(np.where(code[taken] >= 0, code[taken], single).astype(np.int32))
-            first = last
         return _lists(np.concatenate(out) if out else np.zeros(0, np.int32), counts, texts.is_null())
 
     return coded(text)
@@ -105,9 +114,12 @@ def codes_text(codes: Column, spellings: list[str]) -> Column:
 
     @F.arrow_udf("string")
     def text(streams: pa.Array) -> pa.Array:
-        seen = pa.compute.unique(streams.flatten()).to_pylist()
+        seen = pc.unique(streams.flatten()).to_pylist()
         shown = {c: spellings[c] if 0 <= c < len(spellings) else chr(-1 - c) if -_POINTS <= c < 0 and not 0xD800 <= -1 - c < 0xE000 else f"[${c & 0xFFFFFFFF:X}]" for c in seen if c is not None}
         shown[None] = ""
-        return pa.array([None if s is None else "".join([shown[c] for c in s]) for s in streams.to_pylist()], pa.string())
+        sizes = pc.fill_null(pc.list_value_length(streams), 0).to_numpy(zero_copy_only=False)
+        # Python objects for some rows at a time: those of a whole batch take ten times its bytes and more
+        parts = [pa.array([None if s is None else "".join([shown[c] for c in s]) for s in streams.slice(first, last - first).to_pylist()], pa.string()) for first, last in _chunks(sizes)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return text(codes)
