@@ -91,8 +91,8 @@ def orphans(child: DataFrame, code: str, entry: str, key: str, parent: DataFrame
 
 
 def precedes(child: DataFrame, code: str, entry: str, key: str, order: Column, parent: DataFrame, parent_key: str, parent_order: str) -> DataFrame:
-    """Children that stand before their parent."""
-    j = child.withColumn("_o", order).join(parent.select(F.col(parent_key).alias("_p"), F.col(parent_order).alias("_po")), F.col(key) == F.col("_p"))
+    """Children that stand before their parent. Parents are hashed, so a task sorts and holds no children."""
+    j = child.withColumn("_o", order).join(parent.select(F.col(parent_key).alias("_p"), F.col(parent_order).alias("_po")).hint("shuffle_hash"), F.col(key) == F.col("_p"))
     return rule(j, code, "error", F.col("_po") > F.col("_o"), entry, "parent comes after", key, F.col(key))
 
 
@@ -131,11 +131,13 @@ def duplicates(df: DataFrame, code: str, entry: str, key: Column) -> DataFrame:
 def permutation(df: DataFrame, code: str, entry: str, group: str, source: str, target: str, flags: str | None = None) -> DataFrame:
     """Faults of pair lists: a null or negative member rejects its whole list; slots mapped twice, targets hit twice, flags outside 0..7."""
     bad = df.groupBy(group).agg(F.bool_or(F.col(source).isNull() | F.col(target).isNull() | (F.col(source) < 0) | (F.col(target) < 0)).alias("_fatal")).where("_fatal")
-    j = df.where(F.col(group).isNotNull()).join(bad, group, "left")
+    j = df.where(F.col(group).isNotNull())
     # the windows' tasks are as many as the rows need, whatever size Spark would fuse them to
     parts = ranges_of(df)
     by = lambda c: F.row_number().over(Window.partitionBy(group, c).orderBy(entry)) > 1
     j = j.repartition(parts, group, source).withColumn("_s", by(source)).repartition(parts, group, target).withColumn("_t", by(target))
+    # rejected lists come last and are hashed: their number is held, the pairs are neither sorted nor dealt again
+    j = j.join(bad.hint("shuffle_hash"), group, "left")
     message = F.when(F.col("_fatal"), "list rejected").when(F.col("_s"), "slot mapped twice").when(F.col("_t"), "two slots to one target")
     if flags:
         message = message.when(~F.col(flags).between(0, 7), "flags out of range")

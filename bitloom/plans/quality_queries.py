@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bitloom.operators import quality as Q
 from bitloom.operators.intervals import overlaps
+from bitloom.operators.scan import ranges_of
 from bitloom.plans.registry import query
 from bitloom.sources.tables import SPANS_SQL, spans, table
 
@@ -93,7 +94,9 @@ b AS (SELECT l_orderkey, list(DISTINCT l_partkey % 50 ORDER BY l_partkey % 50) A
 
 @query("q9_lists_agree", _Q9)
 def q9(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    # the tasks are as many as the rows need; both lists are made, and meet, where their rows lie
+    li = li.repartition(ranges_of(li), "l_orderkey")
     group = lambda cond: li.where(cond).groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.col("l_partkey") % 50)).alias("items"))
     return Q.same_lists(group("l_linenumber <= 3"), group("l_linenumber > 3").withColumn("entry_key", F.col("l_orderkey")), "B108", "l_orderkey", "entry_key")
 
