@@ -530,10 +530,13 @@ def repeated_passages(docs: DataFrame, width: int = 50) -> DataFrame:
     spans are the removed words (half open), kept_text the text without them, null where nothing
     was removed. ref is a hash of the row's text that tells rows of one doc_id apart.
     """
-    parsed = stored(parse(docs, width), "parsed")
-    long = parsed.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= width))
+    wide = stored(parse(docs, width), "parsed")
+    long = wide.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= width))
     owners = stored(long.groupBy("top", "sha").agg(F.min("doc_id").alias("owner")), "owners")
     own = stored(long.join(owners, ["top", "sha"]).where("doc_id = owner").select("doc_id", "ref", "n_words", "marks"), "own")
+    # marks are most of what was parsed, and own has those that are needed
+    parsed = stored(wide.drop("marks"), "counts")
+    discard(wide)
     alive = stored(_sifted(own, width).dropDuplicates(["doc_id", "ref"]), "alive")
     discard(own)
     held = stored(_identified(docs).where("doc_id is not null").join(alive, ["doc_id", "ref"]).dropDuplicates(["doc_id", "ref"]), "held")
@@ -544,7 +547,7 @@ def repeated_passages(docs: DataFrame, width: int = 50) -> DataFrame:
     gone = rows.join(repeated, ["key", "hashed"]).where("doc_id > least").groupBy("doc_id", "ref").agg(F.flatten(F.collect_list("places")).alias("places"))
     cut = stored(_cut(held.drop("alive").join(gone, ["doc_id", "ref"]), width), "cut")
     discard(rows, repeated, held)
-    base = parsed.select("doc_id", "ref", "n_words", "top", "sha").join(owners, ["top", "sha"], "left").join(cut, ["doc_id", "ref"], "left")
+    base = parsed.join(owners, ["top", "sha"], "left").join(cut, ["doc_id", "ref"], "left")
     copy = F.col("owner") < F.col("doc_id")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
     return base.select(
