@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from bitloom.operators.scan import BEFORE, MANY, PART, carried, fused, joined_pieces, laid, running, within
+from bitloom.operators.scan import BEFORE, MANY, PART, carried, fused, joined_pieces, laid, ranges_of, running, within
 from bitloom.sources.shared import stored
 
 
@@ -149,7 +149,10 @@ def overwrite_spans(writes: DataFrame, keys: list[str], seq: str = "seq", value:
     the latest alone, which is found over aligned powers of two of range numbers, two a level. Each
     range is then swept once, with a heap of the writes open.
     """
-    d = laid(writes.where("end > start").select(*keys, "start", "end", seq, value), keys, ["start"], parts)
+    # a log may be costly to make, and counting, borders and layout each read it
+    live = stored(writes.where("end > start").select(*keys, "start", "end", seq, value), "writes")
+    parts = parts or ranges_of(live)
+    d = laid(live, keys, ["start"], parts)
     k = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)]
     # the ranges of sets that have several: two a range at most
     stripes = d.where(MANY).groupBy(*keys, PART).agg(F.min("start").alias("low"))
@@ -172,9 +175,10 @@ def overwrite_spans(writes: DataFrame, keys: list[str], seq: str = "seq", value:
     rows = here.unionByName(ending).unionByName(cover).select(PART, MANY, *keys, "start", "end", seq, value)
     types = {f.name: f for f in rows.schema.fields}
     schema = StructType([types[PART], types[MANY], *[types[c] for c in keys], *StructType.fromDDL("_island long, _edge boolean").fields, types["start"], types["end"], types[value]])
-    swept = rows.repartition(PART, *keys).sortWithinPartitions(PART, *keys, "start").mapInArrow(_swept(keys, value, seq, schema), schema)
+    swept = rows.repartition(parts, PART, *keys).sortWithinPartitions(PART, *keys, "start").mapInArrow(_swept(keys, value, seq, schema), schema)
     goes_on = lambda before: (before["end"] == F.col("start")) & before[value].eqNullSafe(F.col(value))
-    return joined_pieces(swept, keys, {"start": F.min, "end": F.max, value: F.first}, goes_on)
+    # inner and outer pieces are taken apart below: the sweep is run once for both
+    return joined_pieces(stored(swept, "swept"), keys, {"start": F.min, "end": F.max, value: F.first}, goes_on)
 
 
 def subtract_spans(a: DataFrame, b: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
