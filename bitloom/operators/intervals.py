@@ -5,8 +5,7 @@ large share of all rows, so no window spans a whole set: rows are laid out by ra
 with borders taken from the data (operators/scan.py), windowed within their range, and only what a
 range carries on, or its first and last piece, meets the next one. `parts` is the number of ranges.
 
-Spans cost rows by their number, never by their length: a lookup puts a span into the at most three
-tiles of its own size that it touches, and a write that covers whole ranges is split into aligned
+Spans cost rows by their number, never by their length: a lookup takes the span that began last, and a write that covers whole ranges is split into aligned
 powers of two of range numbers.
 """
 
@@ -20,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from bitloom.operators.scan import BEFORE, MANY, PART, carried, fused, joined_pieces, laid, ranges_of, running, within
+from bitloom.operators.scan import BEFORE, MANY, PART, SO_FAR, carried, fused, joined_pieces, laid, ranges_of, running, within
 from bitloom.sources.shared import stored
 
 
@@ -238,23 +237,20 @@ def level_of(length: Column) -> Column:
     return F.least(F.greatest(F.ceil(F.log(8.0, F.greatest(length, F.lit(1)))), F.lit(0)), F.lit(20)).cast("int")
 
 
-def value_at(points: DataFrame, regions: DataFrame, keys: list[str], point: str, value: str = "row", default: int | None = None) -> DataFrame:
+def value_at(points: DataFrame, regions: DataFrame, keys: list[str], point: str, value: str = "row", default: int | None = None, parts: int | None = None) -> DataFrame:
     """points with the value of the region that holds each point, or the default.
 
-    Regions are disjoint within a set, and of any length: each lies in the two or three tiles of its
-    own size that it touches. A distinct point asks one tile a level that occurs, of at most 21.
+    Regions are disjoint within a set, and of any length: the one that began last before a point is the only
+    one that may hold it. Points and regions lie in the same ranges, and a range is told which region began last before it.
     """
-    spans = regions.where("end > start").select(*keys, "start", "end", F.col(value).alias("_v"), level_of(F.col("end") - F.col("start")).alias("_l"))
-    spans = stored(spans, "regions")
-    levels = sorted(r["_l"] for r in spans.select("_l").distinct().collect())
-    k = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)]
-    tiles = spans.select(*k, "_l", F.col("start").alias("_s"), F.col("end").alias("_e"), "_v", F.explode(F.expr("sequence(shiftright(start, 3 * _l), shiftright(end - 1, 3 * _l))")).alias("_t"))
-    asked = points.select(*keys, F.floor(point).alias("_p")).where("_p is not null").distinct().withColumn("_a", F.explode(F.array(*map(F.lit, levels or [0]))))
-    asked = asked.withColumn("_at", F.expr("shiftright(_p, 3 * _a)"))
-    on = [*[asked[c].eqNullSafe(tiles[f"_k{i}"]) for i, c in enumerate(keys)], asked["_a"] == tiles["_l"], asked["_at"] == tiles["_t"], asked["_p"] >= tiles["_s"], asked["_p"] < tiles["_e"]]
-    found = asked.join(tiles, on).select(*[asked[c].alias(f"_f{i}") for i, c in enumerate(keys)], asked["_p"].alias("_fp"), "_v")
-    joined = points.join(found, [*[points[c].eqNullSafe(found[f"_f{i}"]) for i, c in enumerate(keys)], F.floor(points[point]) == found["_fp"]], "left")
-    return joined.select(*[points[c] for c in points.columns], F.coalesce(found["_v"], F.lit(default)).alias(value))
+    held = stored(regions.where("end > start").select(*keys, F.col("start").alias("_at"), F.lit(False).alias("_ask"), F.struct(F.col("end").alias("end"), F.col(value).alias("v")).alias("_region")), "regions")
+    asked = points.select(*keys, F.floor(point).alias("_at"), F.lit(True).alias("_ask"), F.struct(*points.columns).alias("_row"))
+    d = laid(held.unionByName(asked, allowMissingColumns=True), keys, ["_at"], parts)
+    began = F.when(~F.col("_ask"), F.col("_at"))
+    d = carried(d, keys, {"_top": F.max_by("_region", began)}, {"_in": lambda w: F.last("_top", ignorenulls=True).over(w.rowsBetween(*BEFORE))})
+    here = F.coalesce(F.last("_region", ignorenulls=True).over(within(keys, ["_at", "_ask"]).rowsBetween(*SO_FAR)), F.col("_in"))
+    d = d.withColumn("_here", here).where("_ask")
+    return d.select("_row.*", F.coalesce(F.when(F.col("_at") < F.col("_here.end"), F.col("_here.v")), F.lit(default)).alias(value))
 
 
 def assembled(pieces: DataFrame, keys: list[str], order: str, length: str, parts: int | None = None) -> DataFrame:
