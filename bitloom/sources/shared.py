@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Folders of the tables that this process has made and not yet deleted.
 _made: list[str] = []
 
+#: Whether Spark deletes the shuffle files of an execution when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir. Where that is unset, a local master (tests) gets a local folder; a cluster is refused."""
@@ -32,11 +35,18 @@ def stored(df: DataFrame, name: str = "round") -> DataFrame:
     """df written once and read back: cuts lineage, survives lost executors, and has the sizes it really has.
 
     A checkpoint would keep the estimates of the plan behind it, which a loop of joins squares
-    each round until planning takes longer than the work.
+    each round until planning takes longer than the work. The write's shuffle files go when it ends:
+    they would stand until the driver happens to collect its garbage, those of several rounds at once.
     """
-    path = f"{shared_dir(df.sparkSession)}/bitloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/bitloom-{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     _made.append(path)
     return out

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+import time
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from oracle import spark_rows, sql_rows
 from pyspark.sql import functions as F
 
@@ -165,3 +167,27 @@ def test_marks_are_dropped_with_what_was_parsed(spark) -> None:
     before = set(shared._made)
     substring_dedup.repeated_passages(spark.read.parquet(f"{SF}/documents.parquet"))
     assert not [p for p in shared._made if p not in before and "marks" in spark.read.parquet(p).columns]
+
+
+def test_shuffle_files_go_with_the_write_that_made_them(spark) -> None:
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files() -> set[str]:
+        found = disk.getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = files(), spark.conf.get(setting)
+    ids = spark.range(20_000)
+    summed = stored(ids.groupBy((F.col("id") % 1000).alias("k")).agg(F.sum("id").alias("s")))
+    joined = stored(ids.repartition(3, "id").join(spark.range(5_000).hint("merge"), "id"))
+    left, until = files() - before, time.monotonic() + 5
+    while left and time.monotonic() < until:  # Spark deletes them in the background
+        time.sleep(0.1)
+        left = files() - before
+    assert not left
+    assert summed.count() == 1000 and joined.count() == 5_000
+    with pytest.raises(Exception, match="stop here"):
+        stored(ids.select(F.raise_error(F.lit("stop here")).cast("long").alias("x")))
+    assert spark.conf.get(setting) == was
+    shared.discard(summed, joined)
