@@ -87,15 +87,16 @@ def f7(spark: SparkSession, d: str) -> DataFrame:
 _BYTES = "bytes AS (SELECT doc_id, pos, ascii(substr(text, pos + 1, 1)) % 256 AS v FROM (SELECT doc_id, text, unnest(range(0, length(text))) AS pos FROM documents))"
 
 
-def byte_arrays(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, vs): codes of the characters of the whole text modulo 256, for texts that have any."""
+def byte_arrays(spark: SparkSession, d: str, empties: bool = False) -> DataFrame:
+    """(doc_id, vs): codes of the characters of the whole text modulo 256, for texts that have any; with empties, one 0 for a text of none."""
     codes = F.transform(F.split("text", ""), lambda c: F.ascii(c) % 256)
-    return table(spark, d, "documents").where(F.length("text") > 0).select("doc_id", F.filter(codes, lambda v: v.isNotNull()).alias("vs"))
+    docs = table(spark, d, "documents").where(F.length("text") >= (0 if empties else 1))
+    return docs.select("doc_id", F.filter(codes, lambda v: v.isNotNull()).alias("vs"))
 
 
-def text_bytes(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, pos, v): code of each character of the whole text modulo 256."""
-    return byte_arrays(spark, d).select("doc_id", F.posexplode("vs").alias("pos", "v")).where(F.col("v") >= 0)
+def text_bytes(spark: SparkSession, d: str, empties: bool = False) -> DataFrame:
+    """(doc_id, pos, v): code of each character of the whole text modulo 256; see byte_arrays."""
+    return byte_arrays(spark, d, empties).select("doc_id", F.posexplode("vs").alias("pos", "v")).where(F.col("v") >= 0)
 
 
 @query("f8_value_substitution", f"""WITH {_BYTES}, t AS (SELECT doc_id, (pos >> 1) & 1 AS sel, pos, CASE WHEN (pos >> 1) & 1 = 0 THEN (v * 5 + 3) % 256 ELSE (v * 77 + 41) % 256 END AS w FROM bytes)
