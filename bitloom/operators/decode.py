@@ -8,7 +8,10 @@ and nothing of its payload.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Callable, Iterator
+from functools import partial
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -132,39 +135,118 @@ def _heads_ring(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero((size > 0) & (size <= left * 9))
 
 
-def _scan_rle(skip_address: bool) -> Callable[[bytes, int], list[tuple[int, int, int]]]:
-    """All complete run streams of a piece, (offset, consumed, size), in one pass from its end: a stream goes on where its first command leads."""
+#: What a walk gives: (offset, consumed, size) of each complete, non-empty stream, from the last to the first.
+Hits = Iterator[tuple[int, int, int]]
 
-    def scan(data: bytes, probe: int) -> list[tuple[int, int, int]]:
-        n = data.rfind(b"\xff") + 1
-        stop, size = [0] * (n + 1), [0] * (n + 1)
-        found = []
-        for i in range(n - 1, -1, -1):
-            c = data[i]
-            if c == 0xFF:
-                stop[i] = i + 1
-                continue
-            if skip_address and c == 0x7F:
-                after, gain = i + 3, 0
-            elif c < 0x80:
-                after, gain = i + 2, c
+
+def _walk_rle(data: bytes, skip_address: bool) -> Hits:
+    """Run streams in one pass from the end: a stream goes on where its first command leads, which is 257 bytes on at most."""
+    n = data.rfind(b"\xff") + 1
+    stop, size = [0] * 512, [0] * 512  # of the last 512 places
+    for i in range(n - 1, -1, -1):
+        c, at = data[i], i & 511
+        if c == 0xFF:
+            stop[at], size[at] = i + 1, 0
+            continue
+        if skip_address and c == 0x7F:
+            after, gain = i + 3, 0
+        elif c < 0x80:
+            after, gain = i + 2, c
+        else:
+            gain = c & 0x7F or (0 if skip_address else 256)
+            after = i + 1 + gain
+        stop[at] = stop[after & 511] if after < n else 0
+        if stop[at]:
+            size[at] = gain + size[after & 511]
+            if size[at]:
+                yield i, stop[at] - i, size[at]
+
+
+#: More than any stream gives.
+_NEVER = 1 << 40
+
+
+def _walk_lz(data: bytes, heads: list[tuple[int, int]], high_first: bool, link_bit: int, reach: Callable[[int, int], tuple[int, int]]) -> Hits:
+    """Streams of `heads`, (offset, size) by offset, without reading one from its beginning; reach gives (count, least output before) of a reference.
+
+    A flag byte and its eight choices lead to the next flag byte, whatever the stream. Each place has
+    this step and a jump over several, with the bytes they give and the output they need before
+    them, so a stream finds its last flag byte in a logarithm of its steps, and hostile data costs no more.
+    """
+    n, low = len(data), heads[0][0] + 4 if heads else len(data)
+    step, jump, depth, gain, need, far, deep = (array("q", bytes(8 * (n - low + 1))) for _ in range(7))
+    step[-1] = jump[-1] = n - low
+    need[-1] = deep[-1] = -_NEVER
+    shifts = range(7, -1, -1) if high_first else range(8)
+
+    def group(at: int, out: int, size: int) -> tuple[int, int, int]:
+        """(next place, output, output that was lacking) of the choices behind the flag byte at `at`, until size; a place past the end if they are cut."""
+        flags, i, lack = data[at], at + 1, -_NEVER
+        for k in shifts:
+            if out >= size:
+                break
+            if flags >> k & 1 != link_bit:
+                i, out = i + 1, out + 1
+            elif i + 1 < n:
+                count, before = reach(data[i], data[i + 1])
+                lack = max(lack, before - out)
+                i, out = i + 2, min(out + count, size)
             else:
-                gain = c & 0x7F or (0 if skip_address else 256)
-                after = i + 1 + gain
-            if after < n and stop[after]:
-                stop[i], size[i] = stop[after], gain + size[after]
-                if size[i] and stop[i] - i <= probe:
-                    found.append((i, stop[i] - i, size[i]))
-        return found[::-1]
+                return n + 1, out, lack
+        return i, out, lack
+
+    waiting = len(heads) - 1
+    for at in range(n - 1, low - 1, -1):
+        p = at - low
+        after, got, lack = group(at, 0, _NEVER)
+        if after >= n:
+            after, got = n, _NEVER
+        q = after - low
+        step[p], gain[p], need[p], depth[p] = q, got, lack, depth[q] + 1
+        if depth[q] - depth[jump[q]] == depth[jump[q]] - depth[jump[jump[q]]]:
+            r = jump[q]
+            jump[p], far[p] = jump[r], got + far[q] + far[r]
+            deep[p] = max(lack, deep[q] - got, deep[r] - got - far[q])
+        else:
+            jump[p], far[p], deep[p] = q, got, lack
+        while waiting >= 0 and heads[waiting][0] + 4 == at:
+            head, size = heads[waiting]
+            waiting -= 1
+            out = 0
+            while True:
+                if out + far[p] < size and deep[p] <= out:
+                    out, p = out + far[p], jump[p]
+                elif out + gain[p] < size and need[p] <= out:
+                    out, p = out + gain[p], step[p]
+                else:
+                    break
+            end, out, lack = group(p + low, out, size)
+            if out == size and lack <= 0 and end <= n:
+                yield head, end - head, size
+
+
+def _walk_sized(data: bytes) -> Hits:
+    heads = [(i, int.from_bytes(data[i + 1 : i + 4], "little")) for i in _heads_sized(np.frombuffer(data, np.uint8)).tolist()]
+    return _walk_lz(data, heads, True, 1, lambda a, b: ((a >> 4) + 3, ((a & 15) << 8 | b) + 1))
+
 
-    return scan
+def _walk_ring(data: bytes) -> Hits:
+    """The ring reaches back before any stream, so its references need nothing."""
+    heads = [(i, int.from_bytes(data[i : i + 4], "little")) for i in _heads_ring(np.frombuffer(data, np.uint8)).tolist()]
+    return _walk_lz(data, heads, False, 0, lambda a, b: ((b & 15) + 3, 0))
 
 
-#: Shipped readers and their cheap rejecting looks at a stream's head.
+#: Shipped readers, and walks that find all their streams in a blob at once.
 READERS: dict[str, Reader] = {"sized-lz": read_sized_lz, "ring-lz": read_ring_lz, "fill-rle": read_fill_rle, "address-rle": read_address_rle}
-HEADS = {"sized-lz": _heads_sized, "ring-lz": _heads_ring}
-#: Readers whose streams are all found in one pass.
-SCANS = {"fill-rle": _scan_rle(False), "address-rle": _scan_rle(True)}
+WALKS: dict[str, Callable[[bytes], Hits]] = {"sized-lz": _walk_sized, "ring-lz": _walk_ring, "fill-rle": partial(_walk_rle, skip_address=False), "address-rle": partial(_walk_rle, skip_address=True)}
+
+
+def _scan(name: str, data: bytes, probe: int) -> list[tuple[int, int, int]]:
+    return [hit for hit in WALKS[name](data) if hit[1] <= probe][::-1]
+
+
+#: The streams of at most `probe` bytes, by offset.
+SCANS = {name: partial(_scan, name) for name in WALKS}
 
 
 class Registry:
@@ -205,7 +287,7 @@ class Registry:
             spark.udtf.register(f"decode_{id_.replace('-', '_')}", udtf(Decode, returnType="output binary, consumed int, complete boolean"))
 
 
-#: Rows that are read at once, and hits that are given at once: what a worker holds beside Spark's batch.
+#: Rows that are decoded at once, and hits that are given at once: what a worker holds beside Spark's batch.
 SLICE, HITS = 128, 1 << 14
 
 
@@ -344,41 +426,29 @@ def staged(df: DataFrame, blob: str, pathway: str, offset: Column, length: Colum
     )
 
 
-def find_structures(df: DataFrame, key: str, blob: str, codecs: list[str], probe_bytes: int = 4096, window: int = 1 << 16) -> DataFrame:
-    """(key, codec, offset, consumed, size): every place where a reader gives a non-empty, complete result of the next probe_bytes.
+def find_structures(df: DataFrame, key: str, blob: str, codecs: list[str], probe_bytes: int | None = None) -> DataFrame:
+    """(key, codec, offset, consumed, size): every place where a reader gives a non-empty, complete result of the bytes from there on.
 
-    Files are cut into windows that overlap by probe_bytes, dealt out evenly; a hit belongs to the
-    window of its first byte, so none is found twice.
+    Streams may be as long as the blob; with probe_bytes only those of so many bytes count. A blob is
+    read whole, once for each codec, in time that grows with its length and not with that of its streams.
     """
-    span = F.sequence(F.lit(0), F.greatest(F.octet_length(blob) - 1, F.lit(0)), F.lit(window))
-    cut = df.select(F.col(key).cast("long").alias("key"), blob, F.explode(span).alias("base")).select("key", "base", F.expr(f"substring({blob}, base + 1, {window + probe_bytes})").alias("piece"))
+    given = df.select(F.col(key).cast("long").alias("key"), blob)
+    names, types = ["key", "codec", "offset", "consumed", "size"], (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for k, raw in zip(b.column(0), b.column(1), strict=True):
+                data, k = raw.as_py() or b"", k.as_py()
+                for name in codecs:
+                    for at, used, size in WALKS[name](data):
+                        if probe_bytes is None or used <= probe_bytes:
+                            yield k, name, at, used, size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def given(rows: list[tuple]) -> pa.RecordBatch:
-            cols = zip(*rows, strict=True) if rows else [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["key", "codec", "offset", "consumed", "size"])
+        for rows in batched(hits(batches), HITS):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-        for b in _slices(batches):
-            rows: list[tuple] = []
-            for k, base, piece in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                piece = bytes(piece or b"")
-                data = np.frombuffer(piece, np.uint8)
-                for name in codecs:
-                    if name in SCANS:
-                        rows += [(k, name, base + at, used, size) for at, used, size in SCANS[name](piece, probe_bytes) if at < window]
-                        continue
-                    for at in HEADS[name](data).tolist():
-                        if at >= window:
-                            break
-                        out, used, done = READERS[name](piece[at : at + probe_bytes])
-                        if done and out:
-                            rows.append((k, name, base + at, used, len(out)))
-                if len(rows) >= HITS:
-                    yield given(rows)
-                    rows = []
-            yield given(rows)
-
-    found = cut.mapInArrow(run, "key long, codec string, offset long, consumed long, size long")
+    found = given.mapInArrow(run, "key long, codec string, offset long, consumed long, size long")
     return found.withColumnRenamed("key", key)
 
 

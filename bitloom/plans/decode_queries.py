@@ -81,18 +81,47 @@ def planted_kinds(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.when(kind.isNotNull(), F.concat("t", stream)).otherwise(F.col("t")).alias("blob"))
 
 
-_KINDS = """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'sized-lz' WHEN 1 THEN 'ring-lz' ELSE 'address-rle' END AS codec, CAST(strlen(text) AS BIGINT) AS "offset",
- CASE doc_id % 5 WHEN 0 THEN 8 WHEN 1 THEN 8 WHEN 2 THEN 6 ELSE 9 END AS consumed, CASE doc_id % 5 WHEN 0 THEN 6 WHEN 1 THEN 4 ELSE 5 END AS size FROM documents WHERE doc_id % 5 < 2 OR doc_id % 50 IN (2, 3)"""
+_BYTE = "CAST('0x' || substr(h, 2 * ({}) + 1, 2) AS BIGINT)"
+
+
+def _number(at: str, n: int) -> str:
+    return "(" + " + ".join(f"{_BYTE.format(f'{at} + {k}')} * {256**k}" for k in range(n)) + ")"
+
+
+# Every hit of the four readers. Flagged streams: a step of `walk` reads a flag byte (k = 8) or takes one of its choices; a text without
+# bytes 0 and 10h to 1Fh can hold no head of less than 16 MB, so only its last three bytes and what follows are looked at.
+# Run streams: text has no FFh, so only blobs that end in one have any. A command below 80h leads two bytes on, so all places lead to the
+# next other command of their parity (s, with c bytes from each place on); `runs` goes back over these from FFh.
+_KINDS = rf"""WITH RECURSIVE blobs AS (SELECT doc_id, text, hex(encode(text)) || CASE WHEN doc_id % 5 = 0 THEN '1006000040612000' WHEN doc_id % 5 = 1 THEN '04000000017AEEF0'
+  WHEN doc_id % 50 = 2 THEN '0341824243FF' WHEN doc_id % 50 = 3 THEN '7F00200341824243FF' ELSE '' END AS h FROM documents WHERE text IS NOT NULL),
+tails AS (SELECT doc_id, base, substr(h, 2 * base + 1) AS h, strlen(h) // 2 - base AS n FROM (SELECT doc_id, h,
+  CASE WHEN strlen(text) > 1800000 OR regexp_matches(text, '[\x00\x10-\x1f]') THEN 0 ELSE greatest(strlen(text) - 3, 0) END AS base FROM blobs)),
+places AS (SELECT *, unnest(range(0, n - 4)) AS o FROM tails),
+heads AS (SELECT *, 'sized-lz' AS codec, {_number("o + 1", 3)} AS size FROM places WHERE {_BYTE.format("o")} // 16 = 1 AND {_number("o + 1", 3)} > 0
+  UNION ALL SELECT *, 'ring-lz', {_number("o", 4)} FROM places WHERE {_number("o", 4)} BETWEEN 1 AND 9 * (n - o - 4)),
+walk AS (SELECT doc_id, codec, base, h, n, o, size, o + 4 AS i, CAST(0 AS BIGINT) AS f, 8 AS k, CAST(0 AS BIGINT) AS done FROM heads
+  UNION ALL SELECT doc_id, codec, base, h, n, o, size, CASE WHEN ref THEN i + 2 ELSE i + 1 END, CASE WHEN k = 8 THEN a ELSE f END, CASE WHEN k = 8 THEN 0 ELSE k + 1 END,
+   CASE WHEN k = 8 THEN done WHEN NOT ref THEN done + 1 WHEN codec = 'sized-lz' THEN least(size, done + a // 16 + 3) ELSE least(size, done + b % 16 + 3) END
+  FROM (SELECT *, {_BYTE.format("i")} AS a, CASE WHEN i + 1 < n THEN {_BYTE.format("i + 1")} END AS b, CASE WHEN k = 8 THEN false WHEN codec = 'sized-lz' THEN (f >> (7 - k)) & 1 = 1 ELSE (f >> k) & 1 = 0 END AS ref
+   FROM walk WHERE done < size AND i < n) WHERE NOT ref OR i + 1 < n AND (codec = 'ring-lz' OR done > a % 16 * 256 + b)),
+bytes AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS p, CAST('0x' || unnest(l) AS BIGINT) AS v FROM (SELECT doc_id, regexp_extract_all(h, '..') AS l FROM blobs WHERE ends_with(h, 'FF'))),
+commands AS (SELECT *, v > 127 OR (v = 127 AND codec = 'address-rle') AS other FROM bytes, (VALUES ('address-rle'), ('fill-rle')) r(codec)),
+led AS (SELECT *, min(CASE WHEN other THEN p END) OVER back AS s, CAST(sum(CASE WHEN other THEN 0 ELSE v END) OVER back AS BIGINT) AS c FROM commands
+  WINDOW back AS (PARTITION BY doc_id, codec, p % 2 ORDER BY p DESC ROWS UNBOUNDED PRECEDING)),
+others AS (SELECT doc_id, codec, p, v, c, CASE WHEN v = 127 THEN 0 WHEN v = 128 AND codec = 'fill-rle' THEN 256 ELSE v - 128 END AS gain FROM led WHERE other),
+links AS (SELECT a.doc_id, a.codec, a.p, a.c, y.p AS next, a.gain + x.c - y.c AS gain FROM others a
+  JOIN led x ON x.doc_id = a.doc_id AND x.codec = a.codec AND x.p = CASE WHEN a.v = 127 THEN a.p + 3 ELSE a.p + 1 + a.gain END
+  JOIN others y ON y.doc_id = x.doc_id AND y.codec = x.codec AND y.p = x.s WHERE a.v <> 255),
+runs AS (SELECT doc_id, codec, p, c, p + 1 AS stop, CAST(0 AS BIGINT) AS gain FROM others WHERE v = 255
+  UNION ALL SELECT l.doc_id, l.codec, l.p, l.c, r.stop, l.gain + r.gain FROM runs r JOIN links l ON l.doc_id = r.doc_id AND l.codec = r.codec AND l.next = r.p)
+SELECT doc_id, codec, base + o AS "offset", i - o AS consumed, size FROM walk WHERE done = size
+UNION ALL SELECT l.doc_id, l.codec, l.p, r.stop - l.p, l.c - r.c + r.gain FROM led l JOIN runs r ON r.doc_id = l.doc_id AND r.codec = l.codec AND r.p = l.s WHERE l.c - r.c + r.gain > 0"""
 
 
 @query("u3_every_reader", _KINDS)
 def u3r(spark: SparkSession, d: str) -> DataFrame:
-    """Hits of each reader at the planted place; the run readers hit at many places before it as well."""
-    k = F.col("doc_id") % 5
-    found = D.find_structures(planted_kinds(spark, d), "doc_id", "blob", ["sized-lz", "ring-lz", "address-rle"])
-    ends = table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("offset"))
-    wanted = F.when(k == 0, "sized-lz").when(k == 1, "ring-lz").when(k < 4, "address-rle")
-    return found.join(ends, ["doc_id", "offset"]).where(F.col("codec") == wanted).select("doc_id", "codec", "offset", "consumed", "size")
+    """Every hit of every reader; the run readers hit at most places before an end of theirs."""
+    return D.find_structures(planted_kinds(spark, d), "doc_id", "blob", list(D.READERS))
 
 
 @query("u4_extent_backfill", """SELECT doc_id, CAST(strlen(text) AS BIGINT) AS "offset", CASE WHEN doc_id % 3 = 0 THEN 7 WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN 40 END AS length, CASE WHEN doc_id % 7 = 0 THEN 'swap' END AS reshape FROM documents""")
